@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, sharding, simhash
+from . import chat, decontam, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
 from .common import table
 
 
@@ -19,6 +19,11 @@ QUERIES = {
     "op2_quality": quality.query,
     "op3_decontamination": op3,
     "op4_sharding": sharding.query,
+    "op5_media": media.query,
+    "op6_lm_scoring": lmscore.query,
+    "op7_token_counts": tokencount.query,
     "op8_simhash": op8,
+    "op9_chat": chat.query,
+    "op10_secrets": secretscan.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +46,8 @@ def utf16_length(c: Column) -> Column:
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
     """df with column in compatibility form (NFKC). Rows that cannot change never leave the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
-        import unicodedata
-
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
     stable = F.coalesce(F.col(column).rlike(STABLE), F.lit(True))

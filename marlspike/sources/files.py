@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 
@@ -156,22 +158,18 @@ def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> Da
     listed = spark.createDataFrame([(p,) for p in paths], "path string").where(~sensitive(F.col("path")) & candidate_text_file(F.col("path")))
     base = os.path.abspath(root).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    raw = raw.withColumn("path", F.expr(f"substring_index(url_decode(replace(path, '+', '%2B')), {base!r}, -1)"))
+    raw = raw.withColumn("path", F.substring_index("path", base, -1))
     got = listed.join(raw, "path").select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     return got.withColumn("kind", T.detect_kind(F.col("path"))).withColumn("skip_reason", skip_reason(F.col("path"), F.col("content"), F.col("size_bytes")))
 
 
 def ignore_preview(sources: DataFrame, rules: IgnoreRules) -> DataFrame:
     """How many indexed paths the rules would ignore, of how many, and the first eight by path."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def hit(s: pd.Series) -> pd.Series:
         return s.map(rules.ignores)
 
     marked = sources.select("path", hit("path").alias("m"))
     first = F.array_sort(F.collect_list(F.when(F.col("rn") <= 8, F.col("path"))))
-    from pyspark.sql.window import Window
-
     top = marked.where("m").orderBy("path").limit(8).withColumn("rn", F.row_number().over(Window.orderBy("path"))).agg(first.alias("sample_paths"))
     return marked.agg(F.count_if("m").alias("matched"), F.count("*").alias("total")).crossJoin(top)  # one row by one row

@@ -32,6 +32,8 @@ STRIDE, KEY, BLOCK, SHORTEST, SEED = 4, 8, 2000, 20, 20240607
 WALKS = (96, 48, 24)
 #: Window pairs that agree in fewer of the steps than this are no candidates: far beyond the share that recall is set for.
 AGREE = 0.5
+#: Candidates whose places differ by fewer bytes are verified once, over a window wider by as much.
+NEAR = 8
 
 
 def tables_for(recall: float, differ: float) -> int:
@@ -151,12 +153,13 @@ class ItemIndex:
                     for x, y in zip(w[same].tolist(), k[same].tolist()):
                         row, it = int(own[x]), int(item_of[y])
                         begin = int(at[x] - off[row]) - int(item_at[y])
-                        if (row, it, begin // 16) in tried:
+                        if (row, it, begin // NEAR) in tried:
                             continue
-                        tried.add((row, it, begin // 16))
+                        tried.add((row, it, begin // NEAR))
                         text = self.text[it]
                         room = int(self.max_rate * len(text))
-                        piece = put[off[row] + max(0, begin - room) : off[row] + min(max(0, begin + len(text) + room), off[row + 1] - off[row] - 1)].tobytes()
+                        reach = room + NEAR
+                        piece = put[off[row] + max(0, begin - reach) : off[row] + min(max(0, begin + len(text) + reach), off[row + 1] - off[row] - 1)].tobytes()
                         edits = 0 if text in piece else part_edits(text, piece)
                         if edits <= room and (edits, begin) < best.get((lo + row, it), (1 << 60, 0)):
                             best[lo + row, it] = (edits, max(begin, 0))

@@ -1,0 +1,557 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from marlspike.llm import chat, decontam, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
+from marlspike.llm.graph import components
+from marlspike.llm.queries import ORACLES, QUERIES
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [None, "", " ", "\n\t ", "one", "two words", "same text here for all", "same text here for all", "Ünïcödé tëxt ✓ 漢字 🙂", "a\x00b c", "x" * 5000, "w " * 30000, "the " * 9]
+
+
+def frame(spark, texts, extra=True):
+    rows = [(k, t, None if k % 5 == 4 else "en", None if k % 7 == 6 else f"s{k % 3}", None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    # columns with names that operators use inside
+    return df.withColumns({c: F.lit(1) for c in ("fp", "node", "unit", "shard", "hash", "n", "size", "label")}) if extra else df
+
+
+def labels_of(spark, df):
+    return df.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 4 != 0).cast("int").alias("quality"), (F.col("doc_id") % 5 == 0).cast("int").alias("toxic"))
+
+
+# --- SimHash ---
+
+
+def slow_print(text):
+    w = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(len(w) - 2)] if len(w) > 2 else [xxhash.xxh64_intdigest(b" ".join(w), 42)] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def slow_components(ids, fp, bits=3):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(ids), 2):
+        if (fp[a] ^ fp[b]).bit_count() <= bits:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    more = frame(spark, ODD, False).select((F.col("doc_id") + 10000).alias("doc_id"), "text")
+    rows = docs.unionByName(more)
+    fp = {r.doc_id: slow_print(r.text) for r in rows.collect()}
+    want = slow_components(list(fp), fp)
+    got = simhash.near_duplicates(rows).collect()
+    assert len(got) == len(fp)
+    assert {r.doc_id: int(r.fingerprint, 16) for r in got} == fp
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert all(len(r.fingerprint) == 16 for r in got)
+
+
+def test_gray_index_finds_all_close_pairs():
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    codes = base + [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(8)]
+    codes = np.array(codes, np.uint64)
+    bucket = np.array([rng.randint(0, 2) for _ in codes])
+    want = {(i, j) for i, j in itertools.combinations(range(len(codes)), 2) if bucket[i] == bucket[j] and int(codes[i] ^ codes[j]).bit_count() <= 3}
+    got = [tuple(sorted(p)) for a, b in simhash.GrayIndex(bucket, codes).pairs(3, slab=500) for p in zip(a.tolist(), b.tolist())]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_hot_buckets_lose_no_link(spark):
+    """Chunks of four: every bucket of near copies is dealt as pairs of chunks."""
+    rng = random.Random(9)
+    base = rng.getrandbits(63)
+    codes = sorted({base ^ (1 << i) ^ (1 << j) for i, j in itertools.combinations(range(0, 60, 4), 2)})
+    df = spark.createDataFrame([(k, c if c < 1 << 63 else c - (1 << 64)) for k, c in enumerate(codes)], "node long, fp long")
+    found = components(simhash.links(df, chunk=4))
+    fp = dict(enumerate(codes))
+    want = {k: v for k, v in slow_components(list(fp), fp).items()}
+    got = {k: k for k in fp} | {r.v: r.component for r in found.collect()}
+    assert got == want
+
+
+def test_components_of_paths_and_loops(spark):
+    edges = [(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7)]
+    got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(51)} | {100: 100, 101: 100}
+
+
+def test_keep_one(spark):
+    df = frame(spark, ODD).unionByName(frame(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long")))
+    twice = df.unionByName(df.where("doc_id = 6"))
+    out = simhash.keep_one(twice)
+    assert out.columns == df.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 1 and 0 in ids and 1 not in ids
+
+
+# --- decontamination ---
+
+
+def slow_part_edits(item, piece):
+    row = [0] * (len(piece) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(piece, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_part_edits():
+    rng = random.Random(3)
+    for _ in range(200):
+        a = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 12)))
+        b = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 20)))
+        assert decontam.part_edits(a, b) == slow_part_edits(a, b)
+
+
+def flat_text(t):
+    return re.sub(r"[\t-\r ]+", " ", (t or "").lower()).strip()
+
+
+def test_decontamination_finds_what_brute_force_finds(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    rng = random.Random(4)
+    filler = [r.text for r in docs.limit(20).collect()]
+    planted = []
+    for k, (i, t) in enumerate(sorted(items.items())[:30]):
+        words = t.split()
+        for e in range(k % 4):  # up to three words lost, doubled or changed
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [words[at]] * 2, ["zebra"]])
+        planted.append((90000 + k, filler[k % 20][:500] + " " + "  \n".join([(" ".join(words).upper() if t.isascii() else " ".join(words))]) + " " + filler[(k + 1) % 20][:300]))
+    rows = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string")).unionByName(frame(spark, ODD, False).select((F.col("doc_id") + 95000).alias("doc_id"), "text"))
+    held = rows.collect()
+    norm_items = {i: flat_text(t).encode() for i, t in items.items()}
+    got = {(r.doc_id, r.item_id): r.edits for r in decontam.contaminated(rows, bench).collect()}
+    exact = {(r.doc_id, i) for r in held for i, t in norm_items.items() if t in flat_text(r.text).encode()}
+    assert exact <= set(got) and all(got[p] == 0 for p in exact), [(p, got.get(p)) for p in exact if got.get(p) != 0]
+    missed = [(p[0], i) for p, i in zip(planted, sorted(items)[:30]) if (p[0], i) not in got and slow_part_edits(norm_items[i], flat_text(p[1]).encode()) <= 0.2 * len(norm_items[i])]
+    assert len(missed) <= 1
+    text = {r.doc_id: flat_text(r.text).encode() for r in held}
+    for (d, i), e in got.items():
+        assert e <= 0.2 * len(norm_items[i]) and slow_part_edits(norm_items[i], text[d]) <= e
+    kept = {r.doc_id for r in decontam.decontaminate(rows, bench, block=7).collect()}
+    assert kept == {r.doc_id for r in held} - {d for d, _ in got}
+
+
+def test_decontamination_of_nothing(spark):
+    bench = spark.createDataFrame([(1, None), (2, "short"), (3, "")], "item_id long, text string")
+    df = frame(spark, ODD)
+    assert decontam.contaminated(df, bench).count() == 0 and decontam.decontaminate(df, bench).count() == len(ODD)
+    assert decontam.decontaminate(df, bench.limit(0)).count() == len(ODD) and decontam.contaminated(df, bench.limit(0)).count() == 0
+
+
+# --- mixing ---
+
+
+def test_rates_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 60)
+    tokens, n = rng.integers(1, 500, 60), rng.integers(1, 3, 60)
+    post = spark.createDataFrame([(k, k, int(n[k]), int(tokens[k]), *map(float, p[k])) for k in range(60)], "row_id long, row_key long, n_rows long, n_tokens long, p0 double, p1 double, p2 double").cache()
+    want = np.array([0.6, 0.3, 0.1])
+    rate, told = mixing.fit_rates(post, list(want), rounds=100)
+    got = {r.row_id: r.rate for r in post.withColumn("rate", rate).collect()}
+    w = tokens * n
+    total = (p * (w * np.array([got[k] for k in range(60)]))[:, None]).sum(0)
+    assert min(got.values()) >= 0
+    assert np.allclose(total, told["total"], rtol=1e-6) and np.allclose(total / total.sum(), want, atol=1e-3)
+    # the same descent in numpy
+    have = (p * w[:, None]).sum(0)
+    gram = (p * w[:, None]).T @ p
+    scale = 1 / np.maximum(have, 1)
+    bound = max((np.sqrt(np.outer(scale, scale)) * gram).sum(1))
+    r = np.ones(60)
+    assert told["rounds"] < 100
+    for _ in range(told["rounds"] - 1):
+        r = np.maximum(0, r + p @ ((want * have.sum() - (p * (w * r)[:, None]).sum(0)) * scale / bound))
+    assert np.allclose(r, [got[k] for k in range(60)], atol=1e-6)
+
+
+def test_mixing_reaches_targets(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    lab = mixing.clean_languages(docs, labels)
+    rows = mixing.rates(docs, lab, mixing.TARGETS).collect()
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert sum(r.domain == lang[r.row_id] for r in rows) > 0.95 * len(rows)
+    total = np.array([sum(r.n_rows * r.n_tokens * r[f"p{k}"] * r.rate for r in rows) for k in range(4)])
+    assert np.allclose(total / total.sum(), list(mixing.TARGETS.values()), atol=0.01)
+    more = mixing.mixed(docs, lab, mixing.TARGETS, at_least=1.0)
+    assert more.columns == docs.columns and {r.doc_id for r in more.select("doc_id").collect()} == set(lang)
+
+
+def test_mixing_odd_rows(spark):
+    df = frame(spark, ODD + [None])
+    df = df.unionByName(df.where("doc_id = 6")).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    rows = mixing.rates(df, none, {"a": 1.0, "b": 1.0}).collect()
+    assert sum(r.n_rows for r in rows) == df.count() and {r.n_tokens for r in rows if r.row_id in (0, 1, 2, 3)} == {0}
+    assert next(r for r in rows if r.row_id == 6).n_rows == 2
+    out = mixing.mixed(df, none, {"a": 1.0, "b": 1.0}, at_least=1.0)
+    assert out.columns == df.columns and out.count() >= df.count()
+    assert mixing.mixed(df.limit(0), none, {"a": 1.0}).count() == 0
+
+
+# --- quality ---
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen, held = labels.where("doc_id % 2 = 0"), {r.doc_id: (r.quality, r.toxic) for r in labels.where("doc_id % 2 = 1").collect()}
+    got = {r.row_id: r.keep for r in quality.judge(docs, seen).collect()}
+    clean = [d for d, v in held.items() if v == (1, 0)]
+    junk = [d for d, v in held.items() if v[0] == 0]
+    assert sum(got[d] for d in clean) >= 0.95 * len(clean)
+    assert sum(not got[d] for d in junk) >= 0.8 * len(junk)
+    kept = quality.keep_good(docs, seen)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, k in got.items() if k}
+
+
+def test_quality_posterior_equals_numpy(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, k, f"h{k % 3}", f"p{k % 5}" if k % 4 else None, float(rng.normal(1, 2)), float(rng.normal(-2, 1))) for k in range(80)]
+    df = spark.createDataFrame(rows, "row_id long, row_key long, host string, path string, llr_quality double, llr_toxic double")
+    rates = {"quality": 0.8, "toxic": 0.1}
+    got = {(r.site_host, r.site_path): r for r in quality.site_rates(df, rates, rounds=2).collect()}
+    lg = lambda p: np.log(p / (1 - p))
+    for t, col in (("quality", 4), ("toxic", 5)):
+        prior = {(r[2], r[3]): rates[t] for r in rows}
+        for _ in range(2):
+            s, n = defaultdict(float), defaultdict(int)
+            for r in rows:
+                s[r[2], r[3]] += 1 / (1 + np.exp(-(lg(prior[r[2], r[3]]) + r[col])))
+                n[r[2], r[3]] += 1
+            hs, hn = defaultdict(float), defaultdict(int)
+            for (h, _), v in s.items():
+                hs[h] += v
+            for (h, _), v in n.items():
+                hn[h] += v
+
+            def strength(a, b):
+                k = [x for x in a if b[x] >= 5]
+                if len(k) < 3:
+                    return 20.0
+                x = np.array([a[i] / b[i] for i in k])
+                m = x.mean()
+                v = max(x.var() - m * (1 - m) * np.mean([1 / b[i] for i in k]), 1e-6)
+                return min(max(m * (1 - m) / v - 1, 1), 1000)
+
+            every, kh, kp = sum(s.values()) / len(rows), strength(hs, hn), strength(s, n)
+            host = {h: (hs[h] + kh * every) / (hn[h] + kh) for h in hs}
+            prior = {(h, p): (s[h, p] + kp * host[h]) / (n[h, p] + kp) for h, p in s}
+        for site, v in prior.items():
+            assert abs(got[site][f"path_{t}"] - v) < 1e-9
+
+
+def test_quality_odd_rows(spark):
+    df = frame(spark, ODD)
+    df = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(df, none).count() == df.count()
+    out = quality.judge(df, labels_of(spark, df))
+    assert out.count() == df.count()
+    assert quality.judge(df.limit(0), none).count() == 0
+
+
+# --- sharding ---
+
+
+def test_sharding_is_even_and_keeps_links(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sharding.assign(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(v) for v in by.values()]
+    assert len(by) == 8 and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        raw = (text[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+    shards = defaultdict(set)
+    for r in rows:
+        shards[r.unit].add(r.shard)
+    assert sum(len(v) > 1 for v in shards.values()) <= 8
+    # fewer links are cut than hashing would cut
+    sk = sharding.sketches(docs).collect()
+    of, feat = {r.doc_id: r.shard for r in rows}, defaultdict(list)
+    for r in sk:
+        for f in r.features:
+            feat[f].append(r.doc_id)
+    pairs = [(a, b) for v in feat.values() for a, b in itertools.pairwise(v)]
+    assert sum(of[a] != of[b] for a, b in pairs) < 0.4 * len(pairs)
+    full = sharding.sharded(docs)
+    assert full.columns == [*docs.columns, "shard", "slot"]
+    assert {(r.doc_id, r.shard, r.slot) for r in full.select("doc_id", "shard", "slot").collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
+
+
+def test_sharding_hot_unit_and_odd_rows(spark):
+    df = frame(spark, ODD + ["hot text for everyone to share here"] * 3000, False)
+    df = df.unionByName(df.where("doc_id < 3")).unionByName(df.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = sharding.assign(df).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(v) for v in by.values()]
+    assert sum(sizes) == df.count() and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sharding.assign(df.limit(0)).count() == 0
+    assert sharding.sharded(frame(spark, ODD).drop("shard", "unit")).count() == len(ODD)
+
+
+# --- media ---
+
+
+def test_media_round_trip(spark):
+    df = frame(spark, ODD)
+    rows = {r.id: r for r in media.document_media(df).collect()}
+    assert len(rows) == len(ODD)
+    for k, t in enumerate(ODD):
+        raw = (t or "").encode()
+        pad = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r = rows[k]
+        form = media.encode(raw)
+        n, samples = media.decode(form)
+        assert samples.tobytes() == pad and n == len(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.digest) == (len(form), hashlib.sha256(form).hexdigest(), hashlib.sha256(form).hexdigest())
+        assert r.position == 1 and r.caption == f"text of document {k}"
+    assert rows[6].feature == rows[7].feature
+    assert media.document_media(df.limit(0)).count() == 0
+
+
+def test_interleaved_sequences(spark):
+    html = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><p>one <b>two</b></p><img src="a.png" alt="A"><p>three</p><figure><img src="sha256:ff"><figcaption>cap &amp; tion</figcaption></figure>tail</body></html>'
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<p>open"), (4, "<figure><figcaption>never closed")], "page_id long, html string")
+    got = {r.id: [(i.position, i.kind, i.text, i.ref, i.digest, i.caption) for i in r["items"]] for r in media.sequences(df).collect()}
+    assert got[1] == [(0, "text", "T", None, None, None), (1, "text", "one two", None, None, None), (2, "media", None, "a.png", None, "A"), (3, "text", "three", None, None, None), (4, "media", None, "sha256:ff", "ff", "cap & tion"), (5, "text", "tail", None, None, None)]
+    assert got[2] == [] and got[3] == [(0, "text", "open", None, None, None)]
+    info = spark.createDataFrame([], media.INFO)
+    assert [(r.position, r.media_bytes) for r in media.resolve(media.sequences(df), info).orderBy("position").collect()] == [(2, None), (4, None)]
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert media.sequences(pages).count() == pages.count()
+
+
+# --- language-model scores ---
+
+
+def test_pseudo_likelihood():
+    """Weights learn, classes are distributions, and a text in order beats itself shuffled."""
+    rng = random.Random(8)
+    pattern = ["alpha", "beta", "gamma", "delta", "eps"]
+    texts = [" ".join(pattern[(s + k) % 5] for k in range(200)) for s in range(50)]
+    col = pa.array(texts)
+    counts = np.zeros(lmscore.VOCAB, np.int64)
+    for _, _, bucket, _, _ in lmscore.tokens(col):
+        counts += np.bincount(bucket, minlength=lmscore.VOCAB)
+    assert counts.sum() == 50 * 200
+    cls, within = lmscore.classes(counts)
+    mass = np.bincount(cls, weights=np.exp(within), minlength=lmscore.CLASSES)
+    assert np.allclose(mass[np.unique(cls)], 1)
+    w = lmscore.initial()
+    for turn in range(3):
+        out = list(lmscore._train(w, cls, turn)([pa.RecordBatch.from_arrays([col], ["t"])]))
+        w = np.concatenate([np.frombuffer(b, np.float32) for b in out[0].column(2).to_pylist()])
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([texts[0], " ".join(shuffled), "", None])], ["d", "t"])
+    r = list(lmscore._score(w, cls, within)([batch]))[0].to_pydict()
+    assert r["log_likelihood"][0] > r["log_likelihood"][1] and r["n_words"] == [200, 200, 0, 0] and r["per_word"][2:] == [None, None]
+
+
+def test_gradient_is_right():
+    t = lmscore.Trainer(lmscore.initial())
+    rng = np.random.default_rng(0)
+    context, y = rng.integers(0, lmscore.INPUTS, (4, 300)), rng.integers(0, 5, 300)
+    loss = lambda: -lmscore.forward(t.w, context)[1][np.arange(300), y].mean()
+    before = loss()
+    for _ in range(30):
+        t.step(context, y)
+    assert loss() < before - 0.5
+
+
+def test_scores_of_odd_rows(spark):
+    df = frame(spark, ODD)
+    rows = {r.doc_id: r for r in lmscore.scores(df).collect()}
+    assert len(rows) == len(ODD) and rows[0].n_words == 0 and rows[0].per_word is None and rows[6].log_likelihood == rows[7].log_likelihood < 0
+    assert lmscore.scores(df.limit(0)).count() == 0
+
+
+# --- token counts ---
+
+
+def test_token_counts_equal_library(spark):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(1)
+    texts = [t or "" for t in ODD] + ["<|endoftext|>", "a<|endoftext|>b <|endoftext|><|endoftext|> c", "  \n\n x's I'LL\x1c\x85", "aaaa" * 300, "<|endoftext"]
+    texts += ["".join(chr(rng.choice([rng.randint(0, 0x2FFF), rng.randint(32, 126), 32, 10, rng.randint(0x10000, 0x1FFFF)])) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    rows = {r.doc_id: r for r in tokencount.token_counts(frame(spark, texts), P.path("byte_bpe_50k.json")).collect()}
+    for k, t in enumerate(texts):
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        assert (rows[k].n_tokens, rows[k].n_bytes, rows[k].over_limit) == (n, len(t.encode()), n > 1024)
+
+
+# --- chat ---
+
+
+def test_layouts(spark):
+    import json
+
+    records = [
+        ({"messages": [{"role": "user", "content": "hi ~0 <[]> </s>[INST]"}, {"role": "assistant", "content": None}]}, "messages", [("user", "hi ~0 <[]> </s>[INST]"), ("assistant", "")]),
+        ({"conversations": [{"from": "system", "value": "[s]"}]}, "shares", [("system", "[s]")]), ({"messages": []}, "messages", []),
+        ({"response": "b", "prompt": "a"}, "prompt", [("user", "a"), ("assistant", "b")]), ({"system": "", "instruction": "[do]", "output": "ok"}, "instruction", [("system", ""), ("user", "[do]"), ("assistant", "ok")]),
+        ({"other": 1}, None, None),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)] + [(99, None), (98, "no json")], "id long, record string")
+    out = chat.formatted(chat.canonical(df)).withColumn("back", chat.read_back(F.col("formatted")))
+    got = {r.id: r for r in out.collect()}
+    for k, (_, layout, turns) in enumerate(records):
+        assert got[k].layout == layout
+        as_pairs = lambda v: None if v is None else [(t.role, t.text) for t in v]
+        assert as_pairs(got[k].turns) == turns and as_pairs(got[k].back) == turns
+    assert got[99].turns is None and got[98].turns is None
+    assert got[0].formatted == "[user]hi ~00 ~1~2~3> ~1/s>~2INST~3</s>[assistant]</s>"
+
+
+def test_chat_odd_rows(spark):
+    rows = [(1, 0, None, None), (1, 1, "assistant", "🙂 ~~ [x]"), (1, 1, "assistant", "🙂 ~~ [x]"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (3, None, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    said = "\n\n" + "assistant\n🙂 ~~ [x]\n" * 2
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert got[1].loss_chars == 16 and got[1].loss_sha256 == hashlib.sha256(("🙂 ~~ [x]" * 2).encode()).hexdigest()
+    assert got[2].loss_chars == 0 and got[None].n_turns == 1 and len(got) == 4
+    assert chat.digests(df.limit(0)).count() == 0
+
+
+# --- secrets ---
+
+
+def test_base_spans():
+    def slow(t):
+        out = []
+        for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I | re.A):
+            out += [(m.start(), 0, m.end())] * (len(m[2]) >= 6)
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        return sorted(out)
+
+    rng = random.Random(2)
+    bits = ["password", "TOKEN", "api_key", "apikey", "ſecret", "secret", "=", ":", " ", '"', "abc", "0123456789abcdef", "AKIA", "ABCDEFGH", "é", "toKen", "\n", "-x_", "AKIAAKIA"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert secretscan.base_spans(t) == slow(t)
+
+
+def test_viterbi_equals_brute_force():
+    rng = np.random.default_rng(4)
+    f = secretscan.Field()
+    for t in f.tables:
+        t[:] = rng.normal(0, 1, t.shape)
+    for t in f.tables[:2]:
+        t[:, 0] += rng.normal(4, 4, len(t))
+    f.move[:] = rng.normal(0, 1, (3, 3))
+    f.move[0, 2], f.begin[2] = -30, -30
+    for trial in range(60):
+        size = [int(x) for x in rng.integers(1, 7, 4)]
+        own = np.repeat(np.arange(4), size)
+        index = np.stack([rng.integers(0, n, len(own)) for n in secretscan.SIZES])
+        got = f.viterbi(index, own)
+        e = f.emission(index).astype(float)
+        for k in range(4):
+            at = np.flatnonzero(own == k)
+            score = lambda tags: f.begin[tags[0]] + sum(e[i, y] for i, y in zip(at, tags)) + sum(f.move[a, b] for a, b in itertools.pairwise(tags))
+            best = max(score(tags) for tags in itertools.product(range(3), repeat=len(at)))
+            assert abs(score(got[at].tolist()) - best) < 1e-4
+
+
+def test_crf_learns_and_adds(spark):
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    texts = [" ".join(word() for _ in range(20)) + (f' token = "{key(40)}" ' if k % 2 else " ") + " ".join(word() for _ in range(20)) for k in range(200)]
+    texts += [f"ünder the hood {word()} key = \"{key(12).upper()}0{key(11).upper()}\" and more {word()}", "plain words only here"]
+    df = frame(spark, texts)
+    rows = {r.doc_id: r for r in secretscan.scan(df).collect()}
+    assert all(rows[k].n_assign == 1 and rows[k].n_hex == 1 for k in range(1, 200, 2))
+    assert all(rows[k].spans == "" for k in range(0, 200, 2))
+    assert rows[201].n_crf == 0
+
+
+def test_secrets_odd_rows(spark):
+    df = frame(spark, ODD)
+    rows = {r.doc_id: r for r in secretscan.scan(df).collect()}
+    assert len(rows) == len(ODD) and all(r.spans == "" for r in rows.values())
+    assert rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secretscan.scan(df.limit(0)).count() == 0
+
+
+# --- queries and the pipeline ---
+
+
+def test_chat_query_equals_sql(spark):
+    from tests.oracle import both, connect
+
+    ours, theirs = both(spark, connect(SF), QUERIES["op9_chat"], ORACLES["op9_chat"], SF)
+    assert ours == theirs
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_runs(spark, name):
+    n = QUERIES[name](spark, SF).count()
+    assert n > 0 and (n == 200 or name in ("op3_decontamination", "op9_chat"))
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lab = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    at, seen = docs, [{r.doc_id for r in docs.collect()}]
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, at, SF).cache()
+        if k < len(P.STAGES) - 1:
+            assert out.columns == docs.columns
+        seen.append({r.doc_id for r in out.collect()})
+        if k == 1:
+            fp = {r.doc_id: slow_print(r.text) for r in at.collect()}
+            assert seen[-1] == set(slow_components(list(fp), fp).values())
+        if k == 2:
+            items = [flat_text(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert not any(t in flat_text(r.text) for r in out.collect() for t in items)
+        at = out
+    assert all(b <= a for a, b in itertools.pairwise(seen)) and seen[4] == seen[3] == seen[5]
+    assert all(d in seen[1] for d, v in lab.items() if v == (1, 0))
+    n = at.groupBy("shard").count().collect()
+    assert max(r["count"] for r in n) - min(r["count"] for r in n) <= 1

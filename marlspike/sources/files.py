@@ -147,6 +147,19 @@ def walk(root: str, rules: IgnoreRules) -> tuple[list[str], dict[str, int]]:
     return found, seen
 
 
+def _reader(base: str):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                with open(base + path, "rb") as f:
+                    data = f.read()
+                rows.append((path, data, len(data), pd.Timestamp(int(os.path.getmtime(base + path)), unit="s")))
+            yield pd.DataFrame(rows, columns=["path", "content", "size_bytes", "modified"])
+
+    return run
+
+
 def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> DataFrame:
     """path, content, content_hash, size_bytes, modified, kind, skip_reason of the files that policy lets through.
 
@@ -159,7 +172,11 @@ def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> Da
     base = os.path.abspath(root).rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     raw = raw.withColumn("path", F.substring_index("path", base, -1))
-    got = listed.join(raw, "path").select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    # Spark's listing leaves out names that begin with . or _; those are read by path from the mounted tree
+    hidden = F.col("path").rlike("(^|/)[._]")
+    seen = listed.where(~hidden).join(raw.select("path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")), "path")
+    rows = seen.unionByName(listed.where(hidden).mapInPandas(_reader(base), "path string, content binary, size_bytes long, modified timestamp"))
+    got = rows.select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), "size_bytes", "modified")
     return got.withColumn("kind", T.detect_kind(F.col("path"))).withColumn("skip_reason", skip_reason(F.col("path"), F.col("content"), F.col("size_bytes")))
 
 

@@ -14,7 +14,7 @@ from ..functions import text as T
 
 # What is ignored, sensitive, binary or generated.
 IGNORED = [
-    ".git/", ".hg/", ".svn/", ".project-context/", "node_modules/", "dist/", "build/", "out/", "target/", "CMakeFiles/", "cmake-build-*/",
+    ".git/", ".hg/", ".svn/", ".marlspike/", "node_modules/", "dist/", "build/", "out/", "target/", "CMakeFiles/", "cmake-build-*/",
     "coverage/", "playwright-report/", "test-results/", ".playwright-cli/", ".next/", ".cache/", ".gradle/", ".venv/", "venv/", "__pycache__/",
     ".pytest_cache/", ".mypy_cache/", ".ruff_cache/", ".tox/", "vendor/", "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json",
     ".ninja_deps", ".ninja_log",
@@ -36,7 +36,8 @@ GENERATED_EXTENSIONS = [
     ".dyn_hi", ".dyn_o", ".rlib", ".rmeta",
 ]
 DEPENDENCY_RULE = r"(?im)(?:^|\n)[^\r\n:]*\.(?:o|obj)\s*:\s*\S"
-IGNORE_FILES = (".gitignore", ".project-context-ignore")
+#: Read at a root, in order; the second is this engine's own.
+IGNORE_FILES = (".gitignore", ".marlspike-ignore")
 
 
 def sensitive(path: Column) -> Column:
@@ -102,10 +103,10 @@ class IgnoreRules:
         self.rules = [r for r in map(rule_pattern, rules) if r]
 
     @classmethod
-    def for_root(cls, root: str, more: str = "") -> IgnoreRules:
+    def for_root(cls, root: str, more: str = "", ignore_files: tuple[str, ...] = IGNORE_FILES) -> IgnoreRules:
         name = os.path.basename(os.path.normpath(root)).lower()
         rules = list(IGNORED) + (IGNORED_IN_CODEX if name == ".codex" else [])
-        for f in IGNORE_FILES:
+        for f in ignore_files:
             try:
                 with open(os.path.join(root, f), encoding="utf-8") as held:
                     rules += held.read().splitlines()

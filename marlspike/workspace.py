@@ -5,7 +5,10 @@ Every method builds DataFrames from the operators; the driver holds single recor
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
+import time
 import uuid
 from datetime import UTC, datetime
 
@@ -17,9 +20,14 @@ from .functions import text as T
 from .operators import context, graph, health, ingest, lifecycle, search
 from .sources import code, files, vcs
 from .store import Store
+from .streaming import debounce
 
 PROJECTS = "id string, name string, root_path string, created_at timestamp, last_opened_at timestamp, archived_at timestamp"
 TABLES = {"sources": S.SOURCES, "chunks": S.CHUNKS, "symbols": S.SYMBOLS, "relations": S.RELATIONS, "memories": S.MEMORIES, "bindings": S.BINDINGS, "candidates": S.CANDIDATES, "tasks": S.TASKS, "runs": S.RUNS}
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+HEADER = "salt binary, n int, r int, p int"
+#: Cost, block size and parallelism of the key derivation.
+SCRYPT = (16384, 8, 1)
 EMPTY_CHECKPOINT = {"summary": None, "completed": [], "next": [], "changedFiles": [], "verification": [], "blockers": [], "risks": []}
 
 
@@ -185,6 +193,96 @@ class Workspace:
         Store(self.spark, directory).copy_to(f"{self.home}/projects/{project}", list(TABLES))
         return project
 
+    def project_backup_encrypted(self, project: str, directory: str, password: str) -> None:
+        """Like project_backup, each record sealed with AES-256-GCM; the key comes from the password by scrypt.
+
+        The header (salt, parameters, table) is authenticated with every record. The key travels as data, not in plans.
+        """
+        salt = os.urandom(16)
+        target = Store(self.spark, directory)
+        if target.versions("header"):
+            raise FileExistsError(directory)
+        target.write("header", self.spark.createDataFrame([(salt, *SCRYPT)], HEADER))
+        key = self._key(password, salt)
+        for name in TABLES:
+            rows = self.table(project, name)
+            sealed = rows.select(F.to_json(F.struct(*rows.columns), EXACT).alias("row")).join(F.broadcast(key), F.lit(True))  # one row
+            target.write(name, sealed.select(F.aes_encrypt("row", "key", F.lit("GCM"), F.lit("DEFAULT"), F.lit(b""), F.lit(self._aad(salt, name))).alias("sealed")))
+
+    def project_restore_encrypted(self, directory: str, root: str, password: str) -> str:
+        """A sealed backup as a new project. A wrong password or a changed record raises, and nothing is left behind."""
+        source = Store(self.spark, directory)
+        head = source.read("header", HEADER).first()
+        project = self.project_open(root)
+        if not self.table(project, "sources").isEmpty():
+            raise NotAllowed("the project is not new")
+        salt = bytes(head.salt)
+        key, store = self._key(password, salt, (head.n, head.r, head.p)), self._store(project)
+        try:
+            for name, schema in TABLES.items():
+                row = F.aes_decrypt("sealed", "key", F.lit("GCM"), F.lit("DEFAULT"), F.lit(self._aad(salt, name))).cast("string")
+                opened = source.read(name, "sealed binary").join(F.broadcast(key), F.lit(True)).select(F.from_json(row, schema, EXACT).alias("r")).select("r.*")  # one row
+                store.write(name, opened)
+        except Exception:
+            store.drop()
+            self.registry.write("projects", self.registry.read("projects", PROJECTS).where(F.col("id") != project))
+            raise
+        return project
+
+    def _key(self, password: str, salt: bytes, scrypt: tuple[int, int, int] | None = None) -> DataFrame:
+        n, r, p = scrypt or SCRYPT
+        return self.spark.createDataFrame([(hashlib.scrypt(password.encode(), salt=salt, n=n, r=r, p=p, dklen=32),)], "key binary")
+
+    @staticmethod
+    def _aad(salt: bytes, name: str) -> bytes:
+        return f"marlspike-backup-1:{salt.hex()}:{name}".encode()
+
+    # --- watching ---
+
+    def watch_start(self, project: str, quiet_ms: int = debounce.DEFAULT_MS) -> str:
+        """A stream whose batches index the project when its tree has changed; a run that finds nothing new costs a listing."""
+        self._project(project)
+        if any(w["project"] == project for w in self.watch_list()):
+            raise NotAllowed("the project is watched already")
+        quiet = max(debounce.LEAST_MS, min(debounce.MOST_MS, quiet_ms))
+        seen = {"mark": None}
+
+        def run(_, batch: int) -> None:
+            mark = self._mark(project)
+            if mark != seen["mark"] and mark == (time.sleep(quiet / 1000), self._mark(project))[1]:  # quiet for so long
+                self.project_index(project)
+                seen["mark"] = mark
+
+        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        q = ticks.writeStream.queryName(f"watch {project}").trigger(processingTime=f"{quiet} milliseconds").foreachBatch(run).start()
+        return str(q.id)
+
+    def _mark(self, project: str) -> int:
+        root = self._project(project)["root_path"]
+        paths, _ = files.walk(root, files.IgnoreRules.for_root(root))
+        found = []
+        for p in paths:
+            try:
+                st = os.stat(os.path.join(root, p))
+                found.append((p, st.st_mtime_ns, st.st_size))
+            except FileNotFoundError:
+                continue
+        return hash(tuple(found))
+
+    def watch_list(self) -> list[dict]:
+        return [{"project": q.name.removeprefix("watch "), "id": str(q.id), "status": q.status, "batches": (q.lastProgress or {}).get("batchId")} for q in self.spark.streams.active if (q.name or "").startswith("watch ")]
+
+    def watch_flush(self, project: str) -> None:
+        """Waits until what has changed by now is indexed; an error of the watcher surfaces here."""
+        for q in self.spark.streams.active:
+            if q.name == f"watch {project}":
+                q.processAllAvailable()
+
+    def watch_stop(self, project: str) -> None:
+        for q in self.spark.streams.active:
+            if q.name == f"watch {project}":
+                q.stop()
+
     def ignore_preview(self, project: str, rules: str) -> dict:
         return files.ignore_preview(self.table(project, "sources"), files.IgnoreRules.for_root(self._project(project)["root_path"], rules)).first().asDict()
 

@@ -85,3 +85,23 @@ def test_tasks_context_and_export(project, tmp_path):
     assert w.graph_search(p, "refresh").count() >= 1
     assert w.project_portrait(p).count() >= 3
     assert w.ignore_preview(p, "*.md")["matched"] == 1
+
+
+def test_sealed_backup_and_watch(project, tmp_path):
+    w, p, root = project
+    w.project_backup_encrypted(p, str(tmp_path / "sealed"), "open sesame")
+    again = w.project_restore_encrypted(str(tmp_path / "sealed"), "/restored/sealed", "open sesame")
+    for name in ("sources", "memories", "tasks"):
+        rows = lambda x, name=name: sorted(map(str, w.table(x, name).collect()))
+        assert rows(p) == rows(again)
+    before = w.projects(True).count()
+    with pytest.raises(Exception):
+        w.project_restore_encrypted(str(tmp_path / "sealed"), "/restored/wrong", "open barley").table
+    assert w.projects(True).count() == before
+    w.watch_start(p, 100)
+    assert [x["project"] for x in w.watch_list()] == [p]
+    (root / "new.md").write_text("a new file")
+    w.watch_flush(p)
+    w.watch_flush(p)
+    w.watch_stop(p)
+    assert w.watch_list() == [] and not w.table(p, "sources").where("path = 'new.md'").isEmpty()

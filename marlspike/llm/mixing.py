@@ -84,15 +84,27 @@ def fit_rates(post: DataFrame, weights: list[float], budget: float | None = None
     scale = [1 / max(h, 1.0) for h in have]  # unit residuals: tokens over tokens there
     # the step: one over a bound of the largest eigenvalue of the scaled Gram matrix
     bound = max([sum((scale[i] * scale[j]) ** 0.5 * gram[i][j] for j in range(size)) for i in range(size)] + [1e-9])
-    rate, total, n = F.lit(1.0), list(have), 0
+    moves, total, n = [], list(have), 0
+
+    def rate_after(steps: list) -> Column:
+        """The projected steps folded over a literal array: the plan and its compiled code stay the same from round to round."""
+        if not steps:
+            return F.lit(1.0)
+        held = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in steps])
+        return F.aggregate(held, F.lit(1.0), lambda r, m: F.greatest(F.lit(float(at_least)), r + sum((p[k] * m[k] for k in range(1, size)), p[0] * m[0])))
+
     for n in range(1, rounds + 1):
         gap = [t - x for t, x in zip(target, total)]
         if whole == 0 or max(abs(g) for g in gap) <= near * budget:
             break
-        move = sum((p[k] * F.lit(gap[k] * scale[k] / bound) for k in range(1, size)), p[0] * F.lit(gap[0] * scale[0] / bound))
-        rate = F.greatest(F.lit(float(at_least)), rate + move)
-        row = post.agg(*[F.sum(tokens * a * rate) for a in p]).first()
-        total = [float(x or 0) for x in row]
+        moves.append([g * s / bound for g, s in zip(gap, scale)])
+        paid = post.select(*p, (tokens * rate_after(moves)).alias("paid"))
+        row = paid.agg(*[F.sum(F.col("paid") * a) for a in p]).first()
+        was, total = total, [float(x or 0) for x in row]
+        if max(abs(x - y) for x, y in zip(was, total)) <= near * budget / 10:  # the bounds hold the rest of the gap
+            n += 1
+            break
+    rate = rate_after(moves)
     return rate, {"target": target, "total": total, "have": have, "rounds": n}
 
 

@@ -23,14 +23,18 @@ from .common import by_row_key, flat, keep, span_hashes, steps, table, with_row_
 
 #: At most so many labelled rows train the classifier (those with the least hash of their id).
 SAMPLE = 8000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
+#: Bytes of a word's beginning that count as its stem.
+STEM = 5
+#: What every round takes off a word weight: words that tell little end at nothing.
+SPARSE = 0.015
 #: Rates of the targets where nothing is known.
 DEFAULT = {"quality": 0.9, "toxic": 0.1}
 N_STYLE = 12
 
 
 def describe(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Style features of each text and the hash buckets of its distinct words."""
+    """Style features of each text and the hash buckets of its distinct words and stems."""
     data, offsets = flat(col)
     style, ids = np.zeros((len(col), N_STYLE), np.float32), []
     kind = np.full(256, 7, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 blank, 4 bang, 5 bar, 6 symbol, 7 other
@@ -63,16 +67,22 @@ def describe(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         s[:, 10] = np.log1p(n_words) / 10
         s[:, 11] = np.bincount(own, weights=end - at, minlength=n) / safe / 10
         s[n_words == 0] = 0
-        bucket = (ho[new] & np.uint64(BUCKETS - 1)).astype(np.int32)
-        ids += np.split(bucket, np.cumsum(distinct)[:-1]) if n else []
+        # words, and their first letters: what one stem gives in many forms is seen as one
+        stem = span_hashes(piece, at, np.minimum(end, at + STEM)) ^ np.uint64(0x5BD1E995)
+        both = np.concatenate([h, stem]) & np.uint64(BUCKETS - 1)
+        seen = np.unique(np.concatenate([own, own]).astype(np.uint64) * np.uint64(BUCKETS) + both)
+        owner, bucket = (seen // np.uint64(BUCKETS)).astype(np.int64), (seen % np.uint64(BUCKETS)).astype(np.int32)
+        ids += np.split(bucket, np.searchsorted(owner, np.arange(1, n)))
     return style, ids
 
 
-def fit(style: np.ndarray, ids: list[np.ndarray], y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Logistic regression by Adam with a soft threshold on word weights. Style weights, word weights, offset, centre."""
+def fit(style: np.ndarray, flat_ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logistic regression by Adam with a soft threshold on word weights. Style weights, word weights, offset.
+
+    flat_ids: the word buckets of all texts, one text after the other; sizes: how many each has."""
     mid, spread = style.mean(0), style.std(0) + 1e-3
     x = (style - mid) / spread
-    flat_ids, rows = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
     seen = np.bincount(flat_ids, minlength=BUCKETS)
     use = seen[flat_ids] >= 5
     flat_ids, rows = flat_ids[use], rows[use]
@@ -93,8 +103,8 @@ def fit(style: np.ndarray, ids: list[np.ndarray], y: np.ndarray, rounds: int = 1
                 w -= move
             else:
                 v -= move
-                v = np.sign(v) * np.maximum(np.abs(v) - 0.004, 0)
-    return w / spread, v, b - float((w / spread) @ mid), mid
+                v = np.sign(v) * np.maximum(np.abs(v) - SPARSE, 0)
+    return w / spread, v, b - float((w / spread) @ mid)
 
 
 def _score(models):
@@ -122,25 +132,36 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(style), pa.list_(pa.float32())), pa.array(ids, pa.list_(pa.int32())), batch.column(1), batch.column(2)], ["style", "ids", "quality", "toxic"])
 
 
+def _fit(batches):
+    """All sampled rows, at most 2 * SAMPLE of them: one row a target with its base rate and weights (none if there is nothing to learn)."""
+    parts = [(np.array(b.column(0).flatten(), np.float32).reshape(-1, N_STYLE), b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)) for b in batches]
+    for k, target in enumerate(("quality", "toxic")):
+        rate, raw = DEFAULT[target], None
+        if parts:
+            style, ids, sizes = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            y = np.concatenate([p[3 + k] for p in parts]).astype(float)
+            ok = ~np.isnan(y)
+            ids, style, sizes, y = ids[np.repeat(ok, sizes)], style[ok], sizes[ok], y[ok]
+            if len(ids) and 0 < y.sum() < len(y):
+                rate = float(np.clip(y.mean(), 0.001, 0.999))
+                w, v, b = fit(style, ids, sizes, y)
+                raw = np.concatenate([w, v, [b]]).astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([rate]), pa.array([raw], pa.binary())], ["target", "rate", "weights"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, dict]:
-    """A model (or None) and the base rate for each target, from at most `sample` labelled rows that have a document."""
+    """A model (or None) and the base rate for each target, from at most `sample` labelled rows that have a document.
+
+    One task fits the models on that sample; the driver gets the weights alone."""
     some = labels.select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("row_id is not null")
     some = some.orderBy(F.xxhash64("row_id"), "row_id", "quality", "toxic").limit(sample)
     rows = docs.join(F.broadcast(some), docs.doc_id == some.row_id).select(F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")  # bound: `sample` rows of 24 bytes
-    rows = rows.limit(2 * sample).mapInArrow(_sampled, "style array<float>, ids array<int>, quality double, toxic double").toArrow()
+    rows = rows.mapInArrow(_sampled, "style array<float>, ids array<int>, quality double, toxic double")
     models, rates = [], {}
-    style = np.array(rows["style"].to_pylist(), np.float32).reshape(-1, N_STYLE)
-    ids = [np.array(i, np.int32) for i in rows["ids"].to_pylist()]
-    for target in ("quality", "toxic"):
-        y = rows[target].to_numpy().astype(float)
-        ok = np.flatnonzero(~np.isnan(y))
-        rates[target] = DEFAULT[target]
-        if len(ok) and sum(len(ids[k]) for k in ok) and 0 < y[ok].sum() < len(ok):
-            w, v, b, _ = fit(style[ok], [ids[k] for k in ok], y[ok])
-            rates[target] = float(np.clip(y[ok].mean(), 0.001, 0.999))
-            models.append((w, v, b, float(np.log(rates[target] / (1 - rates[target])))))
-        else:
-            models.append(None)
+    for target, rate, raw in rows.repartition(1).mapInArrow(_fit, "target string, rate double, weights binary").orderBy("target").collect():
+        rates[target] = rate
+        held = None if raw is None else np.frombuffer(raw, np.float32)
+        models.append(None if held is None else (held[:N_STYLE].astype(float), held[N_STYLE:-1], float(held[-1]), float(np.log(rate / (1 - rate)))))
     return models, rates
 
 

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: one small file is one task otherwise, a large table is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rows(spark: SparkSession, data: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(data, schema)
 
@@ -37,7 +43,7 @@ def values(data: list[tuple], name: str, columns: str) -> str:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
     return d.select("doc_id", path.alias("path"), F.col("text").alias("content"), T.sha(F.col("text")).alias("content_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
 

@@ -45,7 +45,7 @@ def reassembled_content(spark, sf_dir):
 
 @query("SELECT doc_id, len(g)::BIGINT AS n_terms, sha256(array_to_string(list_sort(g), ' ')) AS terms_hash FROM (SELECT doc_id, " + I.grams_sql("text") + " AS g FROM documents)")
 def ngram_index(spark, sf_dir):
-    g = I.table(spark, sf_dir, "documents").select("doc_id", T.ngrams(F.col("text")).alias("g"))
+    g = I.spread(I.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.ngrams(F.col("text")).alias("g"))
     return g.select("doc_id", F.size("g").cast("long").alias("n_terms"), T.sha(F.array_join(F.array_sort("g"), " ")).alias("terms_hash"))
 
 

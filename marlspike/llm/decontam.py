@@ -1,183 +1,240 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH, with exact edit verification.
-
-A text is lower-cased (A-Z) and its white-space runs become one blank. The CGK random walk reads a window from a word
-start: step j emits the byte under the walk and moves on by a random bit that depends on j and that byte, so edit
-distance becomes Hamming distance between the emitted strings. Items are embedded from every word start, documents from
-every STRIDE-th, so any passage of STRIDE words meets an anchor. Each of the LSH tables samples KEY steps; windows that
-agree on all steps of some table are candidates. A candidate is then laid over the document at the item's own place and
-size, and the least number of edits between the item and any part of that window is counted exactly. A hit needs at most
-max_rate * length edits.
-
-The number of tables follows from the target recall: a window pair whose embeddings differ in a share d of the steps
-is found with probability 1 - (1 - (1 - d) ** KEY) ** tables.
-
-Items of fewer than SHORTEST normalised bytes are no evidence and never match; null texts match nothing; repeated
-items and rows each give their own hits. The benchmark is read in blocks of BLOCK items (a stated, bounded part of
-what each task holds); more items mean more passes, never fewer items.
+"""Benchmark decontamination by seeds counted along diagonals, with exact edit verification.
+
+A text is lower-cased (A-Z) and its white-space runs become one blank. Every run of q bytes of an item (a seed) is looked
+up at every byte of the documents, so neither words nor their places matter. A hit lies on a diagonal, its place in the
+document less its place in the item; an item with at most k edits keeps all its true hits on k + 1 neighbouring
+diagonals, hence within two neighbouring bins of that width. Bins with enough hits are candidates: the least number of
+edits between the item and any part of the document there is counted exactly. A hit needs at most max_rate * length
+edits; at_byte is where such a best part begins.
+
+How many hits are enough follows from the target recall: k = max_rate * length edits at random places leave at least so
+many seeds whole, but for a share MARGIN of what the target lets miss. The longest q that leaves ENOUGH of them is taken.
+An exact copy keeps all its seeds and is always found.
+
+Items of fewer than SHORTEST normalised bytes say little once edited: they match as exact copies alone, and not inside a
+longer ASCII word or number. Empty items and null texts match nothing; repeated items and rows each give their own hits.
+The benchmark is read in blocks of BLOCK items (a stated, bounded part of what each task holds); more items mean more
+passes, never fewer items.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, lower_ascii, mix, steps, white_space
-
-STRIDE, KEY, BLOCK, SHORTEST, SEED = 4, 8, 2000, 20, 20240607
-#: Lengths of walks: an item window uses the longest that stays inside it.
-WALKS = (96, 48, 24)
-#: Window pairs that agree in fewer of the steps than this are no candidates: far beyond the share that recall is set for.
-AGREE = 0.5
-#: Candidates whose places differ by fewer bytes are verified once, over a window wider by as much.
-NEAR = 8
-
+from .common import flat, lower_ascii, steps, white_space
 
-def tables_for(recall: float, differ: float) -> int:
-    """LSH tables that find, with probability `recall`, windows whose embeddings differ in a share `differ` of the steps."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** KEY)))
+BLOCK, SHORTEST, SEED = 2000, 20, 20240607
+#: Lengths of seeds, and the hits that a length must leave at max_rate edits to be taken; the last one is taken anyway.
+SEEDS, ENOUGH = (8, 7, 6, 5, 4), 6
+#: The part of the misses that the target recall allows for which the count of hits may be the cause.
+MARGIN, TRIALS = 0.2, 1000
+#: Hits that one step expands at a time.
+SLAB = 2_000_000
 
 
-def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All texts lower-cased, white-space runs as one blank, a zero byte after each; offsets, word starts, text of each word."""
+def whole_seeds(length: int, edits: int, miss: float) -> tuple[int, int]:
+    """Seed length, and the count of seeds that `edits` random edits of an item leave whole with probability 1 - miss."""
+    rng = np.random.default_rng(SEED + length)
+    at = np.sort(np.argsort(rng.random((TRIALS, length)), axis=1)[:, :edits], axis=1)
+    ends = np.hstack([np.full((TRIALS, 1), -1), at, np.full((TRIALS, 1), length)])
+    gap = np.diff(ends, axis=1) - 1
+    for q in SEEDS:
+        left = np.sort(np.maximum(gap - q + 1, 0).sum(axis=1))
+        least = int(left[int(miss * TRIALS)])
+        if least >= ENOUGH:
+            break
+    return q, max(1, least)
+
+
+def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts lower-cased, white-space runs as one blank, a zero byte after each; offsets."""
     low = lower_ascii()
     low[0] = 1
     ws = white_space()
     low[ws] = 32
     n = len(offsets) - 1
-    put = np.insert(low[data], offsets[1:], 0)  # a zero after each text ends every walk
+    put = np.insert(low[data], offsets[1:], 0)  # a zero after each text ends every seed
     off = offsets + np.arange(n + 1)
     blank = put == 32
     before = np.ones(len(put), bool)
     before[1:] = blank[:-1] | (put[:-1] == 0)
     stay = ~(blank & before)
     place = np.concatenate(([0], np.cumsum(stay)))
-    put, off = put[stay], place[off]
-    first = np.ones(len(put), bool)
-    first[1:] = (put[:-1] == 32) | (put[:-1] == 0)
-    at = np.flatnonzero(first & (put != 0) & (put != 32))
-    return put, off, at, np.searchsorted(off, at, "right") - 1
+    return put[stay], place[off]
 
 
-def walk_bits() -> np.ndarray:
-    rng = np.random.default_rng(SEED)
-    bits = rng.integers(0, 2, (WALKS[0], 256)).astype(np.uint8)
-    bits[:, 0] = 0
-    return bits
+def grams(put: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each; beyond the end there are zeros."""
+    return np.ndarray(len(put), "<u8", np.concatenate([put, np.zeros(8, np.uint8)]), strides=(1,))
 
 
-def embed(put: np.ndarray, at: np.ndarray, bits: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """CGK: the bytes that `length` steps emit (steps x windows) and where each walk ends."""
-    out = np.empty((length, len(at)), np.uint8)
-    pos = at.copy()
-    for j in range(length):
-        got = put[pos]
-        out[j] = got
-        pos += bits[j][got]
-    return out, pos
+def slot(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-def sampled_steps(tables: int, length: int) -> np.ndarray:
-    rng = np.random.default_rng(SEED + length)
-    return np.stack([rng.choice(length, KEY, replace=False) for _ in range(tables)])
+class Seeds:
+    """All seeds of one length of some items."""
+
+    def __init__(self, q: int, rows: list[tuple[int, bytes]], every: bool):
+        self.mask = np.uint64((1 << (8 * q)) - 1)
+        key, item, place = [], [], []
+        for k, t in rows:
+            n = len(t) - q + 1 if every else 1
+            key.append(grams(np.frombuffer(t, np.uint8))[:n] & self.mask)
+            item.append(np.full(n, k))
+            place.append(np.arange(n))
+        key, item, place = map(np.concatenate, (key, item, place))
+        order = np.argsort(key, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[slot(self.keys)] = True
+
+    def hits(self, eight: np.ndarray):
+        """Yields arrays: place in the texts, item, place in the item."""
+        key = eight & self.mask
+        at = np.flatnonzero(self.seen[slot(key)])
+        k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+        ok = self.keys[k] == key[at]
+        at, k = at[ok], k[ok]
+        total, lo = np.cumsum(self.count[k]), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLAB, "right")))
+            n = self.count[k[lo:hi]]
+            run = np.repeat(self.first[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield np.repeat(at[lo:hi], n), self.item[run], self.place[run]
+            lo = hi
+
+
+def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(count, first)
 
 
-def table_keys(emitted: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    key = np.zeros(emitted.shape[1], np.uint64)
-    for k, j in enumerate(sample):
-        key |= emitted[j].astype(np.uint64) << np.uint64(8 * k)
-    return mix(key)
+def item_texts(items: list[tuple[int, str]]) -> list[bytes]:
+    put, off = normalised(*flat(pa.array([t for _, t in items], pa.string())))
+    return [put[off[k] : off[k + 1] - 1].tobytes().rstrip() for k in range(len(items))]
+
+
+def seed_rules(items: list[tuple[int, str]], max_rate: float, recall: float) -> dict[int, tuple[int, int]]:
+    """whole_seeds() by the length of an item."""
+    sizes = {len(t) for t in item_texts(items)}
+    return {n: whole_seeds(n, int(max_rate * n), (1 - recall) * MARGIN) for n in sizes if n >= SHORTEST}
 
 
 class ItemIndex:
-    """The windows of one block of items, by walk length and table."""
+    """The seeds of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], tables: int, max_rate: float):
-        self.max_rate, self.bits = max_rate, walk_bits()
-        put, off, at, own = normalised(*flat(pa.array([t for _, t in items], pa.string()))) if items else (np.zeros(0, np.uint8), np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
+    def __init__(self, items: list[tuple[int, str]], rules: dict[int, tuple[int, int]], max_rate: float):
+        """rules: seed length and least count of hits by the length of an item."""
         self.ids = [i for i, _ in items]
-        self.text = [put[off[k] : off[k + 1] - 1].tobytes().rstrip() for k in range(len(items))]
-        size = np.array([len(t) for t in self.text], np.int64)
-        nth = np.arange(len(at)) - np.searchsorted(own, own)  # number of the word in its item
-        ok = size[own] >= SHORTEST if len(own) else np.zeros(0, bool)
-        at, own, nth = at[ok], own[ok], nth[ok]
-        self.classes = []
-        left = np.ones(len(at), bool)
-        for length in WALKS:
-            emitted, end = embed(put, at, self.bits, length)
-            inside = left & (end < off[own + 1] - 1)
-            # a shorter walk serves only the words that must be anchors and are not served by a longer one
-            use = np.flatnonzero(inside & ((nth < STRIDE) | (length == WALKS[0])))
-            left &= ~inside
-            if len(use):
-                sample = sampled_steps(tables, length)
-                slots = []
-                for s in sample:
-                    key = table_keys(emitted[:, use], s)
-                    order = np.argsort(key, kind="stable")
-                    seen = np.zeros(1 << 20, bool)
-                    seen[(key >> np.uint64(44)).astype(np.int64)] = True
-                    slots.append((key[order], order, seen))
-                self.classes.append((length, sample, slots, own[use], at[use] - off[own[use]], emitted[:, use]))
+        self.text = item_texts(items)
+        self.size = np.array([len(t) for t in self.text], np.int64)
+        self.room = np.array([int(max_rate * len(t)) for t in self.text], np.int64)
+        self.least = np.ones(len(items), np.int64)
+        by_q: dict[int, list] = {}
+        short: dict[int, list] = {}
+        for k, t in enumerate(self.text):
+            if len(t) >= SHORTEST:
+                q, self.least[k] = rules[len(t)]
+                by_q.setdefault(q, []).append((k, t))
+            elif t:
+                short.setdefault(min(len(t), 8), []).append((k, t))
+        self.seeds = [Seeds(q, rows, True) for q, rows in sorted(by_q.items())]
+        self.short = [Seeds(q, rows, False) for q, rows in sorted(short.items())]
+        self.padded = np.zeros((len(items), SHORTEST), np.uint8)
+        for rows in short.values():
+            for k, t in rows:
+                self.padded[k, : len(t)] = np.frombuffer(t, np.uint8)
 
     def hits(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item's place, edits, byte offset in the normalised text): the best of each row and item."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        if not self.classes:
-            return []
         data, offsets = flat(col)
         for lo, hi in steps(offsets):
             part = offsets[lo : hi + 1]
-            put, off, at, own = normalised(data[part[0] : part[-1]], part - part[0])
-            nth = np.arange(len(at)) - np.searchsorted(own, own)
-            pick = nth % STRIDE == 0
-            at, own = at[pick], own[pick]
-            emitted, _ = embed(put, at, self.bits, self.classes[0][0] if self.classes else 0)
-            tried = set()
-            for length, sample, slots, item_of, item_at, item_emitted in self.classes:
-                for s, (keys, order, seen) in zip(sample, slots):
-                    key = table_keys(emitted, s)
-                    win = np.flatnonzero(seen[(key >> np.uint64(44)).astype(np.int64)])
-                    a = np.searchsorted(keys, key[win], "left")
-                    n = np.searchsorted(keys, key[win], "right") - a
-                    win, a, n = win[n > 0], a[n > 0], n[n > 0]
-                    if not len(win):
-                        continue
-                    who = np.repeat(np.arange(len(win)), n)
-                    run = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                    w, k = win[who], order[a[who] + run]
-                    same = (emitted[:length, w] == item_emitted[:, k]).mean(axis=0) >= AGREE
-                    for x, y in zip(w[same].tolist(), k[same].tolist()):
-                        row, it = int(own[x]), int(item_of[y])
-                        begin = int(at[x] - off[row]) - int(item_at[y])
-                        if (row, it, begin // NEAR) in tried:
-                            continue
-                        tried.add((row, it, begin // NEAR))
-                        text = self.text[it]
-                        room = int(self.max_rate * len(text))
-                        reach = room + NEAR
-                        piece = put[off[row] + max(0, begin - reach) : off[row] + min(max(0, begin + len(text) + reach), off[row + 1] - off[row] - 1)].tobytes()
-                        edits = 0 if text in piece else part_edits(text, piece)
-                        if edits <= room and (edits, begin) < best.get((lo + row, it), (1 << 60, 0)):
-                            best[lo + row, it] = (edits, max(begin, 0))
+            put, off = normalised(data[part[0] : part[-1]], part - part[0])
+            eight = grams(put)
+            found = [*self._copies(put, off, eight), *self._edited(put, off, eight)]
+            for row, it, edits, begin in found:
+                if (edits, begin) < best.get((lo + row, it), (1 << 60, 0)):
+                    best[lo + row, it] = (edits, begin)
         return [(r, i, e, p) for (r, i), (e, p) in sorted(best.items())]
 
-
-def part_edits(item: bytes, piece: bytes) -> int:
-    """The least number of edits between the item and any contiguous part of the piece (bit-parallel, exact)."""
+    def _copies(self, put, off, eight):
+        """Exact copies of short items that no ASCII letter or digit prolongs."""
+        if not self.short:
+            return
+        inside = np.zeros(256, bool)
+        inside[[*range(48, 58), *range(97, 123)]] = True
+        held = np.concatenate([[0], put, np.zeros(SHORTEST + 1, np.uint8)]).astype(np.uint8)
+        for seeds in self.short:
+            for at, item, _ in seeds.hits(eight):
+                n = self.size[item]
+                ok = ~(inside[held[at]] & inside[held[at + 1]]) & ~(inside[held[at + n]] & inside[held[at + n + 1]])
+                at, item, n = at[ok], item[ok], n[ok]
+                same = np.ones(len(at), bool)
+                for j in range(SHORTEST):
+                    same &= (j >= n) | (held[at + 1 + j] == self.padded[item, j])
+                at, item = at[same], item[same]
+                row = np.searchsorted(off, at, "right") - 1
+                key, first = np.unique(row * len(self.ids) + item, return_index=True)
+                for k, f in zip(key.tolist(), first.tolist()):
+                    yield k // len(self.ids), k % len(self.ids), 0, int(at[f] - off[row[f]])
+
+    def _edited(self, put, off, eight):
+        """Parts of the texts that are within the items' edits."""
+        items, shift = len(self.ids), int(self.size.max(initial=0))
+        for seeds in self.seeds:
+            bins = [(np.zeros(0, np.int64),) * 2]
+            for at, item, place in seeds.hits(eight):
+                row = np.searchsorted(off, at, "right") - 1
+                key = ((row * items + item) << 32) + (at - off[row] - place + shift) // (self.room[item] + 1)
+                bins.append(_summed(key, np.ones(len(key), np.int64)))
+            key, count = map(np.concatenate, zip(*bins))
+            if not len(key):
+                continue
+            key, count = _summed(key, count)
+            both = count.copy()
+            both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+            key = key[both >= self.least[(key >> 32) % items]]
+            if not len(key):
+                continue
+            cut = np.flatnonzero(np.diff(key) > 1)  # neighbouring bins are verified in one go
+            for a, b in zip(key[np.append(0, cut + 1)].tolist(), key[np.append(cut, len(key) - 1)].tolist()):
+                row, it = divmod(a >> 32, items)
+                text, room = self.text[it], int(self.room[it])
+                begin = (a & 0xFFFFFFFF) * (room + 1) - shift - room
+                end = ((b & 0xFFFFFFFF) + 2) * (room + 1) - shift + len(text) + room
+                begin, end = max(0, begin), min(max(0, end), int(off[row + 1] - off[row] - 1))
+                piece = put[off[row] + begin : off[row] + end].tobytes()
+                at = piece.find(text)
+                if at >= 0:
+                    yield row, it, 0, begin + at
+                    continue
+                edits, stop = best_part(text, piece)
+                if edits <= room:
+                    back = piece[max(0, stop - len(text) - room) : stop]
+                    yield row, it, edits, begin + stop - best_part(text[::-1], back[::-1])[1]
+
+
+def best_part(item: bytes, piece: bytes) -> tuple[int, int]:
+    """The least number of edits between the item and any contiguous part of the piece, and where the first such part ends."""
     n = len(item)
     if not n:
-        return 0
+        return 0, 0
     where: dict[int, int] = {}
     for i, c in enumerate(item):
         where[c] = where.get(c, 0) | (1 << i)
     full, high = (1 << n) - 1, 1 << (n - 1)
     plus, minus, score = full, 0, n
-    least = score
-    for c in piece:
+    least, stop = score, 0
+    for at, c in enumerate(piece, 1):
         eq = where.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -191,8 +248,13 @@ def part_edits(item: bytes, piece: bytes) -> int:
         plus = mh | (full & ~(xv | ph))
         minus = ph & xv
         if score < least:
-            least = score
-    return least
+            least, stop = score, at
+    return least, stop
+
+
+def part_edits(item: bytes, piece: bytes) -> int:
+    """The least number of edits between the item and any contiguous part of the piece (bit-parallel, exact)."""
+    return best_part(item, piece)[0]
 
 
 def _blocks(benchmark: DataFrame, block: int):
@@ -207,9 +269,9 @@ def _blocks(benchmark: DataFrame, block: int):
         yield held
 
 
-def _report(items, tables, max_rate):
+def _report(items, rules, max_rate):
     def run(batches):
-        index = ItemIndex(items, tables, max_rate)
+        index = ItemIndex(items, rules, max_rate)
         for batch in batches:
             found = index.hits(batch.column(1))
             ids = batch.column(0)
@@ -227,18 +289,18 @@ def _report(items, tables, max_rate):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, differ: float = 0.15, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item that it holds: doc_id, item_id, edits, item_bytes, at_byte."""
     out, slim = None, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for items in _blocks(benchmark, block):
-        got = slim.mapInArrow(_report(items, tables_for(recall, differ), max_rate), "doc_id long, item_id long, edits int, item_bytes int, at_byte long")
+        got = slim.mapInArrow(_report(items, seed_rules(items, max_rate, recall), max_rate), "doc_id long, item_id long, edits int, item_bytes int, at_byte long")
         out = got if out is None else out.unionByName(got)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, item_bytes int, at_byte long")
 
 
-def _drop(items, tables, max_rate, place):
+def _drop(items, rules, max_rate, place):
     def run(batches):
-        index = ItemIndex(items, tables, max_rate)
+        index = ItemIndex(items, rules, max_rate)
         for batch in batches:
             stay = np.ones(batch.num_rows, bool)
             stay[[r for r, _, _, _ in index.hits(batch.column(place))]] = False
@@ -247,8 +309,8 @@ def _drop(items, tables, max_rate, place):
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, differ: float = 0.15, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """docs without the rows that hold an item; rows are judged one by one, all columns stay."""
     for items in _blocks(benchmark, block):
-        docs = docs.mapInArrow(_drop(items, tables_for(recall, differ), max_rate, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(_drop(items, seed_rules(items, max_rate, recall), max_rate, docs.columns.index("text")), docs.schema)
     return docs

@@ -162,6 +162,22 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert kept == {r.doc_id for r in held} - {d for d, _ in got}
 
 
+def test_exact_copies_of_short_items_are_found(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).collect()
+    source = " ".join(r.text for r in docs if r.text and r.text.isascii()).split()
+    filler = "lorem ipsum dolor sit amet consectetur adipiscing elit".split()
+    items = [" ".join(source[40 * n + 5 * k :][:n]) for n in range(1, 7) for k in range(6)] + ["extraordinarily-long antidisestablishmentarian", "漢字仮名交じり文の問題です", "ok"]
+    bench = [(k, t) for k, t in enumerate(dict.fromkeys(items))]
+    planted = [(4 * k + at, " ".join(filler[:4] + filler[:at]) + ("、" if not t[0].isascii() else " ") + t + (" tail end." if t[0].isascii() else "。")) for k, t in bench for at in range(4)]
+    rows = spark.createDataFrame([*planted, (9000, "lookout tokyo bookings")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(rows, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for d, t in planted:
+        hit = got.get((d, d // 4))
+        assert hit is not None and hit.edits == 0, bench[d // 4]
+        assert flat_text(t).encode()[hit.at_byte :].startswith(flat_text(bench[d // 4][1]).encode())
+    assert not [i for d, i in got if d == 9000]  # a short item inside a longer word is no copy
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([(1, None), (2, "short"), (3, "")], "item_id long, text string")
     df = frame(spark, ODD)

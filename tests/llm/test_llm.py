@@ -178,6 +178,36 @@ def test_exact_copies_of_short_items_are_found(spark):
     assert not [i for d, i in got if d == 9000]  # a short item inside a longer word is no copy
 
 
+def test_recall_up_to_a_fifth_of_edits():
+    rng = random.Random(6)
+    source = " ".join(rng.choice(["the", "tion", "ing", "er", "and", "ha", "st", "on"]) * rng.randint(1, 2) + rng.choice(["", "s", "ly", "a"]) for _ in range(20000))
+    held = found = 0
+    for low, high in ((20, 40), (40, 80), (80, 400)):
+        for rate in (0.1, 0.15, 0.2):
+            items, texts = [], []
+            for k in range(60):
+                n, at = rng.randint(low, high), rng.randrange(50000)
+                item = source[at : at + n]
+                copy = list(item)
+                for _ in range(int(rate * n)):
+                    p, new = rng.randrange(len(copy)), rng.choice("abcdefgh qrstuvwxyz")
+                    copy[p : p + 1] = rng.choice([[], [new], [copy[p], new]])
+                items.append((k, item))
+                texts.append(source[60000 + 90 * k :][:200] + "".join(copy) + source[70000 + 90 * k :][:200])
+            index = decontam.ItemIndex(items, decontam.seed_rules(items, 0.2, 0.95), 0.2)
+            got = {(r, i): (e, p) for r, i, e, p in index.hits(pa.array(texts))}
+            for k, t in enumerate(texts):
+                want = index.text[k]
+                edits = slow_part_edits(want, flat_text(t).encode()) if len(want) >= decontam.SHORTEST else len(want)
+                if edits <= 0.2 * len(want):
+                    held += 1
+                    found += (k, k) in got
+                    if (k, k) in got:  # the best part begins where the hit says
+                        e, p = got[k, k]
+                        assert e >= edits and decontam.part_edits(want, flat_text(t).encode()[p : p + len(want) + e]) <= e
+    assert held > 450 and found >= 0.95 * held, (found, held)
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([(1, None), (2, "short"), (3, "")], "item_id long, text string")
     df = frame(spark, ODD)

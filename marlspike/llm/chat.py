@@ -44,13 +44,17 @@ def unescape(c: Column) -> Column:
 
 
 def field_paths(record: Column) -> Column:
-    """Sorted, distinct paths: top-level keys, and key[].inner for arrays of objects."""
+    """Sorted, distinct paths: top-level keys, and key[].inner for arrays of objects; a string that looks like one is none.
+
+    Where Spark makes no variant of the record (a nested key twice, more than its size limit) only the look decides.
+    """
     top = F.from_json(record, "map<string,string>")
+    kinds = F.from_json(record, "map<string,variant>")
     inner = F.flatten(
         F.transform(
             F.map_entries(top),
             lambda e: F.when(
-                e["value"].startswith("["),
+                e["value"].startswith("[") & (_empty(F.schema_of_variant(kinds[e["key"]])) != "STRING"),
                 F.transform(
                     F.array_distinct(F.flatten(F.transform(F.coalesce(F.from_json(e["value"], "array<map<string,string>>"), F.array()), lambda m: F.map_keys(m)))),
                     lambda k: F.concat(e["key"], F.lit("[]."), k),

@@ -501,6 +501,19 @@ def test_chat_odd_rows(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_texts_that_look_like_arrays(spark):
+    looks = ['[{"a": 1}]', '[{"role": "user", "content": "x"}] and words', '[]', '[{"a": "b]', "[INST]"]
+    shapes = [("user", "assistant"), ("system", "user", "assistant"), ("user", "user"), ("user",)]
+    told = {10 * s + k: [(role, look if n == s % len(roles) else "plain") for n, role in enumerate(roles)] for s, roles in enumerate(shapes) for k, look in enumerate(looks)}
+    told[99] = [("user", looks[0]), ("assistant", looks[1])]
+    rows = spark.createDataFrame([(c, n, role, text) for c, turns in told.items() for n, (role, text) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.canonical(chat.records_of(rows)).collect()}
+    assert {c: [(t.role, t.text) for t in got[c].turns or []] for c in told} == told
+    sums = {r.conv_id: r for r in chat.digests(rows).collect()}
+    for c, turns in told.items():
+        assert sums[c].n_turns == len(turns) and sums[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+
 # --- secrets ---
 
 

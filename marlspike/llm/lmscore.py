@@ -6,9 +6,9 @@ distribution over classes; within a class the corpus counts speak. A document's
 log P(class | both sides) + log P(word | class).
 
 Training is data-parallel numpy: in each of ROUNDS rounds every task starts from the common weights, runs Adagrad over
-a random MASKED share of the positions of all its documents, and sends its weights, in blocks; blocks are averaged
-by the number of positions behind them. So counts and weights come from the whole corpus and grow with it, while what
-a task or the driver holds does not.
+one in ROUNDS of the positions of all its documents, and sends its weights, in blocks; blocks are averaged by the number
+of positions behind them. The rounds together hide every position once. Counts and weights come from the whole corpus;
+their number does not grow with it: words that share a bucket share its count, and words that share an input its weights.
 
 Null, empty and blank texts have no words: score 0 and a null mean. Equal rows get equal scores.
 """
@@ -24,7 +24,7 @@ from .common import as_signed, flat, keep, lower_ascii, mix, span_hashes, steps,
 
 VOCAB, INPUTS, CLASSES, HIDDEN = 1 << 16, 1 << 12, 64, 16
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS, MASKED, BATCH, RATE, BLOCK = 2, 0.15, 8192, 0.1, 4096
+ROUNDS, BATCH, RATE, BLOCK = 2, 8192, 0.1, 4096
 SHAPE = (len(OFFSETS) * (INPUTS + 1) * HIDDEN, HIDDEN * CLASSES, CLASSES)
 
 
@@ -109,9 +109,11 @@ class Trainer:
 
 
 def masked(bucket: np.ndarray, own: np.ndarray, context: np.ndarray, turn: int) -> np.ndarray:
-    """The positions that this round hides: chosen by a hash of place and surroundings, so a rerun hides the same."""
-    seed = np.arange(len(bucket), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64) + np.uint64(turn * 7919)
-    return np.flatnonzero((mix(seed) >> np.uint64(44)).astype(np.float64) / (1 << 20) < MASKED)
+    """The positions that this round hides: chosen by a hash of the word and its place in the text, so that the rounds
+    share all positions out, and a rerun or other batches hide the same."""
+    nth = np.arange(len(own)) - np.searchsorted(own, own)
+    seed = nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64)
+    return np.flatnonzero((mix(seed) >> np.uint64(44)) % np.uint64(ROUNDS) == turn % ROUNDS)
 
 
 def _counts(batches):

@@ -432,6 +432,25 @@ def test_pseudo_likelihood():
     assert r["log_likelihood"][0] > r["log_likelihood"][1] and r["n_words"] == [200, 200, 0, 0] and r["per_word"][2:] == [None, None]
 
 
+def test_rounds_train_on_every_position():
+    texts = [None, "", "one"] + [" ".join(f"w{(7 * k + n) % 53}" for n in range(k)) for k in range(200)]
+    words = sum(len((t or "").split()) for t in texts)
+    cls = np.zeros(lmscore.VOCAB, np.int64)
+    trained = 0
+    for turn in range(lmscore.ROUNDS):
+        out = list(lmscore._train(lmscore.initial(), cls, turn)([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]))
+        trained += out[0].column(1)[0].as_py()
+    assert trained == words
+    # whatever batches the texts come in
+    for parts in ([texts], [texts[:90], texts[90:]]):
+        hidden = [0] * lmscore.ROUNDS
+        for part in parts:
+            for _, _, bucket, own, context in lmscore.tokens(pa.array(part)):
+                for turn in range(lmscore.ROUNDS):
+                    hidden[turn] += len(lmscore.masked(bucket, own, context, turn))
+        assert sum(hidden) == words and min(hidden) > words / lmscore.ROUNDS / 2
+
+
 def test_gradient_is_right():
     t = lmscore.Trainer(lmscore.initial())
     rng = np.random.default_rng(0)

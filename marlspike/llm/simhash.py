@@ -232,12 +232,22 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links), of every row."""
+    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links), of every row.
+
+    A row without doc_id links like any other; component_id is null where no doc_id is reachable.
+    """
     prints = keep(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
     distinct = keep(distinct, "distinct-fingerprints")
-    found = components(links(distinct))
-    classes = keep(distinct.join(found, distinct.node == found.v, "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id")), "classes")
+    if distinct.where("node is null").isEmpty():
+        found = components(links(distinct))
+        classes = distinct.join(found, distinct.node == found.v, "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
+    else:  # the fingerprints themselves name the nodes, and each component takes its least doc_id at the end
+        found = components(links(distinct.select(F.col("fp").alias("node"), "fp")))
+        of = keep(distinct.join(found, distinct.fp == found.v, "left").select(F.col("fp").alias("of"), "node", F.coalesce("component", "fp").alias("part")), "parts")
+        least = of.groupBy(F.col("part").alias("whole")).agg(F.min("node").alias("component_id"))
+        classes = of.join(least, of.part == least.whole).select("of", "component_id")
+    classes = keep(classes, "classes")
     return prints.join(classes, prints.fp == classes.of, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

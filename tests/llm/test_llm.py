@@ -70,6 +70,19 @@ def test_simhash_equals_brute_force(spark):
     assert all(len(r.fingerprint) == 16 for r in got)
 
 
+def test_rows_without_id_have_fingerprints(spark):
+    rows = [(None, "a text that no other row has"), (None, "shared by two rows of the table"), (7, "shared by two rows of the table"), (8, "another text of its own"), (None, None)]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, f"{slow_print(t):016x}", {"shared by two rows of the table": 7, "another text of its own": 8}.get(t)) for d, t in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_rows_without_id_join_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs)
+    df = spark.createDataFrame([(9, 0), (None, 0b111), (4, 0b111111), (None, 0xFF << 20), (5, 0xFF << 40)], "doc_id long, fp long")
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()} == {(9, 4), (None, 4), (4, 4), (None, None), (5, 5)}
+
+
 def test_gray_index_finds_all_close_pairs():
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(30)]

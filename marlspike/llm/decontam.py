@@ -1,24 +1,37 @@
-"""Benchmark decontamination by seeds counted along diagonals, with exact edit verification.
+"""Benchmark decontamination: CGK random-walk embeddings, bit-sampling LSH over item-sized windows, exact edit counts.
 
-A text is lower-cased (A-Z) and its white-space runs become one blank. Every run of q bytes of an item (a seed) is looked
-up at every byte of the documents, so neither words nor their places matter. A hit lies on a diagonal, its place in the
-document less its place in the item; an item with at most k edits keeps all its true hits on k + 1 neighbouring
-diagonals, hence within two neighbouring bins of that width. Bins with enough hits are candidates: the least number of
-edits between the item and any part of the document there is counted exactly. A hit needs at most max_rate * length
-edits; at_byte is where such a best part begins.
+A text is lower-cased (A-Z) and its white-space runs become one blank. An embedding walks over it: every step writes the
+byte where it stands and moves on by one or stays, as a random function of the step and that byte says, so that a walk
+falls back into step after an edit and edit distance becomes Hamming distance. A table samples some steps of the walk;
+what they wrote is the key. TABLES embeddings with samples of their own walk from every byte of the documents and of the
+items, so neither words nor their places matter.
 
-How many hits are enough follows from the target recall: k = max_rate * length edits at random places leave at least so
-many seeds whole, but for a share MARGIN of what the target lets miss. The longest q that leaves ENOUGH of them is taken.
-An exact copy keeps all its seeds and is always found.
+A walk over a whole item drifts apart at the edit rates that max_rate allows, so walks are short and a window as long as
+an item (and its edits) is found by how many of them collide in it: a collision lies on a diagonal, its place in the
+document less its place in the item, and an item with at most k edits keeps its true ones on k + 1 neighbouring
+diagonals, hence within two neighbouring bins of that width. Windows with enough collisions are candidates: the least
+number of edits between the item and any part of the document there is counted exactly. A hit needs at most
+max_rate * length edits; at_byte is where such a best part begins.
+
+How many collisions are enough follows from the target recall: random strings of the item's length, given max_rate *
+length random edits, are walked; the count that all but a share MARGIN of what the target lets miss reach is asked for,
+with the longest walk that leaves ENOUGH. An exact copy keeps all its walks and is always found.
 
 Items of fewer than SHORTEST normalised bytes say little once edited: they match as exact copies alone, and not inside a
-longer ASCII word or number. Empty items and null texts match nothing; repeated items and rows each give their own hits.
-The benchmark is read in blocks of BLOCK items (a stated, bounded part of what each task holds); more items mean more
-passes, never fewer items.
+longer ASCII word or number. Empty items and null texts match nothing; repeated items and rows each give their own hits,
+and of equally good parts of a document the first counts. Very long texts are walked whole, a step of their own. Columns
+other than doc_id and text (item_id and text) are not read by contaminated() and pass through decontaminate(). An empty
+table on either side gives no hits.
+
+One pass over the documents serves PASS bytes of items (what every task holds of the benchmark); a larger benchmark takes
+more passes, never fewer items. Within a pass the items are indexed in blocks of BLOCK bytes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,27 +39,101 @@ from pyspark.sql import functions as F
 
 from .common import flat, lower_ascii, steps, white_space
 
-BLOCK, SHORTEST, SEED = 2000, 20, 20240607
-#: Lengths of seeds, and the hits that a length must leave at max_rate edits to be taken; the last one is taken anyway.
-SEEDS, ENOUGH = (8, 7, 6, 5, 4), 6
-#: The part of the misses that the target recall allows for which the count of hits may be the cause.
-MARGIN, TRIALS = 0.2, 1000
-#: Hits that one step expands at a time.
-SLAB = 2_000_000
-
-
-def whole_seeds(length: int, edits: int, miss: float) -> tuple[int, int]:
-    """Seed length, and the count of seeds that `edits` random edits of an item leave whole with probability 1 - miss."""
-    rng = np.random.default_rng(SEED + length)
-    at = np.sort(np.argsort(rng.random((TRIALS, length)), axis=1)[:, :edits], axis=1)
-    ends = np.hstack([np.full((TRIALS, 1), -1), at, np.full((TRIALS, 1), length)])
-    gap = np.diff(ends, axis=1) - 1
-    for q in SEEDS:
-        left = np.sort(np.maximum(gap - q + 1, 0).sum(axis=1))
-        least = int(left[int(miss * TRIALS)])
-        if least >= ENOUGH:
-            break
-    return q, max(1, least)
+PASS, BLOCK, SHORTEST, SEED = 64 << 20, 1 << 20, 20, 20240607
+#: Embeddings, the chance that a step moves on, and the share of steps that a table samples.
+TABLES, MOVE, SAMPLED = 2, 0.9, 0.85
+#: Steps of a walk, and the collisions that a length must leave at max_rate edits to be taken; the last one is taken anyway.
+LENGTHS, ENOUGH = (18, 16, 14, 13, 12, 11, 10, 9, 8, 7, 6), 12
+#: The part of the misses that the target recall allows for which the count of collisions may be the cause.
+MARGIN, TRIAL_BYTES = 0.2, 40_000
+#: Lengths of items are treated alike in classes that grow by this factor.
+CLASS = 1.06
+#: Collisions that one step expands at a time; bytes that walks advance over together.
+SLAB, STRIP = 2_000_000, 1 << 15
+
+
+class Walks:
+    """One embedding and its sample of steps: keys of the walks from every place of normalised texts.
+
+    The walk of t + 1 steps from a place is its first step and the walk of t steps from there or from the next place, so
+    all walks of all lengths come from one sweep for each step. A zero byte never moves on: no walk leaves its text.
+    """
+
+    def __init__(self, table: int):
+        rng = np.random.default_rng((SEED, table))
+        most = max(LENGTHS)
+        moves = rng.random((256, most)) < MOVE
+        moves[0] = False
+        self.moves = (moves.astype(np.uint32) << np.arange(most, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+        self.sampled = rng.random(most) < SAMPLED
+        self.sampled[:3] = True
+
+    def keys(self, put: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+        most = max(lengths)
+        out = {n: np.empty(len(put), np.uint32) for n in lengths}
+        padded = np.concatenate([put, np.zeros(most + 1, np.uint8)])
+        for lo in range(0, len(put), STRIP):
+            here = padded[lo : lo + STRIP + most]
+            moves, byte = self.moves[here], here.astype(np.uint32) + np.uint32(1)
+            key, n = np.zeros(len(here) + 1, np.uint32), min(STRIP, len(put) - lo)
+            for t in range(most):
+                new = np.where(moves & np.uint32(1 << t), key[1:], key[:-1])
+                if self.sampled[t]:
+                    new *= np.uint32(0x9E3779B1)
+                    new += byte
+                    new ^= new >> np.uint32(15)
+                key[:-1] = new
+                if t + 1 in out:
+                    out[t + 1][lo : lo + n] = new[:n]
+        return out
+
+    def inside(self, put: np.ndarray, length: int) -> np.ndarray:
+        """The places from which a walk of that length writes no zero byte."""
+        at = np.arange(len(put))
+        for t in range(length - 1, 0, -1):
+            at = np.minimum(at + ((self.moves[put[at]] >> np.uint32(t)) & 1), len(put) - 1)
+        return put[at] != 0
+
+
+@lru_cache(1)
+def embeddings() -> list[Walks]:
+    return [Walks(t) for t in range(TABLES)]
+
+
+def edited(rng: np.random.Generator, length: int, edits: int, trials: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random strings, a zero after each, and the same with random edits at different places; both end to end."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    plain = rng.choice(letters, (trials, length))
+    kind = np.zeros((trials, length), np.int8)
+    at = np.argsort(rng.random((trials, length)), axis=1)[:, :edits]
+    np.put_along_axis(kind, at, rng.integers(1, 4, at.shape, np.int8), axis=1)  # 1 lost, 2 changed, 3 one more before it
+    new = rng.choice(letters, (trials, length))
+    two = np.stack([new, np.where(kind == 2, new, plain)], axis=2)
+    stay = np.stack([kind == 3, kind != 1], axis=2)
+    end = np.zeros((trials, 1), np.uint8)
+    both = np.concatenate([two.reshape(trials, -1), end], axis=1)[np.concatenate([stay.reshape(trials, -1), end == 0], axis=1)]
+    return np.concatenate([plain, end], axis=1).ravel(), both
+
+
+@lru_cache(4096)
+def collisions_left(length: int, edits: int, miss: float) -> tuple[int, int]:
+    """Walk length, and the count of collisions that `edits` random edits of an item leave with probability 1 - miss."""
+    trials = int(np.clip(TRIAL_BYTES // length, 200, 1000))
+    plain, both = edited(np.random.default_rng((SEED, length)), length, edits, trials)
+    # the string that each byte is in
+    own, of = (np.cumsum(x == 0) - (x == 0) for x in (plain, both))
+    keys = [(w, w.keys(plain, list(LENGTHS)), w.keys(both, list(LENGTHS))) for w in embeddings()]
+
+    def least(n: int) -> int:
+        left = np.zeros(trials, np.int64)
+        for w, a, b in keys:
+            seen = np.isin((own << 32) | a[n], (of << 32) | b[n]) & w.inside(plain, n)
+            left += np.bincount(own[seen], minlength=trials)
+        return int(np.sort(left)[int(miss * trials)])
+
+    # longer walks collide less: the first length with enough
+    n = LENGTHS[min(bisect_left(LENGTHS, ENOUGH, key=least), len(LENGTHS) - 1)]
+    return n, max(1, least(n))
 
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,37 +153,20 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return put[stay], place[off]
 
 
-def grams(put: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as one number each; beyond the end there are zeros."""
-    return np.ndarray(len(put), "<u8", np.concatenate([put, np.zeros(8, np.uint8)]), strides=(1,))
-
-
-def slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
+class Keys:
+    """Where items hold some keys: sorted keys with a table of what their leading bits can be."""
 
-class Seeds:
-    """All seeds of one length of some items."""
-
-    def __init__(self, q: int, rows: list[tuple[int, bytes]], every: bool):
-        self.mask = np.uint64((1 << (8 * q)) - 1)
-        key, item, place = [], [], []
-        for k, t in rows:
-            n = len(t) - q + 1 if every else 1
-            key.append(grams(np.frombuffer(t, np.uint8))[:n] & self.mask)
-            item.append(np.full(n, k))
-            place.append(np.arange(n))
-        key, item, place = map(np.concatenate, (key, item, place))
+    def __init__(self, key: np.ndarray, item: np.ndarray, place: np.ndarray):
         order = np.argsort(key, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[slot(self.keys)] = True
+        self.shift = np.uint32(32 - int(np.clip(len(self.keys), 1 << 12, 1 << 18)).bit_length() - 4)
+        self.seen = np.zeros(1 << (32 - int(self.shift)), bool)
+        self.seen[self.keys >> self.shift] = True
 
-    def hits(self, eight: np.ndarray):
+    def hits(self, key: np.ndarray):
         """Yields arrays: place in the texts, item, place in the item."""
-        key = eight & self.mask
-        at = np.flatnonzero(self.seen[slot(key)])
+        at = np.flatnonzero(self.seen[key >> self.shift])
         k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
         ok = self.keys[k] == key[at]
         at, k = at[ok], k[ok]
@@ -109,6 +179,12 @@ class Seeds:
             lo = hi
 
 
+def starts(put: np.ndarray, n: int) -> np.ndarray:
+    """The first n (at most 4) bytes from every place on, mixed into a key."""
+    four = np.ndarray(len(put), "<u4", np.concatenate([put, np.zeros(4, np.uint8)]), strides=(1,)) & np.uint32((1 << (8 * n)) - 1)
+    return (four ^ (four >> np.uint32(15))) * np.uint32(0x9E3779B1)
+
+
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
@@ -121,60 +197,65 @@ def item_texts(items: list[tuple[int, str]]) -> list[bytes]:
     return [put[off[k] : off[k + 1] - 1].tobytes().rstrip() for k in range(len(items))]
 
 
-def seed_rules(items: list[tuple[int, str]], max_rate: float, recall: float) -> dict[int, tuple[int, int]]:
-    """whole_seeds() by the length of an item."""
-    sizes = {len(t) for t in item_texts(items)}
-    return {n: whole_seeds(n, int(max_rate * n), (1 - recall) * MARGIN) for n in sizes if n >= SHORTEST}
+def walk_rules(items: list[tuple[int, str]], max_rate: float, recall: float) -> dict[int, tuple[int, int]]:
+    """collisions_left() by the length of an item, computed for the least length of its class and no fewer edits."""
+    out = {}
+    for n in sorted({len(t) for t in item_texts(items)}):
+        if n >= SHORTEST:
+            low = max(SHORTEST, int(CLASS ** int(np.log(n) / np.log(CLASS) + 1e-9)))
+            out[n] = collisions_left(min(low, n), int(np.ceil(max_rate * low)), (1 - recall) * MARGIN)
+    return out
 
 
 class ItemIndex:
-    """The seeds of one block of items."""
+    """The keys of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]], rules: dict[int, tuple[int, int]], max_rate: float):
-        """rules: seed length and least count of hits by the length of an item."""
+        """rules: walk length and least count of collisions by the length of an item."""
         self.ids = [i for i, _ in items]
         self.text = item_texts(items)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.room = np.array([int(max_rate * len(t)) for t in self.text], np.int64)
         self.least = np.ones(len(items), np.int64)
-        by_q: dict[int, list] = {}
-        short: dict[int, list] = {}
+        by_length: dict[int, list[int]] = {}
+        short: dict[int, list[int]] = {}
         for k, t in enumerate(self.text):
             if len(t) >= SHORTEST:
-                q, self.least[k] = rules[len(t)]
-                by_q.setdefault(q, []).append((k, t))
+                n, self.least[k] = rules[len(t)]
+                by_length.setdefault(n, []).append(k)
             elif t:
-                short.setdefault(min(len(t), 8), []).append((k, t))
-        self.seeds = [Seeds(q, rows, True) for q, rows in sorted(by_q.items())]
-        self.short = [Seeds(q, rows, False) for q, rows in sorted(short.items())]
+                short.setdefault(min(len(t), 4), []).append(k)
+        self.lengths = sorted(by_length)
+        self.walks = {n: [self._walked(w, n, some) for w in embeddings()] for n, some in by_length.items()}
+        self.short = {n: Keys(np.concatenate([starts(np.frombuffer(self.text[k], np.uint8), n)[:1] for k in some]), np.array(some), np.zeros(len(some), np.int64)) for n, some in short.items()}
         self.padded = np.zeros((len(items), SHORTEST), np.uint8)
-        for rows in short.values():
-            for k, t in rows:
-                self.padded[k, : len(t)] = np.frombuffer(t, np.uint8)
+        for k in (k for some in short.values() for k in some):
+            self.padded[k, : len(self.text[k])] = np.frombuffer(self.text[k], np.uint8)
+
+    def _walked(self, walks: Walks, length: int, some: list[int]) -> Keys:
+        put = np.frombuffer(b"".join(self.text[k] + b"\0" for k in some), np.uint8)
+        size = self.size[some] + 1
+        at = np.flatnonzero(walks.inside(put, length))
+        own = np.searchsorted(np.cumsum(size), at, "right")
+        return Keys(walks.keys(put, [length])[length][at], np.array(some)[own], at - (np.cumsum(size) - size)[own])
 
     def hits(self, col: pa.Array) -> list[tuple[int, int, int, int]]:
         """(row, item's place, edits, byte offset in the normalised text): the best of each row and item."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        data, offsets = flat(col)
-        for lo, hi in steps(offsets):
-            part = offsets[lo : hi + 1]
-            put, off = normalised(data[part[0] : part[-1]], part - part[0])
-            eight = grams(put)
-            found = [*self._copies(put, off, eight), *self._edited(put, off, eight)]
-            for row, it, edits, begin in found:
-                if (edits, begin) < best.get((lo + row, it), (1 << 60, 0)):
-                    best[lo + row, it] = (edits, begin)
-        return [(r, i, e, p) for (r, i), (e, p) in sorted(best.items())]
-
-    def _copies(self, put, off, eight):
+        return [hit for _, hit in best_hits([self], col)]
+
+    def found(self, put, off, keys):
+        """(row, item, edits, byte offset), some pairs more than once; keys: those of each embedding by length."""
+        return [*self._copies(put, off), *self._edited(put, off, keys)]
+
+    def _copies(self, put, off):
         """Exact copies of short items that no ASCII letter or digit prolongs."""
         if not self.short:
             return
         inside = np.zeros(256, bool)
         inside[[*range(48, 58), *range(97, 123)]] = True
         held = np.concatenate([[0], put, np.zeros(SHORTEST + 1, np.uint8)]).astype(np.uint8)
-        for seeds in self.short:
-            for at, item, _ in seeds.hits(eight):
+        for first, keys in self.short.items():
+            for at, item, _ in keys.hits(starts(put, first)):
                 n = self.size[item]
                 ok = ~(inside[held[at]] & inside[held[at + 1]]) & ~(inside[held[at + n]] & inside[held[at + n + 1]])
                 at, item, n = at[ok], item[ok], n[ok]
@@ -187,15 +268,16 @@ class ItemIndex:
                 for k, f in zip(key.tolist(), first.tolist()):
                     yield k // len(self.ids), k % len(self.ids), 0, int(at[f] - off[row[f]])
 
-    def _edited(self, put, off, eight):
+    def _edited(self, put, off, keys):
         """Parts of the texts that are within the items' edits."""
         items, shift = len(self.ids), int(self.size.max(initial=0))
-        for seeds in self.seeds:
+        for length, tables in self.walks.items():
             bins = [(np.zeros(0, np.int64),) * 2]
-            for at, item, place in seeds.hits(eight):
-                row = np.searchsorted(off, at, "right") - 1
-                key = ((row * items + item) << 32) + (at - off[row] - place + shift) // (self.room[item] + 1)
-                bins.append(_summed(key, np.ones(len(key), np.int64)))
+            for held, have in zip(tables, keys):
+                for at, item, place in held.hits(have[length]):
+                    row = np.searchsorted(off, at, "right") - 1
+                    key = ((row * items + item) << 32) + (at - off[row] - place + shift) // (self.room[item] + 1)
+                    bins.append(_summed(key, np.ones(len(key), np.int64)))
             key, count = map(np.concatenate, zip(*bins))
             if not len(key):
                 continue
@@ -223,6 +305,22 @@ class ItemIndex:
                     yield row, it, edits, begin + stop - best_part(text[::-1], back[::-1])[1]
 
 
+def best_hits(indexes: list[ItemIndex], col: pa.Array) -> list[tuple[int, tuple[int, int, int, int]]]:
+    """(place of the index, hit) for the best hit of each row and item, by index, row and item."""
+    best: dict[tuple[int, int, int], tuple[int, int]] = {}
+    data, offsets = flat(col)
+    lengths = sorted({n for index in indexes for n in index.lengths})
+    for lo, hi in steps(offsets):
+        part = offsets[lo : hi + 1]
+        put, off = normalised(data[part[0] : part[-1]], part - part[0])
+        keys = [w.keys(put, lengths) for w in embeddings()] if lengths else []
+        for nth, index in enumerate(indexes):
+            for row, it, edits, begin in index.found(put, off, keys):
+                if (edits, begin) < best.get((nth, lo + row, it), (1 << 60, 0)):
+                    best[nth, lo + row, it] = (edits, begin)
+    return [(nth, (r, i, e, p)) for (nth, r, i), (e, p) in sorted(best.items())]
+
+
 def best_part(item: bytes, piece: bytes) -> tuple[int, int]:
     """The least number of edits between the item and any contiguous part of the piece, and where the first such part ends."""
     n = len(item)
@@ -257,31 +355,46 @@ def part_edits(item: bytes, piece: bytes) -> int:
     return best_part(item, piece)[0]
 
 
-def _blocks(benchmark: DataFrame, block: int):
-    """The items in lists of at most `block`; the driver holds one list at a time."""
-    held: list[tuple[int, str]] = []
+def _passes(benchmark: DataFrame, most: int):
+    """The items in lists of at most `most` bytes (or one item), read one after the other."""
+    held, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == block:
+        n = len(row[1].encode())
+        if held and size + n > most:
             yield held
-            held = []
+            held, size = [], 0
+        held.append((row[0], row[1]))
+        size += n
     if held:
         yield held
 
 
-def _report(items, rules, max_rate):
+def indexes_of(items: list[tuple[int, str]], rules: dict, max_rate: float, block: int) -> list[ItemIndex]:
+    """The items' indexes, each of at most `block` bytes of text (or one item)."""
+    out, held, size = [], [], 0
+    for i, t in items:
+        n = len(t.encode())
+        if held and size + n > block:
+            out.append(ItemIndex(held, rules, max_rate))
+            held, size = [], 0
+        held.append((i, t))
+        size += n
+    return [*out, ItemIndex(held, rules, max_rate)]
+
+
+def _report(items, rules, max_rate, block):
     def run(batches):
-        index = ItemIndex(items, rules, max_rate)
+        indexes = indexes_of(items, rules, max_rate, block)
         for batch in batches:
-            found = index.hits(batch.column(1))
+            found = best_hits(indexes, batch.column(1))
             ids = batch.column(0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[r].as_py() for r, _, _, _ in found], pa.int64()),
-                    pa.array([index.ids[i] for _, i, _, _ in found], pa.int64()),
-                    pa.array([e for _, _, e, _ in found], pa.int32()),
-                    pa.array([len(index.text[i]) for _, i, _, _ in found], pa.int32()),
-                    pa.array([p for _, _, _, p in found], pa.int64()),
+                    pa.array([ids[r].as_py() for _, (r, _, _, _) in found], pa.int64()),
+                    pa.array([indexes[k].ids[i] for k, (_, i, _, _) in found], pa.int64()),
+                    pa.array([e for _, (_, _, e, _) in found], pa.int32()),
+                    pa.array([len(indexes[k].text[i]) for k, (_, i, _, _) in found], pa.int32()),
+                    pa.array([p for _, (_, _, _, p) in found], pa.int64()),
                 ],
                 ["doc_id", "item_id", "edits", "item_bytes", "at_byte"],
             )
@@ -289,21 +402,24 @@ def _report(items, rules, max_rate):
     return run
 
 
+HITS = "doc_id long, item_id long, edits int, item_bytes int, at_byte long"
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """One row for each row of docs and item that it holds: doc_id, item_id, edits, item_bytes, at_byte."""
     out, slim = None, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for items in _blocks(benchmark, block):
-        got = slim.mapInArrow(_report(items, seed_rules(items, max_rate, recall), max_rate), "doc_id long, item_id long, edits int, item_bytes int, at_byte long")
+    for items in _passes(benchmark, PASS):
+        got = slim.mapInArrow(_report(items, walk_rules(items, max_rate, recall), max_rate, block), HITS)
         out = got if out is None else out.unionByName(got)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, item_bytes int, at_byte long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
 
 
-def _drop(items, rules, max_rate, place):
+def _drop(items, rules, max_rate, block, place):
     def run(batches):
-        index = ItemIndex(items, rules, max_rate)
+        indexes = indexes_of(items, rules, max_rate, block)
         for batch in batches:
             stay = np.ones(batch.num_rows, bool)
-            stay[[r for r, _, _, _ in index.hits(batch.column(place))]] = False
+            stay[[r for _, (r, _, _, _) in best_hits(indexes, batch.column(place))]] = False
             yield batch.filter(pa.array(stay))
 
     return run
@@ -311,6 +427,6 @@ def _drop(items, rules, max_rate, place):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """docs without the rows that hold an item; rows are judged one by one, all columns stay."""
-    for items in _blocks(benchmark, block):
-        docs = docs.mapInArrow(_drop(items, seed_rules(items, max_rate, recall), max_rate, docs.columns.index("text")), docs.schema)
+    for items in _passes(benchmark, PASS):
+        docs = docs.mapInArrow(_drop(items, walk_rules(items, max_rate, recall), max_rate, block, docs.columns.index("text")), docs.schema)
     return docs

@@ -171,7 +171,7 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     text = {r.doc_id: flat_text(r.text).encode() for r in held}
     for (d, i), e in got.items():
         assert e <= 0.2 * len(norm_items[i]) and slow_part_edits(norm_items[i], text[d]) <= e
-    kept = {r.doc_id for r in decontam.decontaminate(rows, bench, block=7).collect()}
+    kept = {r.doc_id for r in decontam.decontaminate(rows, bench, block=700).collect()}
     assert kept == {r.doc_id for r in held} - {d for d, _ in got}
 
 
@@ -207,7 +207,7 @@ def test_recall_up_to_a_fifth_of_edits():
                     copy[p : p + 1] = rng.choice([[], [new], [copy[p], new]])
                 items.append((k, item))
                 texts.append(source[60000 + 90 * k :][:200] + "".join(copy) + source[70000 + 90 * k :][:200])
-            index = decontam.ItemIndex(items, decontam.seed_rules(items, 0.2, 0.95), 0.2)
+            index = decontam.ItemIndex(items, decontam.walk_rules(items, 0.2, 0.95), 0.2)
             got = {(r, i): (e, p) for r, i, e, p in index.hits(pa.array(texts))}
             for k, t in enumerate(texts):
                 want = index.text[k]

@@ -1,31 +1,72 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-Words (lower-cased, cut at white space) fall into VOCAB hash buckets. Counts over all documents put the buckets into
-CLASSES classes of about equal mass. The network reads the words at OFFSETS around a masked position and gives a
-distribution over classes; within a class the corpus counts speak. A document's score is the sum over all its words of
-log P(class | both sides) + log P(word | class).
-
-Training is data-parallel numpy: in each of ROUNDS rounds every task starts from the common weights, runs Adagrad over
-one in ROUNDS of the positions of all its documents, and sends its weights, in blocks; blocks are averaged by the number
-of positions behind them. The rounds together hide every position once. Counts and weights come from the whole corpus;
-their number does not grow with it: words that share a bucket share its count, and words that share an input its weights.
-
-Null, empty and blank texts have no words: score 0 and a null mean. Equal rows get equal scores.
+Words are lower-cased and cut at white space. One pass counts every distinct word of all documents, in a table that
+grows with the corpus. The KNOWN most frequent words are the network's vocabulary: the first SINGLE are predicted as
+themselves, the others in bands of about equal mass within which the corpus counts speak; every word beyond the
+vocabulary is of one class, and its own count, joined from the table, speaks there, less what the document itself holds
+of it. The network reads the words at OFFSETS around a masked position. A document's score is the sum over all its words
+of log P(class | both sides) + log P(word | class).
+
+Training is data-parallel numpy: rows are dealt to shards by a hash of id and text and sorted by it, so that neither the
+input's partitions nor a lost executor changes what a shard learns. In each of ROUNDS rounds every shard starts from the
+common weights, runs Adagrad over one in ROUNDS of the positions of all its documents, and sends its weights in blocks;
+blocks are averaged by the number of positions behind them. The rounds together hide every position once. The number of
+shards follows the bytes of text; the size of the network does not, and is what driver and tasks hold. Sums of floats in
+another order may move a score by a relative 1e-6.
+
+Null, empty and blank texts have no words: score 0 and a null mean. Equal texts get equal scores, as often as they are
+repeated (each repeat counts as another document). Very long texts are a step of their own, read whole. An empty table
+gives an empty result. Only doc_id and text are read. Words of equal count are ranked by hash.
 """
 
 from __future__ import annotations
 
+from itertools import groupby, pairwise
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, flat, keep, lower_ascii, mix, span_hashes, steps, table, words
+from .common import as_signed, discard, flat, keep, lower_ascii, mix, span_hashes, steps, table, text_or_empty, words
 
-VOCAB, INPUTS, CLASSES, HIDDEN = 1 << 16, 1 << 12, 64, 16
+#: Words of the vocabulary, those predicted as themselves, all classes (the last one: words beyond the vocabulary).
+KNOWN, SINGLE, CLASSES, HIDDEN = 1 << 15, 48, 80, 16
+#: Context inputs: the first OWN words have their own, others share the rest; one more stands for no word.
+OWN, INPUTS = 3072, 4096
 OFFSETS = (-2, -1, 1, 2)
-ROUNDS, BATCH, RATE, BLOCK = 2, 8192, 0.1, 4096
+ROUNDS, BATCH, RATE, BLOCK, SHARD_BYTES = 2, 8192, 0.1, 4096, 16 << 20
 SHAPE = (len(OFFSETS) * (INPUTS + 1) * HIDDEN, HIDDEN * CLASSES, CLASSES)
+#: What every word has beside its occurrences in other documents.
+UNSEEN = 0.5
+
+
+class Vocabulary:
+    """The most frequent words (hashes and counts, most frequent first), the classes, and log P(word | class).
+
+    floor and last: the count and the (signed) hash of its last word."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.hashes, n = hashes[self.order], len(hashes)
+        self.cls = np.full(n + 1, CLASSES - 1, np.int64)
+        self.cls[: min(n, SINGLE)] = np.arange(min(n, SINGLE))
+        rest, bands = counts[SINGLE:].astype(float), CLASSES - 1 - SINGLE
+        if len(rest):
+            mass = np.cumsum(rest)
+            self.cls[SINGLE:n] = SINGLE + np.minimum((mass - 1e-9) / mass[-1] * bands, bands - 1).astype(np.int64)
+        whole = np.bincount(self.cls[:n], weights=counts, minlength=CLASSES)
+        self.floor, self.last = (int(counts[-1]), int(hashes[-1:].view(np.int64)[0])) if n else (0, 0)
+        self.within = np.append(np.log(counts / whole[self.cls[:n]]) if n else np.zeros(0), 0.0)
+
+    def rank(self, h: np.ndarray) -> np.ndarray:
+        """The place of each word in the vocabulary, or its size for a word beyond it."""
+        n = len(self.hashes)
+        if not n:
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+        return np.where(self.hashes[at] == h, self.order[at], n)
 
 
 def initial(seed: int = 11) -> np.ndarray:
@@ -41,25 +82,28 @@ def parts(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weights[:a].reshape(len(OFFSETS), INPUTS + 1, HIDDEN), weights[a:b].reshape(HIDDEN, CLASSES), weights[b:]
 
 
-def tokens(col: pa.Array):
-    """Yields (first row, rows, bucket of each word, row of each word, context inputs) for a step of texts."""
+def hashed_words(col: pa.Array):
+    """Yields (first row, rows, hash of each word, row of each word) for a step of texts."""
     data, offsets = flat(col)
     low = lower_ascii()
     for lo, hi in steps(offsets):
         part = offsets[lo : hi + 1]
         piece, part = low[data[part[0] : part[-1]]], part - part[0]
         at, end, own = words(piece, part)
-        h = span_hashes(piece, at, end)
-        bucket = (h & np.uint64(VOCAB - 1)).astype(np.int64)
-        around = (h >> np.uint64(40)).astype(np.int64) & (INPUTS - 1)
-        context = np.full((len(OFFSETS), len(at)), INPUTS, np.int64)  # the last input: no word there
-        for k, d in enumerate(OFFSETS):
-            n = len(at) - abs(d)
-            if n > 0:
-                to, of = (slice(-d, None), slice(0, n)) if d < 0 else (slice(0, n), slice(d, None))
-                same = own[to] == own[of]
-                context[k, to][same] = around[of][same]
-        yield lo, hi - lo, bucket, own, context
+        yield lo, hi - lo, span_hashes(piece, at, end), own
+
+
+def contexts(h: np.ndarray, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The inputs at OFFSETS around each word; the last input: no word there."""
+    around = np.where(rank < OWN, rank, OWN + (h % np.uint64(INPUTS - OWN)).astype(np.int64))
+    out = np.full((len(OFFSETS), len(h)), INPUTS, np.int64)
+    for k, d in enumerate(OFFSETS):
+        n = len(h) - abs(d)
+        if n > 0:
+            to, of = (slice(-d, None), slice(0, n)) if d < 0 else (slice(0, n), slice(d, None))
+            same = own[to] == own[of]
+            out[k, to][same] = around[of][same]
+    return out
 
 
 def forward(weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +119,23 @@ def forward(weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, z
 
 
+def gradient(weights, context: np.ndarray, target: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood: (inputs, rows of the gradient) for each offset, output matrix, bias."""
+    n, out = len(target), parts(weights)[1]
+    h, logp = forward(weights, context)
+    d = np.exp(logp)
+    d[np.arange(n), target] -= 1
+    d /= n
+    dh = (d @ out.T) * (1 - h * h)
+    rows = []
+    for k in range(len(OFFSETS)):
+        order = np.argsort(context[k], kind="stable")
+        ids = context[k][order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        rows.append((ids[first], np.add.reduceat(dh[order], first, axis=0)))
+    return rows, h.T @ d, d.sum(axis=0)
+
+
 class Trainer:
     """Adagrad over batches of masked positions."""
 
@@ -86,82 +147,91 @@ class Trainer:
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         if not len(target):
             return
-        n = len(target)
-        self.n += n
-        tables, out, bias = parts(self.w)
-        gt, go, gb = parts(self.g)
-        h, logp = forward(self.w, context)
-        d = np.exp(logp)
-        d[np.arange(n), target] -= 1
-        d /= n
-        dh = (d @ out.T) * (1 - h * h)
-        for value, grad, past in ((out, h.T @ d, go), (bias, d.sum(axis=0), gb)):
-            past += (n * grad) ** 2 / n
-            value -= RATE * np.sqrt(n) * grad / np.sqrt(past)
-        for k in range(len(OFFSETS)):
-            order = np.argsort(context[k], kind="stable")
-            ids = context[k][order]
-            first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            grad = np.add.reduceat(dh[order], first, axis=0) * np.sqrt(n)
-            row = ids[first]
-            gt[k, row] += grad * grad
-            tables[k, row] -= RATE * grad / np.sqrt(gt[k, row])
-
-
-def masked(bucket: np.ndarray, own: np.ndarray, context: np.ndarray, turn: int) -> np.ndarray:
+        self.n += len(target)
+        scale = np.float32(np.sqrt(len(target)))
+        rows, *dense = gradient(self.w, context, target)
+        tables, *values = parts(self.w)
+        past_tables, *pasts = parts(self.g)
+        for value, grad, past in zip(values, dense, pasts):
+            past += (scale * grad) ** 2
+            value -= RATE * scale * grad / np.sqrt(past)
+        for k, (at, grad) in enumerate(rows):
+            past_tables[k, at] += (scale * grad) ** 2
+            tables[k, at] -= RATE * scale * grad / np.sqrt(past_tables[k, at])
+
+
+def masked(h: np.ndarray, own: np.ndarray, turn: int) -> np.ndarray:
     """The positions that this round hides: chosen by a hash of the word and its place in the text, so that the rounds
     share all positions out, and a rerun or other batches hide the same."""
     nth = np.arange(len(own)) - np.searchsorted(own, own)
-    seed = nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + bucket.astype(np.uint64)
+    seed = nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h
     return np.flatnonzero((mix(seed) >> np.uint64(44)) % np.uint64(ROUNDS) == turn % ROUNDS)
 
 
 def _counts(batches):
-    total = np.zeros(VOCAB, np.int64)
-    for batch in batches:
-        for _, _, bucket, _, _ in tokens(batch.column(0)):
-            total += np.bincount(bucket, minlength=VOCAB)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
-
+    """(word, n) of the words of some texts, combined as far as memory allows."""
+    held, size = [], 0
 
-def corpus_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each of the VOCAB buckets in all documents."""
-    got = docs.select(F.col("text").cast("string")).mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(VOCAB, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return out
+    def told():
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(as_signed(h)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-
-def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each bucket, most frequent first in classes of about equal mass, and log P(word | class)."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order] + 1.0)
-    cls = np.zeros(VOCAB, np.int64)
-    cls[order] = np.minimum((mass - 1e-9) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
-    whole = np.bincount(cls, weights=counts + 1.0, minlength=CLASSES)
-    return cls, np.log((counts + 1.0) / whole[cls])
+    for batch in batches:
+        for _, _, h, _ in hashed_words(batch.column(0)):
+            held.append(h)
+            size += len(h)
+            if size > 2_000_000:
+                yield told()
+                held, size = [], 0
+    if held:
+        yield told()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (a hash), n: occurrences in all documents, kept in the shared folder."""
+    got = docs.select(F.col("text").cast("string")).mapInArrow(_counts, "word long, n long")
+    return keep(got.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    got = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()  # bound: KNOWN rows
+    return Vocabulary(got["word"].to_numpy().view(np.uint64), got["n"].to_numpy())
+
+
+def _learnt(weights: np.ndarray, vocab: Vocabulary, turn: int, texts) -> pa.RecordBatch | None:
+    """The blocks of weights that a shard's texts (arrays) lead to."""
+    t = Trainer(weights)
+    c, y = np.zeros((len(OFFSETS), 0), np.int64), np.zeros(0, np.int64)
+    for col in texts:
+        for _, _, h, own in hashed_words(col):
+            rank, hide = vocab.rank(h), masked(h, own, turn)
+            c, y = np.concatenate([c, contexts(h, rank, own)[:, hide]], axis=1), np.concatenate([y, vocab.cls[rank[hide]]])
+            stop = len(y) - len(y) % BATCH  # full batches alone, so that it does not matter in what pieces the texts come
+            for k in range(0, stop, BATCH):
+                t.step(c[:, k : k + BATCH], y[k : k + BATCH])
+            c, y = c[:, stop:], y[stop:]
+    t.step(c, y)
+    if not t.n:
+        return None
+    blocks = [t.w[k : k + BLOCK] for k in range(0, len(t.w), BLOCK)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([t.n] * len(blocks), pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "n", "weights"])
+
+
+def _pieces(batches):
+    """Batches of (shard, text), shard after shard, as (shard, texts)."""
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+        for lo, hi in pairwise(cut):
+            if hi > lo:
+                yield int(shard[lo]), batch.column(1).slice(lo, hi - lo)
 
 
-def _train(weights: np.ndarray, cls: np.ndarray, turn: int):
+def _train(weights: np.ndarray, vocab: Vocabulary, turn: int):
     def run(batches):
-        t = Trainer(weights)
-        held, size = [], 0
-        for batch in batches:
-            for _, _, bucket, own, context in tokens(batch.column(0)):
-                hide = masked(bucket, own, context, turn)
-                held.append((context[:, hide], cls[bucket[hide]]))
-                size += len(hide)
-                if size >= BATCH:
-                    c, y = np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held])
-                    for k in range(0, len(y), BATCH):
-                        t.step(c[:, k : k + BATCH], y[k : k + BATCH])
-                    held, size = [], 0
-        if size:
-            t.step(np.concatenate([x for x, _ in held], axis=1), np.concatenate([x for _, x in held]))
-        if t.n:
-            blocks = [t.w[k : k + BLOCK] for k in range(0, len(t.w), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([t.n] * len(blocks), pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "n", "weights"])
+        for _, pieces in groupby(_pieces(batches), key=lambda p: p[0]):
+            if (out := _learnt(weights, vocab, turn, (col for _, col in pieces))) is not None:
+                yield out
 
     return run
 
@@ -178,44 +248,78 @@ def _average(batches):
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([(sums[k][1] / sums[k][0]).astype(np.float32).tobytes() for k in keys], pa.binary())], ["block", "weights"])
 
 
-def train(docs: DataFrame, cls: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    weights = initial()
-    slim = docs.select(F.col("text").cast("string"))
+def dealt(docs: DataFrame) -> DataFrame:
+    """shard, text: shards of about SHARD_BYTES, each in an order of its own that the input's partitions don't change."""
+    slim = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(text_or_empty(), F.col("doc_id").cast("long")).alias("deal")).where("text <> ''")
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // SHARD_BYTES))
+    rows = slim.withColumn("shard", F.pmod("deal", F.lit(n))).repartition(n, "shard")
+    return rows.sortWithinPartitions("shard", "deal", F.xxhash64("text")).select("shard", "text")
+
+
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+    weights, shards = initial(), keep(dealt(docs), "shards")
     n_blocks = -(-len(weights) // BLOCK)
     for turn in range(rounds):
-        sent = slim.mapInArrow(_train(weights, cls, turn), "block int, n long, weights binary")
+        sent = shards.mapInArrow(_train(weights, vocab, turn), "block int, n long, weights binary")
         got = sent.repartition(min(n_blocks, 16), "block").mapInArrow(_average, "block int, weights binary").toArrow()  # one row a block: the size of the network
         for block, raw in zip(got["block"].to_pylist(), got["weights"].to_pylist()):
             weights[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(raw, np.float32)
+    discard(shards.sparkSession, shards.kept_at)
     return weights
 
 
-def _score(weights: np.ndarray, cls: np.ndarray, within: np.ndarray):
+def _score(weights: np.ndarray, vocab: Vocabulary):
+    weights = weights.astype(np.float64)  # with rounded sums equal texts get equal scores wherever they stand
+
     def run(batches):
+        first = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
         for batch in batches:
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for lo, rows, bucket, own, context in tokens(batch.column(1)):
-                gain = np.empty(len(bucket))
-                for k in range(0, len(bucket), BATCH):
+            rare, again, many = [], [], np.zeros(batch.num_rows, np.int64)
+            for lo, rows, h, own in hashed_words(batch.column(1)):
+                rank = vocab.rank(h)
+                context, y = contexts(h, rank, own), vocab.cls[rank]
+                gain = np.empty(len(h))
+                for k in range(0, len(h), BATCH):
                     s = slice(k, k + BATCH)
-                    _, logp = forward(weights, context[:, s])
-                    y = cls[bucket[s]]
-                    gain[s] = logp[np.arange(len(y)), y]
-                gain += within[bucket]
+                    logp = forward(weights, context[:, s])[1]
+                    gain[s] = logp[np.arange(len(y[s])), y[s]]
+                gain += vocab.within[rank]
                 total[lo : lo + rows] = np.bincount(own, weights=gain, minlength=rows)
                 n[lo : lo + rows] = np.bincount(own, minlength=rows)
-            mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0.0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "per_word"])
+                # the words beyond the vocabulary, once a row
+                out = rank == len(vocab.hashes)
+                order = np.lexsort((h[out], own[out]))
+                word, of = h[out][order], own[out][order]
+                new = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (of[1:] != of[:-1])))) if len(word) else np.zeros(0, np.int64)
+                rare.append(as_signed(word[new]))
+                again.append(np.diff(np.append(new, len(word))))
+                many[lo : lo + rows] = np.bincount(of[new], minlength=rows)
+            off = pa.array(np.concatenate(([0], np.cumsum(many))), pa.int32())
+            of_rows = lambda x: pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first + np.arange(batch.num_rows)), pa.array(n), pa.array(np.round(total, 6)), of_rows(rare), of_rows(again)], ["doc_id", "row", "n_words", "known", "rare", "again"])
+            first += batch.num_rows
 
     return run
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_likelihood (summed over all words), per_word, for every row."""
-    counts = corpus_counts(docs)
-    cls, within = classes(counts)
-    weights = train(docs, cls)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(weights, cls, within), "doc_id long, n_words long, log_likelihood double, per_word double")
+    counts = word_counts(docs)
+    vocab = vocabulary(counts)
+    weights = train(docs, vocab)
+    met = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(weights, vocab), "doc_id long, row long, n_words long, known double, rare array<long>, again array<long>")
+    met = keep(met, "scored")
+    # log P(word | beyond the vocabulary): its occurrences in other documents over all such occurrences
+    least = F.lit(int(vocab.floor))
+    tail = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(int(vocab.last)))))
+    mass, size = tail.agg(F.sum("n"), F.count("*")).first()
+    whole = float(np.log((mass or 0) + UNSEEN * (size or 0) + 1))
+    words_of = met.select("row", F.explode(F.arrays_zip("rare", "again")).alias("r")).select("row", F.col("r.rare").alias("of"), F.col("r.again").alias("again"))
+    seen = words_of.join(tail, F.col("of") == F.col("word")).groupBy(F.col("row").alias("in_row")).agg(F.sum(F.col("again") * (F.log(F.col("n") - F.col("again") + UNSEEN) - whole)).alias("told"))
+    out = met.join(seen, F.col("row") == F.col("in_row"), "left").withColumn("log_likelihood", F.col("known") + F.coalesce("told", F.lit(0.0)))
+    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).alias("per_word"))
 
 
 def query(spark, sf_dir):

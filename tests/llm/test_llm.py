@@ -421,58 +421,107 @@ def test_interleaved_sequences(spark):
 # --- language-model scores ---
 
 
+def ordered_texts(n=50):
+    pattern = ["alpha", "beta", "gamma", "delta", "eps"]
+    return [" ".join(pattern[(s + k) % 5] for k in range(200)) for s in range(n)]
+
+
+def vocabulary_of(texts):
+    found = defaultdict(int)
+    for _, _, h, _ in lmscore.hashed_words(pa.array(texts)):
+        for x in h.tolist():
+            found[x] += 1
+    top = sorted(found, key=lambda x: (-found[x], x))
+    return lmscore.Vocabulary(np.array(top, np.uint64), np.array([found[x] for x in top]))
+
+
 def test_pseudo_likelihood():
     """Weights learn, classes are distributions, and a text in order beats itself shuffled."""
     rng = random.Random(8)
-    pattern = ["alpha", "beta", "gamma", "delta", "eps"]
-    texts = [" ".join(pattern[(s + k) % 5] for k in range(200)) for s in range(50)]
-    col = pa.array(texts)
-    counts = np.zeros(lmscore.VOCAB, np.int64)
-    for _, _, bucket, _, _ in lmscore.tokens(col):
-        counts += np.bincount(bucket, minlength=lmscore.VOCAB)
-    assert counts.sum() == 50 * 200
-    cls, within = lmscore.classes(counts)
-    mass = np.bincount(cls, weights=np.exp(within), minlength=lmscore.CLASSES)
-    assert np.allclose(mass[np.unique(cls)], 1)
+    texts = ordered_texts() + [" ".join(f"w{rng.randrange(400)}" for _ in range(100)) for _ in range(30)]
+    vocab = vocabulary_of(texts)
+    mass = np.bincount(vocab.cls[:-1], weights=np.exp(vocab.within[:-1]), minlength=lmscore.CLASSES)
+    assert np.allclose(mass[np.unique(vocab.cls[:-1])], 1)
     w = lmscore.initial()
-    for turn in range(3):
-        out = list(lmscore._train(w, cls, turn)([pa.RecordBatch.from_arrays([col], ["t"])]))
-        w = np.concatenate([np.frombuffer(b, np.float32) for b in out[0].column(2).to_pylist()])
+    for turn in range(6):
+        w = np.concatenate([np.frombuffer(b, np.float32) for b in lmscore._learnt(w, vocab, turn, [pa.array(texts)]).column(2).to_pylist()])
     shuffled = texts[0].split()
     rng.shuffle(shuffled)
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([texts[0], " ".join(shuffled), "", None])], ["d", "t"])
-    r = list(lmscore._score(w, cls, within)([batch]))[0].to_pydict()
-    assert r["log_likelihood"][0] > r["log_likelihood"][1] and r["n_words"] == [200, 200, 0, 0] and r["per_word"][2:] == [None, None]
+    r = list(lmscore._score(w, vocab)([batch]))[0].to_pydict()
+    # a unigram model gives a word of the pattern at most log(1 / 5)
+    assert r["known"][0] / 200 > np.log(1 / 5) + 1 and r["known"][0] > r["known"][1] + 100
+    assert r["n_words"] == [200, 200, 0, 0] and r["known"][2:] == [0, 0] and r["rare"] == [[]] * 4
 
 
 def test_rounds_train_on_every_position():
     texts = [None, "", "one"] + [" ".join(f"w{(7 * k + n) % 53}" for n in range(k)) for k in range(200)]
     words = sum(len((t or "").split()) for t in texts)
-    cls = np.zeros(lmscore.VOCAB, np.int64)
-    trained = 0
+    vocab = vocabulary_of(texts)
+    learnt = lambda turn, *pieces: lmscore._learnt(lmscore.initial(), vocab, turn, map(pa.array, pieces))
+    assert sum(learnt(turn, texts).column(1)[0].as_py() for turn in range(lmscore.ROUNDS)) == words
     for turn in range(lmscore.ROUNDS):
-        out = list(lmscore._train(lmscore.initial(), cls, turn)([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]))
-        trained += out[0].column(1)[0].as_py()
-    assert trained == words
-    # whatever batches the texts come in
-    for parts in ([texts], [texts[:90], texts[90:]]):
-        hidden = [0] * lmscore.ROUNDS
-        for part in parts:
-            for _, _, bucket, own, context in lmscore.tokens(pa.array(part)):
-                for turn in range(lmscore.ROUNDS):
-                    hidden[turn] += len(lmscore.masked(bucket, own, context, turn))
-        assert sum(hidden) == words and min(hidden) > words / lmscore.ROUNDS / 2
+        whole, cut = learnt(turn, texts), learnt(turn, texts[:90], texts[90:91], texts[91:])
+        assert whole.equals(cut) and words / lmscore.ROUNDS / 2 < whole.column(1)[0].as_py() < words
+    assert learnt(0, [None, ""]) is None
 
 
 def test_gradient_is_right():
-    t = lmscore.Trainer(lmscore.initial())
+    """Against differences of the loss in double precision."""
     rng = np.random.default_rng(0)
-    context, y = rng.integers(0, lmscore.INPUTS, (4, 300)), rng.integers(0, 5, 300)
-    loss = lambda: -lmscore.forward(t.w, context)[1][np.arange(300), y].mean()
-    before = loss()
+    w = lmscore.initial().astype(float)
+    context, y = rng.integers(0, 40, (4, 300)), rng.integers(0, 5, 300)
+    context[:, :9] = lmscore.INPUTS
+    loss = lambda v: -lmscore.forward(v, context)[1][np.arange(300), y].mean()
+    rows, out, bias = lmscore.gradient(w, context, y)
+    full = np.zeros_like(w)
+    tables, o, b = lmscore.parts(full)
+    o[:], b[:] = out, bias
+    for k, (at, g) in enumerate(rows):
+        tables[k, at] = g
+    some = [*rng.choice(np.flatnonzero(full), 60, replace=False), *rng.choice(np.flatnonzero(full == 0), 5), *range(len(w) - 3, len(w))]
+    for i in some:
+        step = np.zeros_like(w)
+        step[i] = 1e-5
+        assert abs((loss(w + step) - loss(w - step)) / 2e-5 - full[i]) < 1e-7
+    t = lmscore.Trainer(lmscore.initial())
+    before = -lmscore.forward(t.w, context)[1][np.arange(300), y].mean()
     for _ in range(30):
         t.step(context, y)
-    assert loss() < before - 0.5
+    assert -lmscore.forward(t.w, context)[1][np.arange(300), y].mean() < before - 0.5
+
+
+def test_scores_do_not_depend_on_partitions_or_order(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD_BYTES", 100_000)
+    monkeypatch.setattr(lmscore, "KNOWN", 200)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one = {r.doc_id: r for r in lmscore.scores(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r for r in lmscore.scores(docs.orderBy(F.desc("doc_id")).repartition(7)).collect()}
+    assert one.keys() == many.keys()
+    for d, r in one.items():
+        assert r.n_words == many[d].n_words and abs(r.log_likelihood - many[d].log_likelihood) <= 1e-6 * abs(r.log_likelihood) + 1e-9
+
+
+def test_rare_words_count_other_documents(spark, monkeypatch):
+    """What the table of counts adds, against a count by hand."""
+    monkeypatch.setattr(lmscore, "KNOWN", 3)
+    texts = ["a a a b b c c rare rare other", "a b c rare", "a b c lonely", None]
+    got = {r.doc_id: r for r in lmscore.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    counts = {"rare": 3, "other": 1, "lonely": 1}
+    whole = np.log(5 + lmscore.UNSEEN * 3 + 1)
+    vocab = lmscore.vocabulary(lmscore.word_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert len(vocab.hashes) == 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = {}
+    w = lmscore.train(df, vocab)
+    for batch in lmscore._score(w, vocab)([pa.RecordBatch.from_arrays([pa.array([0, 1, 2, 3]), pa.array(texts)], ["d", "t"])]):
+        known = dict(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()))
+    for d, t in enumerate(texts):
+        own = defaultdict(int)
+        for x in (t or "").split():
+            own[x] += x in counts
+        want = known[d] + sum(n * (np.log(counts[x] - n + lmscore.UNSEEN) - whole) for x, n in own.items() if n)
+        assert abs(got[d].log_likelihood - want) < 1e-6
 
 
 def test_scores_of_odd_rows(spark):

@@ -162,6 +162,15 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def by_hash(df: DataFrame, columns: list[str], about: int) -> DataFrame:
+    """About `about` rows of df (all, if it has no more): those whose columns' hash is under a threshold that its count sets.
+
+    Narrow but for the count; equal rows go together, so drop duplicates where they may be many.
+    """
+    share = min(1.0, about / max(df.count(), 1))
+    return df if share == 1 else df.where(F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Adds _key, a hash of the text: with doc_id it names a row's content (equal rows are alike)."""
     return docs.withColumn("_key", F.xxhash64(text_or_empty()))

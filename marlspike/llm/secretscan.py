@@ -2,37 +2,51 @@
 
 The patterns (assign, access, hex) give base spans, leftmost and not overlapping within a kind; they always stay.
 The CRF tags tokens (runs of letters, digits and a few signs) as begin, inside or outside of a secret. Its features are
-the token's shape, its word, the words on both sides, the bytes that touch it, and features of the file (language,
-source). It learns from the base spans of a bounded sample of documents: those that hold one, and a share of those that
-hold none. Viterbi finds the best tags; a tagged run that meets no base span becomes a span of kind crf.
-
-The CRF is trained by gradient ascent on the log-likelihood with forward and backward sums over padded lines; decoding
-works on all tokens of all texts. Null and empty texts have no spans. Equal rows get equal spans. Without any base span
-in the sample there is nothing to learn, and only base spans are given.
+the token's shape and how often its kinds of characters alternate, its word, the words on both sides, the bytes that
+touch it, and features of the file (language, source). Viterbi finds the best tags; a tagged run that meets no base span
+becomes a span of kind crf.
+
+Base spans are the only labels, and a field that has seen nothing else can only say what the patterns say. So each
+labelled piece of text is learnt in variants as well: the secret drawn anew from other alphabets and lengths, what
+announces it replaced by other words or by none, and in its place things that are no secrets (numbers, dates, addresses,
+names, words). The field learns from the pieces (WINDOW characters on either side) around the base spans of a sample of
+documents, of any length, and from one in COLD of their other pieces; both samples are taken by a hash of the text under
+a threshold, so no task and not the driver holds more than the sample. One task fits the field.
+
+It is trained by gradient ascent on the log-likelihood with forward and backward sums over padded lines; decoding works
+on all tokens of all texts. Null and empty texts have no spans. Equal rows get equal spans. Very long texts are scanned
+whole, as a step of their own. Language and source may be missing columns. Without any base span in the sample, or
+without rows, there is nothing to learn, and only base spans are given. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, lower_ascii, span_hashes, steps, table
+from .common import by_hash, discard, flat, keep, lower_ascii, span_hashes, steps, table
 
 #: Fixed values of the contract.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS, HEX, KINDS = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", ("assign", "access", "hex", "crf")
-#: The field learns from at most so many documents; of those without base spans from one in COLD.
-SAMPLE, COLD = 6000, 16
+#: The field learns from about so many documents, and from at most about so many of their pieces.
+SAMPLE, PIECES, COLD, WINDOW = 6000, 8000, 16, 200
 WORDS = 1 << 13
-#: Size of each feature table: shape, word, word before, word after, byte before, byte after, language, source.
-SIZES = (4096, WORDS, WORDS, WORDS, 256, 256, 256, 256)
+#: Size of each feature table: shape, word, word before, word after, byte before, byte after, language, source, alternation.
+SIZES = (4096, WORDS, WORDS, WORDS, 256, 256, 256, 256, 256)
 LINE = 64
+#: Variants of a labelled piece, and what they are made of.
+VARIANTS = 12
+CUES = ["credential", "bearer", "authorization", "private_key", "access_key", "client", "pwd", "passphrase", "key", "auth", "signature", "webhook", "connection", "session"]
+SIGNS = [" = \"", "=\"", ": ", " ", "=", ": \"", " => '", " is "]
+ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789-_"]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,7 +100,8 @@ def features(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, end: np.ndar
     out[0] = (((length * 5 + digits) * 2 + (n[0] > 0)) * 2 + (n[1] > 0)) * 2 + (n[2] > 0)
     out[0] = (out[0] * 2 + (n[4] > 0)) * 2 + (n[5] > 0)
     low = lower_ascii()[data]
-    word = (span_hashes(low, at, end) & np.uint64(WORDS - 1)).astype(np.int64)
+    word = 1 + (span_hashes(low, at, end) % np.uint64(WORDS - 1)).astype(np.int64)
+    word[(n[3] > 0) | (n[4] > 0) & (size > 20) | (size > 24)] = 0  # no word that could be seen again
     out[1] = word
     same = own[1:] == own[:-1]
     out[2, 1:][same] = word[:-1][same]
@@ -96,6 +111,9 @@ def features(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, end: np.ndar
     after = end < offsets[own + 1]
     out[5, after] = data[end[after]]
     out[6], out[7] = lang[own], source[own]
+    turns = np.concatenate(([0], np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))))
+    often = (turns[end] - turns[at + 1]) / size
+    out[8] = (np.digitize(often, [0.03, 0.08, 0.15, 0.25, 0.35, 0.5, 0.7]) * 12 + length) * 2 + (n[3] > 0)
     return out % np.array(SIZES)[:, None]
 
 
@@ -259,36 +277,76 @@ def scan_batch(texts: pa.Array, lang: pa.Array, source: pa.Array, field: Field |
     return [sorted(s) for s in spans]
 
 
-def _sample(batches):
-    """Of the sampled documents all with base spans, and one in COLD of the others."""
+def value_span(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
+    """The secret itself: what is assigned, or all of the span."""
+    return (start + re.match(ASSIGN, text[start:end], re.I | re.A).start(2), end) if kind == 0 else (start, end)
+
+
+def no_secret(rng: random.Random, word: str) -> str:
+    """Something that is none: numbers, dates, addresses, versions, names, words."""
+    n = rng.randrange
+    return rng.choice([
+        str(n(10**11)), f"20{n(100):02d}-{n(12) + 1:02d}-{n(28) + 1:02d}", f"{word.lower()}.{n(100)}@mail{n(10)}.example.com", f"v{n(20)}.{n(20)}.{n(99)}", word, word.upper(), f"{word}_{n(10)}",
+        f"https://www.{word.lower()}.org/{word}/{n(1000)}", f"+{n(99)} {n(1000)} {n(10**6)}", f"{n(256)}.{n(256)}.{n(256)}.{n(256)}", word.title() + "Handler", f"{word}/{word}.py",
+    ])
+
+
+def learnt_pieces(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """A piece with the places of its secrets, and its variants. The same piece gives the same variants."""
+    found = base_spans(text)
+    values = sorted({value_span(text, s, k, e) for s, k, e in found})
+    out = [(text, values)]
+    if not found:
+        return out
+    rng = random.Random(zlib.crc32(text.encode()))
+    words_here = re.findall(r"[A-Za-z]{3,}", text) or ["word"]
+    first = min(s for s, _, _ in found)
+    last = max(e for _, _, e in found)
+    for k in range(VARIANTS):
+        cue = rng.choice([rng.choice(CUES), rng.choice(words_here), rng.choice(words_here), ""])  # mostly words that announce nothing: the shape has to tell
+        sign = rng.choice(SIGNS) if cue else ""
+        secret = k % 3 < 2
+        alphabet = rng.choice(ALPHABETS)
+        new = "".join(rng.choice(alphabet) for _ in range(rng.randint(16, 56))) if secret else no_secret(rng, rng.choice(words_here))
+        head = text[:first] + (cue.upper() if rng.random() < 0.2 else cue) + sign
+        made = head + new + ("\"" if "\"" in sign else "") + text[last:]
+        if secret or not base_spans(made):
+            out.append((made, [(len(head), len(head) + len(new))] if secret else []))
+    return out
+
+
+def _pieces(batches):
+    """Around each base span a piece; of the rest of the text one piece in COLD."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        stay = [bool(base_spans(t)) or zlib.crc32(t.encode()) % COLD == 0 for t in texts]
-        yield batch.filter(pa.array(stay, pa.bool_()))
-
-
-def train(docs: DataFrame, sample: int = SAMPLE, longest: int = 20_000) -> Field | None:
-    """Learns from the documents of at most `longest` characters among the `sample` with the least hash of their id."""
-    some = docs.select(F.col("doc_id").alias("id")).where("id is not null").orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.join(F.broadcast(some.distinct()), docs.doc_id == F.col("id"), "left_semi")  # bound: `sample` rows of 8 bytes
-    rows = rows.where(F.length("text").between(1, longest)).select("text", F.col("lang").cast("string"), F.col("source").cast("string")).limit(2 * sample)
-    both = rows.mapInArrow(_sample, "text string, lang string, source string").toArrow().combine_chunks()
-    column = lambda c: pa.array(both[c].to_pylist(), pa.string())
-    text = column("text")
-    spans = [base_spans(t) for t in text.to_pylist()]
-    if not any(spans):
+        rows = []
+        for text, *file in zip(*(c.to_pylist() for c in batch.columns)):
+            upto = 0
+            for s, _, e in base_spans(text):
+                if s >= upto:
+                    upto = e + WINDOW
+                    rows.append((text[max(0, s - WINDOW) : upto], *file))
+            for k in range(0, len(text), 2 * WINDOW):
+                piece = text[k : k + 2 * WINDOW]
+                if zlib.crc32(piece.encode()) % COLD == 0 and not base_spans(text[max(0, k - WINDOW) : k + 3 * WINDOW]):
+                    rows.append((piece, *file))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], ["text", "lang", "source"])
+
+
+def fitted(texts: list[str], langs: list, sources: list) -> Field | None:
+    """The field that pieces of text teach."""
+    rows = [(t, v, lang, source) for text, lang, source in sorted(zip(texts, langs, sources), key=str) for t, v in learnt_pieces(text)]
+    if not any(v for _, v, _, _ in rows):
         return None
+    text = pa.array([t for t, _, _, _ in rows], pa.string())
     data, offsets = flat(text)
     at, end, own = tokenise(data, offsets)
-    index = features(data, offsets, at, end, own, file_codes(column("lang")), file_codes(column("source")))
+    index = features(data, offsets, at, end, own, file_codes(pa.array([r[2] for r in rows], pa.string())), file_codes(pa.array([r[3] for r in rows], pa.string())))
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     tag = np.zeros(len(at), np.int64)
-    for row, found in enumerate(spans):
+    for row, (_, values, _, _) in enumerate(rows):
         a, b = np.searchsorted(own, row), np.searchsorted(own, row, "right")
         begin, stop = lead[at[a:b]] - lead[offsets[row]], lead[end[a:b]] - lead[offsets[row]]
-        for s, kind, e in found:
-            if kind == 0:  # the secret is what is assigned
-                s += re.match(ASSIGN, text[row].as_py()[s:e], re.I | re.A).start(2)
+        for s, e in values:
             inside = np.flatnonzero((stop > s) & (begin < e))
             tag[a + inside[:1]] = 1
             tag[a + inside[1:]] = 2
@@ -297,6 +355,35 @@ def train(docs: DataFrame, sample: int = SAMPLE, longest: int = 20_000) -> Field
     return field
 
 
+def _fit(batches):
+    rows = [c for b in batches for c in zip(*(c.to_pylist() for c in b.columns))]
+    field = fitted(*zip(*rows)) if rows else None
+    raw = None if field is None else np.concatenate([*(t.ravel() for t in field.tables), field.move.ravel(), field.begin]).astype(np.float32).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["weights"])
+
+
+def restored(raw: bytes) -> Field:
+    field, flat_weights, k = Field(), np.frombuffer(raw, np.float32), 0
+    for part in (*field.tables, field.move, field.begin):
+        part[:] = flat_weights[k : k + part.size].reshape(part.shape)
+        k += part.size
+    return field
+
+
+def file_columns(docs: DataFrame, lang: str, source: str) -> list[Column]:
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(n) for c, n in ((lang, "lang"), (source, "source"))]
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, pieces: int = PIECES, lang: str = "lang", source: str = "source") -> Field | None:
+    """Learns from the pieces of about `sample` documents, about `pieces` of them at most. The driver gets the weights alone."""
+    slim = docs.select(F.col("text").cast("string").alias("text"), *file_columns(docs, lang, source)).where("text <> ''")
+    some = by_hash(slim, ["text"], sample).dropDuplicates(["text"])  # equal texts meet within tasks first
+    cut = keep(some.mapInArrow(_pieces, "text string, lang string, source string"), "pieces")
+    raw = by_hash(cut, ["text"], pieces).dropDuplicates(["text"]).repartition(1).mapInArrow(_fit, "weights binary").where("weights is not null").first()
+    discard(cut.sparkSession, cut.kept_at)
+    return None if raw is None else restored(raw[0])
+
+
 def _scan(field: Field | None):
     def run(batches):
         for batch in batches:
@@ -312,10 +399,10 @@ def _scan(field: Field | None):
     return run
 
 
-def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf of every row."""
-    field = train(docs, sample)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
+def scan(docs: DataFrame, sample: int = SAMPLE, lang: str = "lang", source: str = "source", field: Field | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_crf of every row; field: a trained one, else docs train it."""
+    field = field or train(docs, sample, lang=lang, source=source)
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *file_columns(docs, lang, source))
     return slim.mapInArrow(_scan(field), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 

@@ -649,6 +649,59 @@ def test_crf_learns_and_adds(spark):
     assert rows[201].n_crf == 0
 
 
+def test_crf_finds_secrets_of_forms_that_no_pattern_has(spark):
+    """Trained on documents with patterns' secrets; held out: other documents, other alphabets, words that were never cues."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rng = random.Random(3)
+    texts, truth = [t for t in docs[:600] if t], {}
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts += [f"{t[:300]} token = \"{key[k % 9:]}{k:03d}\" {t[300:900]}" for k, t in enumerate(texts[:60])]
+    upper, mixed = "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for k, t in enumerate(t[:2000] for t in docs[600:] if t):
+        if k % 2:
+            new = "".join(rng.choice(rng.choice([upper, mixed])) if k % 4 == 1 else rng.choice(mixed) for _ in range(rng.randint(20, 44)))
+            head = t[: len(t) // 2] + rng.choice([' X-Deploy = "', " the shared value: ", " slack hook ", ' zugang="'])
+            truth[len(texts)] = (len(head), len(head) + len(new))
+            t = head + new + " " + t[len(t) // 2 :]
+        texts.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")  # no language, no source
+    found = wrong = 0
+    seen = df.where("doc_id < 660")
+    for r in secretscan.scan(df.where("doc_id >= 660"), field=secretscan.train(seen)).collect():
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        assert r.n_crf == sum(k == "crf" for k, _, _ in spans)
+        want = truth.get(r.doc_id)
+        hit = [x for x in spans if want and x[1] < want[1] and x[2] > want[0]]
+        found += any(x[0] == "crf" and x[1:] == want for x in hit)
+        wrong += sum(x[0] == "crf" and x not in hit for x in spans)
+    assert found >= 0.8 * len(truth) and wrong <= 0.02 * len(truth), (found, wrong, len(truth))
+
+
+def test_fit_raises_the_likelihood():
+    """Against the likelihood summed over all tag sequences."""
+    rng = np.random.default_rng(7)
+    size = [1, 3, 5, 4, 2]
+    own = np.repeat(np.arange(5), size)
+    index = np.stack([rng.integers(0, 6, len(own)) for _ in secretscan.SIZES])
+    tag = np.array([1, 0, 1, 2, 0, 0, 1, 2, 0, 1, 0, 0, 1, 0, 0])
+    first = np.concatenate(([0], np.cumsum(size)[:-1]))
+
+    def told(f):
+        e, out = f.emission(index).astype(float), 0.0
+        for a, n in zip(first, size):
+            score = lambda y: f.begin[y[0]] + sum(e[a + i, y[i]] for i in range(n)) + sum(f.move[y[i], y[i + 1]] for i in range(n - 1))
+            out += score(tag[a : a + n]) - np.logaddexp.reduce([score(y) for y in itertools.product(range(3), repeat=n)])
+        return out
+
+    f, before = secretscan.Field(), None
+    for rounds in (0, 5, 20, 60):
+        g = secretscan.Field()
+        g.fit(index, first, tag, rounds=rounds)
+        assert before is None or told(g) > before
+        before = told(g)
+    assert before > told(f) / 10 and f.viterbi(index, own).shape == g.viterbi(index, own).shape and (g.viterbi(index, own) == tag).mean() > 0.9
+
+
 def test_secrets_odd_rows(spark):
     df = frame(spark, ODD)
     rows = {r.doc_id: r for r in secretscan.scan(df).collect()}

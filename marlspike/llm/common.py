@@ -171,12 +171,24 @@ def by_hash(df: DataFrame, columns: list[str], about: int) -> DataFrame:
     return df if share == 1 else df.where(F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds _key, a hash of the text: with doc_id it names a row's content (equal rows are alike)."""
-    return docs.withColumn("_key", F.xxhash64(text_or_empty()))
+def labelled(docs: DataFrame, labels: DataFrame, about: int) -> DataFrame:
+    """_id, text and the other columns of labels for about 2 * `about` rows of docs at most; labels: _id (each few times) and labels.
+
+    About `about` labelled ids are picked by hash, and of their rows, if an id has very many, again so many by hash.
+    Equal rows count once. Docs are read twice; what is shuffled is the picked rows.
+    """
+    slim = docs.select(F.col("doc_id").alias("_doc"), text_or_empty().alias("text"))
+    some = by_hash(labels.where("_id is not null"), ["_id"], about)
+    met = slim.join(F.broadcast(some), F.col("_doc") == F.col("_id")).drop("_doc")  # bound: about `about` rows of a few numbers
+    return by_hash(met, ["_id", "text"], 2 * about).dropDuplicates()
+
+
+def row_key() -> Column:
+    """A hash of the text: with doc_id it names a row's content (equal rows are alike)."""
+    return F.xxhash64(text_or_empty())
 
 
 def by_row_key(docs: DataFrame, slim: DataFrame, how: str) -> DataFrame:
     """Joins docs with slim (row_id, row_key, ...) on doc_id and the hash of the text; null ids meet null ids."""
-    keyed = with_row_key(docs)
-    return keyed.join(slim, keyed.doc_id.eqNullSafe(slim.row_id) & (keyed._key == slim.row_key), how)
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(slim, docs["doc_id"].cast("long").eqNullSafe(slim["row_id"]) & (key == slim["row_key"]), how)

@@ -8,15 +8,20 @@ own posterior. Rates start at 1, so they stay as near to the natural mix as the
 
 A rate becomes whole copies: its floor, and one more for a share of documents chosen by a hash of id and text.
 Null or empty texts have no tokens; their posterior is the prior and no target depends on them. Equal rows get equal
-rates. Labelled rows whose domain has no target train nothing; without labelled rows the posterior is uniform.
+rates. Rows without doc_id are rows like others. Very long texts are one row of words in memory, like any Spark string.
+Of domains with the same posterior the first in the targets names the document. Labelled rows whose domain has no target
+train nothing; without labelled rows the posterior is uniform; an empty table gives an empty one. Only doc_id and text
+are read, and mixed() gives all columns back as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row_key, keep, table, with_row_key
+from .common import by_row_key, keep, labelled, row_key, table
 
 #: The model has BUCKETS rows of one double a domain (at most 64 domains): the bound of what is broadcast.
 BUCKETS, SAMPLE, SHARP, ALPHA = 4096, 20000, 4.0, 0.1
@@ -28,17 +33,14 @@ def _words(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.posexplode_outer(found).alias("place", "word")).select(*columns, "place", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket"), F.col("word").isNotNull().alias("real"))
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list[float], list[float]]:
-    """Word evidence by bucket (bucket, w0, w1, ...), evidence of an unseen bucket, log priors; from at most `sample` labelled rows."""
-    some = labelled.select(F.col("doc_id").alias("row_id"), F.col("domain").cast("string").alias("domain")).where(F.col("row_id").isNotNull() & F.col("domain").isin(domains))
-    some = some.orderBy(F.xxhash64("row_id"), "row_id", "domain").limit(sample)
-    rows = docs.join(F.broadcast(some), docs.doc_id == some.row_id).select("text", "domain")  # bound: `sample` rows
+def train(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> tuple[DataFrame, list[float], list[float]]:
+    """Word evidence by bucket (bucket, w0, w1, ...), evidence of an unseen bucket, log priors; from about `sample` labelled documents."""
+    each = labels.select(F.col("doc_id").alias("_id"), F.col("domain").cast("string").alias("domain")).where(F.col("domain").isin(domains)).distinct()
+    rows = keep(labelled(docs, each, sample).select("text", "domain"), "labelled")
     counts = keep(_words(rows, "domain").where("real").groupBy("bucket", "domain").count(), "word-counts")
     got = {r[0]: r[1] for r in counts.groupBy("domain").agg(F.sum("count")).collect()}  # one row a domain
-    n = {r[0]: r[1] for r in some.groupBy("domain").count().collect()}
+    n = {r[0]: r[1] for r in rows.groupBy("domain").count().collect()}
     unseen, prior, columns = [], [], []
-    import math
-
     for k, d in enumerate(domains):
         base = math.log(got.get(d, 0) + ALPHA * BUCKETS)
         unseen.append(math.log(ALPHA) - base)
@@ -47,12 +49,12 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int
     return counts.groupBy("bucket").agg(*columns), unseen, prior
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], sample: int = SAMPLE) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, domains: list[str], sample: int = SAMPLE) -> DataFrame:
     """row_id, row_key, n_rows (equal rows), n_tokens, p0, p1, ... for each content of docs."""
     if not 0 < len(domains) <= 64:
         raise ValueError("1 to 64 domains")
-    model, unseen, prior = train(docs, labelled, domains, sample)
-    words = _words(with_row_key(docs).withColumn("row_id", F.col("doc_id").cast("long")), "row_id", "_key")
+    model, unseen, prior = train(docs, labels, domains, sample)
+    words = _words(docs.select(F.col("doc_id").cast("long").alias("row_id"), row_key().alias("_key"), "text"), "row_id", "_key")
     met = words.join(F.broadcast(model.withColumnRenamed("bucket", "of")), words.bucket == F.col("of"), "left")  # bound: BUCKETS rows
     sums = met.groupBy("row_id", "_key").agg(
         F.count_if((F.col("place") == 0) | F.col("place").isNull()).alias("n_rows"), F.count_if("real").alias("n"),
@@ -108,10 +110,10 @@ def fit_rates(post: DataFrame, weights: list[float], budget: float | None = None
     return rate, {"target": target, "total": total, "have": have, "rounds": n}
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **how) -> DataFrame:
     """row_id, row_key, n_tokens, p0, ..., domain, rate, copies for each content of docs."""
     domains = list(targets)
-    post = keep(posteriors(docs, labelled, domains), "posteriors")
+    post = keep(posteriors(docs, labels, domains), "posteriors")
     rate, _ = fit_rates(post, list(targets.values()), **how)
     top = F.greatest(*[F.col(f"p{k}") for k in range(len(domains))]) if len(domains) > 1 else F.col("p0")
     domain = F.coalesce(*[F.when(F.col(f"p{k}") == top, F.lit(d)) for k, d in enumerate(domains)])
@@ -120,17 +122,18 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how
     return out.withColumn("copies", (F.floor(F.col("rate") + 1e-9) + F.when(luck < F.col("rate") - F.floor(F.col("rate") + 1e-9), 1).otherwise(0)).cast("int"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], **how) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **how) -> DataFrame:
     """docs with each row as often as its copies say; all columns stay."""
-    got = keep(rates(docs, labelled, targets, **how).where("copies > 0").select("row_id", "row_key", "copies"), "copies")
+    got = keep(rates(docs, labels, targets, **how).where("copies > 0").select("row_id", "row_key", "copies"), "copies")
     out = by_row_key(docs, got, "inner")
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    spare = "copy of " + "".join(docs.columns)  # a name that no column has
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["copies"])).alias(spare)).drop(spare)
 
 
 def clean_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The labelled table of the queries: documents labelled good and not toxic, with their language as domain."""
     good = labels.where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("of")).distinct()
-    return docs.select("doc_id", F.col("lang").alias("domain")).join(good, F.col("doc_id") == F.col("of"), "left_semi")
+    return docs.select("doc_id", F.col("lang").alias("domain")).distinct().join(good, F.col("doc_id") == F.col("of"), "left_semi")
 
 
 def query(spark, sf_dir):

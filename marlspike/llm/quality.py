@@ -7,9 +7,11 @@ documents adds little. The site rates are posterior sums, found by a few rounds
 grouped aggregates of all documents. A document's posterior is its path's rate updated by its own evidence. Quality
 and toxicity are two such targets; a document stays if it is probably good and probably not toxic.
 
-Null or empty text has the evidence of the prior alone. A null host or path is a site of its own. Equal rows get equal
-results. Without any labelled row both targets fall back to the default rates and every document stays. Labels of
-unknown documents are ignored; a document labelled twice counts twice in training.
+Null or empty text has the evidence of the prior alone. A null host or path is a site of its own, and so is one that is
+no column. Equal rows get equal results. Very long texts are described whole, as a step of their own. Without any
+labelled row both targets fall back to the default rates and every document stays; an empty table gives an empty one.
+Labels of unknown documents are ignored; labels of one document are averaged. Other columns are not read, and
+keep_good() gives them back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row_key, flat, keep, span_hashes, steps, table, with_row_key, words
+from .common import by_row_key, flat, keep, labelled, row_key, span_hashes, steps, table, words
 
-#: At most so many labelled rows train the classifier (those with the least hash of their id).
+#: About so many labelled documents train the classifier (those whose hash is under a threshold).
 SAMPLE = 8000
 BUCKETS = 1 << 18
-#: Bytes of a word's beginning that count as its stem.
+#: Bytes of a word's beginning that count as its stem, and the rest of the letter there.
 STEM = 5
 #: What every round takes off a word weight: words that tell little end at nothing.
 SPARSE = 0.015
@@ -68,7 +70,10 @@ def describe(col: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         s[:, 11] = np.bincount(own, weights=end - at, minlength=n) / safe / 10
         s[n_words == 0] = 0
         # words, and their first letters: what one stem gives in many forms is seen as one
-        stem = span_hashes(piece, at, np.minimum(end, at + STEM)) ^ np.uint64(0x5BD1E995)
+        until = np.minimum(end, at + STEM)
+        for _ in range(3):  # a letter is not split
+            until += (until < end) & ((piece[np.minimum(until, len(piece) - 1)] & 0xC0) == 0x80)
+        stem = span_hashes(piece, at, until) ^ np.uint64(0x5BD1E995)
         both = np.concatenate([h, stem]) & np.uint64(BUCKETS - 1)
         seen = np.unique(np.concatenate([own, own]).astype(np.uint64) * np.uint64(BUCKETS) + both)
         owner, bucket = (seen // np.uint64(BUCKETS)).astype(np.int64), (seen % np.uint64(BUCKETS)).astype(np.int32)
@@ -133,7 +138,7 @@ def _sampled(batches):
 
 
 def _fit(batches):
-    """All sampled rows, at most 2 * SAMPLE of them: one row a target with its base rate and weights (none if there is nothing to learn)."""
+    """All sampled rows, about 2 * SAMPLE of them at most: one row a target with its base rate and weights (none if there is nothing to learn)."""
     parts = [(np.array(b.column(0).flatten(), np.float32).reshape(-1, N_STYLE), b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy(), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)) for b in batches]
     for k, target in enumerate(("quality", "toxic")):
         rate, raw = DEFAULT[target], None
@@ -150,12 +155,11 @@ def _fit(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list, dict]:
-    """A model (or None) and the base rate for each target, from at most `sample` labelled rows that have a document.
+    """A model (or None) and the base rate for each target, from about `sample` labelled documents.
 
     One task fits the models on that sample; the driver gets the weights alone."""
-    some = labels.select(F.col("doc_id").alias("row_id"), F.col("quality").cast("double"), F.col("toxic").cast("double")).where("row_id is not null")
-    some = some.orderBy(F.xxhash64("row_id"), "row_id", "quality", "toxic").limit(sample)
-    rows = docs.join(F.broadcast(some), docs.doc_id == some.row_id).select(F.coalesce("text", F.lit("")).alias("text"), "quality", "toxic")  # bound: `sample` rows of 24 bytes
+    each = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+    rows = labelled(docs, each, sample).select("text", "quality", "toxic")
     rows = rows.mapInArrow(_sampled, "style array<float>, ids array<int>, quality double, toxic double")
     models, rates = [], {}
     for target, rate, raw in rows.repartition(1).mapInArrow(_fit, "target string, rate double, weights binary").orderBy("target").collect():
@@ -175,12 +179,17 @@ def _posterior(rate: Column, llr: str) -> Column:
 
 
 def _strength(sites: DataFrame, rate: str, total: str) -> float:
-    """Method of moments: how many documents a site's prior counts for."""
-    r = sites.select((F.col(rate) / F.col(total)).alias("x"), total).where(F.col(total) >= 5).agg(F.avg("x"), F.var_pop("x"), F.avg(1 / F.col(total)), F.count("*")).first()
-    if r[3] < 3:
-        return 20.0
-    mean, var = r[0], max(r[1] - r[0] * (1 - r[0]) * r[2], 1e-6)
-    return float(min(max(mean * (1 - mean) / var - 1, 1.0), 1000.0))
+    """Method of moments over all sites: how many documents a site's prior counts for, from 1 to 1000.
+
+    The share of the variance that lies between sites is what their spread, weighted by their documents, exceeds chance by.
+    """
+    x, n = F.col(rate) / F.col(total), F.col(total)
+    k, whole, square, mean, spread = sites.agg(F.count("*"), F.sum(n), F.sum(n * n), F.sum(F.col(rate)) / F.sum(n), F.sum(n * x * x)).first()
+    if not k:
+        return 1000.0
+    chance, room = mean * (1 - mean), whole - square / whole - (k - 1)
+    between = (spread - whole * mean * mean - (k - 1) * chance) / (chance * room) if chance * room > 1e-12 else 0.0
+    return float(min(max(1 / between - 1, 1.0), 1000.0)) if between > 1e-3 else 1000.0
 
 
 def site_rates(scored: DataFrame, rates: dict, rounds: int = 2) -> DataFrame:
@@ -208,7 +217,8 @@ def site_rates(scored: DataFrame, rates: dict, rounds: int = 2) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """row_id, row_key, host, path, p_quality, p_toxic, host and path rates, keep: one row for each row of docs."""
     models, rates = train(docs, labels, sample)
-    keyed = with_row_key(docs).select(F.col("doc_id").cast("long"), "_key", F.col("text").cast("string"), F.col(host).cast("string"), F.col(path).cast("string"))
+    site = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string") for c in (host, path)]
+    keyed = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("string"), site[0].alias("host"), site[1].alias("path"))
     scored = keep(keyed.mapInArrow(_score(models), "row_id long, row_key long, host string, path string, llr_quality double, llr_toxic double"), "evidence")
     sites = site_rates(scored, rates)
     met = scored.join(sites, scored.host.eqNullSafe(sites.site_host) & scored.path.eqNullSafe(sites.site_path), "left")
@@ -218,7 +228,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects."""
-    return by_row_key(docs, keep(judge(docs, labels).where("keep").select("row_id", "row_key").distinct(), "good-rows"), "left_semi").drop("_key")
+    return by_row_key(docs, keep(judge(docs, labels).where("keep").select("row_id", "row_key").distinct(), "good-rows"), "left_semi")
 
 
 def query(spark, sf_dir):

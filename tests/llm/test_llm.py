@@ -315,13 +315,11 @@ def test_quality_posterior_equals_numpy(spark):
                 hn[h] += v
 
             def strength(a, b):
-                k = [x for x in a if b[x] >= 5]
-                if len(k) < 3:
-                    return 20.0
-                x = np.array([a[i] / b[i] for i in k])
-                m = x.mean()
-                v = max(x.var() - m * (1 - m) * np.mean([1 / b[i] for i in k]), 1e-6)
-                return min(max(m * (1 - m) / v - 1, 1), 1000)
+                big, n, k = sum(b.values()), np.array([b[i] for i in b]), len(b)
+                r = np.array([a[i] for i in b]) / n
+                m = sum(a.values()) / big
+                over = ((n * (r - m) ** 2).sum() - (k - 1) * m * (1 - m)) / (m * (1 - m) * (big - (n**2).sum() / big - (k - 1)))
+                return min(max(1 / over - 1, 1), 1000) if over > 1e-3 else 1000
 
             every, kh, kp = sum(s.values()) / len(rows), strength(hs, hn), strength(s, n)
             host = {h: (hs[h] + kh * every) / (hn[h] + kh) for h in hs}

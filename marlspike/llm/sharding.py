@@ -8,9 +8,12 @@ way or as the receiving shard lacks: a capacity quota. After the rounds the rows
 its order, fill what others lack, so that counts differ by one at most. A shard's order keeps the rows of a unit
 together; slots number it without gaps.
 
-A unit may hold any share of all rows: its rows are spread over tasks by a hash of the document and over shards only
-by the final filling. Null and empty texts are one unit without features. Rows without doc_id are rows like others.
-Equal rows get different slots. An empty table gives no rows.
+A unit may hold any share of all rows: its rows are spread over tasks by a hash of the row's number in the table, so rows
+without doc_id or with one and the same are spread as well, and over shards only by the final filling. Null and empty
+texts are one unit without features; texts of fewer than five words link by equality alone. Very long texts are read
+whole, as a step of their own. Equal rows get different slots, ties in a shard's order go by hash. An empty table gives
+no rows. sharded() gives all columns back as they are, whatever their names: if shard or slot is taken, the new column is
+shard_2 or slot_2, and so on. The rows must come in an order that reading them again repeats, as those of a table do.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import as_signed, discard, flat, keep, lower_ascii, mix, span_hashe
 
 FEATURES, LINE, ROUNDS = 6, 1024, 4
 BINS = 16
+#: Units of over one in HOT of all rows are joined in parts; there are at most HOT of them. Lanes that one task adds up.
+HOT, STRETCH = 1000, 1024
 
 
 def _sketch(batches):
@@ -67,8 +72,9 @@ def sketches(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(_sketch, "doc_id long, unit long, size long, text_crc32 long, features array<long>")
 
 
-def _quotas(wishes: list, size: list[int], share: float, slack: float) -> dict[tuple[int, int], tuple[int, float]]:
-    """For each pair of shards the gain bin above which all may move, and the share of the bin at it.
+def _quotas(wishes: list, size: list[int], share: float, slack: float) -> dict[tuple[int, int], tuple[int, float, int]]:
+    """For each pair of shards the gain bin above which all may move, the share of the bin at it, and the rows that may
+    move in all, which no unit may exceed.
 
     What may move from a to b: what wishes to come from b to a, and what b lacks to its capacity.
     """
@@ -81,7 +87,7 @@ def _quotas(wishes: list, size: list[int], share: float, slack: float) -> dict[t
     for (a, b), bins in wish.items():
         come = sum(n for (x, y), n in every.items() if y == b)
         may = min(every[a, b], every.get((b, a), 0) + room[b] * every[a, b] / max(come, 1))
-        edge, part = BINS, 0.0
+        edge, part, quota = BINS, 0.0, int(may)
         for g in sorted(bins, reverse=True):
             if bins[g] <= may:
                 may -= bins[g]
@@ -89,7 +95,7 @@ def _quotas(wishes: list, size: list[int], share: float, slack: float) -> dict[t
             else:
                 edge, part = g, may / bins[g]
                 break
-        out[a, b] = (edge, part)
+        out[a, b] = (edge, part, quota)
     return out
 
 
@@ -121,15 +127,15 @@ def labels(rows: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = 0.
         here = F.coalesce(*[F.when(F.col("shard") == s, F.col(f"p{s}")) for s in range(shards)])
         goal = F.coalesce(*[F.when(F.col(f"p{s}") >= best, F.lit(s)) for s in range(shards)])
         gain = (best - here) / (best + F.lit(1e-9))
-        want = keep(pull.where(gain > 1e-6).where(F.col("n") <= share / 4).select("unit", "n", "shard", goal.alias("goal"), F.least(F.floor(gain * BINS), F.lit(BINS - 1)).cast("int").alias("bin")), "wishes")
+        want = keep(pull.where(gain > 1e-6).select("unit", "n", "shard", goal.alias("goal"), F.least(F.floor(gain * BINS), F.lit(BINS - 1)).cast("int").alias("bin")), "wishes")
         wishes = [tuple(r) for r in want.groupBy("shard", "goal", "bin").agg(F.sum("n")).collect()]  # at most shards ** 2 * BINS rows
         allowed = _quotas(wishes, size, share, slack)
         if not allowed:
             break
         luck = F.pmod(F.xxhash64("unit", F.lit(turn)), F.lit(1_000_000)) / 1e6
         goes = F.lit(False)
-        for (a, b), (edge, part) in allowed.items():
-            goes = goes | ((F.col("shard") == a) & (F.col("goal") == b) & ((F.col("bin") > edge) | ((F.col("bin") == edge) & (luck < part))))
+        for (a, b), (edge, part, quota) in allowed.items():
+            goes = goes | ((F.col("shard") == a) & (F.col("goal") == b) & (F.col("n") <= quota) & ((F.col("bin") > edge) | ((F.col("bin") == edge) & (luck < part))))
         moved = want.where(goes).select(F.col("unit").alias("u"), "goal")
         then = keep(now.join(moved, now.unit == moved.u, "left").select("unit", "n", F.coalesce("goal", "shard").alias("shard")), "labels")
         for old in (now, lie, want):
@@ -138,30 +144,42 @@ def labels(rows: DataFrame, shards: int, rounds: int = ROUNDS, slack: float = 0.
     return now
 
 
+def with_units(rows: DataFrame, found: DataFrame, total: int) -> DataFrame:
+    """rows (unit, number, ...) with _n and _label of their unit. Units of over total / HOT rows meet theirs in parts."""
+    large = found.where(F.col("n") > total / HOT).select(F.col("unit").alias("u1"), F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int").alias("_pieces"))
+    dealt = rows.join(F.broadcast(large), rows.unit == F.col("u1"), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64("number"), F.col("_pieces")).cast("int"), F.lit(0))).drop("u1", "_pieces")  # bound: HOT rows
+    pieces = F.when(F.col("n") > total / HOT, F.sequence(F.lit(0), F.ceil(F.col("n") * HOT / F.lit(max(total, 1))).cast("int") - 1)).otherwise(F.array(F.lit(0)))
+    f = found.select(F.col("unit").alias("u2"), F.col("n").alias("_n"), F.col("shard").alias("_label"), F.explode(pieces).alias("p2"))
+    return dealt.join(f, (F.col("unit") == F.col("u2")) & (F.col("_piece") == F.col("p2"))).drop("u2", "p2", "_piece")
+
+
 def placed(rows: DataFrame, found: DataFrame, shards: int) -> DataFrame:
-    """rows (unit and any other columns) with shard and slot: counts differ by one at most, slots have no gaps."""
+    """rows (unit, doc_id, number and any other columns) with _shard and _slot: counts differ by one at most, slots have no gaps."""
     total = found.agg(F.sum("n")).first()[0] or 0
     lanes = max(64, total // 2000)
-    f = found.select(F.col("unit").alias("u"), F.col("n").alias("_n"), F.col("shard").alias("_label"))
-    met = rows.join(f, rows.unit == f.u).drop("u")
     lane = F.pmod(F.xxhash64("unit"), F.lit(lanes))
-    part = F.when(F.col("_n") <= LINE, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.ceil(F.col("_n") / F.lit(LINE))))
+    part = F.when(F.col("_n") <= LINE, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("number", F.lit(7)), F.ceil(F.col("_n") / F.lit(LINE))))
+    met = with_units(rows, found, total).withColumn("_lane", lane).withColumn("_part", part.cast("long"))
     # how many rows each lane has, known from the units but for those in parts
-    met = met.withColumn("_lane", lane).withColumn("_part", part.cast("long"))
     small = found.where(F.col("n") <= LINE).groupBy(F.col("shard").alias("_label"), lane.alias("_lane")).agg(F.sum("n").alias("_m")).select("_label", "_lane", F.lit(0).cast("long").alias("_part"), F.lit(None).cast("long").alias("_u"), "_m")
-    large = met.where(F.col("_part") > 0).groupBy("_label", "_lane", "_part", F.col("unit").alias("_u")).agg(F.count("*").alias("_m"))
-    lanes_of = keep(small.unionByName(large), "lanes")
-    size = [0] * shards
-    for s, n in lanes_of.groupBy("_label").agg(F.sum("_m")).collect():  # one row a shard
-        size[s] = n
-    order = Window.partitionBy("_label").orderBy("_lane", "_part", "_u").rowsBetween(Window.unboundedPreceding, -1)
-    begin = lanes_of.select(F.col("_label").alias("l1"), F.col("_lane").alias("l2"), F.col("_part").alias("l3"), F.col("_u").alias("l4"), F.coalesce(F.sum("_m").over(order), F.lit(0)).alias("_begin"))
-    unit_of = F.when(F.col("_part") > 0, F.col("unit"))
-    met = met.withColumn("_pu", unit_of)
-    within = Window.partitionBy("_label", "_lane", "_part", "_pu").orderBy("unit", "doc_id")
+    many = with_units(rows.select("unit", "number"), found, total).withColumn("_lane", lane).withColumn("_part", part.cast("long"))
+    large = many.where(F.col("_part") > 0).groupBy("_label", "_lane", "_part", F.col("unit").alias("_u")).agg(F.count("*").alias("_m"))
+    lanes_of = keep(small.unionByName(large).withColumn("_stretch", F.floor(F.col("_lane") / STRETCH)), "lanes")
+    # the rows before each stretch of lanes, then before each lane and part in it
+    upto = lambda key, *order: Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    stretch = lanes_of.groupBy(F.col("_label").alias("s1"), F.col("_stretch").alias("s2")).agg(F.sum("_m").alias("_all"))
+    stretch = stretch.select("s1", "s2", F.coalesce(F.sum("_all").over(upto(["s1"], "s2")), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_m").over(upto(["_label", "_stretch"], "_lane", "_part", "_u")), F.lit(0))
+    begin = lanes_of.withColumn("_inside", inside).join(stretch, (F.col("_label") == F.col("s1")) & (F.col("_stretch") == F.col("s2")))
+    begin = begin.select(F.col("_label").alias("l1"), F.col("_lane").alias("l2"), F.col("_part").alias("l3"), F.col("_u").alias("l4"), (F.col("_before") + F.col("_inside")).alias("_begin"))
+    met = met.withColumn("_pu", F.when(F.col("_part") > 0, F.col("unit")))
+    within = Window.partitionBy("_label", "_lane", "_part", "_pu").orderBy("unit", "doc_id", "number")
     met = met.withColumn("_at", F.row_number().over(within) - 1)
     met = met.join(begin, (met._label == begin.l1) & (met._lane == begin.l2) & (met._part == begin.l3) & met._pu.eqNullSafe(begin.l4))
     place = F.col("_begin") + F.col("_at")
+    size = [0] * shards
+    for s, n in lanes_of.groupBy("_label").agg(F.sum("_m")).collect():  # one row a shard
+        size[s] = n
     fair = [total // shards + (s < total % shards) for s in range(shards)]
     at = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("_label") + 1)
     spare = [max(0, n - m) for n, m in zip(size, fair)]
@@ -175,20 +193,24 @@ def placed(rows: DataFrame, found: DataFrame, shards: int) -> DataFrame:
         slot = F.when(here, over - upto + size[s]).otherwise(slot)
         upto += lack[s]
     stays = place < at(fair)
-    out = met.withColumn("shard", F.when(stays, F.col("_label")).otherwise(shard).cast("int")).withColumn("slot", F.when(stays, place).otherwise(slot).cast("long"))
+    out = met.withColumn("_shard", F.when(stays, F.col("_label")).otherwise(shard).cast("int")).withColumn("_slot", F.when(stays, place).otherwise(slot).cast("long"))
     return out.drop("_n", "_label", "_lane", "_part", "_pu", "_at", "_begin", "l1", "l2", "l3", "l4")
 
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, unit, size, text_crc32, shard, slot of every row."""
     rows = keep(sketches(docs), "sketches")
-    return placed(rows.drop("features"), labels(rows, shards), shards)
+    out = placed(rows.drop("features").withColumn("number", F.monotonically_increasing_id()), labels(rows, shards), shards)
+    return out.select("doc_id", "unit", "size", "text_crc32", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """docs with shard and slot; all columns stay."""
     found = labels(keep(sketches(docs), "sketches"), shards)
-    return placed(docs.withColumn("unit", F.xxhash64(text_or_empty())), found, shards).drop("unit")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("unit"), F.monotonically_increasing_id().alias("number"))
+    out = placed(rows, found, shards)
+    free = lambda name: next(n for n in (name, *(f"{name}_{k}" for k in range(2, 2 + len(docs.columns) + 1))) if n not in docs.columns)
+    return out.select("row.*", F.col("_shard").alias(free("shard")), F.col("_slot").alias(free("slot")))
 
 
 def query(spark, sf_dir):

@@ -380,7 +380,19 @@ def test_sharding_hot_unit_and_odd_rows(spark):
     sizes = [len(v) for v in by.values()]
     assert sum(sizes) == df.count() and max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert sharding.assign(df.limit(0)).count() == 0
-    assert sharding.sharded(frame(spark, ODD).drop("shard", "unit")).count() == len(ODD)
+    # one id, or none, for half of all rows of a hot text: parts stay small
+    same = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(5)).cast("long").alias("doc_id"), F.lit("hot text for everyone").alias("text"))
+    rows = sharding.assign(same).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert sorted(len(v) for v in by.values()) == [500] * 8 and all(sorted(v) == list(range(500)) for v in by.values())
+
+
+def test_sharding_moves_large_units_that_fit():
+    """A unit of more than a quarter of a shard moves if the quota has room for all of it."""
+    allowed = sharding._quotas([(0, 1, 5, 300), (1, 0, 5, 100)], [600, 400], 500.0, 0.0)
+    assert allowed[0, 1][2] == 200 and allowed[1, 0][2] == 100
 
 
 # --- media ---

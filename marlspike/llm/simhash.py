@@ -5,16 +5,23 @@ at most 3 bits: the 64 bits are cut into five blocks, two fingerprints within 3
 so ten keys (one for each pair of blocks) bring every such pair together in some bucket. A bucket's fingerprints
 are sorted by Gray rank and indexed from the leaves up; an upper node holds the bits that all below it share, as a
 mask and a pattern. Pairs of nodes are descended together; the differences in the shared bits add up on the way
-down and a pair of nodes is dropped, with all below it, once they exceed 3. Buckets above a size are cut into
-chunks and every pair of chunks is compared, so that no task ever holds more than two chunks of a bucket, and
+down and a pair of nodes is dropped, with all below it, once they exceed 3.
+
+A bucket of more than CHUNK fingerprints is keyed again by the same rule: the bits that its key leaves open are cut into
+five blocks, and so on until buckets are small or at most FEW bits are open (2 ** FEW fingerprints at most). So a
+fingerprint is written ten times a level, however many stand near it, no task holds more than a slab of buckets, and
 nothing is capped.
 
-Null text counts as empty; a text without words has fingerprint zero. Equal rows share a fingerprint. Columns other
-than doc_id and text are ignored.
+Null text counts as empty; a text without words has fingerprint zero. Equal rows share a fingerprint. Very long texts are
+hashed whole. Rows without doc_id link like any other. An empty table gives no rows. Columns other than doc_id and text
+are ignored by near_duplicates(); keep_one() gives them back as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +31,9 @@ from .common import as_signed, keep, mix
 from .graph import components
 
 BITS = 3
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Rows of one bucket that are indexed together; larger buckets are cut into chunks of at most about this size.
-CHUNK = 512
+BLOCKS = 5
+#: Larger buckets are keyed again, unless so few bits are open; rows that one step indexes, and about those of a task.
+CHUNK, FEW, SLAB, TASK = 512, 8, 200_000, 1_000_000
 FAN = 8
 
 
@@ -166,69 +173,95 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def _tied(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Star edges between nodes of a bucket whose fingerprints link; keys are sorted and their buckets whole."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(first, len(key)))
+    more = np.repeat(size > 1, size)
+    key, node, fp = key[more], node[more], fp[more]
+    got_i, got_j, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, j in GrayIndex(key, fp.view(np.uint64)).pairs(BITS) if len(key) else ():
+        got_i.append(i)
+        got_j.append(j)
+        held += len(i)
+        if held > 2_000_000:  # only the forest matters
+            root = forest(len(key), np.concatenate(got_i), np.concatenate(got_j))
+            tied = np.flatnonzero(root != np.arange(len(key)))
+            got_i, got_j, held = [tied], [root[tied]], 0
+    root = forest(len(key), np.concatenate(got_i), np.concatenate(got_j))
+    tied = np.flatnonzero(root != np.arange(len(key)))
+    return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[root[tied]])], ["a", "b"])
+
+
 def _join_batches(batches):
-    """Rows (key, node, fp) of whole buckets; star edges between nodes of a bucket whose fingerprints link."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-    if parts:
-        key, node, fp = (np.concatenate(x) for x in zip(*parts))
-        # buckets in slabs, so that what one step holds is bounded by the chunk size, not by the partition
-        order = np.argsort(key, kind="stable")
-        key, node, fp = key[order], node[order], fp[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        alone = np.repeat(size == 1, size)
-        key, node, fp = key[~alone], node[~alone], fp[~alone]
-        lo = 0
-        while lo < len(key):
-            hi = min(len(key), lo + 200_000)
-            hi = int(np.searchsorted(key, key[hi - 1], "right"))
-            got_i, got_j = [], []
-            for i, j in GrayIndex(key[lo:hi], fp[lo:hi].view(np.uint64)).pairs(BITS):
-                got_i.append(i)
-                got_j.append(j)
-                if sum(map(len, got_i)) > 2_000_000:  # only the forest matters
-                    root = forest(hi - lo, np.concatenate(got_i), np.concatenate(got_j))
-                    got_i, got_j = [np.flatnonzero(root != np.arange(hi - lo))], [root[root != np.arange(hi - lo)]]
-            if got_i:
-                root = forest(hi - lo, np.concatenate(got_i), np.concatenate(got_j))
-                tied = np.flatnonzero(root != np.arange(hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(node[lo:hi][tied]), pa.array(node[lo:hi][root[tied]])], ["a", "b"])
-            lo = hi
+    """Rows (key, node, fp) sorted by key; holds a slab of whole buckets at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size >= SLAB:
+            key, node, fp = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+            if cut:
+                yield _tied(key[:cut], node[:cut], fp[:cut])
+            held, size = [[key[cut:], node[cut:], fp[cut:]]], len(key) - cut
+    if size:
+        yield _tied(*(np.concatenate(x) for x in zip(*held)))
+
+
+PAIRS = list(combinations(range(BLOCKS), 2))
+
+
+@lru_cache(None)
+def open_bits(path: int) -> tuple[int, ...]:
+    """The bits that a path of block pairs leaves open; path: 1 and a digit for each level."""
+    bits = tuple(range(64))
+    for digit in str(path)[1:]:
+        chosen = PAIRS[int(digit)]
+        bits = tuple(b for k, block in enumerate(np.array_split(bits, BLOCKS)) if k not in chosen for b in block.tolist())
+    return bits
+
+
+#: The levels after which more than FEW bits are open, whatever the path.
+LEVELS = next(k for k in range(1, 18) if max(len(open_bits(int("1" + d * k))) for d in "0123456789") <= FEW)
 
 
 def _keys(batches):
-    """(node, fp) to one row for each pair of blocks: key, node, fp."""
+    """(path, node, fp) to ten rows (key, path, node, fp), one for each pair of blocks of the open bits."""
     for batch in batches:
-        node, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-        out, tag = [], 0
-        for x in range(5):
-            for y in range(x + 1, 5):
-                tag += 1
-                bits = np.zeros(len(fp), np.uint64)
-                for low, n in (BLOCKS[x], BLOCKS[y]):
-                    bits = (bits << np.uint64(n)) | ((fp >> np.uint64(low)) & np.uint64((1 << n) - 1))
-                out.append(as_signed((np.uint64(tag) << np.uint64(40)) | bits))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.tile(node, 10)), pa.array(np.tile(fp.view(np.int64), 10))], ["key", "node", "fp"])
+        path, node, fp = (c.to_numpy() for c in batch.columns)
+        out = []
+        for p in np.unique(path).tolist():
+            at = path == p
+            kept = np.uint64((1 << 64) - 1) ^ np.uint64(sum(1 << b for b in open_bits(p)))
+            blocks = [np.uint64(sum(1 << int(b) for b in block)) for block in np.array_split(open_bits(p), BLOCKS)]
+            for k, (x, y) in enumerate(PAIRS):
+                new = 10 * p + k
+                agreed = fp[at].view(np.uint64) & (kept | blocks[x] | blocks[y])
+                out.append((as_signed(mix(agreed ^ mix(np.full(len(agreed), new, np.uint64)))), np.full(len(agreed), new), node[at], fp[at]))
+        cols = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, np.int64)] * 4
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["key", "path", "node", "fp"])
 
 
 def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """distinct: node, fp with each fp once. Returns edges a, b that join exactly the components of all links.
-
-    Buckets of more than `chunk` fingerprints are dealt as pairs of chunks: every two of its fingerprints meet in one
-    group at least, and a group holds two chunks.
-    """
-    keyed = distinct.select("node", "fp").mapInArrow(_keys, "key long, node long, fp long")
-    hot = keyed.groupBy("key").count().where(F.col("count") > chunk).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / F.lit(chunk)).cast("int").alias("parts"))
-    hot = keep(hot, "hot-buckets")
-    marked = keyed.join(hot, keyed.key == hot.hot_key, "left")
-    mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = marked.select("key", "node", "fp", "parts", mine.alias("mine"), other.alias("other"))
-    dealt = dealt.where("parts is null or mine <> other")
-    group = F.when(F.col("parts").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
-    spark = distinct.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.select(group.alias("key"), "node", "fp").repartition(n, "key").mapInArrow(_join_batches, "a long, b long").distinct()
+    """distinct: node, fp with each fp once. Returns edges a, b that join exactly the components of all links."""
+    rows = distinct.select(F.lit(1).cast("long").alias("path"), "node", "fp")
+    total, small = distinct.count() * len(PAIRS), None
+    while True:
+        keyed = rows.mapInArrow(_keys, "key long, path long, node long, fp long")
+        hot = keyed.groupBy("key", "path").count().where((F.col("count") > chunk) & (F.length(F.col("path").cast("string")) <= LEVELS)).select(F.col("key").alias("hot_key"))
+        hot = keep(hot, "hot-buckets")
+        if hot.isEmpty():
+            cool, rows = keyed, None
+        else:
+            cool = keyed.join(hot, keyed.key == hot.hot_key, "left_anti")
+            rows = keep(keyed.join(hot, keyed.key == hot.hot_key, "left_semi").select("path", "node", "fp"), "crowded")
+        small = cool.select("key", "node", "fp") if small is None else small.unionByName(cool.select("key", "node", "fp"))
+        if rows is None:
+            break
+        total += rows.count() * len(PAIRS)
+    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
+    return small.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_join_batches, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

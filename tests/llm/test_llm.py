@@ -107,6 +107,35 @@ def test_hot_buckets_lose_no_link(spark):
     assert got == want
 
 
+def test_crowded_buckets_are_keyed_again(spark):
+    """Thousands of fingerprints that agree on most bits, in several crowds: links are those of brute force, rows few."""
+    rng = random.Random(19)
+    codes = set()
+    for _ in range(3):
+        base, free = rng.getrandbits(64), rng.sample(range(64), 22)
+        codes |= {base ^ sum(1 << b for b in free if rng.random() < 0.5) for _ in range(700)}
+    codes = np.array(sorted(codes), np.uint64)
+    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 3
+    root = simhash.forest(len(codes), *np.nonzero(np.triu(near, 1)))
+    df = spark.createDataFrame(list(enumerate(codes.view(np.int64).tolist())), "node long, fp long")
+    got = {r.v: r.component for r in components(simhash.links(df, chunk=64)).collect()}
+    assert [got.get(k, k) for k in range(len(codes))] == root.tolist()
+    assert len(set(root.tolist())) < len(codes)
+
+
+def test_buckets_may_span_batches():
+    key = np.repeat(np.arange(40), 5)
+    fp = np.repeat(np.arange(40) << 20, 5) + np.tile([0, 1, 3, 7, 0xFFFF], 40)
+    rows = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 7]), pa.array(np.arange(200)[k : k + 7]), pa.array(fp[k : k + 7])], ["key", "node", "fp"]) for k in range(0, 200, 7)]
+    whole = pa.Table.from_batches(simhash._join_batches(iter(rows)))
+    was, simhash.SLAB = simhash.SLAB, 12
+    try:
+        cut = pa.Table.from_batches(simhash._join_batches(iter(rows)))
+    finally:
+        simhash.SLAB = was
+    assert sorted(map(str, whole.to_pylist())) == sorted(map(str, cut.to_pylist())) and len(whole) == 120
+
+
 def test_components_of_paths_and_loops(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.v: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

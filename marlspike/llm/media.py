@@ -1,13 +1,16 @@
 """Media columns: interleaved sequences of text and media references, resolved by digest.
 
 sequences() parses HTML into an ordered array of structs: position, kind (text or media), text, reference, digest and
-caption. A media struct's caption is its figure's caption or else its alt text; positions count both kinds, so text,
-media and captions stay aligned. store() keeps payloads under the SHA-256 of their stored form; resolve() joins the
+caption. A media struct's caption is its figure's caption, before or after it, or else its alt text; a caption without
+any media in its figure, or outside a figure, is text. Positions count both kinds, so text, media and captions stay
+aligned. What stands in script, style, template or noscript is not part of the page. store() keeps payloads under the SHA-256 of their stored form; resolve() joins the
 references with what was read back from the store.
 
 The stored form is a binary greyscale image (PGM) of 64 samples a row, 8 bits a sample; a comment in its header holds
 the number of bytes before padding. Null text or HTML counts as empty: an empty payload is one row of zeros, an empty
-page an empty sequence. References without a stored payload keep nulls. Equal payloads share one stored form.
+page an empty sequence. References without a stored payload keep nulls. Equal payloads share one stored form; equal rows
+give equal rows. Long texts and pages are held whole, one at a time in Python. Empty tables give empty tables. Only the
+key and the content column are read.
 """
 
 from __future__ import annotations
@@ -60,13 +63,18 @@ class _Parser(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        # figures that are open: where their items begin, and their captions so far
         self.items, self.words, self.silent, self.figures, self.caption = [], [], 0, [], None
 
     def flush(self):
         text = " ".join("".join(self.words).split())
         self.words = []
         if text:
-            self.items.append({"kind": "text", "text": text, "ref": None, "digest": None, "caption": None})
+            self.items.append(self.text_item(text))
+
+    @staticmethod
+    def text_item(text: str) -> dict:
+        return {"kind": "text", "text": text, "ref": None, "digest": None, "caption": None}
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
@@ -74,27 +82,47 @@ class _Parser(HTMLParser):
         if tag in self.BLOCK and self.caption is None:
             self.flush()
         if tag == "figure":
-            self.figures.append(len(self.items))
-        elif tag == "figcaption":
+            self.end_caption()
+            self.figures.append((len(self.items), []))
+        elif tag == "figcaption" and not self.silent:
+            self.end_caption()
             self.caption = []
-        elif tag in ("img", "video", "audio", "source"):
+        elif tag in ("img", "video", "audio", "source") and not self.silent:
             got = dict(attrs)
             if ref := got.get("src"):
                 digest = ref[len(MARK) :] if ref.startswith(MARK) else None
                 self.items.append({"kind": "media", "text": None, "ref": ref, "digest": digest, "caption": got.get("alt") or None})
 
+    def end_caption(self):
+        """A caption ends: it waits for the end of its figure, or is text if it has none."""
+        if self.caption is None:
+            return
+        said, self.caption = " ".join("".join(self.caption).split()), None
+        if said and self.figures:
+            self.figures[-1][1].append((len(self.items), said))
+        elif said:
+            self.items.append(self.text_item(said))
+
+    def end_figure(self):
+        begin, captions = self.figures.pop()
+        media = [item for item in self.items[begin:] if item["kind"] == "media"]
+        for item in media if captions else ():
+            item["caption"] = " ".join(said for _, said in captions)
+        if not media:
+            for at, said in reversed(captions):
+                self.items.insert(at, self.text_item(said))
+
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        if tag == "figcaption" and self.caption is not None:
-            said, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media" and said:
-                    item["caption"] = said
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_caption()
+            self.flush()
+            self.end_figure()
         elif tag in self.BLOCK and self.caption is None:
             self.flush()
-        if tag == "figure" and self.figures:
-            self.figures.pop()
 
     def handle_data(self, data):
         if not self.silent:
@@ -105,9 +133,10 @@ def parse(html: str) -> list[dict]:
     p = _Parser()
     p.feed(html)
     p.close()
-    if p.caption is not None:
-        p.words, p.caption = p.caption, None
+    p.end_caption()
     p.flush()
+    while p.figures:
+        p.end_figure()
     return [{"position": k} | item for k, item in enumerate(p.items)]
 
 

@@ -457,6 +457,18 @@ def test_interleaved_sequences(spark):
     assert media.sequences(pages).count() == pages.count()
 
 
+def test_captions_and_what_is_silent():
+    told = lambda html: [(i["text"], i["ref"], i["caption"]) for i in media.parse(html)]
+    assert told("<figure><figcaption>before</figcaption><img src=a alt=x></figure>end") == [(None, "a", "before"), ("end", None, None)]
+    assert told("x<figure><img src=a><img src=b><figcaption>both</figcaption></figure>") == [("x", None, None), (None, "a", "both"), (None, "b", "both")]
+    assert told("<figure>one<figcaption>no media</figcaption>two</figure>three") == [("one", None, None), ("no media", None, None), ("two", None, None), ("three", None, None)]
+    assert told("a<figcaption>lonely <b>words</b></figcaption>b") == [("a", None, None), ("lonely words", None, None), ("b", None, None)]
+    assert told("a<noscript><img src=n>hidden<figcaption>too</figcaption></noscript><img src=m>b") == [("a", None, None), (None, "m", None), ("b", None, None)]
+    assert told("<figure><img src=a><figcaption>open") == [(None, "a", "open")]
+    assert told("<figure><figure><img src=a></figure><figcaption>outer</figcaption></figure>") == [(None, "a", "outer")]
+    assert [i["position"] for i in media.parse("a<p>b<p>c")] == [0, 1, 2]
+
+
 # --- language-model scores ---
 
 

@@ -1,30 +1,40 @@
 """Chat formatting by schema fingerprinting, in DataFrame operations alone.
 
-A record is JSON of some layout. Its nested field paths (keys of the object, and of the objects in its arrays), sorted,
-are hashed; the hash selects a declarative mapping, which says where roles and texts lie, and the mapping's expression
-turns the record into canonical turns. The template writes a turn as [role]text</s>. Within roles and texts the
-characters ~ < [ ] are written ~0 ~1 ~2 ~3, so no text can hold a marker, and reading back is exact. The loss mask is
-the list of code-point spans of assistant texts in the formatted string.
-
-Null roles and texts are empty. A layout without a mapping gives null turns (and the record shows up with its
-fingerprint); an empty list of messages gives no turns and an empty string. Rows of one conversation are sorted by
-turn, then role, then text; rows that are equal stay apart. A conversation is one row by nature, so one conversation's
-turns meet in one task; nothing else does.
+A record is JSON of some layout. Its nested field paths (keys of the object, and of the objects in its arrays) that any
+mapping speaks of, sorted, are hashed; other keys (names, ids, dates) do not matter. The hash selects a declarative
+mapping, which says where roles and texts lie, and the mapping's expression turns the record into canonical turns.
+Optional fields may be missing; an input follows its instruction after a blank line; a content that is a list of parts is
+the text of its parts. The template writes a turn as [role]text</s>. Within roles and texts the characters ~ < [ ] are
+written ~0 ~1 ~2 ~3, so no text can hold a marker, and reading back is exact. The loss mask is the list of code-point
+spans of assistant texts in the formatted string.
+
+Null roles and texts are empty. A record without a mapping has null turns and layout, keeps its schema_hash, and says in
+problem why: "no object" or "no mapping". An empty list of messages gives no turns and an empty string. Rows of one
+conversation are sorted by turn, then role, then text; rows that are equal stay apart. Very long texts are one string in
+memory, as in any Spark row. An empty table gives an empty one. A conversation is one row by nature, so one
+conversation's turns meet in one task; nothing else does. canonical() and formatted() keep other columns; layout,
+problem, schema_hash, turns, formatted and loss_mask replace columns of these names. digests() reads only its four columns.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
-#: Layouts: the field paths, and where the turns come from: a list with its role and text fields, or (role, path) pairs.
+#: Layouts: where the turns come from: a list with its role and text fields, or a role and the fields of its text for each
+#: turn; optional: fields that may be missing.
 LAYOUTS = {
-    "messages": {"paths": ["messages", "messages[].content", "messages[].role"], "list": "messages", "role": "role", "text": "content"},
-    "shares": {"paths": ["conversations", "conversations[].from", "conversations[].value"], "list": "conversations", "role": "from", "text": "value"},
-    "prompt": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
-    "instruction": {"paths": ["instruction", "output", "system"], "turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")]},
+    "messages": {"list": "messages", "role": "role", "text": "content", "optional": ["system"]},
+    "shares": {"list": "conversations", "role": "from", "text": "value", "optional": ["system"]},
+    "prompt": {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])], "optional": ["system"]},
+    "completion": {"turns": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["completion"])], "optional": ["system"]},
+    "instruction": {"turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["output"])], "optional": ["system", "input"]},
+    "instruction response": {"turns": [("system", ["system"]), ("user", ["instruction", "input"]), ("assistant", ["response"])], "optional": ["system", "input"]},
+    "question": {"turns": [("system", ["system"]), ("user", ["question"]), ("assistant", ["answer"])], "optional": ["system"]},
 }
 TURNS = "array<struct<role:string,text:string>>"
 ESCAPES = (("~", "~0"), ("<", "~1"), ("[", "~2"), ("]", "~3"))
@@ -73,41 +83,75 @@ def _empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def _turn(role: str, text: str):
-    return lambda m: F.struct(_empty(m[role]).alias("role"), _empty(m[text]).alias("text"))
+def _fields(how: dict) -> list[str]:
+    """The paths of a layout, optional ones last."""
+    told = [how["list"], f"{how['list']}[].{how['role']}", f"{how['list']}[].{how['text']}"] if "list" in how else [p for _, fields in how["turns"] for p in fields]
+    return [p for p in told if p not in how["optional"]] + how["optional"]
+
+
+#: All paths that some mapping speaks of.
+KNOWN = sorted({p for how in LAYOUTS.values() for p in _fields(how)})
+
+
+def _parts(raw: Column, kind: Column) -> Column:
+    """The text of a content: itself, or that of its parts if it is a list (kind: its variant's schema)."""
+    objects = F.transform(F.from_json(raw, "array<struct<text:string>>"), lambda p: p["text"])
+    return F.when(kind.startswith("ARRAY<STRING"), F.array_join(F.from_json(raw, "array<string>"), "")).when(kind.startswith("ARRAY<OBJECT"), F.array_join(objects, "")).otherwise(_empty(raw))
+
+
+def _listed(record: Column, how: dict) -> Column:
+    shape = f"struct<`{how['list']}`:array<struct<`{how['role']}`:string,`{how['text']}`:string>>>"
+    entries = F.try_variant_get(F.try_parse_json(record), f"$.{how['list']}", "array<variant>")
+
+    def turn(m, i):
+        kind = _empty(F.schema_of_variant(F.try_variant_get(F.get(entries, i), f"$.{how['text']}", "variant")))
+        return F.struct(_empty(m[how["role"]]).alias("role"), _parts(m[how["text"]], kind).alias("text"))
+
+    return F.transform(F.from_json(record, shape)[how["list"]], turn)
+
+
+def _mappings(record: Column):
+    """(layout, the hash that selects it, the turns) for each layout and choice of its optional fields."""
+    for name, how in LAYOUTS.items():
+        for n in range(len(how["optional"]) + 1):
+            for some in combinations(how["optional"], n):
+                paths = [p for p in _fields(how) if p not in how["optional"] or p in some]
+                got = lambda fields: F.from_json(record, "struct<" + ",".join(f"`{p}`:string" for p in fields) + ">")
+                if "list" in how:
+                    turns = _listed(record, how)
+                    if "system" in some:
+                        turns = F.concat(F.array(F.struct(F.lit("system").alias("role"), _empty(got(["system"])["system"]).alias("text"))), turns)
+                    # a list without entries shows only its own key
+                    yield name, fingerprint(F.array(*map(F.lit, sorted(p for p in paths if "[]" not in p)))), turns
+                else:
+                    known = [(role, [p for p in fields if p in paths]) for role, fields in how["turns"]]
+                    held = got([p for _, fields in known for p in fields])
+                    said = lambda fields: F.array_join(F.filter(F.array(_empty(held[fields[0]]), *[F.nullif(held[p], F.lit("")) for p in fields[1:]]), lambda t: t.isNotNull()), "\n\n")
+                    turns = F.array(*[F.struct(F.lit(role).alias("role"), said(fields).alias("text")) for role, fields in known if fields])
+                yield name, fingerprint(F.array(*map(F.lit, sorted(paths)))), turns
 
 
 def canonical(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds layout (null if unknown), schema_hash and turns to records with a JSON column."""
-    named = records.withColumn("schema_hash", fingerprint(field_paths(F.col(record))))
+    """Adds layout (null if unknown), problem, schema_hash (of all paths) and turns to records with a JSON column."""
+    paths = field_paths(F.col(record))
+    core = fingerprint(F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, KNOWN)))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, how in LAYOUTS.items():
-        # a list without entries shows only its own key
-        hashes = [fingerprint(F.array(*[F.lit(p) for p in sorted(how["paths"])]))]
-        if "list" in how:
-            hashes.append(fingerprint(F.array(F.lit(how["list"]))))
-            kind = f"struct<{how['list']}:array<struct<{how['role']}:string,{how['text']}:string>>>".replace("from:", "`from`:")
-            # from_json takes a field once; the shape follows the mapping
-            got = F.from_json(F.col(record), kind)[how["list"]]
-            value = F.transform(got, _turn(how["role"], how["text"]))
-        else:
-            got = F.from_json(F.col(record), "struct<" + ",".join(f"{path}:string" for _, path in how["turns"]) + ">")
-            value = F.array(*[F.struct(F.lit(role).alias("role"), _empty(got[path]).alias("text")) for role, path in how["turns"]])
-        match = F.col("schema_hash").isin([])
-        for h in hashes:
-            match = match | (F.col("schema_hash") == h)
+    spare = unused(records)
+    named = records.withColumns({"schema_hash": fingerprint(paths), spare: core})
+    for name, wanted, value in _mappings(F.col(record)):
+        match = named[spare] == wanted
         layout, turns = F.when(match, F.lit(name)).otherwise(layout), F.when(match, value).otherwise(turns)
-    return named.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS))
+    problem = F.when(F.col("schema_hash").isNull(), "no object").when(F.col("layout").isNull(), "no mapping")
+    return named.withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).withColumn("problem", problem).drop(spare)
 
 
 def formatted(records: DataFrame) -> DataFrame:
     """Adds formatted (the template's string) and loss_mask (spans of assistant texts: start, length in code points)."""
     pieces = F.transform("turns", lambda t: F.struct(F.concat(F.lit("["), escape(t["role"]), F.lit("]")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
-    out = records.withColumn("_pieces", pieces)
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    text = F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
     spans = F.aggregate(
-        "_pieces",
+        pieces,
         start,
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
@@ -115,7 +159,7 @@ def formatted(records: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    return out.withColumn("formatted", text).withColumn("loss_mask", spans).drop("_pieces")
+    return records.withColumns({"formatted": text, "loss_mask": spans})
 
 
 def read_back(text: Column) -> Column:

@@ -74,6 +74,11 @@ def kept_bytes(df: DataFrame) -> int:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
 
 
+def unused(df: DataFrame) -> str:
+    """A name that no column of df has."""
+    return "_" * (1 + max(map(len, df.columns), default=0))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -622,6 +622,32 @@ def test_layouts(spark):
     assert got[0].formatted == "[user]hi ~00 ~1~2~3> ~1/s>~2INST~3</s>[assistant]</s>"
 
 
+def test_more_layouts(spark):
+    import json
+
+    text = lambda *parts: [{"type": "text", "text": p} for p in parts]
+    records = [
+        ({"id": 7, "messages": [{"role": "user", "name": "x", "content": "hi"}, {"role": "assistant", "content": "yo", "ts": 1}]}, "messages", [("user", "hi"), ("assistant", "yo")]),
+        ({"messages": [{"role": "user", "content": text("a", "b") + [{"type": "image_url", "image_url": {"url": "u"}}]}, {"role": "assistant", "content": "[\"c\"]"}]}, "messages", [("user", "ab"), ("assistant", "[\"c\"]")]),
+        ({"messages": [{"role": "user", "content": ["p", "q"]}]}, "messages", [("user", "pq")]),
+        ({"system": "s", "conversations": [{"from": "user", "value": "v"}]}, "shares", [("system", "s"), ("user", "v")]),
+        ({"instruction": "i", "input": "more", "output": "o"}, "instruction", [("user", "i\n\nmore"), ("assistant", "o")]),
+        ({"instruction": "i", "input": "", "output": "o", "source": "z"}, "instruction", [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "output": None}, "instruction", [("user", "i"), ("assistant", "")]),
+        ({"instruction": "i", "response": "r"}, "instruction response", [("user", "i"), ("assistant", "r")]),
+        ({"prompt": "p", "completion": "c", "meta": {"a": [1]}}, "completion", [("user", "p"), ("assistant", "c")]),
+        ({"question": "q", "answer": "a", "system": "be"}, "question", [("system", "be"), ("user", "q"), ("assistant", "a")]),
+        ({"system": "s", "messages": []}, "messages", [("system", "s")]),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)] + [(98, '{"x": 1}'), (99, "no json"), (97, None), (96, "[1]")], "id long, record string")
+    out = chat.formatted(chat.canonical(df)).withColumn("back", chat.read_back(F.col("formatted")))
+    got = {r.id: r for r in out.collect()}
+    for k, (_, layout, turns) in enumerate(records):
+        assert (got[k].layout, got[k].problem) == (layout, None)
+        assert [(t.role, t.text) for t in got[k].turns] == turns == [(t.role, t.text) for t in got[k].back]
+    assert [(got[k].turns, got[k].problem) for k in (98, 99, 97, 96)] == [(None, "no mapping"), (None, "no object"), (None, "no object"), (None, "no object")]
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 0, None, None), (1, 1, "assistant", "🙂 ~~ [x]"), (1, 1, "assistant", "🙂 ~~ [x]"), (2, 0, "assistant", ""), (None, 0, "user", "n"), (3, None, "user", "q")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))
@@ -761,6 +787,64 @@ def test_secrets_odd_rows(spark):
     assert secretscan.scan(df.limit(0)).count() == 0
 
 
+# --- columns of any name, repeated and missing ids, empty tables ---
+
+INNER = "_at _begin _copy _core _doc _id _key _label _lane _m _n _part _pieces _pu _u a again b begin bucket component copies core crf deal digest doc domain edits f features fp goal gain hash hot_key host id in_row item item_id items key known l1 l2 l3 l4 label layout media n n_rows n_tokens node number of p0 p1 path payload place problem quality rare rate record row row_id row_key s0 s1 s2 schema_hash shard site_host size slot spans told toxic turn turns u unit v w0 word".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts with null and repeated ids under all names that operators use inside, with values to follow."""
+    texts = ODD + ["good words in a row " * 9, "good words in a row " * 9, 'token = "0123456789abcdef0123456789abcdef"', "<p>not html", None, None]
+    ids = [*range(len(ODD)), 3, 3, None, None, None, None]
+    df = spark.createDataFrame([(d, t, "en" if d else None, "s", 1) for d, t in zip(ids, texts)], SCHEMA)
+    return df.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.xxhash64("text").cast("string"), F.lit("none"))) for c in INNER})
+
+
+def rows_of(df, columns):
+    return sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def lab_of(spark):
+    return spark.createDataFrame([(k, k % 2, k % 3 == 0) for k in range(12)] * 2, "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+
+
+FILTERS = {
+    "quality": lambda spark, df: quality.keep_good(df, lab_of(spark)), "unique": lambda spark, df: simhash.keep_one(df),
+    "clean": lambda spark, df: decontam.decontaminate(df, spark.createDataFrame([(1, "same text here for all")], "item_id long, text string")),
+    "mixed": lambda spark, df: mixing.mixed(df, spark.createDataFrame([(9, "en"), (6, "de")], "doc_id long, domain string"), {"en": 1.0, "de": 1.0}, at_least=1.0),
+    "sharded": lambda spark, df: sharding.sharded(df).drop("shard_2", "slot_2"),
+}
+REPORTS = {
+    "judge": lambda spark, df: quality.judge(df, lab_of(spark)), "near": lambda spark, df: simhash.near_duplicates(df), "assign": lambda spark, df: sharding.assign(df),
+    "media": lambda spark, df: media.document_media(df), "scores": lambda spark, df: lmscore.scores(df), "scan": lambda spark, df: secretscan.scan(df),
+    "pages": lambda spark, df: media.sequences(df, "doc_id", "text"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_columns_of_any_name_survive(spark, odd, name):
+    out = FILTERS[name](spark, odd)
+    assert out.columns == odd.columns
+    got = rows_of(out, odd.columns)
+    have = rows_of(odd, odd.columns)
+    assert got and set(got) <= set(have)
+    if name == "sharded":
+        assert got == have
+    if name == "mixed":
+        assert set(got) == set(have)
+    assert FILTERS[name](spark, odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_reports_have_a_row_for_each(spark, odd, name):
+    out = REPORTS[name](spark, odd).collect()
+    assert len(out) == 19
+    key = next(c for c in ("doc_id", "row_id", "id") if c in out[0].__fields__)
+    assert sorted(str(r[key]) for r in out) == sorted(str(r.doc_id) for r in odd.select("doc_id").collect())
+    assert REPORTS[name](spark, odd.limit(0)).count() == 0
+
+
 # --- queries and the pipeline ---
 
 

@@ -106,14 +106,17 @@ def contexts(h: np.ndarray, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward(weights, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden state and log-probabilities of the classes for each position."""
+def forward(weights, context: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden state and log-probabilities of the classes for each position.
+
+    exact: products are summed in double precision, so that a position's result does not hang on its place in the batch.
+    """
     tables, out, bias = parts(weights)
     h = tables[0][context[0]]
     for k in range(1, len(OFFSETS)):
         h = h + tables[k][context[k]]
     np.tanh(h, out=h)
-    z = h @ out + bias
+    z = (h.astype(np.float64) @ out.astype(np.float64) + bias).astype(h.dtype) if exact else h @ out + bias
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return h, z
@@ -129,7 +132,7 @@ def gradient(weights, context: np.ndarray, target: np.ndarray) -> tuple[list, np
     dh = (d @ out.T) * (1 - h * h)
     rows = []
     for k in range(len(OFFSETS)):
-        order = np.argsort(context[k], kind="stable")
+        order = np.argsort(context[k].astype(np.int16), kind="stable")  # few values: a radix sort
         ids = context[k][order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         rows.append((ids[first], np.add.reduceat(dh[order], first, axis=0)))
@@ -270,8 +273,6 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
 
 
 def _score(weights: np.ndarray, vocab: Vocabulary):
-    weights = weights.astype(np.float64)  # with rounded sums equal texts get equal scores wherever they stand
-
     def run(batches):
         first = TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
         for batch in batches:
@@ -283,7 +284,7 @@ def _score(weights: np.ndarray, vocab: Vocabulary):
                 gain = np.empty(len(h))
                 for k in range(0, len(h), BATCH):
                     s = slice(k, k + BATCH)
-                    logp = forward(weights, context[:, s])[1]
+                    logp = forward(weights, context[:, s], True)[1]
                     gain[s] = logp[np.arange(len(y[s])), y[s]]
                 gain += vocab.within[rank]
                 total[lo : lo + rows] = np.bincount(own, weights=gain, minlength=rows)

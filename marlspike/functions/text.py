@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions; everything but compatibility normalisation stays in the JVM."""
+"""Scalar text functions as Column expressions; all but texts that compatibility form may change stays in the JVM."""
 
 from __future__ import annotations
 
@@ -44,15 +44,13 @@ def utf16_length(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
-def normalised(df: DataFrame, column: str) -> DataFrame:
-    """df with column in compatibility form (NFKC). Rows that cannot change never leave the JVM."""
+def nfkc(c: Column) -> Column:
+    """A text in compatibility form. Text that cannot change stays in the JVM: a null goes to Python in its place."""
     @F.pandas_udf("string")
-    def nfkc(s: pd.Series) -> pd.Series:
+    def changed(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    stable = F.coalesce(F.col(column).rlike(STABLE), F.lit(True))
-    rest = df.where(~stable).withColumn(column, nfkc(column))
-    return df.where(stable).unionByName(rest)
+    return F.coalesce(changed(F.when(~c.rlike(STABLE), c)), c)
 
 
 def sha(c: Column) -> Column:
@@ -87,8 +85,8 @@ def has_cjk(c: Column) -> Column:
 
 
 def ngrams(c: Column) -> Column:
-    """The distinct grams of a (normalised) text: 2- and 3-character grams of CJK runs, trigrams of other tokens."""
-    low = F.lower(c)
+    """The distinct grams of a text in compatibility form: 2- and 3-character grams of CJK runs, trigrams of other tokens."""
+    low = F.lower(nfkc(c))
     cut = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
     none = F.array().cast("array<string>")
     runs = F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0))
@@ -99,7 +97,7 @@ def ngrams(c: Column) -> Column:
 
 
 def identifier(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]", "")
+    return F.regexp_replace(F.lower(nfkc(c)), r"[^\p{L}\p{N}_]", "")
 
 
 def query_phrases(c: Column) -> Column:
@@ -127,11 +125,11 @@ def lines(c: Column) -> Column:
 
 
 def chunk_starts(line_array: Column, limit: int = CHUNK_CHARS) -> Column:
-    """0-based first lines of greedy chunks: a line joins while the characters, counting line ends, stay within the limit."""
+    """0-based first lines of greedy chunks: a line joins while the UTF-16 units, counting line ends, stay within the limit."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, line):
-        size = F.length(line) + 1
+        size = F.when(F.octet_length(line) == F.length(line), F.length(line)).otherwise(utf16_length(line)) + 1
         fits = (acc["i"] > 0) & (acc["n"] + size <= limit)
         return F.struct(F.when(fits, acc["n"] + size).otherwise(size).alias("n"), (acc["i"] + 1).alias("i"), F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"))
 
@@ -161,8 +159,8 @@ def trim_all(c: Column) -> Column:
 
 
 def candidate_text(c: Column) -> Column:
-    """The form that fingerprints compare (compatibility form is the caller's, see normalised)."""
-    return trim_all(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """The form that fingerprints compare."""
+    return trim_all(F.regexp_replace(F.lower(nfkc(c)), r"\s+", " "))
 
 
 def candidate_fingerprint(path: Column, kind: Column, text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..store import settled
 
 # Extensions tried for a relative import, in order.
 IMPORT_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
@@ -82,7 +83,7 @@ def neighbours(found: DataFrame, symbols: DataFrame, seed: str, depth: int = 1,
     """
     limit, depth = max(10, min(150, limit)), max(1, min(2, depth))
     links = found.where("from_id is not null and target_id is not null").select(F.col("id").alias("rel"), F.col("from_id").alias("a"), F.col("target_id").alias("b"))
-    both = links.unionByName(links.select("rel", F.col("b").alias("a"), F.col("a").alias("b")))
+    both = settled(links.unionByName(links.select("rel", F.col("b").alias("a"), F.col("a").alias("b"))))  # each hop reads it
     if seed.startswith("file:"):
         degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
         near = symbols.where(F.col("path") == seed[5:]).select("id").join(degree, "id", "left").orderBy(F.desc(F.coalesce("degree", F.lit(0))), "id").limit(min(30, limit)).select("id")
@@ -93,7 +94,7 @@ def neighbours(found: DataFrame, symbols: DataFrame, seed: str, depth: int = 1,
         front = got.where(F.col("hop") == hop - 1).select(F.col("id").alias("a"))
         fresh = both.join(front, "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min(F.col("rel").cast("string")).alias("via"))
         fresh = fresh.join(got.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "via")
-        got = got.unionByName(fresh)
+        got = settled(got.unionByName(fresh))
     order = Window.orderBy("hop", "via", "id")
     return got.orderBy("hop", "via", "id").limit(limit).withColumn("place", F.row_number().over(order)).select("id", "hop", "place")
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import context, graph, health, ingest, lifecycle, metrics, search
+from .operators import context, graph, health, index, ingest, lifecycle, metrics, search
 from .plans import inputs as I
 from .sources import files, vcs
+from .store import settled
 from .streaming import debounce
 
 QUERIES, ORACLES = {}, {}
@@ -67,7 +68,8 @@ def ngram_search(spark, sf_dir):
 )
 def fts_bm25_topk(spark, sf_dir):
     c = ingest.chunks(I.sources(spark, sf_dir)).withColumn("id", F.concat("path", F.lit(":"), F.col("start_line").cast("string")))
-    return search.lexical_top(c, "chunk", I.queries(spark, sf_dir), 20).select("query_id", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+    weights = search.WEIGHTS["chunk"]
+    return search.lexical_top(search.postings(c, weights), search.lengths(c, weights), "chunk", I.queries(spark, sf_dir), 20).select("query_id", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
 _HYBRID = (
@@ -105,7 +107,9 @@ _HYBRID = (
 @query(_HYBRID)
 def hybrid_search(spark, sf_dir):
     c = ingest.chunks(I.sources(spark, sf_dir)).withColumn("id", F.concat("path", F.lit(":"), F.col("start_line").cast("string")))
-    out = search.hybrid(c.select("id", "path", "content"), I.memories(spark, sf_dir), I.symbols(spark, sf_dir), I.relations(spark, sf_dir), I.queries(spark, sf_dir, more=True), 20)
+    kinds = {"chunk": settled(c.select("id", "path", "content")), "memory": settled(I.memories(spark, sf_dir)), "symbol": settled(I.symbols(spark, sf_dir))}
+    stored = {t: settled(df) for t, df in index.entries(kinds).items()}
+    out = search.hybrid(*kinds.values(), I.relations(spark, sf_dir), I.queries(spark, sf_dir, more=True), 20, stored)
     return out.withColumn("score", F.round("score", 6))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import schemas as S
 from .functions import text as T
-from .operators import context, graph, health, ingest, lifecycle, search
+from .operators import context, graph, health, index, ingest, lifecycle, search
 from .sources import code, files, vcs
 from .store import Store
 from .streaming import debounce
@@ -288,10 +288,36 @@ class Workspace:
 
     # --- search and graph ---
 
+    def _kinds(self, project: str) -> dict[str, DataFrame]:
+        return {k: self.table(project, n) for k, n in (("chunk", "chunks"), ("memory", "memories"), ("symbol", "symbols"))}
+
+    def search_update(self, project: str) -> int:
+        """Brings the stored index up to date; how many items were derived anew."""
+        store, kinds = self._store(project), self._kinds(project)
+        have = {t: store.read(f"index_{t}", schema) for t, schema in index.SCHEMAS.items()}
+        fresh, gone = (df.cache() for df in index.difference(have["items"], kinds))
+        n = fresh.count()
+        if n or not gone.isEmpty():
+            for t, df in index.updated(have, kinds, fresh, gone).items():
+                store.write(f"index_{t}", df, partitions=index.PARTITIONS[t])
+        fresh.unpersist()
+        gone.unpersist()
+        return n
+
+    def search_rebuild(self, project: str) -> int:
+        """Derives the stored index anew from all items."""
+        store, made = self._store(project), index.entries(self._kinds(project))
+        for t, df in made.items():
+            store.write(f"index_{t}", df, partitions=index.PARTITIONS[t])
+        return store.read("index_items", index.SCHEMAS["items"]).count()
+
     def project_search(self, project: str, query: str, limit: int = 20) -> DataFrame:
-        t = {n: self.table(project, n) for n in ("chunks", "memories", "symbols", "relations")}
+        """Over the stored index, which is brought up to date first: a comparison of digests if nothing has changed."""
+        self.search_update(project)
+        t, store = {n: self.table(project, n) for n in ("chunks", "memories", "symbols", "relations")}, self._store(project)
+        stored = {n: store.read(f"index_{n}", schema) for n, schema in index.SCHEMAS.items()}
         q = self.spark.createDataFrame([(0, query)], "query_id long, query string")
-        return search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], q, max(1, min(limit, 100))).drop("query_id")
+        return search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], q, max(1, min(limit, 100)), stored).drop("query_id")
 
     def _resolved(self, project: str) -> DataFrame:
         r = self.table(project, "relations")

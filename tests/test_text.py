@@ -28,7 +28,7 @@ def test_ngrams(spark, text, grams):
 def test_normalised_only_where_needed(spark):
     rows = ["plain", "café", "ﬁne ①", None, "é"]
     df = spark.createDataFrame([(r,) for r in rows], "t string")
-    got = {r.t for r in T.normalised(df, "t").collect()}
+    got = {r.t for r in df.select(T.nfkc(F.col("t")).alias("t")).collect()}
     assert got == {None if r is None else unicodedata.normalize("NFKC", r) for r in rows}
 
 
@@ -86,10 +86,29 @@ def test_bm25_equals_full_text_search(spark):
     db.executemany("INSERT INTO f VALUES (?, ?, ?)", rows)
     items = spark.createDataFrame(rows, "id string, path string, content string")
     q = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    got = {(r.query_id, r.id): r.bm25 for r in search.bm25(items, {"path": 2.0, "content": 1.0}, q).collect()}
+    weights = {"path": 2.0, "content": 1.0}
+    got = {(r.query_id, r.id): r.bm25 for r in search.bm25(search.postings(items, weights), search.lengths(items, weights), q).collect()}
     want = {}
     for k, text in enumerate(asked):
         match = " OR ".join(f'"{p}"' for p in text.split())
         want |= {(k, i): s for i, s in db.execute("SELECT id, bm25(f, 0, 2, 1) FROM f WHERE f MATCH ?", (match,))}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_compatibility_forms(spark):
+    """Full-width and composed forms are found, named and fingerprinted like their plain ones; Latin text is left alone."""
+    rows = [("ｒｅｆｒｅｓｈ　Ｔｏｋｅｎ", "refresh Token"), ("ｶﾀｶﾅ", "カタカナ"), ("ﬁle №5", "file No5"), ("plain ascii", "plain ascii"), ("é ñ ß", "é ñ ß"), ("①②", "12")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    same = lambda f: [r[0] for r in df.select(f(F.col("a")).eqNullSafe(f(F.col("b")))).collect()]
+    for f in (T.ngrams, T.identifier, T.candidate_text, lambda c: T.candidate_fingerprint(F.lit("p"), F.lit("k"), c)):
+        assert all(same(f))
+    assert [r[0] for r in df.select(T.nfkc(F.col("a"))).collect()] == [b for _, b in rows]
+    assert spark.createDataFrame([(None,)], "a string").select(T.nfkc(F.col("a"))).first()[0] is None
+
+
+def test_chunks_count_utf16_units(spark):
+    line = "🙂" * 1999  # 3998 units and a line end
+    df = spark.createDataFrame([(f"{line}\nab",), ("🙂" * 1000 + "\n" + "é" * 2000,), ("x" * 1999 + "\n" + "é" * 1999,)], "content string")
+    got = [r[0] for r in df.select(T.chunk_starts(T.lines(F.col("content")))).collect()]
+    assert got == [[0, 1], [0, 1], [0]]

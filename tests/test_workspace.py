@@ -105,3 +105,27 @@ def test_sealed_backup_and_watch(project, tmp_path):
     w.watch_flush(p)
     w.watch_stop(p)
     assert w.watch_list() == [] and not w.table(p, "sources").where("path = 'new.md'").isEmpty()
+
+
+def test_stored_index(project):
+    """Updates derive only what changed, equal a rebuild, and find what a search without an index finds."""
+    from marlspike.operators import index, search
+
+    w, p, root = project
+    w.search_update(p)
+    assert w.search_update(p) == 0
+    (root / "docs.md").write_text("Ｒｅｆｒｅｓｈ tokens, spelled in full width, and a zebra.")
+    w.project_index(p, NO_VCS)
+    assert w.search_update(p) == 1
+    assert "docs.md" in [r.path for r in w.project_search(p, "zebra").join(w.table(p, "chunks"), "id").collect()]
+    rows = lambda: {t: sorted(map(tuple, w._store(p).read(f"index_{t}", s).collect())) for t, s in index.SCHEMAS.items()}
+    stepwise = rows()
+    w.search_rebuild(p)
+    assert stepwise == rows() and stepwise["grams"] and stepwise["postings"]
+    q = w.spark.createDataFrame([(0, "refresh token")], "query_id long, query string")
+    t = {n: w.table(p, n) for n in ("chunks", "memories", "symbols", "relations")}
+    plain = search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], q, 20).drop("query_id")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, w.project_search(p, "refresh token").collect()))
+    (root / "docs.md").unlink()
+    w.project_index(p, NO_VCS)
+    assert w.search_update(p) == 0 and not [r for r in rows()["postings"] if r[6] == "zebra"]

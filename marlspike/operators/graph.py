@@ -121,12 +121,18 @@ def search(symbols: DataFrame, sources: DataFrame, query: str, limit: int = 20)
 
 
 def node_details(symbols: DataFrame, relations: DataFrame, ids: DataFrame, limit: int = 20) -> DataFrame:
-    """id, side (out or in), place, relation: of each symbol the first relations out of it by line, and those that name it."""
+    """id, side (out or in), place, relation: of each symbol the first relations out of it by line, and those that name it.
+
+    Relations are cut to the first of each name before they meet the symbols of that name, so that a name which many
+    symbols and relations share does not make a row of each pair.
+    """
     want = symbols.join(ids.select("id"), "id", "left_semi").select("id", "name", "qualified_name")
     r = relations.select(F.col("id").alias("rel"), "from_id", "to_name", "path", "start_line")
     out = want.join(r, want.id == r.from_id).select(want.id, F.lit("out").alias("side"), "rel", F.lit("").alias("p"), "start_line")
+    first = Window.partitionBy("to_name").orderBy("path", "start_line", "rel")
+    named = r.drop("from_id").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
     names = want.select("id", F.explode(F.array_distinct(F.array("name", "qualified_name"))).alias("to_name"))
-    into = names.join(r.drop("from_id"), "to_name").select("id", F.lit("in").alias("side"), "rel", F.col("path").alias("p"), "start_line")
+    into = names.join(named, "to_name").select("id", F.lit("in").alias("side"), "rel", F.col("path").alias("p"), "start_line")
     order = Window.partitionBy("id", "side").orderBy("p", "start_line", "rel")
     return out.unionByName(into).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "side", "place", F.col("rel").alias("relation"))
 

@@ -37,7 +37,7 @@ def values(data: list[tuple], name: str, columns: str) -> str:
             return repr(v)
         if isinstance(v, list):
             return "[" + ", ".join(map(lit, v)) + "]::VARCHAR[]"
-        return "'" + v.replace("'", "''") + "'"
+        return "'" + v.replace("'", "''").replace("\0", "' || chr(0) || '") + "'"
 
     return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in data) + ")"
 

@@ -6,6 +6,7 @@ A query is (Spark callable, SQL or None). Small cases that the tables lack come
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import text as T
 from .operators import context, graph, health, index, ingest, lifecycle, metrics, search
@@ -172,7 +173,7 @@ def removed_sources(spark, sf_dir):
 
 _FILES = [
     ("README.md", "plain", 5), ("src/.env", "A=1", 3), ("a/.ssh/config", "x", 1), ("k.PEM", "x", 1), ("lib/x.o", "x", 1), ("logo.PNG", "x", 1), ("conf/app.yaml", "a: 1", 4), ("m.d", "main.o : main.c util.h", 20),
-    ("real.d", "module real;", 12), ("big.txt", "x", 1000001), ("nul.txt", "a\tb", 3), ("s.ts", 'const password = "abcdefghijklmnop1234";', 40), ("s2.ts", "api_key: short", 14), ("key.txt", "-----BEGIN RSA PRIVATE KEY-----", 31),
+    ("real.d", "module real;", 12), ("big.txt", "x", 1000001), ("nul.txt", "a\0b", 3), ("s.ts", 'const password = "abcdefghijklmnop1234";', 40), ("s2.ts", "api_key: short", 14), ("key.txt", "-----BEGIN RSA PRIVATE KEY-----", 31),
     (".gitignore", "x", 1), ("Makefile", "all:", 4), (".env.local", "x", 1), ("x.tar.gz", "x", 1),
 ]
 _EXT = "lower(regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]*)$', 1))"
@@ -190,7 +191,7 @@ _SECRET = r"""(regexp_matches(content, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE
     + f"""SELECT path, CASE WHEN {_EXT} IN {_in(T.DOCUMENT_EXTENSIONS)} THEN 'document' WHEN {_EXT} IN {_in(T.CONFIG_EXTENSIONS)} THEN 'config' ELSE 'code' END AS kind,
  lower(regexp_extract(path, '[^/]*$')) IN {_in(files.SECRET_NAMES)} OR starts_with(lower(regexp_extract(path, '[^/]*$')), '.env.') OR {_EXT} IN {_in(files.SECRET_EXTENSIONS)} OR contains(lower(path), '/.ssh/') AS is_sensitive,
  {_EXT} NOT IN {_in(files.BINARY_EXTENSIONS + files.GENERATED_EXTENSIONS)} AS is_text,
- CASE WHEN size_bytes > 1000000 THEN 'size' WHEN {_EXT} = '.d' AND regexp_matches(content[1:16384], '(?im)(?:^|\\n)[^\\r\\n:]*\\.(?:o|obj)\\s*:\\s*\\S') THEN 'generated' WHEN {_SECRET} THEN 'secret' END AS skip_reason FROM every"""
+ CASE WHEN size_bytes > 1000000 THEN 'size' WHEN contains(content, chr(0)) THEN 'binary' WHEN {_EXT} = '.d' AND regexp_matches(content[1:16384], '(?im)(?:^|\\n)[^\\r\\n:]*\\.(?:o|obj)\\s*:\\s*\\S') THEN 'generated' WHEN {_SECRET} THEN 'secret' END AS skip_reason FROM every"""
 )
 def file_policy_flags(spark, sf_dir):
     every = I.sources(spark, sf_dir).select("path", "content", "size_bytes").unionByName(I.rows(spark, _FILES, "path string, content string, size_bytes long"))
@@ -236,7 +237,7 @@ _CHANGES = [
         f"cut AS (SELECT path, previous_hash, {_TRIM('array_to_string(k[1:8], chr(10))')}[1:1200] AS content FROM ls)", f"typed AS (SELECT *, {_infer('content')} AS type FROM cut WHERE content <> '' AND NOT {_SECRET})",
     )
     + """SELECT path, type, 'Review ' || type || ' candidate from ' || path AS title, content, CASE WHEN previous_hash IS NULL THEN 0.5 ELSE 0.6 END::DOUBLE AS confidence, split_part(path, '/', 1) AS scope,
- sha256(path || ':' || type || ':' || regexp_replace(regexp_replace(lower(content), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS fingerprint FROM typed""".replace("\\\\", "\\")
+ sha256(path || ':' || type || ':' || regexp_replace(regexp_replace(lower(content), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS fingerprint FROM typed"""
 )
 def candidate_lines(spark, sf_dir):
     every = I.sources(spark, sf_dir).select("path", F.lit(None).cast("string").alias("previous_hash"), "content").unionByName(I.rows(spark, _CHANGES, "path string, previous_hash string, content string"))
@@ -289,7 +290,7 @@ def candidate_decisions(spark, sf_dir):
 
 _DRIFT = """bound AS (SELECT 'b' || doc_id AS id, 'm' || doc_id AS memory_id, CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN 'gone.md' ELSE path END AS source_path,
  CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN content_hash ELSE 'old' END AS source_hash,
- CASE WHEN doc_id % 5 = 0 THEN 'not there' ELSE regexp_replace(list_last(string_split(content, chr(10))), '^\\s+|\\s+$', '', 'g') END AS excerpt FROM sources)""".replace("\\\\", "\\")
+ CASE WHEN doc_id % 5 = 0 THEN 'not there' ELSE regexp_replace(list_last(string_split(content, chr(10))), '^\\s+|\\s+$', '', 'g') END AS excerpt FROM sources)"""
 
 
 @query(
@@ -297,7 +298,7 @@ _DRIFT = """bound AS (SELECT 'b' || doc_id AS id, 'm' || doc_id AS memory_id, CA
     + """, failing AS (SELECT b.*, s.content_hash, regexp_replace(s.content, '^\\s+|\\s+$', '', 'g') AS body, s.path AS sp FROM bound b JOIN memories m ON m.id = b.memory_id AND m.status = 'active' LEFT JOIN sources s ON s.path = b.source_path
   WHERE b.source_path IS NULL OR s.path IS NULL OR b.source_hash <> s.content_hash),
  loc AS (SELECT *, CASE WHEN sp IS NOT NULL AND excerpt <> '' AND instr(body, excerpt) > 0 THEN length(body[1:instr(body, excerpt) - 1]) - length(replace(body[1:instr(body, excerpt) - 1], chr(10), '')) + 1 END AS line FROM failing)
-SELECT memory_id, bool_or(line IS NULL) AS is_stale, min(line)::INT AS start_line FROM loc GROUP BY memory_id""".replace("\n, failing", ", failing").replace("\\\\", "\\")
+SELECT memory_id, bool_or(line IS NULL) AS is_stale, min(line)::INT AS start_line FROM loc GROUP BY memory_id""".replace("\n, failing", ", failing")
 )
 def drift_detect(spark, sf_dir):
     s = I.sources(spark, sf_dir)
@@ -446,22 +447,29 @@ def graph_search(spark, sf_dir):
 @query(
     with_(I.SYMBOLS, I.RELATIONS)
     + """, r AS (SELECT s.id, 'out' AS side, r.id AS relation, '' AS p, start_line_r AS l FROM symbols s JOIN (SELECT id, from_id, to_name, path, start_line AS start_line_r FROM relations) r ON r.from_id = s.id
- UNION ALL SELECT s.id, 'in', r.id, r.path, r.start_line FROM symbols s JOIN relations r ON r.to_name = s.name OR r.to_name = s.qualified_name WHERE s.id LIKE 's%')
-SELECT id, side, place::INT AS place, relation FROM (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY p, l, relation) AS place FROM r WHERE id LIKE 's%') WHERE place <= 20""".replace("\n, r AS", ", r AS")
+ UNION ALL SELECT s.id, 'in', r.id, r.path, r.start_line FROM (SELECT id, name AS n FROM symbols UNION SELECT id, qualified_name FROM symbols) s JOIN relations r ON r.to_name = s.n)
+SELECT id, side, place::INT AS place, relation FROM (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY p, l, relation) AS place FROM r) WHERE place <= 20""".replace("\n, r AS", ", r AS")
 )
 def node_details(spark, sf_dir):
     s = I.symbols(spark, sf_dir)
-    return graph.node_details(s, I.relations(spark, sf_dir), s.where("id like 's%'").select("id"))
+    return graph.node_details(s, I.relations(spark, sf_dir), s.select("id"))
 
 
 _IMPORTS = [
     ("1", "src/app/main.ts", "./util"), ("2", "src/app/main.ts", "../lib/index.js"), ("3", "src/app/main.ts", "../lib"), ("4", "src/app/main.ts", "react"), ("5", "src/app/main.ts", "./none"), ("6", "main.ts", "./src/app/util.js"), ("7", "src/app/deep/x.ts", "../../lib/./a.b"), ("8", "src\\app\\main.ts", "./util.ts"),
 ]
 _PATHS = [("src/app/util.ts",), ("src/lib/index.ts",), ("src/lib/a.tsx",), ("src/app/util.js",)]
-_RESOLVED_IMPORTS = [("1", "src/app/util.ts"), ("2", "src/lib/index.ts"), ("3", "src/lib/index.ts"), ("6", "src/app/util.js"), ("7", "src/lib/a.tsx"), ("8", "src/app/util.ts")]
-
-
-@query(with_(I.values(_RESOLVED_IMPORTS, "want", "key, import_path")) + "SELECT * FROM want")
+@query(
+    with_(
+        I.values(_IMPORTS, "r", "key, path, to_name"), I.values(_PATHS, "files", "path"),
+        r"""parts AS (SELECT key, list_filter(string_split(regexp_replace(replace(path, '\', '/'), '/?[^/]*$', '') || '/' || to_name, '/'), lambda p: p NOT IN ('', '.')) AS ps FROM r WHERE starts_with(to_name, '.'))""",
+        r"""base AS (SELECT key, ltrim(list_reduce(list_concat([''], ps), lambda a, p: CASE WHEN p = '..' AND a <> '' AND NOT ends_with(a, '/..') THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || p END), '/') AS base FROM parts)""",
+        r"""bare AS (SELECT key, base, regexp_replace(base, '([^/])\.[^./]*$', '\1') AS bare FROM base)""",
+        f"""tries AS (SELECT key, list_concat([base, bare], flatten(list_transform({graph.IMPORT_EXTENSIONS}, lambda e: [bare || e, bare || '/index' || e]))) AS ts FROM bare)""",
+        "each AS (SELECT key, unnest(ts) AS candidate, generate_subscripts(ts, 1) AS turn FROM tries)",
+    )
+    + "SELECT key, arg_min(candidate, turn) AS import_path FROM each JOIN (SELECT DISTINCT path FROM files) f ON f.path = candidate GROUP BY key"
+)
 def import_resolution(spark, sf_dir):
     r = I.rows(spark, _IMPORTS, "key string, path string, to_name string").withColumn("relation_type", F.lit("IMPORTS"))
     return graph.import_paths(r, I.rows(spark, _PATHS, "path string"))
@@ -538,17 +546,19 @@ _ASK = [(1, "note src3 the that rotation"), (2, "src7 src9 ein und de")]
 
 
 @query(
-    with_(I.MEMORIES, I.values(_ASK, "q", "query_id, query"))
-    + f""", cand AS (SELECT query_id, query, m.*, row_number() OVER (PARTITION BY query_id ORDER BY (m.updated_at % 50 = 0) DESC, updated_at DESC, id) AS rn, m.updated_at % 50 = 0 AS relevant FROM q, memories m WHERE status = 'active'
-  AND (m.updated_at % 50 = 0 OR id IN (SELECT id FROM memories WHERE status = 'active' ORDER BY updated_at DESC, id LIMIT 64))),
+    with_(I.MEMORIES, I.values(_ASK, "queries", "query_id, query"), I.PHRASES, I.bm25_sql("m", "memories", search.WEIGHTS["memory"]))
+    + f""", hits AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS rn FROM m_bm25) WHERE rn <= 24),
+ cand AS (SELECT q.query_id, q.query, m.*, row_number() OVER (PARTITION BY q.query_id ORDER BY (h.id IS NOT NULL) DESC, updated_at DESC, m.id) AS rn, h.id IS NOT NULL AS relevant FROM queries q CROSS JOIN memories m LEFT JOIN hits h ON h.query_id = q.query_id AND h.id = m.id WHERE status = 'active'
+  AND (h.id IS NOT NULL OR m.id IN (SELECT id FROM memories WHERE status = 'active' ORDER BY updated_at DESC, id LIMIT 64))),
  r AS (SELECT query_id, id, scope, CASE type WHEN 'constraint' THEN 'constraint' WHEN 'decision' THEN 'decision' ELSE 'lesson' END AS slot,
   CASE WHEN relevant THEN 100 ELSE 0 END + len(list_filter({_TT('query')}, lambda t: contains(lower(title || ' ' || content || ' ' || array_to_string(scope, ' ')), t))) AS rank FROM cand WHERE rn <= 64),
  p AS (SELECT *, row_number() OVER (PARTITION BY query_id, slot ORDER BY rank DESC, id) AS place FROM r WHERE rank > 0 OR (slot = 'constraint' AND len(scope) = 0))
-SELECT query_id::BIGINT AS query_id, slot, place::INT AS place, id, rank::INT AS rank FROM p WHERE place <= CASE slot WHEN 'constraint' THEN 20 WHEN 'decision' THEN 15 ELSE 10 END""".replace("\n, cand", ", cand")
+SELECT query_id::BIGINT AS query_id, slot, place::INT AS place, id, rank::INT AS rank FROM p WHERE place <= CASE slot WHEN 'constraint' THEN 20 WHEN 'decision' THEN 15 ELSE 10 END""".replace("\n, hits AS", ", hits AS")
 )
 def context_slots(spark, sf_dir):
     m, q = I.memories(spark, sf_dir), I.rows(spark, _ASK, "query_id long, query string")
-    hits = m.where("status = 'active' and updated_at % 50 = 0").select(F.lit("memory").alias("kind"), "id", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("query_id"))
+    weights = search.WEIGHTS["memory"]
+    hits = search.lexical_top(search.postings(m, weights), search.lengths(m, weights), "memory", q, context.HITS)
     got = context.memory_candidates(hits, m)
     return context.slots(context.ranked(got, m, q))
 
@@ -583,24 +593,27 @@ def budget_prefix(spark, sf_dir):
 
 # --- metrics, streams, parsers ---------------------------------------------------------------------------------
 
-_TRUTH = "truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), ranks AS (SELECT query_id, min(r) AS rank FROM (SELECT query_id, doc_id, CASE WHEN (query_id + doc_id) % 7 < 5 THEN 1 + (query_id + doc_id) % 7 END AS r FROM truth) GROUP BY query_id)"
-
-
 @query(
-    "WITH "
-    + _TRUTH
+    with_(I.SOURCES, I.CHUNKS, I.QUERIES, recursive=True)
+    + f""", hits AS (SELECT query_id, regexp_extract(id, '/(\\d+)\\.md:', 1)::BIGINT AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matches DESC, id) AS rank FROM (
+  SELECT query_id, id, n, count(*) AS matches FROM (SELECT path || ':' || start_line AS id, unnest({I.grams_sql("path || chr(10) || content")}) AS term FROM chunks)
+  JOIN (SELECT query_id, len(g) AS n, unnest(g) AS term FROM (SELECT query_id, {I.grams_sql("query")} AS g FROM queries)) USING (term) GROUP BY ALL) WHERE matches >= greatest(1, ceil(n * 0.6::DOUBLE))),
+ truth AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ ranks AS (SELECT query_id, min(rank) FILTER (rank <= 20) AS rank FROM truth LEFT JOIN hits USING (query_id, doc_id) GROUP BY query_id)""".replace("\n, hits", ", hits")
     + " SELECT count(*) AS cases, CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE floor(round(count(*) FILTER (rank <= 1) / count(*)::DOUBLE * 1000, 6) + 0.5) / 1000 END AS recall_at_1, CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE floor(round(count(*) FILTER (rank <= 5) / count(*)::DOUBLE * 1000, 6) + 0.5) / 1000 END AS recall_at_5, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE floor(round(avg(coalesce(1.0::DOUBLE / rank, 0)) * 1000, 6) + 0.5) / 1000 END AS mrr FROM ranks"
 )
 def retrieval_metrics(spark, sf_dir):
+    """The gram search of every benchmark item, against the documents that hold it word for word."""
     b, d = I.table(spark, sf_dir, "benchmark"), I.table(spark, sf_dir, "documents")
     # an item meets documents by the longest of its inner words, then containment is checked
     inner = F.slice(F.split("text", r"\s+"), F.lit(2), F.greatest(F.size(F.split("text", r"\s+")) - 2, F.lit(0)))
     items = b.select("item_id", F.col("text").alias("item"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("w"))
     docs = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
     pairs = docs.join(items.select("item_id", "w"), "w").select("item_id", "doc_id").distinct().join(d.select("doc_id", "text"), "doc_id").join(items.select("item_id", "item"), "item_id").where(F.contains("text", "item"))
-    key = (F.col("item_id") + F.col("doc_id")) % 7
     truth = pairs.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"))
-    hits = pairs.where(key < 5).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("id"), (1 + key).alias("rank"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("matches"), "id")
+    found = ngram_search(spark, sf_dir).withColumn("rank", F.row_number().over(best))
+    hits = found.select("query_id", F.regexp_extract("id", r"/(\d+)\.md:", 1).cast("long").alias("id"), "rank")
     return metrics.retrieval(metrics.first_ranks(hits, truth))
 
 
@@ -624,10 +637,17 @@ def change_versions(spark, sf_dir):
 
 
 _STATUS = [("git", " M src/a.ts\nR  old.ts -> new/b.ts\n?? \"sp ace.md\"\n"), ("hg", "M a.txt\n! gone.txt\r\n?\n"), ("svn", "M       src\\c.c\nStatus against revision:   7\nD       d.c\nX\n")]
-_STATUS_ROWS = [("git", 0, "M", "src/a.ts"), ("git", 1, "R", "new/b.ts"), ("git", 2, "??", "sp ace.md"), ("hg", 0, "M", "a.txt"), ("hg", 1, "!", "gone.txt"), ("svn", 0, "M", "src/c.c"), ("svn", 2, "D", "d.c")]
+_LS = lambda table, key, c: f"ls AS (SELECT {key}, unnest(string_split_regex({c}, '\\r?\\n')) AS line, generate_subscripts(string_split_regex({c}, '\\r?\\n'), 1) - 1 AS line_no FROM {table})"
 
 
-@query(with_(I.values(_STATUS_ROWS, "want", "kind, line_no, status, path")) + "SELECT kind, line_no::INT AS line_no, status, path FROM want")
+@query(
+    with_(
+        I.values(_STATUS, "outputs", "kind, value"), _LS("outputs", "kind", "value"),
+        """cut AS (SELECT kind, line_no, trim(line[1:CASE kind WHEN 'git' THEN 2 WHEN 'hg' THEN 1 ELSE 7 END]) AS s, trim(line[CASE kind WHEN 'git' THEN 4 WHEN 'hg' THEN 3 ELSE 9 END:]) AS raw FROM ls
+ WHERE line <> '' AND NOT (kind = 'svn' AND regexp_matches(line, '(?i)^Status against revision:')))""",
+    )
+    + r"""SELECT kind, line_no::INT AS line_no, CASE WHEN s = '' THEN '?' ELSE s END AS status, replace(regexp_replace(CASE WHEN kind = 'git' THEN list_last(string_split(raw, ' -> ')) ELSE raw END, '^"|"$', '', 'g'), '\', '/') AS path FROM cut WHERE kind = 'git' OR raw <> ''"""
+)
 def vcs_status_parse(spark, sf_dir):
     return vcs.status_lines(I.rows(spark, _STATUS, "kind string, value string"))
 
@@ -636,28 +656,57 @@ _DIFF = [
     ("d1", "diff --git a/docs/x.md b/docs/x.md\n--- a/docs/x.md\n+++ b/docs/x.md\n@@ -1 +1,4 @@\n-old\n+The service must keep audit records on the local machine.\n+\n+// comment\n+ * star is kept? no\n context\n--- a/gone\n+++ /dev/null\n+lost\n+++ b/src/y.ts\tdate\n+  added = 1\n++++x"),
     ("d2", "+before header\n+++ z.txt\r\n+We decided to rotate tokens after each use.\r\n"),
 ]
-_ADDED = [("d1", 5, "docs/x.md", "The service must keep audit records on the local machine."), ("d1", 14, "src/y.ts", "added = 1"), ("d2", 2, "z.txt", "We decided to rotate tokens after each use.")]
+_ADDED = [
+    I.values(_DIFF, "diffs", "diff_id, diff"), _LS("diffs", "diff_id", "diff"),
+    f"""heads AS (SELECT *, CASE WHEN starts_with(line, '+++ ') THEN CASE WHEN {_TRIM("split_part(line[5:], chr(9), 1)")} = '/dev/null' THEN '' ELSE regexp_replace({_TRIM("split_part(line[5:], chr(9), 1)")}, '^b/', '') END END AS header FROM ls)""",
+    "under AS (SELECT diff_id, line_no, line, last_value(header IGNORE NULLS) OVER (PARTITION BY diff_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS path FROM heads)",
+    f"""added AS (SELECT diff_id, line_no::INT AS line_no, path, {_TRIM("line[2:]")} AS line FROM under WHERE starts_with(line, '+') AND NOT starts_with(line, '+++') AND path <> '')""",
+    "told AS (SELECT * FROM added WHERE line <> '' AND NOT starts_with(line, '//') AND NOT starts_with(line, '*'))",
+]
 
 
-@query(with_(I.values(_ADDED, "want", "diff_id, line_no, path, line")) + "SELECT diff_id, line_no::INT AS line_no, path, line FROM want")
+@query(with_(*_ADDED) + "SELECT diff_id, line_no, path, line FROM told")
 def diff_added_lines(spark, sf_dir):
     return vcs.added_lines(I.rows(spark, _DIFF, "diff_id string, diff string"))
 
 
-_VCS_CANDIDATES = [("docs/x.md", "constraint", "r1:docs/x.md", 0.55), ("z.txt", "decision", "r1:z.txt", 0.55)]
-
-
-@query(with_(I.values(_VCS_CANDIDATES, "want", "path, type, source_ref, confidence")) + "SELECT path, type, source_ref, confidence::DOUBLE AS confidence FROM want")
+@query(
+    with_(
+        *_ADDED,
+        f"""firsts AS (SELECT path, line, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS rn FROM told
+ WHERE (regexp_matches(path, '(?i)(?:^|/)(?:readme|changelog|adr|decision|architecture|docs?)(?:[/._-]|$)') OR regexp_matches(path, '(?i)\\.(?:md|mdx|rst|txt)$')) AND {_durable("line")})""",
+        f"joined AS (SELECT path, {_TRIM('string_agg(line, chr(10) ORDER BY line_no)')}[1:1200] AS content FROM firsts WHERE rn <= 8 GROUP BY path)",
+    )
+    + f"SELECT path, {_infer('content')} AS type, 'r1:' || path AS source_ref, 0.55::DOUBLE AS confidence FROM joined WHERE content <> '' AND NOT {_SECRET}"
+)
 def vcs_candidates(spark, sf_dir):
     return lifecycle.vcs_candidates(vcs.added_lines(I.rows(spark, _DIFF, "diff_id string, diff string")), "git", "r1").select("path", "type", "source_ref", "confidence")
 
 
+_TEXTS = [
+    ("one", "a\n\nb\nc\n\nd"), ("two", "  \nonly\n\t\n"), ("three", "x\r\ny\r\n\r\nz"), ("long", "\n".join(f"line {k} of a long paragraph" for k in range(600))),
+    ("wide", "head\n\n" + "word " * 900 + "\nshort\n\ntail"), ("blank", "\n\n\n"), ("gap", "\n".join("" if k % 7 == 3 else f"row {k}" for k in range(500))),
+]
+
+
 @query(
-    with_(I.SOURCES)
-    + r"""SELECT path, 1 AS start_line, len(string_split(content, chr(10)))::INT AS end_line, sha256(b) AS excerpt_hash FROM (SELECT *, regexp_replace(content, '^\s+|\s+$', '', 'g') AS b FROM sources)
- WHERE length(b) BETWEEN 1 AND 4000 AND len(string_split(content, chr(10))) <= 200 AND len(list_filter(string_split(content, chr(10)), lambda l: trim(l) = '')) = 0"""
+    with_(
+        I.values(_TEXTS, "inline", "path, content"), I.SOURCES,
+        "every AS (SELECT path, content FROM sources UNION ALL SELECT path, content FROM inline)",
+        "ls AS (SELECT path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM every)",
+        "asked AS (SELECT path, l, len(l) AS n, (1 + (3 * ask + length(path)) % len(l))::INT AS s, (1 + (3 * ask + length(path)) % len(l) + ask)::INT AS e FROM ls, (VALUES (0), (1), (5), (240)) a(ask))",
+        f"ends AS (SELECT *, least(n, greatest(s, e)) AS last, list_filter(range(1, n + 1), lambda i: {_TRIM('l[i]')} = '') AS blank FROM asked)",
+        """grown AS (SELECT *, greatest(coalesce(list_max(list_filter(blank, lambda i: i < s)), 0) + 1, least(s, last - 200)) AS above,
+ least(coalesce(list_min(list_filter(blank, lambda i: i > last)), n + 1) - 1, greatest(last, greatest(coalesce(list_max(list_filter(blank, lambda i: i < s)), 0) + 1, least(s, last - 200)) + 200)) AS below FROM ends)""",
+        f"told AS (SELECT *, {_TRIM('array_to_string(l[above:below], chr(10))')} AS g, {_TRIM('array_to_string(l[s:last], chr(10))')}[1:4000] AS a FROM grown)",
+    )
+    + """SELECT path, s AS asked_from, e AS asked_to, CASE WHEN g = '' THEN NULL WHEN length(g) > 4000 THEN s ELSE above END::INT AS start_line, CASE WHEN g = '' THEN NULL WHEN length(g) > 4000 THEN last ELSE below END::INT AS end_line,
+ CASE WHEN g <> '' THEN sha256(CASE WHEN length(g) > 4000 THEN a ELSE g END) END AS excerpt_hash FROM told"""
 )
 def paragraph_excerpts(spark, sf_dir):
-    s = I.sources(spark, sf_dir).withColumn("n", F.size(F.split("content", "\n")))
-    whole = s.where(F.length(T.trim_all(F.col("content"))).between(1, 4000) & (F.col("n") <= 200) & (F.size(F.filter(F.split("content", "\n"), lambda v: F.trim(v) == "")) == 0))
-    return whole.withColumn("e", T.excerpt(F.col("content"), F.lit(1), F.lit(1))).select("path", "e.start_line", "e.end_line", T.sha(F.col("e.content")).alias("excerpt_hash"))
+    """Four ranges of every document, and of texts with blank lines, carriage returns and long paragraphs."""
+    every = I.sources(spark, sf_dir).select("path", "content").unionByName(I.rows(spark, _TEXTS, "path string, content string"))
+    n = F.size(F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n"))
+    asked = every.withColumn("ask", F.explode(F.array(*map(F.lit, (0, 1, 5, 240))))).withColumn("s", (1 + (3 * F.col("ask") + F.length("path")) % n).cast("int"))
+    out = asked.withColumn("e", (F.col("s") + F.col("ask")).cast("int")).withColumn("x", T.excerpt(F.col("content"), F.col("s"), F.col("e")))
+    return out.select("path", F.col("s").alias("asked_from"), F.col("e").alias("asked_to"), "x.start_line", "x.end_line", T.sha(F.col("x.content")).alias("excerpt_hash"))

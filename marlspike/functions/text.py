@@ -155,7 +155,7 @@ def is_durable(line: Column) -> Column:
 
 
 def trim_all(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def candidate_text(c: Column) -> Column:

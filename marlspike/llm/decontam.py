@@ -49,7 +49,7 @@ MARGIN, TRIAL_BYTES = 0.2, 40_000
 #: Lengths of items are treated alike in classes that grow by this factor.
 CLASS = 1.06
 #: Collisions that one step expands at a time; bytes that walks advance over together.
-SLAB, STRIP = 2_000_000, 1 << 15
+SLAB, STRIP = 2_000_000, 1 << 14
 
 
 class Walks:
@@ -75,16 +75,23 @@ class Walks:
         for lo in range(0, len(put), STRIP):
             here = padded[lo : lo + STRIP + most]
             moves, byte = self.moves[here], here.astype(np.uint32) + np.uint32(1)
-            key, n = np.zeros(len(here) + 1, np.uint32), min(STRIP, len(put) - lo)
+            n, size = min(STRIP, len(put) - lo), len(here)
+            key, new, goes = np.zeros(size + 1, np.uint32), np.zeros(size + 1, np.uint32), np.empty(size, np.uint32)
             for t in range(most):
-                new = np.where(moves & np.uint32(1 << t), key[1:], key[:-1])
+                # all ones where the walk goes on: the key there is the next place's
+                np.right_shift(moves, np.uint32(t), out=goes)
+                np.bitwise_and(goes, np.uint32(1), out=goes)
+                np.negative(goes, out=goes)
+                here = new[:-1]
+                np.bitwise_xor(key[:-1], key[1:], out=here)
+                np.bitwise_and(here, goes, out=here)
+                np.bitwise_xor(here, key[:-1], out=here)
                 if self.sampled[t]:
-                    new *= np.uint32(0x9E3779B1)
-                    new += byte
-                    new ^= new >> np.uint32(15)
-                key[:-1] = new
+                    here *= np.uint32(0x9E3779B1)
+                    here += byte
+                key, new = new, key
                 if t + 1 in out:
-                    out[t + 1][lo : lo + n] = new[:n]
+                    out[t + 1][lo : lo + n] = key[:n]
         return out
 
     def inside(self, put: np.ndarray, length: int) -> np.ndarray:
@@ -160,7 +167,7 @@ class Keys:
         order = np.argsort(key, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.shift = np.uint32(32 - int(np.clip(len(self.keys), 1 << 12, 1 << 18)).bit_length() - 4)
+        self.shift = np.uint32(32 - min(22, len(self.keys).bit_length() + 6))
         self.seen = np.zeros(1 << (32 - int(self.shift)), bool)
         self.seen[self.keys >> self.shift] = True
 
@@ -243,9 +250,10 @@ class ItemIndex:
         """(row, item's place, edits, byte offset in the normalised text): the best of each row and item."""
         return [hit for _, hit in best_hits([self], col)]
 
-    def found(self, put, off, keys):
-        """(row, item, edits, byte offset), some pairs more than once; keys: those of each embedding by length."""
-        return [*self._copies(put, off), *self._edited(put, off, keys)]
+    def found(self, put, off, rows, keys):
+        """(row, item, edits, byte offset), some pairs more than once; rows: that of each byte; keys: those of each embedding
+        by length."""
+        return [*self._copies(put, off), *self._edited(put, off, rows, keys)]
 
     def _copies(self, put, off):
         """Exact copies of short items that no ASCII letter or digit prolongs."""
@@ -268,14 +276,14 @@ class ItemIndex:
                 for k, f in zip(key.tolist(), first.tolist()):
                     yield k // len(self.ids), k % len(self.ids), 0, int(at[f] - off[row[f]])
 
-    def _edited(self, put, off, keys):
+    def _edited(self, put, off, rows, keys):
         """Parts of the texts that are within the items' edits."""
         items, shift = len(self.ids), int(self.size.max(initial=0))
         for length, tables in self.walks.items():
             bins = [(np.zeros(0, np.int64),) * 2]
             for held, have in zip(tables, keys):
                 for at, item, place in held.hits(have[length]):
-                    row = np.searchsorted(off, at, "right") - 1
+                    row = rows[at]
                     key = ((row * items + item) << 32) + (at - off[row] - place + shift) // (self.room[item] + 1)
                     bins.append(_summed(key, np.ones(len(key), np.int64)))
             key, count = map(np.concatenate, zip(*bins))
@@ -299,7 +307,7 @@ class ItemIndex:
                 if at >= 0:
                     yield row, it, 0, begin + at
                     continue
-                edits, stop = best_part(text, piece)
+                edits, stop = best_part(text, piece, room)
                 if edits <= room:
                     back = piece[max(0, stop - len(text) - room) : stop]
                     yield row, it, edits, begin + stop - best_part(text[::-1], back[::-1])[1]
@@ -314,26 +322,29 @@ def best_hits(indexes: list[ItemIndex], col: pa.Array) -> list[tuple[int, tuple[
         part = offsets[lo : hi + 1]
         put, off = normalised(data[part[0] : part[-1]], part - part[0])
         keys = [w.keys(put, lengths) for w in embeddings()] if lengths else []
+        rows = np.repeat(np.arange(hi - lo), np.diff(off))
         for nth, index in enumerate(indexes):
-            for row, it, edits, begin in index.found(put, off, keys):
+            for row, it, edits, begin in index.found(put, off, rows, keys):
                 if (edits, begin) < best.get((nth, lo + row, it), (1 << 60, 0)):
                     best[nth, lo + row, it] = (edits, begin)
     return [(nth, (r, i, e, p)) for (nth, r, i), (e, p) in sorted(best.items())]
 
 
-def best_part(item: bytes, piece: bytes) -> tuple[int, int]:
-    """The least number of edits between the item and any contiguous part of the piece, and where the first such part ends."""
+def best_part(item: bytes, piece: bytes, room: int | None = None) -> tuple[int, int]:
+    """The least number of edits between the item and any contiguous part of the piece, and where the first such part ends.
+
+    room: more edits than these need not be exact, so that the count ends where what is left can't bring it down."""
     n = len(item)
+    most = n + len(piece) if room is None else room + len(piece)
     if not n:
         return 0, 0
-    where: dict[int, int] = {}
+    where = [0] * 256
     for i, c in enumerate(item):
-        where[c] = where.get(c, 0) | (1 << i)
+        where[c] |= 1 << i
     full, high = (1 << n) - 1, 1 << (n - 1)
     plus, minus, score = full, 0, n
     least, stop = score, 0
-    for at, c in enumerate(piece, 1):
-        eq = where.get(c, 0)
+    for at, eq in enumerate(map(where.__getitem__, piece), 1):
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
         ph = minus | (full & ~(xh | plus))
@@ -347,6 +358,8 @@ def best_part(item: bytes, piece: bytes) -> tuple[int, int]:
         minus = ph & xv
         if score < least:
             least, stop = score, at
+        elif score + at > most:
+            break
     return least, stop
 
 

@@ -173,7 +173,7 @@ class Keys:
 
     def hits(self, key: np.ndarray):
         """Yields arrays: place in the texts, item, place in the item."""
-        at = np.flatnonzero(self.seen[key >> self.shift])
+        at = np.flatnonzero(self.seen.take((key >> self.shift).astype(np.intp), mode="wrap"))
         k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
         ok = self.keys[k] == key[at]
         at, k = at[ok], k[ok]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from heapq import heapify, heapreplace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from ..functions import text as T
 SLOTS = {"constraint": 20, "decision": 15, "lesson": 10}
 CANDIDATES, HITS, USER_MEMORIES, TASKS, TASKS_READ, SYMBOLS, RELATIONS = 64, 24, 50, 10, 20, 12, 40
 DROP_ORDER = ["relevant", "codeRelations", "lessons", "decisions", "constraints", "userMemories", "activeTasks"]
-REMOVED = "Context details were removed to satisfy the requested token budget."
+REMOVED = "The token budget left no room for details; they were left out."
 
 
 def matches(tokens: Column, text: Column) -> Column:
@@ -84,58 +85,70 @@ def budget_prefix(items: DataFrame, budget: Column, by: list[str], order: list[C
 CJK = re.compile("[⺀-⿟々〇〡-〩〸-〻ぁ-ゖゝ-ゟァ-ヺヽ-ヿㄱ-ㆎㇰ-ㇿ㐀-䶿一-鿿ꥠ-ꥼ가-힣豈-﫿ｦ-ﾝ\U0001b000-\U0001b16f\U00020000-\U0003134f]")
 
 
+def quarters(value: str) -> int:
+    """Four times the tokens of a text: one for each UTF-16 unit, four for a CJK character."""
+    return len(value.encode("utf-16-le")) // 2 + 3 * len(CJK.findall(value))
+
+
 def estimate(value: str) -> int:
-    """Tokens of a text: one for each CJK character, one for four UTF-16 units of the rest."""
-    units, cjk = len(value.encode("utf-16-le")) // 2, len(CJK.findall(value))
-    return -(-(units + 3 * cjk) // 4)
+    return -(-quarters(value) // 4)
 
 
 def compact(context: dict) -> str:
     return json.dumps(context, ensure_ascii=False, separators=(",", ":"))
 
 
-def _strings(context: dict):
-    """(length, order, owner, key) of every text that may be shortened."""
-    spots = [(h, "content") for h in context["relevant"]]
-    for name in ("constraints", "decisions", "lessons", "userMemories"):
-        spots += [(m, k) for m in context[name] for k in ("content", "reason") if m.get(k)]
-    for t in context["activeTasks"]:
-        spots.append((t, "goal"))
-        c = t["checkpoint"]
-        spots += [(c, "summary")] if c.get("summary") else []
-        spots += [(c[k], i) for k in ("completed", "next", "changedFiles", "blockers", "risks") for i in range(len(c.get(k) or []))]
-    return spots
+#: Where texts that may be shortened lie: a list, then the fields of a record; of a checkpoint, fields and lists.
+TEXTS = [("relevant", ["content"]), *[(name, ["content", "reason"]) for name in ("constraints", "decisions", "lessons", "userMemories")], ("activeTasks", ["goal"])]
+CHECKPOINT_LISTS = ["completed", "next", "changedFiles", "blockers", "risks"]
+
+
+def _spots(context: dict):
+    """(owner, key) of every text that may be shortened, in order."""
+    for name, fields in TEXTS:
+        for record in context[name]:
+            yield from ((record, f) for f in fields if record.get(f))
+            if held := record.get("checkpoint") if name == "activeTasks" else None:
+                yield from [(held, "summary")] if held.get("summary") else []
+                for items in (held.get(k) or [] for k in CHECKPOINT_LISTS):
+                    yield from ((items, i) for i in range(len(items)))
 
 
 def fit_budget(context: dict, budget: int) -> dict:
     """Fits one assembled context (at most some 150 records) into a budget; a driver step on a small object.
 
-    Lists lose their tails down to one record in DROP_ORDER; then the longest text is cut to 70 % again and again;
-    at last all lists are emptied with a warning. context is changed and returned.
+    The context is written once; from then on only what goes is subtracted. Lists lose their tails down to one record in
+    DROP_ORDER, then a heap of lengths gives the longest text to be cut to 70 %, again and again, and at last all lists
+    are emptied with a warning. context is changed and returned.
     """
     state = context["budget"] = {"requestedTokens": budget, "usedTokens": 0, "truncated": False}
+    size = quarters(compact(context)) - 1  # without the number of tokens, which stands in the text itself
 
-    def fits() -> bool:
-        state["usedTokens"] = estimate(compact(context))
-        return state["usedTokens"] <= budget
+    def over(less: int = 0) -> bool:
+        nonlocal size
+        size -= less
+        state["usedTokens"] = -(-(size + len(str(state["usedTokens"]))) // 4)
+        return state["usedTokens"] > budget
 
-    if fits():
+    if not over():
         return context
-    state["truncated"] = True
+    state["truncated"], size, much = True, size - 1, True  # one letter less than "false"
     for name in DROP_ORDER:
-        while state["usedTokens"] > budget and len(context[name]) > 1:
-            context[name].pop()
-            fits()
-    while state["usedTokens"] > budget:
-        spots = _strings(context)
-        owner, key = max(spots, key=lambda s: len(s[0][s[1]]), default=(None, None))
-        if owner is None or len(owner[key]) <= 32:
-            break
-        owner[key] = owner[key][: max(16, int(len(owner[key]) * 0.7))] + "..."
-        fits()
-    if state["usedTokens"] > budget:
-        for name in DROP_ORDER:
-            context[name] = []
+        costs = [quarters(compact(record)) + 1 for record in context[name][1:]]
+        while costs and much:
+            much = over(costs.pop())
+        del context[name][1 + len(costs) :]
+    heap = [(-len(owner[key]), nth, owner, key) for nth, (owner, key) in enumerate(_spots(context))]
+    heapify(heap)
+    while much and heap and -heap[0][0] > 32:
+        _, nth, owner, key = heap[0]
+        old = owner[key]
+        owner[key] = old[: max(16, len(old) * 7 // 10)] + "..."
+        much = over(quarters(compact(old)) - quarters(compact(owner[key])))
+        heapreplace(heap, (-len(owner[key]), nth, owner, key))
+    if much:
+        context |= {name: [] for name in DROP_ORDER}
         context["warnings"].append(REMOVED)
-        fits()
+        size = quarters(compact(context)) - len(str(state["usedTokens"]))
+        over()
     return context

@@ -142,6 +142,27 @@ def test_budget():
     assert got["relevant"] == [] and got["warnings"] == [context.REMOVED]
 
 
+def test_budget_counts_what_is_written():
+    """The tokens told are those of the context as it stands, whatever went: the number in it may be of the step before."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice(["word ", "漢字", 'q"\\', "🙂", "\n"]) for _ in range(rng.randint(1, n)))
+    for budget in (60, 150, 300, 700, 1500, 4000):
+        for _ in range(15):
+            c = context_of(rng.randint(0, 6), rng.randint(5, 900))
+            for name in ("constraints", "decisions", "lessons", "userMemories"):
+                c[name] = [{"id": str(k), "content": text(60), "reason": rng.choice([None, text(30)])} for k in range(rng.randint(0, 5))]
+            c["activeTasks"] = [{"goal": text(20), "checkpoint": {"summary": rng.choice([None, text(40)]), "completed": [text(20) for _ in range(3)], "risks": None}} for _ in range(rng.randint(0, 2))]
+            got = context.fit_budget(c, budget)
+            used = got["budget"]["usedTokens"]
+            assert abs(used - context.estimate(context.compact(got))) <= 1
+            assert used <= budget or context.REMOVED in got["warnings"]
+            if not got["warnings"] and got["budget"]["truncated"]:  # nothing goes before its turn
+                gone = [len(got[n]) <= 1 for n in context.DROP_ORDER]
+                assert any(gone)
+
+
 def test_retrieval_gate(spark):
     """A small project with filler: what is asked for comes within the first five, in one language and the other."""
     docs = [("README.md", "Decision: refresh tokens rotate after every successful use. Refresh token rotation is on."), ("docs/authentication.md", "系统实现了刷新令牌重用检测，必须保留审计记录。"), ("docs/guide.md", "How to install the tool and read the guide.")]

@@ -34,7 +34,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", good), ("near-dedup", unique), ("decontamination", clean), ("mixing", mix), ("sharding", shard)]
-#: Trained classifiers, LSH and label propagation are not SQL; tests hold each stage against a brute-force version.
+#: Trained classifiers, LSH and label propagation are not SQL; tests hold near-dedup and decontamination against brute force,
+#: the rates of quality and mixing against numpy, and sharding against its law.
 ORACLE_SQL = None
 
 

@@ -102,9 +102,14 @@ class Walks:
         return put[at] != 0
 
 
-@lru_cache(1)
+#: Built once per process. (A cache that wraps the function would be pickled by name, which workers without the package cannot look up.)
+_WALKS: list[Walks] = []
+
+
 def embeddings() -> list[Walks]:
-    return [Walks(t) for t in range(TABLES)]
+    if not _WALKS:
+        _WALKS.extend(Walks(t) for t in range(TABLES))
+    return _WALKS
 
 
 def edited(rng: np.random.Generator, length: int, edits: int, trials: int) -> tuple[np.ndarray, np.ndarray]:

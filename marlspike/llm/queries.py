@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
+from . import chat, decontam, infill, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
 from .common import table
 
 
@@ -25,5 +25,6 @@ QUERIES = {
     "op8_simhash": op8,
     "op9_chat": chat.query,
     "op10_secrets": secretscan.query,
+    "op11_fill_in_middle": infill.query,
 }
-ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE, "op11_fill_in_middle": infill.ORACLE}

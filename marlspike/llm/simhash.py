@@ -19,7 +19,6 @@ are ignored by near_duplicates(); keep_one() gives them back as they are, whatev
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -212,7 +211,6 @@ def _join_batches(batches):
 PAIRS = list(combinations(range(BLOCKS), 2))
 
 
-@lru_cache(None)
 def open_bits(path: int) -> tuple[int, ...]:
     """The bits that a path of block pairs leaves open; path: 1 and a digit for each level."""
     bits = tuple(range(64))

@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -883,3 +886,26 @@ def test_pipeline(spark):
     assert all(d in seen[1] for d, v in lab.items() if v == (1, 0))
     n = at.groupBy("shard").count().collect()
     assert max(r["count"] for r in n) - min(r["count"] for r in n) <= 1
+
+
+# --- Workers without the package ---
+
+
+def test_every_query_runs_where_workers_lack_the_package(tmp_path):
+    """From another folder, with the repository on the driver's path alone."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.driver.memory", "3g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+import __spark_entry__
+from marlspike.llm.queries import QUERIES
+for name in [*QUERIES, "pipeline"]:
+    __spark_entry__.queries()[name](spark, {SF!r}).write.format("noop").mode("overwrite").save()
+    print("ran", name)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert [x.split()[1] for x in got.stdout.splitlines() if x.startswith("ran ")] == [*QUERIES, "pipeline"], got.stderr[-2000:]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, infill, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
+from . import chat, decontam, infill, lmscore, media, mixing, quality, repair, secretscan, sharding, simhash, spandedup, tokencount
 from .common import table
 
 
@@ -26,5 +26,7 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_secrets": secretscan.query,
     "op11_fill_in_middle": infill.query,
+    "op12_substring_dedup": spandedup.query,
+    "op13_conversation_repair": repair.query,
 }
-ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE, "op11_fill_in_middle": infill.ORACLE}
+ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op12_substring_dedup": spandedup.ORACLE, "op13_conversation_repair": repair.ORACLE}

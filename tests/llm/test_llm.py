@@ -10,15 +10,17 @@ import sys
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlspike.llm import chat, decontam, lmscore, media, mixing, quality, secretscan, sharding, simhash, tokencount
+from marlspike.llm import chat, decontam, infill, lmscore, media, mixing, quality, repair, secretscan, sharding, simhash, spandedup, tokencount
 from marlspike.llm.graph import components
 from marlspike.llm.queries import ORACLES, QUERIES
+from tests.oracle import both, connect
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -861,7 +863,7 @@ def test_chat_query_equals_sql(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, name):
     n = QUERIES[name](spark, SF).count()
-    assert n > 0 and (n == 200 or name in ("op3_decontamination", "op9_chat"))
+    assert n > 0 and (n == 200 or name in ("op3_decontamination", "op9_chat", "op13_conversation_repair"))
 
 
 def test_pipeline(spark):
@@ -909,3 +911,207 @@ for name in [*QUERIES, "pipeline"]:
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert [x.split()[1] for x in got.stdout.splitlines() if x.startswith("ran ")] == [*QUERIES, "pipeline"], got.stderr[-2000:]
+
+
+# --- Fill-in-middle ---
+
+
+def slow_fim(doc_id, text):
+    text = text or ""
+    h = [int(hashlib.sha256(f"1:{'' if doc_id is None else doc_id}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(text)
+    x, y = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not n or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[:x], text[x:y], text[y:]
+    return (n, "spm", x, y - x, f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (n, "psm", x, y - x, f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_fim_equals_a_loop(spark):
+    rng = random.Random(3)
+    texts = [*ODD, "<P>", "a<S>b", "<", "<<P", "S>", "<P", "é<M>", *["".join(rng.choice("ab é漢🙂<>PSM\n") for _ in range(rng.randrange(60))) for _ in range(600)]]
+    rows = [(None if k == 3 else k % 500, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, (tuple(r) for r in infill.infilled(df).select("row.doc_id", "row.text", "n", "form", "prefix_chars", "middle_chars", "output").collect())))
+    assert got == sorted(str((d, t, *slow_fim(d, t))) for d, t in rows)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    back = sorted(map(str, (tuple(r) for r in infill.digests(df).select("doc_id", "output_sha256", "restored_sha256").collect())))
+    assert back == sorted(str((d, sha(slow_fim(d, t)[4]), sha(t or ""))) for d, t in rows)
+    assert {slow_fim(d, t)[1] for d, t in rows} == {"plain", "psm", "spm"}
+
+
+def test_fim_cuts_between_words(spark):
+    df = spark.createDataFrame([(k, "one  two\tthree été  " * (k % 4)) for k in range(40)], "doc_id long, text string")
+    for r in infill.infilled(df, "words").collect():
+        pieces = re.findall(r"\S+\s*", r.row.text)
+        assert r.n == len(pieces)
+        if r.form != "plain":
+            p, s, m = (r.output[3:] if r.form == "psm" else re.sub(r"(?s)<S>(.*)<P>(.*)<M>", r"\2<S>\1<M>", r.output)).replace("<M>", "<S>").split("<S>")
+            assert (p, m, s) == ("".join(pieces[: r.prefix_chars]), "".join(pieces[r.prefix_chars : r.prefix_chars + r.middle_chars]), "".join(pieces[r.prefix_chars + r.middle_chars :]))
+
+
+def test_fim_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "some text here", {"k": 1}), (1, "some text here", None)], "doc_id long, text string, `a.b` map<string,int>").withColumns({c: F.lit(1) for c in ("row", "output", "n", "form")})
+    assert infill.infilled(df).select("row.*").columns == df.columns
+    assert infill.digests(df).count() == 2
+    assert infill.digests(df.limit(0)).count() == 0
+
+
+# --- Substring dedup ---
+
+
+def slow_spans(rows, window):
+    first = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            if d is not None:
+                first[key] = min(first.get(key, d), d)
+    out = []
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if d is not None and first[tuple(w[i : i + window])] < d:
+                gone |= set(range(i, i + window))
+        out.append((d, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("window,gram,span,crowd", [(5, 2, 3, 4096), (5, 2, 256, 2), (7, 7, 256, 0), (4, 1, 2, 1)])
+def test_spans_equal_brute_force(spark, window, gram, span, crowd):
+    rng = random.Random(window)
+    passages = [[rng.choice("abcdefghij") for _ in range(rng.randrange(3, 30))] for _ in range(6)]
+    rows = [(None if k == 7 else rng.randrange(60), t) for k, t in enumerate(ODD)]
+    for _ in range(120):
+        w = []
+        for _ in range(rng.randrange(5)):
+            w += rng.choice(passages) if rng.random() < 0.6 else [rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(12))]
+        rows.append((rng.randrange(60), rng.choice((" ", "\n ", "\x0b")).join(w)))
+    rows += [(3, "z " * 40), (9, "z " * 40), (9, "z " * 40), (2, " ".join("xyz" * 30)), (1, " ".join("xyz" * 20)), (None, "z " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = spandedup.deduplicated(df, window, gram=gram, span=span, crowd=crowd)
+    assert sorted(map(str, (tuple(r) for r in got.select("row.doc_id", "n_words", "n_removed", "kept").collect()))) == slow_spans(rows, window)
+
+
+def test_spans_that_share_a_hash_are_settled_word_by_word(monkeypatch):
+    monkeypatch.setattr(spandedup, "sequences", lambda values, starts, ends, base: np.zeros(len(starts), np.uint64))
+    values = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3], np.uint64)
+    got = spandedup.repeats(values, np.array([0, 3, 6]), np.array([1, 2, 3]), 3)
+    assert got.tolist() == [False, False, True]
+
+
+def test_spans_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "w " * 60, {"k": 1}), (2, "w " * 60, None), (2, None, None)], "doc_id long, text string, `a.b` map<string,int>").withColumns({c: F.lit(1) for c in ("row", "n", "start", "mini", "kept", "_id")})
+    got = spandedup.deduplicated(df)
+    assert got.select("row.*").columns == df.columns
+    assert sorted((r.row.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(1, 60, 0), (2, 0, 0), (2, 60, 60)]
+    assert spandedup.deduplicated(df.limit(0)).count() == 0
+
+
+# --- Conversation repair ---
+
+
+def slow_repair(codes):
+    """Least cost and audit over all edit sequences, by breadth: every state with every audit that is not worse."""
+    best = {(0, 0): (0, "")}
+    for i in range(len(codes) + 1):
+        for _ in range(3):  # insertions
+            for (k, s), (c, a) in list(best.items()):
+                if k == i:
+                    for r in "ua":
+                        if s in repair.STEP[r]:
+                            to = (i, repair.STEP[r][s])
+                            best[to] = min(best.get(to, (c + 2, a + "I")), (c + 2, a + "I"))
+        if i == len(codes):
+            break
+        for s in range(4):
+            if (i, s) not in best:
+                continue
+            c, a = best[i, s]
+            ways = [(s, c + 3, "D")]
+            if codes[i] != "x":
+                cut = codes[i].isupper()
+                ways += [(t, c + cut, "K") for o, t in repair.STEP.get(codes[i].lower(), {}).items() if o == s]
+                ways += [(repair.STEP[r][s], c + 2 + cut, "R") for r in "ua" if s in repair.STEP[r]]
+            for t, cost, letter in ways:
+                to = (i + 1, t)
+                best[to] = min(best.get(to, (cost, a + letter)), (cost, a + letter))
+    return min(best[len(codes), s] for s in repair.ACCEPTS if (len(codes), s) in best)
+
+
+def all_audits(codes):
+    """Every sequence of edits (at most two insertions between turns) that gives a sound conversation: cost and audit."""
+    out = []
+
+    def go(i, s, cost, audit, fresh):
+        if i == len(codes) and s in repair.ACCEPTS:
+            out.append((cost, audit))
+        if fresh < 2:
+            for r in "ua":
+                if s in repair.STEP[r]:
+                    go(i, repair.STEP[r][s], cost + 2, audit + "I", fresh + 1)
+        if i == len(codes):
+            return
+        go(i + 1, s, cost + 3, audit + "D", 0)
+        if codes[i] != "x":
+            cut = codes[i].isupper()
+            if s in repair.STEP.get(codes[i].lower(), {}):
+                go(i + 1, repair.STEP[codes[i].lower()][s], cost + cut, audit + "K", 0)
+            for r in "ua":
+                if s in repair.STEP[r]:
+                    go(i + 1, repair.STEP[r][s], cost + 2 + cut, audit + "R", 0)
+
+    go(0, 0, 0, "", 0)
+    return out
+
+
+def test_matrix_scan_equals_exhaustive_search():
+    scan = repair.Scan()
+    for n in (1, 2, 3):
+        for codes in map("".join, itertools.product("suaoSUAOx", repeat=n)):
+            assert scan.ending(scan.turns(codes))[:2] == min(all_audits(codes)) == slow_repair(codes)
+    rng = random.Random(5)
+    for _ in range(300):
+        codes = "".join(rng.choice("suaoSUAOx") for _ in range(rng.randrange(4, 80)))
+        assert scan.ending(scan.turns(codes))[:2] == slow_repair(codes)
+        cut = sorted(rng.sample(range(1, len(codes)), 2))
+        parts = [scan.turns(p) for p in (codes[: cut[0]], codes[cut[0] : cut[1]], codes[cut[1] :])]
+        assert scan.together(parts) == scan.turns(codes)
+        leave = scan.ending(scan.turns(codes))[2]
+        ways = scan.through(parts, 0, leave)
+        assert "".join(m[4 * i + j][1] for m, (i, j) in zip(parts, ways)) == scan.turns(codes)[leave][1]
+
+
+CONV = [
+    *[(1, t, r, x) for t, r, x in [(0, "system", "Be brief."), (1, "user", "Hi there."), (2, "assistant", "Hello!"), (2, "assistant", "Hello!"), (4, "user", " \t"), (5, "tool", "x"), (None, None, None), (9, "", "Why?")]],
+    *[(2, None, "user", None)] * 3, (None, 1, "user", "Lost."), (None, 2, "assistant", "Also lost"), (3, 0, "Assistant", "upper."), (4, 10**12, "user", "far."), (4, -5, "assistant", "Before. \x00 \n"), (5, 0, "🙂", "Ünï."),
+    *[(6, k, ("user", "assistant")[k % 2], f"Line {k % 11}{'.' * (k % 3)}") for k in range(150)], *[(7, k, "user", "The same.") for k in range(40)],
+]
+
+
+@pytest.mark.parametrize("unit,fan", [(1024, 64), (4, 2), (1, 3)])
+def test_repair_equals_sql_on_odd_rows(spark, monkeypatch, tmp_path, unit, fan):
+    monkeypatch.setattr(repair, "UNIT", unit)
+    monkeypatch.setattr(repair, "FAN", fan)
+    df = spark.createDataFrame(CONV, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("at", "unit", "a.b", "code", "_conv")})
+    df.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    ours, theirs = both(spark, con, repair.query, repair.ORACLE, str(tmp_path))
+    assert ours == theirs and len(ours) == 8
+
+
+def test_repair_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert repair.reported(repair.damaged(df), df).count() == 0
+    one = spark.createDataFrame([(k, 0, "user", "Yes.") for k in range(60)], "conv_id long, turn long, role string, text string")
+    lost = [r for r in repair.reported(repair.damaged(one), one).collect() if zlib.crc32(f"{r.conv_id}:0".encode()) % 20 == 0]
+    assert lost and all(r.audit == "" and r.cost == 0 and r.repaired_sha256 == hashlib.sha256(b"").hexdigest() for r in lost)
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op9_chat"}))
+def test_query_equals_its_sql(spark, name):
+    ours, theirs = both(spark, connect(SF), QUERIES[name], ORACLES[name], SF)
+    assert ours == theirs

@@ -79,6 +79,11 @@ def unused(df: DataFrame) -> str:
     return "_" * (1 + max(map(len, df.columns), default=0))
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

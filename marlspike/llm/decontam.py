@@ -445,6 +445,7 @@ def _drop(items, rules, max_rate, block, place):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_rate: float = 0.2, recall: float = 0.95, block: int = BLOCK) -> DataFrame:
     """docs without the rows that hold an item; rows are judged one by one, all columns stay."""
+    out, names = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), docs.columns  # any names may stand in docs
     for items in _passes(benchmark, PASS):
-        docs = docs.mapInArrow(_drop(items, walk_rules(items, max_rate, recall), max_rate, block, docs.columns.index("text")), docs.schema)
-    return docs
+        out = out.mapInArrow(_drop(items, walk_rules(items, max_rate, recall), max_rate, block, names.index("text")), out.schema)
+    return out.toDF(*names)

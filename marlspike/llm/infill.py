@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat, steps, table
+from .common import flat, quoted, steps, table
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED, PLAIN_FROM, SPM_BELOW = 1, 90, 20
@@ -122,7 +122,7 @@ def infilled(docs: DataFrame, unit: str = "chars", seed: int = SEED, carry: list
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))), 256)
     group = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
     slim = docs.select(
-        F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
+        F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
         group[0].alias("_h1"), group[1].alias("_h2"), (group[2] % 100).alias("_h3"), (group[3] % 100).alias("_h4"),
     )
     more = [("output", T.StringType()), ("n", T.LongType()), ("form", T.StringType()), ("prefix_chars", T.LongType()), ("middle_chars", T.LongType())]

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_row_key, keep, labelled, row_key, table, unused
+from .common import by_row_key, keep, labelled, quoted, row_key, table, unused
 
 #: The model has BUCKETS rows of one double a domain (at most 64 domains): the bound of what is broadcast.
 BUCKETS, SAMPLE, SHARP, ALPHA = 4096, 20000, 4.0, 0.1
@@ -127,7 +127,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], **how)
     got = keep(rates(docs, labels, targets, **how).where("copies > 0").select("row_id", "row_key", "copies"), "copies")
     out = by_row_key(docs, got, "inner")
     spare = unused(docs)
-    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["copies"])).alias(spare)).drop(spare)
+    return out.select(*[docs[quoted(c)] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["copies"])).alias(spare)).drop(spare)
 
 
 def clean_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

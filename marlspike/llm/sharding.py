@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_signed, discard, flat, keep, lower_ascii, mix, span_hashes, steps, table, text_or_empty, words
+from .common import as_signed, discard, flat, keep, lower_ascii, mix, quoted, span_hashes, steps, table, text_or_empty, words
 
 FEATURES, LINE, ROUNDS = 6, 1024, 4
 BINS = 16
@@ -199,16 +199,17 @@ def placed(rows: DataFrame, found: DataFrame, shards: int) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, unit, size, text_crc32, shard, slot of every row."""
-    rows = keep(sketches(docs), "sketches")
-    out = placed(rows.drop("features").withColumn("number", F.monotonically_increasing_id()), labels(rows, shards), shards)
+    rows = keep(sketches(docs).withColumn("number", F.monotonically_increasing_id()), "sketches")
+    out = placed(rows.drop("features"), labels(rows, shards), shards)
     return out.select("doc_id", "unit", "size", "text_crc32", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 8) -> DataFrame:
     """docs with shard and slot; all columns stay."""
     found = labels(keep(sketches(docs), "sketches"), shards)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("unit"), F.monotonically_increasing_id().alias("number"))
-    out = placed(rows, found, shards)
+    # the numbers are read twice and must be the same
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("unit"), F.monotonically_increasing_id().alias("number"))
+    out = placed(keep(rows, "numbered"), found, shards)
     free = lambda name: next(n for n in (name, *(f"{name}_{k}" for k in range(2, 2 + len(docs.columns) + 1))) if n not in docs.columns)
     return out.select("row.*", F.col("_shard").alias(free("shard")), F.col("_slot").alias(free("slot")))
 

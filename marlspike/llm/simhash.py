@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_signed, keep, mix
+from .common import as_signed, by_row_key, keep, mix, quoted, row_key
 from .graph import components
 
 BITS = 3
@@ -72,8 +72,9 @@ def shingle_hashes(text: str) -> list[int]:
 
 
 def _fingerprints(batches):
+    """doc_id, row_key, text -> doc_id, row_key, fp."""
     for batch in batches:
-        texts = batch.column(1).fill_null("")
+        texts = batch.column(2).fill_null("")
         out, part, sizes, held = [], [], [], 0
         for t in texts:
             got = shingle_hashes(t.as_py())
@@ -86,12 +87,12 @@ def _fingerprints(batches):
         if sizes:
             out.append(fingerprint(np.concatenate(part), np.array(sizes)))
         fp = as_signed(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "row_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, row_key (a hash of the text), fp (the 64 bits as a signed long) of every row."""
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row_key"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -262,8 +263,8 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return small.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_join_batches, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links), of every row.
+def near_duplicates(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id, fingerprint (hex), component_id (smallest doc_id reachable over links), of every row; with_key: row_key too.
 
     A row without doc_id links like any other; component_id is null where no doc_id is reachable.
     """
@@ -279,19 +280,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         least = of.groupBy(F.col("part").alias("whole")).agg(F.min("node").alias("component_id"))
         classes = of.join(least, of.part == least.whole).select("of", "component_id")
     classes = keep(classes, "classes")
-    return prints.join(classes, prints.fp == classes.of, "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(classes, prints.fp == classes.of, "left").select("doc_id", *["row_key"][: with_key], F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component stays: its smallest doc_id; of rows that share it, the least by text, then by the rest.
+    """One row of each component stays: of those with its smallest doc_id that the one whose text's hash is least; of rows
+    that share both, the one with the least hash of all columns.
 
-    Rows without doc_id cannot name a component's document; they stay.
+    Rows that share a doc_id but not a text are judged each by its own component. Rows without doc_id cannot name a
+    component's document; they stay.
     """
     known = docs.where("doc_id is not null")
-    heads = keep(near_duplicates(known).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n_rows")), "heads")
-    one = known.join(heads.where("n_rows = 1"), "doc_id", "left_semi")
-    if not heads.where("n_rows > 1").isEmpty():
-        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-        many = known.join(heads.where("n_rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
-        one = one.unionByName(many.select("doc_id", "row.*"))
+    found = keep(near_duplicates(known, with_key=True).where("doc_id = component_id").groupBy("doc_id", "row_key").agg(F.first("component_id").alias("component"), F.count("*").alias("n_rows")), "heads")
+    heads = keep(found.groupBy("component").agg(F.min_by(F.struct(F.col("doc_id").alias("row_id"), "row_key", "n_rows"), "row_key").alias("h")).select("h.*"), "heads")
+    one = by_row_key(known, heads.where("n_rows = 1").select("row_id", "row_key"), "left_semi")
+    many = heads.where("n_rows > 1").select("row_id", "row_key")
+    if not many.isEmpty():
+        row = F.struct(*[F.col(quoted(c)) for c in docs.columns])
+        same = by_row_key(known, many, "left_semi").select(F.col("doc_id").alias("_d"), row_key().alias("_k"), row.alias("row"))
+        one = one.unionByName(same.groupBy("_d", "_k").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*"))
     return one.unionByName(docs.where("doc_id is null"))

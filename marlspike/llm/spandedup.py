@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_signed, flat, keep, kept_bytes, mix, row_key, span_hashes, steps, table, words
+from .common import as_signed, flat, keep, kept_bytes, mix, quoted, row_key, span_hashes, steps, table, words
 
 WINDOW, GRAM, SPAN, CROWD = 50, 8, 256, 4096
 #: Bytes of packed strings in a slab of buckets, and in a task.
@@ -297,7 +297,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, carry: list[str] | None
     carry: the columns that `row` holds (all of docs, if not given).
     """
     found = repeated(docs, window, **how).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("ranges").alias("_ranges"))
-    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in (docs.columns if carry is None else carry)])
+    row = F.struct(*[F.col(quoted(c)) for c in (docs.columns if carry is None else carry)])
     slim = docs.select(row.alias("row"), F.col("text").cast("string").alias("_text"), F.col("doc_id").cast("long").alias("_doc"), row_key().alias("_row_key"))
     met = slim.join(found, (F.col("_doc") == F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left").select("row", "_text", "_ranges")
     more = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]

@@ -156,6 +156,16 @@ def test_keep_one(spark):
     assert ids.count(6) == 1 and 7 not in ids and ids.count(None) == 1 and 0 in ids and 1 not in ids
 
 
+def test_keep_one_judges_rows_by_their_text(spark):
+    a, b = "first text of the two that share an id", "second text that two ids share between them"
+    rows = [(3, b, {"k": 1}), (5, a, {"k": 2}), (5, b, {"k": 3}), (5, a, {"k": 2}), (5, a, None), (8, "", {}), (8, None, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` map<string,int>")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    out = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert sorted(out) == [(3, b), (5, a), (8, "")]
+
+
 # --- decontamination ---
 
 
@@ -794,7 +804,7 @@ def test_secrets_odd_rows(spark):
 
 # --- columns of any name, repeated and missing ids, empty tables ---
 
-INNER = "_at _begin _copy _core _doc _id _key _label _lane _m _n _part _pieces _pu _u a again b begin bucket component copies core crf deal digest doc domain edits f features fp goal gain hash hot_key host id in_row item item_id items key known l1 l2 l3 l4 label layout media n n_rows n_tokens node number of p0 p1 path payload place problem quality rare rate record row row_id row_key s0 s1 s2 schema_hash shard site_host size slot spans told toxic turn turns u unit v w0 word".split()
+INNER = "a.b c`d _at _begin _copy _core _doc _id _key _label _lane _m _n _part _pieces _pu _u a again b begin bucket component copies core crf deal digest doc domain edits f features fp goal gain hash hot_key host id in_row item item_id items key known l1 l2 l3 l4 label layout media n n_rows n_tokens node number of p0 p1 path payload place problem quality rare rate record row row_id row_key s0 s1 s2 schema_hash shard site_host size slot spans told toxic turn turns u unit v w0 word".split()
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import context, graph, health, index, ingest, lifecycle, metrics, search
+from .operators import blockmax, context, graph, health, index, ingest, lifecycle, metrics, search
 from .plans import inputs as I
 from .sources import files, vcs
 from .store import settled
@@ -73,6 +73,17 @@ def fts_bm25_topk(spark, sf_dir):
     return search.lexical_top(search.postings(c, weights), search.lengths(c, weights), "chunk", I.queries(spark, sf_dir), 20).select("query_id", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
+@query(ORACLES["fts_bm25_topk"])
+def fts_block_max_topk(spark, sf_dir):
+    """The same hits from blocks of postings with bounds."""
+    c = settled(ingest.chunks(I.sources(spark, sf_dir)).withColumn("id", F.concat("path", F.lit(":"), F.col("start_line").cast("string"))).select("id", "path", "content"))
+    weights = search.WEIGHTS["chunk"]
+    post, sizes = search.postings(c, weights), search.lengths(c, weights)
+    held = settled(blockmax.blocks(post, blockmax.fineness(c.count())))
+    hits = search.scored(blockmax.top(held, post, sizes, I.queries(spark, sf_dir), 20), "chunk")
+    return hits.select("query_id", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
+
+
 _HYBRID = (
     with_(
         I.SOURCES, I.CHUNKS, I.MEMORIES, I.SYMBOLS, I.RELATIONS, I.MORE_QUERIES, I.PHRASES, "items AS (SELECT path || ':' || start_line AS id, * FROM chunks)",
@@ -109,7 +120,10 @@ _HYBRID = (
 def hybrid_search(spark, sf_dir):
     c = ingest.chunks(I.sources(spark, sf_dir)).withColumn("id", F.concat("path", F.lit(":"), F.col("start_line").cast("string")))
     kinds = {"chunk": settled(c.select("id", "path", "content")), "memory": settled(I.memories(spark, sf_dir)), "symbol": settled(I.symbols(spark, sf_dir))}
-    stored = {t: settled(df) for t, df in index.entries(kinds).items()}
+    fine = index.fineness(sum(df.count() for df in kinds.values()))
+    made = index.entries(kinds)
+    # positions are needed for phrases alone
+    stored = {t: settled(df) for t, df in (made | {"blocks": index.blocked(made["postings"], fine)}).items() if t != "postings"} | {"postings": made["postings"]}
     out = search.hybrid(*kinds.values(), I.relations(spark, sf_dir), I.queries(spark, sf_dir, more=True), 20, stored)
     return out.withColumn("score", F.round("score", 6))
 

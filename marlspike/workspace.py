@@ -8,8 +8,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 import time
 import uuid
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from .streaming import debounce
 
 PROJECTS = "id string, name string, root_path string, created_at timestamp, last_opened_at timestamp, archived_at timestamp"
 TABLES = {"sources": S.SOURCES, "chunks": S.CHUNKS, "symbols": S.SYMBOLS, "relations": S.RELATIONS, "memories": S.MEMORIES, "bindings": S.BINDINGS, "candidates": S.CANDIDATES, "tasks": S.TASKS, "runs": S.RUNS}
+#: The tables whose rows are items of the search index.
+KIND_TABLES = {"chunk": "chunks", "memory": "memories", "symbol": "symbols"}
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 HEADER = "salt binary, n int, r int, p int"
 #: Cost, block size and parallelism of the key derivation.
@@ -31,10 +35,19 @@ SCRYPT = (16384, 8, 1)
 EMPTY_CHECKPOINT = {"summary": None, "completed": [], "next": [], "changedFiles": [], "verification": [], "blockers": [], "risks": []}
 
 
+class Cancelled(RuntimeError):
+    """Work that was stopped on request and can be taken up again."""
+
+
 class NotAllowed(ValueError):
     """A request that the rules of a record's life do not allow."""
 
 
+#: Index runs of this process, by workspace and project.
+_RUNNING: set[tuple[str, str]] = set()
+_GUARD = threading.Lock()
+
+
 def _now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
@@ -114,7 +127,22 @@ class Workspace:
     # --- indexing ---
 
     def project_index(self, project: str, snapshot: dict | None = None) -> dict:
-        """One incremental run: scan, difference, derive what changed, drop what is gone, candidates, drift."""
+        """One incremental run: scan, difference, derive what changed, drop what is gone, candidates, drift.
+
+        One run of a project at a time: a second one is refused while the first goes on.
+        """
+        key = (self.home, project)
+        with _GUARD:
+            if key in _RUNNING:
+                raise NotAllowed("an index run of this project is going on")
+            _RUNNING.add(key)
+        try:
+            return self._index_run(project, snapshot)
+        finally:
+            with _GUARD:
+                _RUNNING.discard(key)
+
+    def _index_run(self, project: str, snapshot: dict | None) -> dict:
         root, store, started = self._project(project)["root_path"], self._store(project), _now()
         old = self.table(project, "sources")
         scanned = files.scan(self.spark, root).cache()
@@ -125,7 +153,8 @@ class Workspace:
         new = fresh.join(changed.select("path"), "path", "left_semi").cache()
         chunks = ingest.chunks(new).withColumn("id", T.content_id("chk_", F.col("path"), F.col("start_line").cast("string"), F.col("content")))
         symbols, relations = code.extract(new)
-        for name, rows in (("chunks", chunks), ("symbols", symbols), ("relations", relations)):
+        some = not touched.isEmpty()  # without changes no table gets a new version
+        for name, rows in (("chunks", chunks), ("symbols", symbols), ("relations", relations)) if some else ():
             have = self.table(project, name)
             store.write(name, ingest.replaced(have, touched, rows.select(*have.columns)))
         snapshot = snapshot or vcs.snapshot(root)
@@ -133,7 +162,8 @@ class Workspace:
         file_changes = new.join(changed.select("path", F.col("old_hash").alias("previous_hash")), "path").join(by_vcs.select("path").distinct(), "path", "left_anti")
         made = lifecycle.file_candidates(file_changes).unionByName(lifecycle.vcs_candidates(by_vcs, snapshot["kind"] or "git", snapshot["revision"]))
         generated = self._add_candidates(project, made)
-        store.write("sources", fresh)
+        if some:
+            store.write("sources", fresh)
         stale, refreshed = lifecycle.drift(self.table(project, "memories"), self.table(project, "bindings"), self.table(project, "sources"))
         gone = [r.id for r in stale.collect()]  # ids of single memories
         moved = refreshed.withColumnsRenamed({"binding_id": "id", "source_hash": "_hash", "start_line": "_start", "end_line": "_end"}).drop("memory_id")
@@ -289,33 +319,84 @@ class Workspace:
     # --- search and graph ---
 
     def _kinds(self, project: str) -> dict[str, DataFrame]:
-        return {k: self.table(project, n) for k, n in (("chunk", "chunks"), ("memory", "memories"), ("symbol", "symbols"))}
+        return {k: self.table(project, n) for k, n in KIND_TABLES.items()}
+
+    def _index(self, project: str) -> dict[str, DataFrame]:
+        store = self._store(project)
+        return {t: store.read_parts(f"index_{t}", schema) for t, schema in index.SCHEMAS.items()}
 
     def search_update(self, project: str) -> int:
-        """Brings the stored index up to date; how many items were derived anew."""
+        """Brings the stored index up to date; how many items were derived anew.
+
+        Nothing is read if no table has a new version. Otherwise digests of the tables that have one are compared, and the
+        parts of items that differ are overwritten, the others not. The marker names the parts before they are written
+        and the versions afterwards: parts that an interruption left open are derived from their items in full.
+        """
         store, kinds = self._store(project), self._kinds(project)
-        have = {t: store.read(f"index_{t}", schema) for t, schema in index.SCHEMAS.items()}
-        fresh, gone = (df.cache() for df in index.difference(have["items"], kinds))
+        now = {n: v[-1] for n in KIND_TABLES.values() if (v := store.versions(n))}
+        held = store.read("index_marker", index.MARKER).first()
+        if held is None or held.parts != index.PARTS:
+            return self.search_rebuild(project) if now else 0
+        opened = list(held.open)
+        if held.versions == now and not opened:
+            return 0
+        new = {k: kinds[k] for k, n in KIND_TABLES.items() if opened or held.versions.get(n) != now.get(n)}
+        have = self._index(project)
+        fresh, gone = index.difference(have["items"], new)
+        if opened:
+            mine = index.digests(kinds).where(F.col("part").isin(opened)).select("kind", "id", "part")
+            fresh = fresh.unionByName(mine).distinct()
+            have = {t: df.where(~F.col("part").isin(opened)) for t, df in have.items()}
+        fresh, gone = fresh.cache(), gone.cache()
+        touched = sorted({r.part for df in (fresh, gone) for r in df.select("part").distinct().collect()} | set(opened))  # at most PARTS
         n = fresh.count()
-        if n or not gone.isEmpty():
-            for t, df in index.updated(have, kinds, fresh, gone).items():
-                store.write(f"index_{t}", df, partitions=index.PARTITIONS[t])
+        if touched:
+            self._mark_index(store, held.versions, held.fine, touched)
+            self._write_parts(store, index.updated(have, kinds, fresh, gone, touched), held.fine, touched)
+        self._mark_index(store, now, held.fine, [])
         fresh.unpersist()
         gone.unpersist()
+        items = store.read_parts("index_items", index.SCHEMAS["items"]).count()
+        if index.fineness(items) > 4 * held.fine:  # blocks have grown too coarse
+            return self.search_rebuild(project)
         return n
 
-    def search_rebuild(self, project: str) -> int:
-        """Derives the stored index anew from all items."""
-        store, made = self._store(project), index.entries(self._kinds(project))
-        for t, df in made.items():
-            store.write(f"index_{t}", df, partitions=index.PARTITIONS[t])
-        return store.read("index_items", index.SCHEMAS["items"]).count()
+    def _mark_index(self, store: Store, versions: dict, fine: int, opened: list[int]) -> None:
+        store.write("index_marker", self.spark.createDataFrame([(versions, fine, index.PARTS, opened)], index.MARKER))
+
+    def _write_parts(self, store: Store, made: dict[str, DataFrame], fine: int, parts: list[int]) -> None:
+        """The tables of some parts; items go last, as they say what the index holds."""
+        for t in ("grams", "postings"):
+            store.overwrite_parts(f"index_{t}", index.arranged(made[t]), "part", parts)
+        post = store.read_parts("index_postings", index.SCHEMAS["postings"]).where(F.col("part").isin(parts))
+        store.overwrite_parts("index_blocks", index.arranged(index.blocked(post, fine)), "part", parts)
+        store.overwrite_parts("index_items", index.arranged(made["items"]), "part", parts)
+
+    def search_rebuild(self, project: str, cancelled: Callable[[], bool] = lambda: False, at_once: int = 16) -> int:
+        """Derives the stored index anew from all items, `at_once` parts at a time; how many items it holds.
+
+        Asks `cancelled` between the steps and raises Cancelled if so; the marker says which parts are left, and the next
+        update or rebuild derives them.
+        """
+        store, kinds = self._store(project), self._kinds(project)
+        now = {n: v[-1] for n in KIND_TABLES.values() if (v := store.versions(n))}
+        fine = index.fineness(sum(df.count() for df in kinds.values()))
+        for t in index.SCHEMAS:
+            store.remove(f"index_{t}")
+        for lo in range(0, index.PARTS, at_once):
+            left, here = list(range(lo, index.PARTS)), list(range(lo, min(lo + at_once, index.PARTS)))
+            self._mark_index(store, now, fine, left)
+            if cancelled():
+                raise Cancelled(f"{len(left)} parts of the index are left")
+            some = {k: df.where(index.part_of(F.col("id"), index.PARTS).isin(here)) for k, df in kinds.items()}
+            self._write_parts(store, index.entries(some), fine, here)
+        self._mark_index(store, now, fine, [])
+        return store.read_parts("index_items", index.SCHEMAS["items"]).count()
 
     def project_search(self, project: str, query: str, limit: int = 20) -> DataFrame:
-        """Over the stored index, which is brought up to date first: a comparison of digests if nothing has changed."""
+        """Over the stored index, which is brought up to date first: a look at the tables' versions if nothing has changed."""
         self.search_update(project)
-        t, store = {n: self.table(project, n) for n in ("chunks", "memories", "symbols", "relations")}, self._store(project)
-        stored = {n: store.read(f"index_{n}", schema) for n, schema in index.SCHEMAS.items()}
+        t, stored = {n: self.table(project, n) for n in ("chunks", "memories", "symbols", "relations")}, self._index(project)
         q = self.spark.createDataFrame([(0, query)], "query_id long, query string")
         return search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], q, max(1, min(limit, 100)), stored).drop("query_id")
 

@@ -107,25 +107,95 @@ def test_sealed_backup_and_watch(project, tmp_path):
     assert w.watch_list() == [] and not w.table(p, "sources").where("path = 'new.md'").isEmpty()
 
 
-def test_stored_index(project):
-    """Updates derive only what changed, equal a rebuild, and find what a search without an index finds."""
+def test_stored_index(project, monkeypatch):
+    """Updates derive only what changed and write only its parts, equal a rebuild, and find what a search without an index finds."""
+    import os
+
     from marlspike.operators import index, search
 
     w, p, root = project
     w.search_update(p)
     assert w.search_update(p) == 0
+    home = f"{w.home}/projects/{p}"
+    stamps = lambda t: {d: sorted((f, os.stat(f"{home}/index_{t}/{d}/{f}").st_mtime_ns) for f in os.listdir(f"{home}/index_{t}/{d}")) for d in os.listdir(f"{home}/index_{t}") if d.startswith("part=")}
+    before = {t: stamps(t) for t in index.SCHEMAS}
     (root / "docs.md").write_text("Ｒｅｆｒｅｓｈ tokens, spelled in full width, and a zebra.")
     w.project_index(p, NO_VCS)
     assert w.search_update(p) == 1
+    for t in index.SCHEMAS:  # one new chunk: one part
+        assert len([d for d, held in stamps(t).items() if held != before[t].get(d)]) == 1
     assert "docs.md" in [r.path for r in w.project_search(p, "zebra").join(w.table(p, "chunks"), "id").collect()]
-    rows = lambda: {t: sorted(map(tuple, w._store(p).read(f"index_{t}", s).collect())) for t, s in index.SCHEMAS.items()}
+    rows = lambda: {t: sorted(map(str, df.collect())) for t, df in w._index(p).items()}
     stepwise = rows()
     w.search_rebuild(p)
-    assert stepwise == rows() and stepwise["grams"] and stepwise["postings"]
-    q = w.spark.createDataFrame([(0, "refresh token")], "query_id long, query string")
-    t = {n: w.table(p, n) for n in ("chunks", "memories", "symbols", "relations")}
-    plain = search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], q, 20).drop("query_id")
-    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, w.project_search(p, "refresh token").collect()))
+    assert stepwise == rows() and stepwise["grams"] and stepwise["postings"] and stepwise["blocks"]
+    # a run without changes gives no table a new version, and a search then reads no item
+    versions = {n: w._store(p).versions(n) for n in ("chunks", "symbols", "sources")}
+    w.project_index(p, NO_VCS)
+    assert versions == {n: w._store(p).versions(n) for n in versions}
+    with monkeypatch.context() as m:
+        m.setattr(index, "digests", None)
+        m.setattr(index, "difference", None)
+        assert w.search_update(p) == 0
+    for q in ("refresh token", "refresh-token rotate", "zebra"):
+        asked = w.spark.createDataFrame([(0, q)], "query_id long, query string")
+        t = {n: w.table(p, n) for n in ("chunks", "memories", "symbols", "relations")}
+        plain = search.hybrid(t["chunks"], t["memories"], t["symbols"], t["relations"], asked, 20).drop("query_id")
+        assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, w.project_search(p, q).collect()))
     (root / "docs.md").unlink()
     w.project_index(p, NO_VCS)
-    assert w.search_update(p) == 0 and not [r for r in rows()["postings"] if r[6] == "zebra"]
+    assert w.search_update(p) == 0 and not [r for r in rows()["postings"] if "'zebra'" in r]
+
+
+def test_rebuild_can_be_cancelled_and_taken_up(project):
+    from marlspike.workspace import Cancelled
+
+    w, p, _ = project
+    w.search_update(p)
+    rows = lambda: {t: sorted(map(str, df.collect())) for t, df in w._index(p).items()}
+    whole, asked = rows(), iter([False, True])
+    with pytest.raises(Cancelled):
+        w.search_rebuild(p, lambda: next(asked), at_once=32)
+    assert rows() != whole
+    assert w.search_update(p) > 0 and rows() == whole
+
+
+def test_interrupted_update_is_repeated(project, monkeypatch):
+    w, p, root = project
+    w.search_update(p)
+    (root / "broken.md").write_text("an okapi stands here")
+    w.project_index(p, NO_VCS)
+    store = type(w._store(p))
+    write = store.overwrite_parts
+
+    def dies(self, name, *a):
+        if name == "index_items":
+            raise OSError("lost")
+        write(self, name, *a)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "overwrite_parts", dies)
+        with pytest.raises(OSError):
+            w.search_update(p)
+    assert w.search_update(p) >= 1
+    rows = {t: sorted(map(str, df.collect())) for t, df in w._index(p).items()}
+    w.search_rebuild(p)
+    assert rows == {t: sorted(map(str, df.collect())) for t, df in w._index(p).items()}
+    (root / "broken.md").unlink()
+    w.project_index(p, NO_VCS)
+
+
+def test_one_index_run_at_a_time(project, monkeypatch):
+    import threading
+
+    w, p, _ = project
+    begun, go, out = threading.Event(), threading.Event(), []
+    monkeypatch.setattr(Workspace, "_index_run", lambda self, *a: (begun.set(), go.wait(30), {"ran": True})[2])
+    t = threading.Thread(target=lambda: out.append(w.project_index(p, NO_VCS)))
+    t.start()
+    begun.wait(30)
+    with pytest.raises(NotAllowed):
+        w.project_index(p, NO_VCS)
+    go.set()
+    t.join()
+    assert out == [{"ran": True}] and w.project_index(p, NO_VCS) == {"ran": True}

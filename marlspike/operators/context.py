@@ -6,11 +6,13 @@ import json
 import re
 from heapq import heapify, heapreplace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..store import settled
 
 # How many of each slot a context holds, and the order in which lists give way.
 SLOTS = {"constraint": 20, "decision": 15, "lesson": 10}
@@ -76,10 +78,28 @@ def code_relations(hits: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def budget_prefix(items: DataFrame, budget: Column, by: list[str], order: list[Column], cost: str = "tokens") -> DataFrame:
-    """The first phase of fitting: items whose running cost, in order of worth, stays within the budget; the first stays anyway."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = items.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
-    return rows.where((F.col("used") <= budget) | (F.col("place") == 1))
+    """The first phase of fitting: items whose running cost, in order of worth, stays within the budget; the first stays anyway.
+
+    Adds used and place. Two-level prefix sums: the rows are sorted by range over the cluster, whatever their keys; the sums
+    of each key's piece of each range give where its running cost begins, and rows run within their piece alone. Pieces that
+    begin beyond the budget are dropped before. So a key may have any share of the rows. Make the order total; costs are
+    not negative (a null costs nothing).
+    """
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = items.repartitionByRange(n, *by, *order).withColumn("_piece", F.spark_partition_id())
+    rows = settled(rows.withColumn("_budget", budget))
+    pieces = rows.groupBy(*by, "_piece").agg(F.sum(F.coalesce(cost, F.lit(0))).alias("_sum"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row a range at most
+    begin = pieces.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_piece").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_past"))
+    on = F.col("_piece") == F.col("_p")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = rows.join(begin, on).where((F.col("_begin") <= F.col("_budget")) | (F.col("_past") == 0))
+    w = Window.partitionBy(*by, "_piece").orderBy(*order)
+    used = F.col("_begin") + F.coalesce(F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    place = (F.col("_past") + F.row_number().over(w)).cast("int")
+    out = met.withColumn("used", used).withColumn("place", place).where((F.col("used") <= F.col("_budget")) | (F.col("place") == 1))
+    return out.select(*items.columns, "used", "place")
 
 
 CJK = re.compile("[⺀-⿟々〇〡-〩〸-〻ぁ-ゖゝ-ゟァ-ヺヽ-ヿㄱ-ㆎㇰ-ㇿ㐀-䶿一-鿿ꥠ-ꥼ가-힣豈-﫿ｦ-ﾝ\U0001b000-\U0001b16f\U00020000-\U0003134f]")
@@ -152,3 +172,46 @@ def fit_budget(context: dict, budget: int) -> dict:
         size = quarters(compact(context)) - len(str(state["usedTokens"]))
         over()
     return context
+
+
+#: Contexts of one batch of a task: each has some 150 records at most.
+AT_ONCE = 64
+
+
+def fit_budgets(contexts: DataFrame) -> DataFrame:
+    """contexts: query_id, budget, context (JSON with all lists of DROP_ORDER and warnings). Fits each as fit_budget does:
+    query_id, budget, used, truncated, context (JSON)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                ids, budgets, texts = (batch.column(c).slice(lo, AT_ONCE) for c in ("query_id", "budget", "context"))
+                done = [fit_budget(json.loads(t), b) for t, b in zip(texts.to_pylist(), budgets.to_pylist())]
+                used, cut = ([d["budget"][k] for d in done] for k in ("usedTokens", "truncated"))
+                yield pa.RecordBatch.from_arrays([ids, budgets, pa.array(used, pa.int64()), pa.array(cut, pa.bool_()), pa.array([compact(d) for d in done], pa.string())], ["query_id", "budget", "used", "truncated", "context"])
+
+    slim = contexts.where("context is not null").select(F.col("query_id").cast("long"), F.col("budget").cast("long"), "context")
+    return slim.mapInArrow(run, "query_id long, budget long, used long, truncated boolean, context string")
+
+
+def assembled(tasks: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """tasks: query_id, query; lists: by name of DROP_ORDER, rows (query_id, place, record struct). query_id, context (JSON).
+
+    Lists are bounded by the limits above, so a context is one row of bounded size.
+    """
+    out = tasks.select("query_id", "query")
+    for name, rows in lists.items():
+        one = rows.groupBy(F.col("query_id").alias("_q")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "record"))), lambda x: x["record"]).alias(name))
+        out = out.join(one, F.col("query_id") == F.col("_q"), "left").drop("_q")
+    held = [F.coalesce(F.col(n), F.array()).alias(n) if n in lists else F.array().cast("array<string>").alias(n) for n in ["constraints", "decisions", "lessons", "userMemories", "activeTasks", "relevant", "codeRelations"]]
+    whole = F.struct(F.col("query").alias("task"), *held, F.array().cast("array<string>").alias("warnings"))
+    return out.select("query_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("context"))
+
+
+def memory_contexts(chosen: DataFrame, hits: DataFrame, memories: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Contexts of many tasks from slots() and memory hits (query_id, id, score, rank): query_id, context (JSON)."""
+    record = F.struct("id", "type", "title", "content", "reason", "status", "scope")
+    placed = chosen.join(memories, "id").select("query_id", "slot", "place", record.alias("record"))
+    lists = {name: placed.where(F.col("slot") == slot).drop("slot") for name, slot in (("constraints", "constraint"), ("decisions", "decision"), ("lessons", "lesson"))}
+    found = hits.join(memories.select("id", "title", "content"), "id").select("query_id", F.col("rank").alias("place"), F.struct(F.lit("memory").alias("kind"), "id", "title", "content", "score").alias("record"))
+    return assembled(tasks, lists | {"relevant": found})

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..store import settled
 
 # How much a candidate's text may hold, and how sure each origin is.
 LINES, CHARS, DEFAULT_CONFIDENCE, INFERRED_CONFIDENCE = 8, 1200, 0.9, 0.5
+BLANKS = " \t\n\x0b\f\r"
 CONFIDENCE = {"added": 0.5, "updated": 0.6, "vcs": 0.55, "summary": 0.75, "risks": 0.7, "completed": 0.7}
 
 
@@ -91,21 +98,77 @@ def remembered(memories: DataFrame, fresh: DataFrame) -> DataFrame:
     return old.unionByName(ok.select(*memories.columns))
 
 
+#: Excerpts of one source that one automaton holds; a source with more meets them in several.
+TOGETHER = 10_000
+
+
+def _lines_of_excerpts(batches):
+    """key, content, wanted (digest, excerpt) -> key, digest, start_line, end_line of the excerpts that stand in the content.
+
+    One automaton of all excerpts passes over the content once.
+    """
+    import ahocorasick
+
+    for batch in batches:
+        out = []
+        for key, content, wanted in zip(*(batch.column(c) for c in ("key", "content", "wanted"))):
+            body = content.as_py().replace("\r\n", "\n").strip(BLANKS)
+            machine, parts = ahocorasick.Automaton(), {}
+            for w in wanted.as_py():
+                part = w["excerpt"].replace("\r\n", "\n").strip(BLANKS)
+                if part and hashlib.sha256(part.encode()).hexdigest() == w["digest"]:
+                    parts.setdefault(part, []).append(w["digest"])
+                    machine.add_word(part, part)
+            if not parts:
+                continue
+            machine.make_automaton()
+            first: dict[str, int] = {}
+            for end, part in machine.iter(body):
+                if part not in first:
+                    first[part] = end - len(part) + 1
+                    if len(first) == len(parts):
+                        break
+            breaks = [i for i, c in enumerate(body) if c == "\n"] if first else []
+            for part, at in first.items():
+                line = bisect_left(breaks, at) + 1
+                out += [(key.as_py(), d, line, line + part.count("\n")) for d in parts[part]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 4, (pa.string(), pa.string(), pa.int32(), pa.int32()))], ["key", "digest", "start_line", "end_line"])
+
+
+def located(wanted: DataFrame, sources: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """wanted: path, excerpt, excerpt_hash; sources: path, content (path unique). path, excerpt_hash, start_line, end_line of
+    every excerpt that stands in its source (and whose hash holds), counted in the trimmed content.
+
+    Equal excerpts of a source are one; they meet its content in groups of about `together`, so the content is copied once a
+    group, whatever the number of bindings, and no group grows with it.
+    """
+    one = wanted.groupBy("path", "excerpt_hash", "excerpt").agg(F.count("*").alias("_n"))
+    many = one.groupBy(F.col("path").alias("_path")).agg(F.ceil(F.count("*") / F.lit(together)).alias("_groups"))
+    dealt = one.join(many, F.col("path") == F.col("_path")).withColumn("_group", F.pmod(F.xxhash64("excerpt_hash", "excerpt"), F.col("_groups")))
+    groups = dealt.groupBy("path", "_group").agg(F.collect_list(F.struct(F.col("excerpt_hash").alias("digest"), "excerpt")).alias("wanted"))
+    met = groups.join(sources.select("path", "content"), "path").select(F.col("path").alias("key"), "content", "wanted")
+    found = met.mapInArrow(_lines_of_excerpts, "key string, digest string, start_line int, end_line int")
+    # two forms of one excerpt (line ends, blanks around it) have one hash and one place
+    return found.groupBy(F.col("key").alias("path"), F.col("digest").alias("excerpt_hash")).agg(F.min("start_line").alias("start_line"), F.min("end_line").alias("end_line"))
+
+
 def drift(memories: DataFrame, bindings: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stale memory ids, and refreshed bindings (binding_id, source_hash, start_line, end_line).
+    """Stale memory ids, and refreshed bindings (binding_id, memory_id, source_hash, start_line, end_line).
 
     An active memory's file binding fails if its source is unset or gone or its hash differs (an unknown hash does not).
     A failing binding whose excerpt still stands in the source is refreshed; any other makes its memory stale.
     """
     b = bindings.where("source_kind = 'file'").select(F.col("id").alias("binding_id"), "memory_id", "source_path", F.col("source_hash").alias("bound_hash"), "excerpt", "excerpt_hash")
     m = memories.where("status = 'active'").select(F.col("id").alias("memory_id"))
-    s = sources.select(F.col("path").alias("s_path"), "content_hash", "content")
+    s = sources.select(F.col("path").alias("s_path"), "content_hash")
     rows = b.join(m, "memory_id", "left_semi").join(s, F.col("source_path") == F.col("s_path"), "left")
-    rows = rows.where("source_path is null or s_path is null or bound_hash <> content_hash")
+    rows = settled(rows.where("source_path is null or s_path is null or bound_hash <> content_hash"))
     known = F.col("s_path").isNotNull() & (F.coalesce("content_hash", F.lit("")) != "") & (F.coalesce("excerpt", F.lit("")) != "") & (F.coalesce("excerpt_hash", F.lit("")) != "")
-    rows = rows.withColumn("at", F.when(known, T.locate_excerpt(F.col("content"), F.col("excerpt"), F.col("excerpt_hash"))))
-    stale = rows.where("at is null").select(F.col("memory_id").alias("id")).distinct()
-    fresh = rows.where("at is not null").select("binding_id", "memory_id", F.col("content_hash").alias("source_hash"), "at.start_line", "at.end_line")
+    at = located(rows.where(known).select(F.col("s_path").alias("path"), "excerpt", "excerpt_hash"), sources)
+    at = at.select(F.col("path").alias("_path"), F.col("excerpt_hash").alias("_hash"), "start_line", "end_line")
+    rows = rows.withColumn("_known", known).join(at, F.col("_known") & (F.col("s_path") == F.col("_path")) & (F.col("excerpt_hash") == F.col("_hash")), "left")
+    stale = rows.where("start_line is null").select(F.col("memory_id").alias("id")).distinct()
+    fresh = rows.where("start_line is not null").select("binding_id", "memory_id", F.col("content_hash").alias("source_hash"), "start_line", "end_line")
     return stale, fresh
 
 

@@ -605,6 +605,23 @@ def budget_prefix(spark, sf_dir):
     return context.budget_prefix(d, F.lit(3000), ["source"], [F.col("doc_id")])
 
 
+def _contexts(spark, sf_dir):
+    """query_id, budget, context: of every benchmark text and the small queries, with budgets from tight to wide."""
+    m, q = settled(I.memories(spark, sf_dir)), I.queries(spark, sf_dir, more=True)
+    weights = search.WEIGHTS["memory"]
+    hits = settled(search.lexical_top(search.postings(m, weights), search.lengths(m, weights), "memory", q, context.HITS))
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    got = context.memory_candidates(hits.select("query_id", "kind", "id").unionByName(q.select("query_id", F.lit("none").alias("kind"), F.lit("").alias("id"))), m)
+    whole = context.memory_contexts(context.slots(context.ranked(got, m, q)), hits.select("query_id", "id", F.round("score", 6).alias("score"), "rank"), m, q)
+    return whole.withColumn("budget", F.element_at(F.array(*map(F.lit, (500, 2000, 8000, 30000, 100000))), (F.pmod("query_id", F.lit(5)) + 1).cast("int")).cast("long"))
+
+
+@query()
+def context_fit(spark, sf_dir):
+    """Contexts of many tasks, each fitted into its budget. (No SQL: it is held against fitting one by one.)"""
+    return context.fit_budgets(_contexts(spark, sf_dir))
+
+
 # --- metrics, streams, parsers ---------------------------------------------------------------------------------
 
 @query(

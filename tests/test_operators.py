@@ -206,3 +206,106 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     done = {(r.path, r.began, r.n) for r in got}
     assert done and done <= batch and len(batch - done) <= 1  # the last burst is still open
     assert debounce.relevant(events.select(F.concat(F.lit("node_modules/"), "path").alias("path")), ["node_modules/"]).count() == 0
+
+
+def test_percentiles_by_selection(spark):
+    """A hot group, ties, outliers, nulls, an empty group: equal to sorting, with at most ten rows sorted at the end."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", rng.choice([rng.gauss(0, 1), rng.lognormvariate(0, 40), 5.0, -1e300])) for _ in range(4000)] + [("tied", 7.0)] * 500 + [("tied", 8.0)] * 20
+    rows += [("edge", float(k // 300)) for k in range(900)] + [("one", 3.0), ("none", None), (None, 1.0), (None, 2.0), (None, None), ("nan", float("nan")), ("nan", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    at = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for few in (10, 100_000):
+        got = {r.g: (r.n, [r[f"p{round(p * 100)}"] for p in at]) for r in metrics.percentiles(df, "v", ["g"], at, few).collect()}
+        assert len(got) == 7
+        for g in got:
+            own = [v for x, v in rows if x == g]
+            held = sorted((v for v in own if v is not None), key=lambda v: (math.isnan(v), v))
+            want = [held[max(1, math.ceil(p * len(held))) - 1] if held else None for p in at]
+            assert got[g][0] == len(own) and str(got[g][1]) == str(want), g
+    assert [tuple(r) for r in metrics.percentiles(df.where("g = 'edge'").select("v"), "v", [], [0.5], 5).collect()] == [(900, 1.0)]
+    assert metrics.percentiles(df.limit(0), "v", ["g"], [0.5]).count() == 0
+
+
+def test_budget_prefix_of_one_key(spark):
+    """One key for all rows equals a running sum, and no task of the last window holds them all."""
+    import random
+
+    rng = random.Random(1)
+    rows = [("s", k, rng.choice([None, 0, 1, 5, 40])) for k in range(3000)] + [(None, k, 3) for k in range(10)] + [("big", 0, 10**6), ("big", 1, 0)]
+    df = spark.createDataFrame(rows, "source string, k long, tokens long").repartition(3)
+    for budget in (0, 70, 20_000, 10**9):
+        want = []
+        for s in ("s", None, "big"):
+            used, place = 0, 0
+            for _, k, t in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+                used, place = used + (t or 0), place + 1
+                want += [(s, k, t, used, place)] if used <= budget or place == 1 else []
+        got = context.budget_prefix(df, F.lit(budget), ["source"], [F.col("k")])
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    turned = context.budget_prefix(df.where("source is null"), F.lit(6), ["source"], [F.desc("k")])
+    assert sorted(r.k for r in turned.collect()) == [8, 9]
+
+
+def test_many_contexts_fit_as_one_does(spark):
+    import json
+    import random
+
+    rng = random.Random(2)
+    some = []
+    for q in range(1000):
+        made = {n: [{"id": f"{n}{k}", "content": "wort 漢字 " * rng.randrange(12), "reason": None, "goal": "g" * rng.randrange(90), "checkpoint": {"summary": "s" * rng.randrange(60), "next": ["n" * 50]} if k % 2 else None} for k in range(rng.randrange(6))] for n in context.DROP_ORDER}
+        some.append((q, rng.choice([10, 100, 300, 900, 4000]), context.compact(made | {"task": f"t{q}", "warnings": []})))
+    df = spark.createDataFrame(some, "query_id long, budget long, context string").repartition(5)
+    got = {r.query_id: r for r in context.fit_budgets(df).collect()}
+    assert len(got) == 1000
+    for q, budget, text in some:
+        want = context.fit_budget(json.loads(text), budget)
+        assert json.loads(got[q].context) == want and got[q].used == want["budget"]["usedTokens"] and got[q].truncated == want["budget"]["truncated"]
+    assert {r.truncated for r in got.values()} == {True, False}
+
+
+def test_block_bounds_skip_postings(spark):
+    """The same hits as scoring everything; rare words let most postings be skipped."""
+    import random
+
+    from marlspike.operators import blockmax
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(f"d{k}", f"p{k % 7}", " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(5, 60)))) for k in range(3000)]
+    rows += [("x1", "p", "okapi okapi zebra w1"), ("x2", "p", "okapi w2"), ("e", "", "")]
+    items = spark.createDataFrame(rows, "id string, path string, content string").repartition(4).cache()
+    w = search.WEIGHTS["chunk"]
+    post, sizes = search.postings(items, w), search.lengths(items, w)
+    held = blockmax.blocks(post, blockmax.fineness(items.count())).cache()
+    q = spark.createDataFrame([(1, "okapi w0"), (2, "w250 w299 w1"), (3, "w0 w0 w1"), (4, "none"), (5, "..."), (6, "w0-w1 okapi")], "query_id long, query string")
+    for limit in (1, 5, 20):
+        want = sorted(map(tuple, search.first_of(search.bm25(post, sizes, q), limit).collect()))
+        assert sorted(map(tuple, blockmax.top(held, post, sizes, q, limit).collect())) == want
+    out = items.where("id < 'd2'").select("id")
+    want = search.first_of(search.bm25(post, sizes, q).join(out, "id", "left_anti"), 5)
+    assert sorted(map(tuple, blockmax.top(held, post, sizes, q, 5, out).collect())) == sorted(map(tuple, want.collect()))
+    one = blockmax.Search(held, sizes, q.where("query_id = 1"), 2)
+    assert [r.id for r in one.hits.orderBy("bm25").collect()] == ["x1", "x2"] and one.read() < one.all() / 3
+
+
+def test_many_excerpts_of_one_source(spark):
+    """A hot source with thousands of bindings, nested and repeated excerpts, odd line ends: the same as one by one."""
+    import hashlib
+
+    from marlspike.functions import text as T
+
+    body = "\r\n  head\n" + "\n".join(f"line {k % 400} of {k}\nand more\r\nend" for k in range(900)) + "\n\n"
+    digest = lambda t: hashlib.sha256(t.replace("\r\n", "\n").strip().encode()).hexdigest()
+    some = [f" line {k % 400} of {k}\nand more" for k in range(1200)] + ["and", "and more\r\nend", "and more\nend", "head", "e", "nope", "", "漢字", None] * 3
+    rows = [("hot.md", t, digest(t or "")) for t in some] + [("hot.md", "and", "wrong"), ("small.md", "漢字", digest("漢字")), ("gone.md", "x", digest("x"))]
+    wanted = spark.createDataFrame(rows, "path string, excerpt string, excerpt_hash string").repartition(4).where("excerpt <> ''")
+    sources = spark.createDataFrame([("hot.md", body), ("small.md", "a\n\n漢字 b"), ("free.md", "x")], "path string, content string")
+    plain = wanted.join(sources, "path").withColumn("at", T.locate_excerpt(F.col("content"), F.col("excerpt"), F.col("excerpt_hash"))).where("at is not null").select("path", "excerpt_hash", "at.*").distinct()
+    want = sorted(map(tuple, plain.collect()))
+    for together in (100, 10_000):
+        assert sorted(map(tuple, lifecycle.located(wanted, sources, together).collect())) == want and len(want) > 900

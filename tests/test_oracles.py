@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from marlspike.registry import ORACLES, QUERIES
@@ -11,17 +13,33 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Queries that SQL does not express; they are held against a loop below.
+WITHOUT = {"context_fit"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT))
 def test_query_equals_sql(spark, con, name):
     ours, theirs = both(spark, con, QUERIES[name], ORACLES[name], SF)
     assert ours == theirs
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == WITHOUT
 
 
 def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["query_id", "id", "matches", "coverage"]
+
+
+def test_context_fit_equals_a_loop(spark):
+    from marlspike.operators import context
+    from marlspike.registry import _contexts
+
+    got = {r.query_id: r for r in QUERIES["context_fit"](spark, SF).collect()}
+    held = _contexts(spark, SF).collect()
+    assert len(held) == len(got) and any(r.truncated for r in got.values()) and not all(r.truncated for r in got.values())
+    for r in held:
+        want = context.fit_budget(json.loads(r.context), r.budget)
+        assert json.loads(got[r.query_id].context) == want and got[r.query_id].used == want["budget"]["usedTokens"]

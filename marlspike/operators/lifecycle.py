@@ -128,7 +128,7 @@ def _lines_of_excerpts(batches):
                     first[part] = end - len(part) + 1
                     if len(first) == len(parts):
                         break
-            breaks = [i for i, c in enumerate(body) if c == "\n"] if first else []
+            breaks = [x.start() for x in re.finditer("\n", body)] if first else []
             for part, at in first.items():
                 line = bisect_left(breaks, at) + 1
                 out += [(key.as_py(), d, line, line + part.count("\n")) for d in parts[part]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -100,6 +101,7 @@ class IgnoreRules:
     """Ignore rules in order; the last that matches wins, and nothing comes back from an ignored folder."""
 
     def __init__(self, rules: list[str]):
+        self.lines = list(rules)
         self.rules = [r for r in map(rule_pattern, rules) if r]
 
     @classmethod
@@ -148,15 +150,29 @@ def walk(root: str, rules: IgnoreRules) -> tuple[list[str], dict[str, int]]:
     return found, seen
 
 
+#: Bytes of files that a task hands on at once.
+AT_ONCE = 16 << 20
+
+
 def _reader(base: str):
     def run(batches):
+        columns = ["path", "content", "size_bytes", "modified"]
         for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
-                with open(base + path, "rb") as f:
-                    data = f.read()
-                rows.append((path, data, len(data), pd.Timestamp(int(os.path.getmtime(base + path)), unit="s")))
-            yield pd.DataFrame(rows, columns=["path", "content", "size_bytes", "modified"])
+            rows, held = [], 0
+            for path, size, modified in zip(pdf["path"], pdf["size_bytes"], pdf["modified"]):
+                data = None
+                if size <= T.MAX_FILE_BYTES:  # a larger file is skipped, so it is not read
+                    try:
+                        with open(base + path, "rb") as f:
+                            data = f.read()
+                    except FileNotFoundError:  # gone since it was listed
+                        continue
+                rows.append((path, data, size if data is None else len(data), modified))
+                held += len(data or b"")
+                if held > AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -164,19 +180,17 @@ def _reader(base: str):
 def scan(spark: SparkSession, root: str, rules: IgnoreRules | None = None) -> DataFrame:
     """path, content, content_hash, size_bytes, modified, kind, skip_reason of the files that policy lets through.
 
-    The listing prunes on the driver; the bytes are read by executors. Broken UTF-8 becomes replacement characters.
+    Tasks list and prune the tree (sources.tree) and read the files that are left; the tree is mounted where executors run.
+    Files over the size limit are not read: their content and hash are null. Broken UTF-8 becomes replacement characters.
     """
+    from .tree import TreeSource
+
     rules = rules or IgnoreRules.for_root(root)
-    paths, _ = walk(root, rules)
-    paths = [p for p in paths if not rules.ignores(p)]
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").where(~sensitive(F.col("path")) & candidate_text_file(F.col("path")))
     base = os.path.abspath(root).rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    raw = raw.withColumn("path", F.substring_index("path", base, -1))
-    # Spark's listing leaves out names that begin with . or _; those are read by path from the mounted tree
-    hidden = F.col("path").rlike("(^|/)[._]")
-    seen = listed.where(~hidden).join(raw.select("path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")), "path")
-    rows = seen.unionByName(listed.where(hidden).mapInPandas(_reader(base), "path string, content binary, size_bytes long, modified timestamp"))
+    spark.dataSource.register(TreeSource)
+    listed = spark.read.format("tree").option("root", base).option("rules", json.dumps(rules.lines)).load()
+    listed = listed.where(~sensitive(F.col("path")) & candidate_text_file(F.col("path"))).repartition(spark.sparkContext.defaultParallelism)  # folders differ in size
+    rows = listed.mapInPandas(_reader(base), "path string, content binary, size_bytes long, modified timestamp")
     got = rows.select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), "size_bytes", "modified")
     return got.withColumn("kind", T.detect_kind(F.col("path"))).withColumn("skip_reason", skip_reason(F.col("path"), F.col("content"), F.col("size_bytes")))
 

@@ -9,7 +9,6 @@ import hashlib
 import json
 import os
 import threading
-import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import text as T
 from .operators import context, graph, health, index, ingest, lifecycle, search
-from .sources import code, files, vcs
+from .sources import code, files, tree, vcs
 from .store import Store
 from .streaming import debounce
 
@@ -126,10 +125,10 @@ class Workspace:
 
     # --- indexing ---
 
-    def project_index(self, project: str, snapshot: dict | None = None) -> dict:
+    def project_index(self, project: str, snapshot: dict | None = None, run: str | None = None) -> dict:
         """One incremental run: scan, difference, derive what changed, drop what is gone, candidates, drift.
 
-        One run of a project at a time: a second one is refused while the first goes on.
+        One run of a project at a time: a second one is refused while the first goes on. run: the id it has in the run log.
         """
         key = (self.home, project)
         with _GUARD:
@@ -137,12 +136,12 @@ class Workspace:
                 raise NotAllowed("an index run of this project is going on")
             _RUNNING.add(key)
         try:
-            return self._index_run(project, snapshot)
+            return self._index_run(project, snapshot, run)
         finally:
             with _GUARD:
                 _RUNNING.discard(key)
 
-    def _index_run(self, project: str, snapshot: dict | None) -> dict:
+    def _index_run(self, project: str, snapshot: dict | None, run: str | None) -> dict:
         root, store, started = self._project(project)["root_path"], self._store(project), _now()
         old = self.table(project, "sources")
         scanned = files.scan(self.spark, root).cache()
@@ -173,7 +172,7 @@ class Workspace:
             have = self.table(project, "memories")
             lost = F.col("id").isin(gone)
             store.write("memories", have.withColumn("status", F.when(lost, "stale").otherwise(F.col("status"))).withColumn("updated_at", F.when(lost, F.lit(_now())).otherwise(F.col("updated_at"))))
-        self._put(store, "runs", S.RUNS, {"id": _id("idx"), "started_at": started, "status": "completed", "errors": []} | counts)
+        self._put(store, "runs", S.RUNS, {"id": run or _id("idx"), "started_at": started, "status": "completed", "errors": []} | counts)
         for df in (scanned, diff, touched, new):
             df.unpersist()
         return counts | {"candidates": generated, "stale": gone}
@@ -269,36 +268,32 @@ class Workspace:
 
     # --- watching ---
 
+    def _watched(self, project: str) -> str:
+        """The folder in which a watcher keeps its listings and its progress (of a mounted tree, like the project's)."""
+        return f"{self.home.removeprefix('file://')}/projects/{project}/watch"
+
     def watch_start(self, project: str, quiet_ms: int = debounce.DEFAULT_MS) -> str:
-        """A stream whose batches index the project when its tree has changed; a run that finds nothing new costs a listing."""
-        self._project(project)
+        """A stream of the tree's changes, each batch of which is one index run.
+
+        The run log holds a run by its batch: a batch that is run again after a failure finds its run there or does it now,
+        so every change is indexed once, over restarts too.
+        """
+        root = self._project(project)["root_path"]
         if any(w["project"] == project for w in self.watch_list()):
             raise NotAllowed("the project is watched already")
         quiet = max(debounce.LEAST_MS, min(debounce.MOST_MS, quiet_ms))
-        seen = {"mark": None}
 
-        def run(_, batch: int) -> None:
-            mark = self._mark(project)
-            if mark != seen["mark"] and mark == (time.sleep(quiet / 1000), self._mark(project))[1]:  # quiet for so long
-                self.project_index(project)
-                seen["mark"] = mark
+        def run(changes: DataFrame, batch: int) -> None:
+            key = f"idx_watch_{project}_{batch}"
+            if not changes.isEmpty() and self.table(project, "runs").where(F.col("id") == key).isEmpty():
+                self.project_index(project, run=key)
 
-        ticks = self.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
-        q = ticks.writeStream.queryName(f"watch {project}").trigger(processingTime=f"{quiet} milliseconds").foreachBatch(run).start()
+        self.spark.dataSource.register(tree.TreeSource)
+        at, rules = self._watched(project), files.IgnoreRules.for_root(root)
+        stream = self.spark.readStream.format("tree").options(root=root, rules=json.dumps(rules.lines), state=f"{at}/listings", quiet=str(quiet)).load()
+        q = stream.writeStream.queryName(f"watch {project}").option("checkpointLocation", f"{at}/progress").trigger(processingTime=f"{quiet} milliseconds").foreachBatch(run).start()
         return str(q.id)
 
-    def _mark(self, project: str) -> int:
-        root = self._project(project)["root_path"]
-        paths, _ = files.walk(root, files.IgnoreRules.for_root(root))
-        found = []
-        for p in paths:
-            try:
-                st = os.stat(os.path.join(root, p))
-                found.append((p, st.st_mtime_ns, st.st_size))
-            except FileNotFoundError:
-                continue
-        return hash(tuple(found))
-
     def watch_list(self) -> list[dict]:
         return [{"project": q.name.removeprefix("watch "), "id": str(q.id), "status": q.status, "batches": (q.lastProgress or {}).get("batchId")} for q in self.spark.streams.active if (q.name or "").startswith("watch ")]
 
@@ -306,6 +301,9 @@ class Workspace:
         """Waits until what has changed by now is indexed; an error of the watcher surfaces here."""
         for q in self.spark.streams.active:
             if q.name == f"watch {project}":
+                tree.ask_flush(f"{self._watched(project)}/listings")
+                while os.path.exists(f"{self._watched(project)}/listings/flush"):  # until the watcher has looked
+                    q.processAllAvailable()
                 q.processAllAvailable()
 
     def watch_stop(self, project: str) -> None:

@@ -309,3 +309,116 @@ def test_many_excerpts_of_one_source(spark):
     want = sorted(map(tuple, plain.collect()))
     for together in (100, 10_000):
         assert sorted(map(tuple, lifecycle.located(wanted, sources, together).collect())) == want and len(want) > 900
+
+
+def test_versions_with_state_equal_the_batch(spark, tmp_path):
+    """Bursts of a stream in several batches, out of order within the watermark, are those of the table; a flush waits for its version."""
+    import random
+    import threading
+
+    from marlspike.streaming import versions
+
+    rng = random.Random(6)
+    schema = "key string, ts timestamp, nth long"
+    rows = [(rng.choice("abc"), 1_700_000_000 + s, s) for s in sorted(rng.sample(range(2000), 300))]
+    late = [(k, t + (rng.randrange(3) if rng.random() < 0.3 else 0), n) for k, t, n in rows]
+    frame = lambda part: spark.createDataFrame(part, "key string, at long, nth long").select("key", F.timestamp_seconds("at").alias("ts"), "nth")
+    src = str(tmp_path / "in")
+    frame(late[:100]).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    got, barrier = [], versions.Barrier()
+
+    def sink(df, _):
+        got.extend(map(tuple, df.collect()))
+        barrier.done(df)
+
+    q = versions.fired(stream, "key", "ts", 5000, "10 seconds").writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(sink).start()
+    try:
+        q.processAllAvailable()
+        frame(late[100:200]).coalesce(1).write.mode("append").parquet(src)
+        q.processAllAvailable()
+        frame(late[200:] + [(k, 1_700_009_000, 0) for k in "abc"]).coalesce(1).write.mode("append").parquet(src)
+        of_a = sum(k == "a" for k, _, _ in rows)
+        # the last burst of each key fires when time has passed it
+        threading.Timer(2, lambda: frame([("z", 1_700_099_000, 0)]).coalesce(1).write.mode("append").parquet(src)).start()
+        barrier.flush(q, "a", of_a + 1, 90)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    want = versions.fired_batch(frame(late + [(k, 1_700_009_000, 0) for k in "abc"]), "key", "ts", 5000)
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+    assert max(v for k, v, *_ in got if k == "a") == debounce.versions(frame(late).where("key = 'a'"), "key").first().change_version + 1
+    with pytest.raises(TimeoutError):
+        barrier.flush(q, "a", 10**6, 1)
+
+
+def test_tree_source(spark, tmp_path):
+    """Listed by tasks, pruned inside them: the same rows as a walk; the planner opens few folders."""
+    import json
+
+    from marlspike.sources import tree
+
+    root = tmp_path / "p"
+    for a in range(6):
+        for b in range(4):
+            (root / f"d{a}/e{b}").mkdir(parents=True)
+            (root / f"d{a}/e{b}/f.md").write_text("x" * a)
+    (root / "node_modules/deep/er").mkdir(parents=True)
+    (root / "node_modules/deep/er/x.js").write_text("x")
+    (root / ".hidden").mkdir()
+    (root / ".hidden/ü +%.txt").write_text("y")
+    os.symlink(root / "d1", root / "link")
+    rules = [*files.IGNORED, "d5/"]
+    spark.dataSource.register(tree.TreeSource)
+    for spread in (1, 4, 1000):
+        got = spark.read.format("tree").option("root", str(root)).option("rules", json.dumps(rules)).option("spread", spread).load()
+        want, _ = files.walk(str(root), files.IgnoreRules(rules))
+        assert sorted(r.path for r in got.collect()) == sorted(want) and len(want) == 21
+    plan = tree.TreeReader({"root": str(root), "rules": json.dumps(rules), "spread": "4"}).partitions()
+    assert len([p for p in plan if p.deep]) == 6 and [p.path for p in plan if not p.deep] == [""]
+
+
+def test_tree_changes_come_once(spark, tmp_path):
+    """A batch that is killed and run again after a restart gives each change once to a sink that logs batches."""
+    import json
+
+    from marlspike.sources import tree
+
+    root, log = tmp_path / "p", {}
+    root.mkdir()
+    (root / "a.md").write_text("1")
+    (root / "b.md").write_text("1")
+    spark.dataSource.register(tree.TreeSource)
+
+    def start(dies: bool):
+        def sink(df, k):
+            rows = sorted(map(tuple, df.collect()))
+            if rows and k not in log:
+                if dies:
+                    raise OSError("killed")
+                log[k] = rows
+
+        s = spark.readStream.format("tree").option("root", str(root)).option("rules", json.dumps(files.IGNORED)).option("state", str(tmp_path / "s")).option("quiet", 100).load()
+        return s.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").foreachBatch(sink).start()
+
+    def settle(q):
+        tree.ask_flush(str(tmp_path / "s"))
+        q.processAllAvailable()
+        q.processAllAvailable()
+
+    q = start(False)
+    settle(q)
+    assert list(log.values()) == [[("a.md", "added"), ("b.md", "added")]]
+    q.stop()
+    (root / "a.md").write_text("22")
+    (root / "b.md").unlink()
+    q = start(True)
+    with pytest.raises(Exception):
+        settle(q)
+        q.awaitTermination(30)
+    (root / "c.md").write_text("3")
+    q = start(False)
+    settle(q)
+    settle(q)
+    q.stop()
+    assert sorted(x for rows in log.values() for x in rows) == [("a.md", "added"), ("a.md", "updated"), ("b.md", "added"), ("b.md", "removed"), ("c.md", "added")]

@@ -105,6 +105,14 @@ def test_sealed_backup_and_watch(project, tmp_path):
     w.watch_flush(p)
     w.watch_stop(p)
     assert w.watch_list() == [] and not w.table(p, "sources").where("path = 'new.md'").isEmpty()
+    runs = w.table(p, "runs").where("id like 'idx_watch%'").count()
+    assert runs >= 1
+    (root / "new2.md").write_text("another file")
+    w.watch_start(p, 100)  # goes on where it stopped
+    w.watch_flush(p)
+    w.watch_stop(p)
+    assert not w.table(p, "sources").where("path = 'new2.md'").isEmpty()
+    assert w.table(p, "runs").where("id like 'idx_watch%'").count() == runs + 1
 
 
 def test_stored_index(project, monkeypatch):

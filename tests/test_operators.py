@@ -88,6 +88,63 @@ function plain() { return new Circle(1).area(); }
     assert symbols.count() == len(s) and relations.count() == len(r)
 
 
+def test_code_of_the_first_phase():
+    s, r = code.analyse("src/service.ts", """
+      import { Base } from './base';
+      interface Runner { run(): void }
+      class Service extends Base implements Runner {
+        run() { helper(); }
+      }
+      const factory = () => new Service();
+    """)
+    assert {f"{x['kind']}:{x['name']}" for x in s} == {"interface:Runner", "class:Service", "method:run", "function:factory"}
+    assert {f"{x['relation_type']}:{x['to_name']}" for x in r} == {"IMPORTS:./base", "EXTENDS:Base", "IMPLEMENTS:Runner", "CALLS:helper"}
+    s, _ = code.analyse("src/large-source.ts", f'const fixture = "{"x" * 33_000}";\nexport function largeSource() {{ return fixture.length; }}')
+    assert [x["name"] for x in s] == ["largeSource"]
+
+
+def test_code_modes():
+    """Regular expressions, templates in templates, elements with code in braces, generics, signatures without bodies."""
+    s, r = code.analyse("a.tsx", r"""
+const re = /[/"']function x() {}/g, half = a / b / c;
+function* gen<T>(x: T): Iterable<T> { yield* inner(`a ${call(`b ${deep("}")} c`)} { ${{a: 1}.a}`); }
+export default async function main(this: Foo) { if (ready()) { await a.b?.c(1).then(x => done(x)); } return new Foo(make()).go(); }
+const View = ({ a }: Props) => <div className="x" onClick={() => click(a)}>text function no() {} {render(a)} <b/> {'}'}</div>;
+class K<T extends object> extends mixin(A, ns.B)<T> implements I {
+  #p = init(); static async *walk(a = f(1)) { } get v() { return 1 } foo(): void; constructor() { super(); }
+}
+type U = { a(): void } | string;
+enum E { A = val() }
+const o = { m() { om(); }, k: function () { kk() } }, p = function named() { pp(); }
+abstract class Abs { abstract z(): void; y() { q<number>(1); } }
+""")
+    assert [(x["kind"], x["qualified_name"].split("#", 1)[1]) for x in s] == [
+        ("function", "gen"), ("function", "main"), ("function", "View"), ("class", "K"), ("method", "K#walk"), ("method", "K#v"), ("method", "K#constructor"), ("type", "U"), ("enum", "E"),
+        ("method", "m"), ("function", "p"), ("method", "y"),
+    ]
+    calls = {x["to_name"]: x["from_name"].split("#", 1)[1] for x in r if x["relation_type"] == "CALLS"}
+    assert calls == {
+        "inner": "gen", "call": "gen", "deep": "gen", "ready": "main", "a.b?.c": "main", "a.b?.c(1).then": "main", "done": "main", "make": "main", "new Foo(make()).go": "main", "click": "View", "render": "View",
+        "mixin": "K", "init": "K", "f": "K#walk", "super": "K#constructor", "val": "E", "om": "m", "kk": "module", "pp": "p", "q": "y",
+    }
+    assert {x["to_name"] for x in r if x["relation_type"] == "EXTENDS"} == {"mixin", "A", "ns", "T"}
+    for broken in ("function f(", "class {", "`${`", "<a><b>", "/", "const x = (", "}}}", "import", "a?.", "type T ="):
+        code.analyse("b.tsx", broken)
+
+
+def test_code_time_is_linear():
+    import time
+
+    def took(n):
+        text = "\n".join(f"export function f{i}(a: number) {{ return g{i}(a).h('x').i(`t ${{a}}`); }}" for i in range(n)) + "\nx" + ".a()" * n
+        began = time.process_time()
+        assert len(code.analyse("big.ts", text)[1]) == 4 * n
+        return time.process_time() - began
+
+    took(100)
+    assert took(12_000) < 14 * max(took(2_000), 0.2)  # about 1 MB
+
+
 def test_file_overview_and_neighbours(spark):
     symbols = spark.createDataFrame([("1", "a", "f", "a#f"), ("2", "b", "g", "b#g"), ("3", "c", "h", "c#h"), ("4", "c", "g", "c#g")], "id string, path string, name string, qualified_name string").withColumn("start_line", F.lit(1)).withColumn("kind", F.lit("function"))
     rel = spark.createDataFrame([("r1", "a", "1", "b#g", "CALLS"), ("r2", "b", "2", "m.h", "CALLS"), ("r3", "a", "1", "g", "CALLS"), ("r4", "c", "3", "g", "CALLS")], "id string, path string, from_id string, to_name string, relation_type string")

@@ -27,8 +27,33 @@ DURABLE_CJK = "决定|选择|必须|不得|约束|经验|教训|问题|风险"
 KNOWLEDGE_PATH = r"(?i)(?:^|/)(?:readme|changelog|adr|decision|architecture|docs?)(?:[/._-]|$)"
 KNOWLEDGE_EXTENSION = r"(?i)\.(?:md|mdx|rst|txt)$"
 NOT_DURABLE = r"(?i)^(?:#{1,6}\s|```|~~~|--|(?:npm|npx|node|git)\s)"
-#: Latin letters with a mark and the letters that the full-text tokeniser takes them for.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def folds() -> tuple[str, str]:
+    """What the full-text tokeniser takes lower-case letters for, as the two strings of a translation.
+
+    By rule, not by list: a letter of the basic plane is its case folding, if that is one letter, and then the ASCII
+    letter into which it decomposes with one mark, if it does; the marks of those decompositions vanish when they
+    stand alone (they have no counterpart, so a translation drops them). Letters with two marks stay, as there.
+    """
+    marked, plain, marks = [], [], set()
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c) in ("Ll", "Lo", "Lm"):
+            low = c.casefold() if len(c.casefold()) == 1 else c
+            parts = unicodedata.normalize("NFD", low)
+            if len(parts) == 2 and parts[0].isascii() and parts[0].isalpha():
+                marked.append(c)
+                plain.append(parts[0])
+                marks.add(parts[1])
+            elif low != c:
+                marked.append(c)
+                plain.append(low)
+    return "".join(marked) + "".join(sorted(marks)), "".join(plain)
+
+
+MARKED, PLAIN = folds()
+#: Tokens of full-text search, after folding.
+FTS_TOKEN = r"[\p{L}\p{N}]+"
 
 #: Text of these characters alone is its own compatibility form; anything else goes through normalisation.
 STABLE = r"^[\x00-\x7FÀ-ÿ]*$"
@@ -108,7 +133,7 @@ def query_phrases(c: Column) -> Column:
 
 def fts_tokens(c: Column) -> Column:
     """Runs of letters and digits, lower-cased, without diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.translate(F.lower(c), MARKED, PLAIN), F.lit(FTS_TOKEN), F.lit(0))
 
 
 def text_tokens(c: Column) -> Column:

@@ -76,13 +76,32 @@ def overview(sources: DataFrame, symbols: DataFrame, edges: DataFrame, limit: in
     return nodes, chosen.orderBy(F.desc("n"), "source", "target", "relation_type").limit(most_edges)
 
 
-def neighbours(found: DataFrame, symbols: DataFrame, seed: str, depth: int = 1, limit: int = 100) -> DataFrame:
+def overview_report(sources: DataFrame, relations: DataFrame, edges: DataFrame, limit: int = 80, most_edges: int = 400, by: str = "n") -> DataFrame:
+    """One row: nodes, edges (all of them), truncated (whether an overview leaves some out), types (relations by type, unfiltered).
+
+    edges: file_edges() of the relations that the overview shows; relations: all of them.
+    """
+    limit = max(10, min(120, limit))
+    shown, kept = overview(sources, sources.select("path").limit(0), edges, limit, most_edges)
+    n = F.sum(by) if by in relations.columns else F.count("*")
+    types = relations.groupBy("relation_type").agg(n.alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation_type", "n")))).alias("types"))  # a row a type
+    totals = sources.select("path").distinct().agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    parts = shown.agg(F.count("*").alias("_shown")).crossJoin(kept.agg(F.count("*").alias("_kept")))
+    return totals.crossJoin(parts).crossJoin(types).select("nodes", "edges", ((F.col("_shown") < F.col("nodes")) | (F.col("_kept") < F.col("edges"))).alias("truncated"), "types")  # single rows
+
+
+def of_types(found: DataFrame, types: list[str] | None) -> DataFrame:
+    """The relations of some types (all, if none are named)."""
+    return found.where(F.col("relation_type").isin(types)) if types else found
+
+
+def neighbours(found: DataFrame, symbols: DataFrame, seed: str, depth: int = 1, limit: int = 100, types: list[str] | None = None) -> DataFrame:
     """id, hop of the symbols within one or two hops of a symbol or `file:path`, over resolved relations, both ways.
 
     A hop keeps the nodes with the least relation id first; of a file the symbols of highest degree are the seeds.
     """
     limit, depth = max(10, min(150, limit)), max(1, min(2, depth))
-    links = found.where("from_id is not null and target_id is not null").select(F.col("id").alias("rel"), F.col("from_id").alias("a"), F.col("target_id").alias("b"))
+    links = of_types(found, types).where("from_id is not null and target_id is not null").select(F.col("id").alias("rel"), F.col("from_id").alias("a"), F.col("target_id").alias("b"))
     both = settled(links.unionByName(links.select("rel", F.col("b").alias("a"), F.col("a").alias("b"))))  # each hop reads it
     if seed.startswith("file:"):
         degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
@@ -99,9 +118,10 @@ def neighbours(found: DataFrame, symbols: DataFrame, seed: str, depth: int = 1,
     return got.orderBy("hop", "via", "id").limit(limit).withColumn("place", F.row_number().over(order)).select("id", "hop", "place")
 
 
-def induced_edges(found: DataFrame, nodes: DataFrame, limit: int = 500) -> DataFrame:
+def induced_edges(found: DataFrame, nodes: DataFrame, limit: int = 500, types: list[str] | None = None) -> DataFrame:
+    """The first `limit` relations by id whose ends are both among the nodes."""
     ids = nodes.select("id")
-    out = found.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    out = of_types(found, types).join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
     return out.orderBy("id").limit(limit)
 
 
@@ -137,8 +157,23 @@ def node_details(symbols: DataFrame, relations: DataFrame, ids: DataFrame, limit
     return out.unionByName(into).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("id", "side", "place", F.col("rel").alias("relation"))
 
 
-def file_details(symbols: DataFrame, relations: DataFrame, path: str) -> DataFrame:
-    """One row: counts of symbols and relations of a file, and its first 30 symbols by line."""
-    own = symbols.where(F.col("path") == path)
-    first = own.orderBy("start_line", "id").limit(30).agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "name", "kind"))).alias("symbols"))
-    return own.agg(F.count("*").alias("n_symbols")).crossJoin(relations.where(F.col("path") == path).agg(F.count("*").alias("n_relations"))).crossJoin(first)  # single rows
+#: Symbols that a file's details name.
+FILE_SYMBOLS = 30
+
+
+def file_details(symbols: DataFrame, relations: DataFrame, path: str | None = None, by: str = "n") -> DataFrame:
+    """path, n_symbols, n_relations, symbols (the first 30 by line: start_line, id, name, kind) of each file, or of one.
+
+    The first symbols of a file are picked by a window whose limit applies before its shuffle, so a large file sends few.
+    """
+    if path is not None:
+        symbols, relations = symbols.where(F.col("path") == path), relations.where(F.col("path") == path)
+    n = F.sum(by) if by in relations.columns else F.count("*")
+    counts = symbols.groupBy("path").agg(F.count("*").alias("n_symbols"))
+    out = relations.groupBy(F.col("path").alias("r_path")).agg(n.alias("n_relations"))
+    order = Window.partitionBy("path").orderBy("start_line", "id")
+    first = symbols.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= FILE_SYMBOLS)
+    first = first.groupBy(F.col("path").alias("s_path")).agg(F.array_sort(F.collect_list(F.struct("start_line", "id", "name", "kind"))).alias("symbols"))
+    met = counts.join(out, F.col("path") == F.col("r_path"), "full_outer").join(first, F.col("path") == F.col("s_path"), "left")
+    zero = F.lit(0).cast("long")
+    return met.select(F.coalesce("path", "r_path").alias("path"), F.coalesce("n_symbols", zero).alias("n_symbols"), F.coalesce("n_relations", zero).alias("n_relations"), "symbols")

@@ -61,15 +61,35 @@ def guard_counts(memories: DataFrame, tasks: DataFrame, candidates: DataFrame) -
     return rows.agg(n("m", "active").alias("active_memories"), n("t", "in_progress").alias("tasks_in_progress"), n("c", "pending").alias("pending_candidates"))
 
 
+#: Bits of a key in a doctor's report: it stands in the entity, in what is derived from it, or is referred to.
+CANONICAL, DERIVED, REFERRED = 1, 2, 4
+
+
+def doctor(pairs: dict[str, tuple[DataFrame, DataFrame]], references: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """name, canonical, derived, missing, orphaned, dangling: how far derived tables lie from their entities, and references
+    that lead nowhere.
+
+    pairs: by name, an entity and what is derived from it (an index, files on disk); references: by name, the table that is
+    referred to and the references. All are tables of one column, their key; nulls are no keys. Every key becomes a bit,
+    the bits of a key come together in one aggregate that combines first, and all names are counted at once.
+    """
+    marked = None
+    for names, (low, high) in ((pairs, (CANONICAL, DERIVED)), (references or {}, (CANONICAL, REFERRED))):
+        for name, tables in names.items():
+            for df, bit in zip(tables, (low, high)):
+                rows = df.select(F.lit(name).alias("name"), df[df.columns[0]].cast("string").alias("_key"), F.lit(bit).alias("_bit"))
+                marked = rows if marked is None else marked.unionByName(rows)
+    keys = marked.groupBy("name", "_key").agg(F.bit_or("_bit").alias("_m")).where("_key is not null")
+    has = lambda bit: F.col("_m").bitwiseAND(bit) > 0
+    own, derived, referred = has(CANONICAL), has(DERIVED), has(REFERRED)
+    kind = F.col("name").isin(*(references or {"": None}))
+    counts = {"canonical": own, "derived": derived, "missing": own & ~derived & ~kind, "orphaned": derived & ~own, "dangling": referred & ~own}
+    return keys.groupBy("name").agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def consistency(pairs: dict[str, tuple[DataFrame, DataFrame]], key: str = "id") -> DataFrame:
-    """name, canonical, derived, missing, orphaned: how far each derived index lies from its entity."""
-    out = None
-    for name, (canonical, derived) in pairs.items():
-        a = canonical.select(F.col(key).alias("a")).distinct()
-        b = derived.select(F.col(key).alias("b")).distinct()
-        row = a.join(b, F.col("a") == F.col("b"), "full_outer").agg(F.count("a").alias("canonical"), F.count("b").alias("derived"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNull()).alias("orphaned")).select(F.lit(name).alias("name"), "canonical", "derived", "missing", "orphaned")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """name, canonical, derived, missing, orphaned of the keys of some pairs."""
+    return doctor({n: (a.select(key), b.select(key)) for n, (a, b) in pairs.items()}).drop("dangling")
 
 
 def unsafe_paths(sources: DataFrame) -> DataFrame:

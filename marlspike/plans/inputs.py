@@ -168,7 +168,7 @@ def grams_sql(text: str) -> str:
 
 
 def tokens_sql(text: str) -> str:
-    return f"regexp_extract_all(translate(lower({text}), '{T.MARKED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+    return f"regexp_extract_all(translate(lower({text}), '{T.MARKED}', '{T.PLAIN}'), '{T.FTS_TOKEN}')"
 
 
 PHRASES = "qt AS (SELECT query_id, t, count(*) AS again FROM (SELECT query_id, unnest(" + tokens_sql("regexp_replace(query, '[^\\p{L}\\p{N}_\\s-]', '', 'g')") + ") AS t FROM queries) GROUP BY ALL)"

@@ -73,6 +73,31 @@ def fts_bm25_topk(spark, sf_dir):
     return search.lexical_top(search.postings(c, weights), search.lengths(c, weights), "chunk", I.queries(spark, sf_dir), 20).select("query_id", "id", F.round("bm25", 6).alias("bm25"), F.round("score", 6).alias("score"))
 
 
+_PHRASED = f"""asked AS (SELECT item_id AS query_id, t[1] AS a, t[2] AS b, t[len(t)] AS z FROM (SELECT item_id, {I.tokens_sql("text")} AS t FROM benchmark) WHERE len(t) > 2),
+ cols AS (SELECT id, 2.0 AS w, {I.tokens_sql("path")} AS t FROM items UNION ALL SELECT id, 1.0, {I.tokens_sql("content")} FROM items),
+ sizes AS (SELECT id, sum(len(t)) AS d FROM cols GROUP BY id),
+ place AS (SELECT id, w, unnest(t) AS t, unnest(range(len(t))) AS i FROM cols),
+ whole AS (SELECT query_id, 0 AS nth, x.id, sum(x.w) AS tf FROM asked JOIN place x ON x.t = a JOIN place y ON y.t = b AND y.id = x.id AND y.w = x.w AND y.i = x.i + 1 GROUP BY ALL
+  UNION ALL SELECT query_id, 1, id, sum(w) FROM asked JOIN place ON t = z GROUP BY ALL),
+ spread AS (SELECT query_id, nth, count(*) AS df FROM whole GROUP BY ALL), stat AS (SELECT count(*) AS r, sum(d) AS k FROM sizes),
+ hits AS (SELECT query_id, id, round(-sum(CASE WHEN ln((r - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((r - df + 0.5) / (df + 0.5)) END * tf::DOUBLE * 2.2::DOUBLE / (tf::DOUBLE + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / (k::DOUBLE / r)))), 9) AS bm25
+  FROM whole JOIN spread USING (query_id, nth) JOIN sizes USING (id), stat GROUP BY query_id, id)"""
+
+
+@query(
+    with_(I.SOURCES, I.CHUNKS, "items AS (SELECT path || ':' || start_line AS id, * FROM chunks)", _PHRASED, recursive=True)
+    + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25, id) AS rn FROM hits) WHERE rn <= 20"
+)
+def fts_phrase_topk(spark, sf_dir):
+    """The first two words of every benchmark text as one phrase (they must stand side by side), and its last word."""
+    c = settled(ingest.chunks(I.sources(spark, sf_dir)).withColumn("id", F.concat("path", F.lit(":"), F.col("start_line").cast("string"))).select("id", "path", "content"))
+    t = I.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.fts_tokens(F.col("text")).alias("t")).where(F.size("t") > 2)
+    q = t.select("query_id", F.concat(F.get("t", F.lit(0)), F.lit("-"), F.get("t", F.lit(1)), F.lit(" "), F.element_at("t", -1)).alias("query"))
+    weights = search.WEIGHTS["chunk"]
+    hits = search.first_of(search.bm25(search.postings(c, weights), search.lengths(c, weights), q), 20)
+    return hits.select("query_id", "id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(ORACLES["fts_bm25_topk"])
 def fts_block_max_topk(spark, sf_dir):
     """The same hits from blocks of postings with bounds."""
@@ -265,16 +290,25 @@ _TASKS = [
 
 
 @query(
-    with_(I.values(_TASKS, "t", "id, goal, summary, risks, completed"))
+    with_(
+        I.values(_TASKS, "few", "id, goal, summary, risks, completed"),
+        """t AS (SELECT id::BIGINT AS id, goal, summary, risks, completed FROM few UNION ALL
+ SELECT 1000 + conv_id, coalesce(any_value(text) FILTER (turn = 0), ''), CASE WHEN conv_id % 3 = 0 THEN max(text) FILTER (role = 'assistant') END,
+  CASE WHEN conv_id % 3 = 1 THEN ['', '  Risk of ' || max(text)] ELSE [] END, ['done', 'We must ' || max(text)] FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)""",
+    )
     + f""", picks AS (SELECT id, goal, 1 AS o, 'summary' AS field, 'task-summary' AS type, {_TRIM('summary')}[1:1200] AS content, 0.75::DOUBLE AS confidence FROM t
  UNION ALL SELECT id, goal, 2, 'risks', 'issue', {_TRIM("list_filter(risks, lambda v: " + _TRIM('v') + " <> '')[1]")}[1:1200], 0.7::DOUBLE FROM t
  UNION ALL SELECT id, goal, 3, 'completed', {_infer("list_filter(completed, lambda v: " + _durable('v') + ")[1]")}, {_TRIM("list_filter(completed, lambda v: " + _durable('v') + ")[1]")}[1:1200], 0.7::DOUBLE FROM t)
 SELECT id::BIGINT AS id, 'task:' || id AS source_ref, type, 'Review ' || type || ' from task: ' || regexp_replace({_TRIM('goal')}, '\\s+', ' ', 'g')[1:80] AS title, content, field, confidence,
- sha256('task:' || id || ':' || type || ':' || regexp_replace(lower(content), '\\s+', ' ', 'g')) AS fingerprint
+ sha256('task:' || id || ':' || type || ':' || {_TRIM("regexp_replace(lower(content), '\\s+', ' ', 'g')")}) AS fingerprint
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o) AS rn FROM picks WHERE content IS NOT NULL AND content <> '' AND NOT {_SECRET}) WHERE rn = 1 AND id <> 6""".replace("\n, picks", ", picks")
 )
 def task_candidate(spark, sf_dir):
-    tasks = I.rows(spark, _TASKS, "id long, goal string, summary string, risks array<string>, completed array<string>")
+    c, n = I.table(spark, sf_dir, "conversations").where("text is not null"), F.col("conv_id")
+    of = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("g"), F.max(F.when(F.col("role") == "assistant", F.col("text"))).alias("a"), F.max("text").alias("m"))
+    risks = F.when(n % 3 == 1, F.array(F.lit(""), F.concat(F.lit("  Risk of "), "m"))).otherwise(F.array().cast("array<string>"))
+    own = of.select((1000 + n).alias("id"), F.coalesce("g", F.lit("")).alias("goal"), F.when(n % 3 == 0, F.col("a")).alias("summary"), risks.alias("risks"), F.array(F.lit("done"), F.concat(F.lit("We must "), "m")).alias("completed"))
+    tasks = I.rows(spark, _TASKS, "id long, goal string, summary string, risks array<string>, completed array<string>").unionByName(own)
     return lifecycle.task_candidates(tasks, I.rows(spark, [("task:6",)], "source_ref string"))
 
 
@@ -307,6 +341,14 @@ _DRIFT = """bound AS (SELECT 'b' || doc_id AS id, 'm' || doc_id AS memory_id, CA
  CASE WHEN doc_id % 5 = 0 THEN 'not there' ELSE regexp_replace(list_last(string_split(content, chr(10))), '^\\s+|\\s+$', '', 'g') END AS excerpt FROM sources)"""
 
 
+def _bindings(s):
+    """A file binding of each document to its last line, some of them broken in each way."""
+    d = F.col("doc_id")
+    key = d.cast("string")
+    excerpt = F.when(d % 5 == 0, "not there").otherwise(T.trim_all(F.element_at(F.split("content", "\n"), -1)))
+    return s.select(F.concat(F.lit("b"), key).alias("id"), F.concat(F.lit("m"), key).alias("memory_id"), F.lit("file").alias("source_kind"), F.when(d % 13 == 0, None).when(d % 17 == 0, "gone.md").otherwise(F.col("path")).alias("source_path"), F.when(d % 19 == 0, None).when(d % 4 == 0, F.col("content_hash")).otherwise(F.lit("old")).alias("source_hash"), excerpt.alias("excerpt"), T.sha(excerpt).alias("excerpt_hash"))
+
+
 @query(
     with_(I.SOURCES, I.MEMORIES, _DRIFT)
     + """, failing AS (SELECT b.*, s.content_hash, regexp_replace(s.content, '^\\s+|\\s+$', '', 'g') AS body, s.path AS sp FROM bound b JOIN memories m ON m.id = b.memory_id AND m.status = 'active' LEFT JOIN sources s ON s.path = b.source_path
@@ -316,10 +358,7 @@ SELECT memory_id, bool_or(line IS NULL) AS is_stale, min(line)::INT AS start_lin
 )
 def drift_detect(spark, sf_dir):
     s = I.sources(spark, sf_dir)
-    d = F.col("doc_id")
-    key = d.cast("string")
-    excerpt = F.when(d % 5 == 0, "not there").otherwise(T.trim_all(F.element_at(F.split("content", "\n"), -1)))
-    b = s.select(F.concat(F.lit("b"), key).alias("id"), F.concat(F.lit("m"), key).alias("memory_id"), F.lit("file").alias("source_kind"), F.when(d % 13 == 0, None).when(d % 17 == 0, "gone.md").otherwise(F.col("path")).alias("source_path"), F.when(d % 19 == 0, None).when(d % 4 == 0, F.col("content_hash")).otherwise(F.lit("old")).alias("source_hash"), excerpt.alias("excerpt"), T.sha(excerpt).alias("excerpt_hash"))
+    b = _bindings(s)
     stale, fresh = lifecycle.drift(I.memories(spark, sf_dir), b, s)
     none = F.lit(None).cast("int")
     return stale.select(F.col("id").alias("memory_id"), F.lit(True).alias("is_stale"), none.alias("start_line")).unionByName(fresh.select("memory_id", F.lit(False).alias("is_stale"), "start_line"))
@@ -331,24 +370,38 @@ _SCOPED = [
 _PROJECTS = [("p1", "/home/a/one", "fix the AUTH flow"), ("p2", "/home/ab", "write billing docs")]
 
 
+_SCOPES = """m AS (SELECT id::BIGINT AS id, scope_level, project_id, scope_ref, updated_at::BIGINT AS updated_at FROM few UNION ALL
+ SELECT 1000 + doc_id, ['user', 'workspace', 'project', 'module', 'task'][doc_id % 5 + 1], CASE WHEN doc_id % 3 = 0 THEN 'p1' WHEN doc_id % 3 = 1 THEN 'p2' END, CASE doc_id % 4 WHEN 0 THEN '/home/a' WHEN 1 THEN source WHEN 2 THEN '/' || source END, doc_id FROM documents),
+ p AS (SELECT project, root_path, task FROM asked UNION ALL SELECT 'q' || item_id, '/home/a/' || item_id, text || ' src1 src' || item_id FROM benchmark)"""
+
+
+def _scopes(spark, sf_dir):
+    """Small cases, and a memory of each document with a scope that its number gives."""
+    d, n = I.table(spark, sf_dir, "documents"), F.col("doc_id")
+    level = F.element_at(F.array(*map(F.lit, ("user", "workspace", "project", "module", "task"))), (n % 5 + 1).cast("int"))
+    ref = F.when(n % 4 == 0, "/home/a").when(n % 4 == 1, F.col("source")).when(n % 4 == 2, F.concat(F.lit("/"), "source"))
+    own = d.select((1000 + n).alias("id"), level.alias("scope_level"), F.when(n % 3 == 0, "p1").when(n % 3 == 1, "p2").alias("project_id"), ref.alias("scope_ref"), n.alias("updated_at"))
+    return I.rows(spark, _SCOPED, "id long, scope_level string, project_id string, scope_ref string, updated_at long").unionByName(own)
+
+
 @query(
-    with_(I.values(_SCOPED, "m", "id, scope_level, project_id, scope_ref, updated_at"), I.values(_PROJECTS, "p", "project, root_path, task"))
-    + """SELECT project, id::BIGINT AS id, (row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, id))::INT AS place FROM m, p WHERE scope_level = 'user' OR (scope_level = 'workspace' AND (root_path = scope_ref OR starts_with(root_path, scope_ref || '/')))
- OR (project_id = project AND (scope_level = 'project' OR (scope_level IN ('module', 'task') AND contains(lower(task), lower(scope_ref)))))"""
+    with_(I.values(_SCOPED, "few", "id, scope_level, project_id, scope_ref, updated_at"), I.values(_PROJECTS, "asked", "project, root_path, task"), _SCOPES)
+    + """SELECT project, id, place FROM (SELECT project, id, (row_number() OVER (PARTITION BY project ORDER BY updated_at DESC, id))::INT AS place FROM (SELECT * FROM m ORDER BY updated_at DESC, id LIMIT 500) m, p WHERE scope_level = 'user' OR (scope_level = 'workspace' AND (root_path = scope_ref OR starts_with(root_path, scope_ref || '/')))
+ OR (project_id = project AND (scope_level = 'project' OR (scope_level IN ('module', 'task') AND contains(lower(task), lower(scope_ref)))))) WHERE place <= 100"""
 )
 def scope_applicable(spark, sf_dir):
-    m = I.rows(spark, _SCOPED, "id long, scope_level string, project_id string, scope_ref string, updated_at long").withColumn("status", F.lit("active"))
-    return lifecycle.applicable(m, I.rows(spark, _PROJECTS, "project string, root_path string, task string"))
+    item = F.col("item_id").cast("string")
+    tasks = I.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), item).alias("project"), F.concat(F.lit("/home/a/"), item).alias("root_path"), F.concat("text", F.lit(" src1 src"), item).alias("task"))
+    return lifecycle.applicable(_scopes(spark, sf_dir).withColumn("status", F.lit("active")), I.rows(spark, _PROJECTS, "project string, root_path string, task string").unionByName(tasks))
 
 
 @query(
-    with_(I.values(_SCOPED, "m", "id, scope_level, project_id, scope_ref, updated_at"))
-    + """SELECT id::BIGINT AS id, CASE scope_level WHEN 'user' THEN project_id IS NULL AND scope_ref IS NULL WHEN 'workspace' THEN coalesce(starts_with(scope_ref, '/'), false) AND project_id IS NULL WHEN 'project' THEN project_id IS NOT NULL AND scope_ref IS NULL
+    with_(I.values(_SCOPED, "few", "id, scope_level, project_id, scope_ref, updated_at"), I.values(_PROJECTS, "asked", "project, root_path, task"), _SCOPES)
+    + """SELECT id, CASE scope_level WHEN 'user' THEN project_id IS NULL AND scope_ref IS NULL WHEN 'workspace' THEN coalesce(starts_with(scope_ref, '/'), false) AND project_id IS NULL WHEN 'project' THEN project_id IS NOT NULL AND scope_ref IS NULL
  ELSE project_id IS NOT NULL AND scope_ref IS NOT NULL END AS valid FROM m"""
 )
 def scope_validation(spark, sf_dir):
-    m = I.rows(spark, _SCOPED, "id long, scope_level string, project_id string, scope_ref string, updated_at long")
-    return m.select("id", lifecycle.scope_error(F.col("scope_level"), F.col("project_id"), F.col("scope_ref")).isNull().alias("valid"))
+    return _scopes(spark, sf_dir).select("id", lifecycle.scope_error(F.col("scope_level"), F.col("project_id"), F.col("scope_ref")).isNull().alias("valid"))
 
 
 @query(
@@ -375,11 +428,14 @@ _NOTES = [("a", "t", "c", 0.5), ("b", " ", "c", 0.5), ("c", "t", "password: abcd
 
 
 @query(
-    with_(I.values(_NOTES, "m", "id, title, content, confidence"))
+    with_(I.values(_NOTES, "few", "id, title, content, confidence"), "m AS (SELECT * FROM few UNION ALL SELECT 'd' || doc_id, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE source END, CASE WHEN doc_id % 11 = 0 THEN text || ' api_key = ' || sha256(text) ELSE text END, doc_id % 13 / 10.0 FROM documents)")
     + f"SELECT id, CASE WHEN trim(coalesce(title, '')) = '' OR trim(content) = '' THEN 'invalid' WHEN {_SECRET} THEN 'sensitive' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'confidence' END AS error FROM m"
 )
 def memory_validation(spark, sf_dir):
-    m = I.rows(spark, _NOTES, "id string, title string, content string, confidence double").withColumn("reason", F.lit(None).cast("string"))
+    d, n = I.table(spark, sf_dir, "documents"), F.col("doc_id")
+    content = F.when(n % 11 == 0, F.concat("text", F.lit(" api_key = "), T.sha(F.col("text")))).otherwise(F.col("text"))
+    own = d.select(F.concat(F.lit("d"), n.cast("string")).alias("id"), F.when(n % 7 == 0, " ").otherwise(F.col("source")).alias("title"), content.alias("content"), (n % 13 / 10).alias("confidence"))
+    m = I.rows(spark, _NOTES, "id string, title string, content string, confidence double").unionByName(own).withColumn("reason", F.lit(None).cast("string"))
     return lifecycle.memory_errors(m).select("id", "error")
 
 
@@ -388,11 +444,18 @@ _FOUND = [("p1", "/b/one"), ("p2", "/b/two"), ("p2", "/c/two"), ("p3", "/a/four"
 
 
 @query(
-    with_(I.values(_KNOWN, "k", "id, root_path"), I.values(_FOUND, "f", "id, root_path"))
+    with_(
+        I.values(_KNOWN, "k0", "id, root_path"), I.values(_FOUND, "f0", "id, root_path"), "k AS (SELECT * FROM k0 UNION ALL SELECT s_name, '/a/' || s_suppkey FROM supplier)",
+        "f AS (SELECT * FROM f0 UNION ALL SELECT s_name, '/b/' || s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_name, '/c/' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0 UNION ALL SELECT s_name, '/a/' || (s_suppkey + 1) FROM supplier WHERE s_suppkey % 3 = 0)",
+    )
     + "SELECT k.id, k.root_path AS old_path, n.new_path FROM k JOIN (SELECT id, min(root_path) AS new_path FROM f GROUP BY id HAVING count(*) = 1) n USING (id) WHERE n.new_path NOT IN (SELECT root_path FROM k)"
 )
 def project_moves(spark, sf_dir):
-    return ingest.moved_projects(I.rows(spark, _KNOWN, "id string, root_path string"), I.rows(spark, _FOUND, "id string, root_path string"))
+    s, k = I.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    at = lambda top, key, where: s.where(where).select(F.col("s_name").alias("id"), F.concat(F.lit(top), key.cast("string")).alias("root_path"))
+    known = I.rows(spark, _KNOWN, "id string, root_path string").unionByName(at("/a/", k, F.lit(True)))
+    found = I.rows(spark, _FOUND, "id string, root_path string").unionByName(at("/b/", k, k % 3 != 0)).unionByName(at("/c/", k, k % 5 == 0)).unionByName(at("/a/", k + 1, k % 3 == 0))
+    return ingest.moved_projects(known, found)
 
 
 # --- graph -----------------------------------------------------------------------------------------------------
@@ -431,6 +494,36 @@ def graph_overview_edges(spark, sf_dir):
     return graph.overview(I.graph_files(spark, sf_dir), I.symbols(spark, sf_dir), _edges(spark, sf_dir), 40)[1].select("source", "target", "relation_type", "n")
 
 
+_SOME = "picked AS (SELECT * FROM edges WHERE relation_type IN ('CALLS', 'EXTENDS'))"
+
+
+@query(
+    with_(I.SYMBOLS, I.RELATIONS, I.RESOLVED, _EDGES, _SOME)
+    + """, files AS (SELECT DISTINCT path FROM symbols), deg AS (SELECT path, sum(n) AS degree FROM (SELECT source AS path, n FROM picked UNION ALL SELECT target, n FROM picked) GROUP BY path),
+ shown AS (SELECT path FROM files LEFT JOIN deg USING (path) ORDER BY coalesce(degree, 0) DESC, path LIMIT 40),
+ kept AS (SELECT count(*) AS k FROM picked WHERE source IN (SELECT path FROM shown) AND target IN (SELECT path FROM shown)),
+ types AS (SELECT relation_type, count(*) AS n FROM relations GROUP BY 1)
+SELECT relation_type, n, (SELECT count(*) FROM files) AS nodes, (SELECT count(*) FROM picked) AS edges, (SELECT count(*) FROM shown) < (SELECT count(*) FROM files) OR (SELECT least(k, 400) FROM kept) < (SELECT count(*) FROM picked) AS truncated FROM types""".replace("\n, files", ", files")
+)
+def graph_overview_totals(spark, sf_dir):
+    """What an overview of calls and heritage stands for, and all relations by type."""
+    r = I.grouped_relations(spark, sf_dir)
+    edges = graph.file_edges(graph.of_types(graph.resolved(r, I.symbols(spark, sf_dir)), ["CALLS", "EXTENDS"]))
+    row = graph.overview_report(I.graph_files(spark, sf_dir), r, edges, 40)
+    return row.select(F.explode("types").alias("relation_type", "n"), "nodes", "edges", "truncated")
+
+
+@query(
+    with_(I.SYMBOLS, I.RELATIONS)
+    + """SELECT path, coalesce(n_symbols, 0)::BIGINT AS n_symbols, coalesce(n_relations, 0)::BIGINT AS n_relations, first_ids FROM (SELECT path, count(*) AS n_symbols FROM symbols GROUP BY path)
+ FULL JOIN (SELECT path, count(*) AS n_relations FROM relations GROUP BY path) USING (path) LEFT JOIN (SELECT path, string_agg(id, ' ' ORDER BY start_line, id) AS first_ids FROM (
+  SELECT path, id, start_line, row_number() OVER (PARTITION BY path ORDER BY start_line, id) AS rn FROM symbols) WHERE rn <= 30 GROUP BY path) USING (path)"""
+)
+def file_details(spark, sf_dir):
+    out = graph.file_details(I.symbols(spark, sf_dir).withColumn("kind", F.lit("symbol")), I.grouped_relations(spark, sf_dir))
+    return out.withColumn("first_ids", F.array_join(F.transform("symbols", lambda s: s["id"]), " ")).drop("symbols")
+
+
 _LINKS = "links AS (SELECT path || '>' || from_id || '>' || to_name || '>' || relation_type AS rel, from_id AS a, target_id AS b FROM resolved WHERE from_id IS NOT NULL AND target_id IS NOT NULL), bi AS (SELECT * FROM links UNION ALL SELECT rel, b, a FROM links)"
 
 
@@ -448,6 +541,35 @@ def k_hop_neighbors(spark, sf_dir):
     return graph.neighbours(found, I.symbols(spark, sf_dir), "p10", 2, 150)
 
 
+_NEAR = [
+    I.SYMBOLS, I.RELATIONS, I.RESOLVED,
+    "links AS (SELECT path || '>' || from_id || '>' || to_name || '>' || relation_type AS rel, from_id AS a, target_id AS b FROM resolved WHERE from_id IS NOT NULL AND target_id IS NOT NULL AND relation_type IN ('CALLS', 'IMPORTS')), bi AS (SELECT * FROM links UNION ALL SELECT rel, b, a FROM links)",
+    "h0 AS (SELECT s.id, 0 AS hop, NULL::VARCHAR AS via FROM symbols s LEFT JOIN (SELECT a AS id, count(*) AS degree FROM bi GROUP BY a) d USING (id) WHERE path = 'Brand#12' ORDER BY coalesce(degree, 0) DESC, s.id LIMIT 30)",
+    "h1 AS (SELECT b AS id, 1 AS hop, min(rel) AS via FROM bi WHERE a IN (SELECT id FROM h0) AND b NOT IN (SELECT id FROM h0) GROUP BY b)",
+    "got AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1)",
+    "near AS (SELECT id, hop, place FROM (SELECT id, hop, row_number() OVER (ORDER BY hop, via NULLS FIRST, id) AS place FROM got) WHERE place <= 100)",
+]
+
+
+def _near(spark, sf_dir):
+    r = I.grouped_relations(spark, sf_dir).withColumn("id", F.concat_ws(">", "path", "from_id", "to_name", "relation_type"))
+    found = settled(graph.resolved(r, I.symbols(spark, sf_dir)))
+    return found, graph.neighbours(found, I.symbols(spark, sf_dir), "file:Brand#12", 1, 100, ["CALLS", "IMPORTS"])
+
+
+@query(with_(*_NEAR) + "SELECT id, hop, place::INT AS place FROM near")
+def k_hop_of_file(spark, sf_dir):
+    """One hop from the best connected symbols of a file, over calls and imports."""
+    return _near(spark, sf_dir)[1]
+
+
+@query(with_(*_NEAR) + "SELECT rel AS id, a AS from_id, b AS target_id FROM links WHERE a IN (SELECT id FROM near) AND b IN (SELECT id FROM near) ORDER BY rel LIMIT 500")
+def k_hop_edges(spark, sf_dir):
+    """The relations among those symbols."""
+    found, near = _near(spark, sf_dir)
+    return graph.induced_edges(found, near, 500, ["CALLS", "IMPORTS"]).select("id", "from_id", "target_id")
+
+
 @query(
     with_(I.SYMBOLS)
     + """, hit AS (SELECT 'symbol' AS node, id, name AS label, path, 0 AS c, CASE WHEN name = 'S1' THEN 0 WHEN starts_with(lower(name), 's1') THEN 1 ELSE 2 END AS o, name AS k FROM symbols WHERE contains(lower(name), 's1') OR contains(lower(qualified_name), 's1')
@@ -475,7 +597,8 @@ _IMPORTS = [
 _PATHS = [("src/app/util.ts",), ("src/lib/index.ts",), ("src/lib/a.tsx",), ("src/app/util.js",)]
 @query(
     with_(
-        I.values(_IMPORTS, "r", "key, path, to_name"), I.values(_PATHS, "files", "path"),
+        I.values(_IMPORTS, "r0", "key, path, to_name"), I.values(_PATHS, "files0", "path"), I.SOURCES, "files AS (SELECT path FROM files0 UNION ALL SELECT path FROM sources)",
+        "r AS (SELECT * FROM r0 UNION ALL SELECT 'd' || doc_id, path, CASE doc_id % 4 WHEN 0 THEN './' || (doc_id + 4) || '.md' WHEN 1 THEN '../' || split_part(path, '/', 1) || '/./' || (doc_id + 1) || '.md' WHEN 2 THEN '../src' || (doc_id % 10) || '/' || (doc_id + 2) || '.md' ELSE './' || doc_id END FROM sources)",
         r"""parts AS (SELECT key, list_filter(string_split(regexp_replace(replace(path, '\', '/'), '/?[^/]*$', '') || '/' || to_name, '/'), lambda p: p NOT IN ('', '.')) AS ps FROM r WHERE starts_with(to_name, '.'))""",
         r"""base AS (SELECT key, ltrim(list_reduce(list_concat([''], ps), lambda a, p: CASE WHEN p = '..' AND a <> '' AND NOT ends_with(a, '/..') THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || p END), '/') AS base FROM parts)""",
         r"""bare AS (SELECT key, base, regexp_replace(base, '([^/])\.[^./]*$', '\1') AS bare FROM base)""",
@@ -485,8 +608,13 @@ _PATHS = [("src/app/util.ts",), ("src/lib/index.ts",), ("src/lib/a.tsx",), ("src
     + "SELECT key, arg_min(candidate, turn) AS import_path FROM each JOIN (SELECT DISTINCT path FROM files) f ON f.path = candidate GROUP BY key"
 )
 def import_resolution(spark, sf_dir):
-    r = I.rows(spark, _IMPORTS, "key string, path string, to_name string").withColumn("relation_type", F.lit("IMPORTS"))
-    return graph.import_paths(r, I.rows(spark, _PATHS, "path string"))
+    s, n = I.sources(spark, sf_dir).select("doc_id", "path"), F.col("doc_id")
+    text = lambda c: c.cast("string")
+    to = F.when(n % 4 == 0, F.concat(F.lit("./"), text(n + 4), F.lit(".md"))).when(n % 4 == 1, F.concat(F.lit("../"), F.substring_index("path", "/", 1), F.lit("/./"), text(n + 1), F.lit(".md")))
+    to = to.when(n % 4 == 2, F.concat(F.lit("../src"), text(n % 10), F.lit("/"), text(n + 2), F.lit(".md"))).otherwise(F.concat(F.lit("./"), text(n)))
+    own = s.select(F.concat(F.lit("d"), text(n)).alias("key"), "path", to.alias("to_name"))
+    r = I.rows(spark, _IMPORTS, "key string, path string, to_name string").unionByName(own).withColumn("relation_type", F.lit("IMPORTS"))
+    return graph.import_paths(r, I.rows(spark, _PATHS, "path string").unionByName(s.select("path")))
 
 
 # --- rollups ---------------------------------------------------------------------------------------------------
@@ -548,6 +676,39 @@ def doctor_consistency(spark, sf_dir):
     return health.consistency({"memories": (I.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), d)})
 
 
+@query(
+    with_(I.SOURCES)
+    + """, pairs AS (SELECT 'memories' AS name, doc_id::VARCHAR AS k, 1 AS b FROM labels UNION ALL SELECT 'memories', doc_id::VARCHAR, 2 FROM documents WHERE doc_id % 3 <> 0
+ UNION ALL SELECT 'symbols', p_partkey::VARCHAR, 1 FROM part UNION ALL SELECT 'symbols', l_partkey::VARCHAR, 2 FROM lineitem WHERE l_quantity > 25
+ UNION ALL SELECT 'files', path, 1 FROM sources WHERE size_bytes < 8000 UNION ALL SELECT 'files', path, 2 FROM sources WHERE doc_id % 7 <> 0
+ UNION ALL SELECT 'refs: customers', c_custkey::VARCHAR, 1 FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 'refs: customers', o_custkey::VARCHAR, 4 FROM orders
+ UNION ALL SELECT 'refs: suppliers', s_suppkey::VARCHAR, 1 FROM supplier UNION ALL SELECT 'refs: suppliers', l_suppkey::VARCHAR, 4 FROM lineitem),
+ m AS (SELECT name, k, bit_or(b) AS m FROM pairs GROUP BY name, k)
+SELECT name, count(*) FILTER (m & 1 > 0) AS canonical, count(*) FILTER (m & 2 > 0) AS derived, count(*) FILTER (m = 1 AND NOT starts_with(name, 'refs')) AS missing, count(*) FILTER (m = 2) AS orphaned, count(*) FILTER (m = 4) AS dangling FROM m GROUP BY name""".replace("\n, pairs", ", pairs")
+)
+def doctor_report(spark, sf_dir):
+    """Three pairs of an entity and what is derived from it, files that are missing among them, and two kinds of references."""
+    of = lambda t, c, where="true": I.table(spark, sf_dir, t).where(where).select(c)
+    s = I.sources(spark, sf_dir)
+    pairs = {"memories": (of("labels", "doc_id"), of("documents", "doc_id", "doc_id % 3 <> 0")), "symbols": (of("part", "p_partkey"), of("lineitem", "l_partkey", "l_quantity > 25")), "files": (s.where("size_bytes < 8000").select("path"), s.where("doc_id % 7 <> 0").select("path"))}
+    return health.doctor(pairs, {"refs: customers": (of("customer", "c_custkey", "c_custkey % 10 <> 0"), of("orders", "o_custkey")), "refs: suppliers": (of("supplier", "s_suppkey"), of("lineitem", "l_suppkey"))})
+
+
+@query(
+    with_(I.SOURCES, I.OLD, I.CHUNKS, _DRIFT, recursive=True)
+    + """, gone AS (SELECT path FROM sources WHERE path NOT IN (SELECT path FROM old))
+SELECT 'chunks' AS part, path || ':' || start_line AS id, path AS source FROM chunks WHERE path NOT IN (SELECT path FROM gone)
+UNION ALL SELECT 'bindings', id, CASE WHEN source_path NOT IN (SELECT path FROM gone) THEN source_path END FROM bound""".replace("\n, gone", ", gone")
+)
+def cascaded_removal(spark, sf_dir):
+    """What is left of chunks and bindings when the sources that the old state lacks are removed."""
+    s = I.sources(spark, sf_dir)
+    gone = ingest.removed_paths(s.select("path"), I.old_sources(spark, sf_dir))
+    left = ingest.cascade(gone, {"chunks": ingest.chunks(s)}, _bindings(s))
+    c = left["chunks"].select(F.lit("chunks").alias("part"), F.concat("path", F.lit(":"), F.col("start_line").cast("string")).alias("id"), F.col("path").alias("source"))
+    return c.unionByName(left["bindings"].select(F.lit("bindings").alias("part"), "id", F.col("source_path").alias("source")))
+
+
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
 def orphaned_index_rows(spark, sf_dir):
     return ingest.orphans(I.table(spark, sf_dir, "labels").select("doc_id"), I.table(spark, sf_dir, "documents").where("doc_id % 2 = 0"), "doc_id")
@@ -673,14 +834,20 @@ _LS = lambda table, key, c: f"ls AS (SELECT {key}, unnest(string_split_regex({c}
 
 @query(
     with_(
-        I.values(_STATUS, "outputs", "kind, value"), _LS("outputs", "kind", "value"),
+        I.values(_STATUS, "few", "kind, value"), I.SOURCES,
+        """outputs AS (SELECT * FROM few UNION ALL SELECT ['git', 'hg', 'svn'][doc_id % 3 + 1], CASE doc_id % 3 WHEN 0 THEN 'R  old/' || path || ' -> ' || path || chr(10) || ' M "' || path || '"' WHEN 1 THEN 'M ' || path || chr(13) || chr(10) || '? ' || path ELSE 'A       ' || replace(path, '/', '\\') || chr(10) END FROM sources)""",
+        _LS("outputs", "kind", "value"),
         """cut AS (SELECT kind, line_no, trim(line[1:CASE kind WHEN 'git' THEN 2 WHEN 'hg' THEN 1 ELSE 7 END]) AS s, trim(line[CASE kind WHEN 'git' THEN 4 WHEN 'hg' THEN 3 ELSE 9 END:]) AS raw FROM ls
  WHERE line <> '' AND NOT (kind = 'svn' AND regexp_matches(line, '(?i)^Status against revision:')))""",
     )
     + r"""SELECT kind, line_no::INT AS line_no, CASE WHEN s = '' THEN '?' ELSE s END AS status, replace(regexp_replace(CASE WHEN kind = 'git' THEN list_last(string_split(raw, ' -> ')) ELSE raw END, '^"|"$', '', 'g'), '\', '/') AS path FROM cut WHERE kind = 'git' OR raw <> ''"""
 )
 def vcs_status_parse(spark, sf_dir):
-    return vcs.status_lines(I.rows(spark, _STATUS, "kind string, value string"))
+    n, p = F.col("doc_id"), F.col("path")
+    git = F.concat(F.lit("R  old/"), p, F.lit(" -> "), p, F.lit('\n M "'), p, F.lit('"'))
+    value = F.when(n % 3 == 0, git).when(n % 3 == 1, F.concat(F.lit("M "), p, F.lit("\r\n? "), p)).otherwise(F.concat(F.lit("A       "), F.replace(p, F.lit("/"), F.lit("\\")), F.lit("\n")))
+    own = I.sources(spark, sf_dir).select(F.element_at(F.array(*map(F.lit, ("git", "hg", "svn"))), (n % 3 + 1).cast("int")).alias("kind"), value.alias("value"))
+    return vcs.status_lines(I.rows(spark, _STATUS, "kind string, value string").unionByName(own))
 
 
 _DIFF = [
@@ -688,7 +855,9 @@ _DIFF = [
     ("d2", "+before header\n+++ z.txt\r\n+We decided to rotate tokens after each use.\r\n"),
 ]
 _ADDED = [
-    I.values(_DIFF, "diffs", "diff_id, diff"), _LS("diffs", "diff_id", "diff"),
+    I.values(_DIFF, "few", "diff_id, diff"), I.SOURCES,
+    """diffs AS (SELECT * FROM few UNION ALL SELECT 'doc' || doc_id, '--- a/' || path || chr(10) || '+++ b/' || path || chr(9) || 'now' || chr(10) || '+' || CASE WHEN doc_id % 5 = 0 THEN 'We must keep every record of ' || doc_id || chr(10) || '+' ELSE '' END || replace(content, chr(10), chr(10) || CASE WHEN doc_id % 2 = 0 THEN '+' ELSE ' ' END) FROM sources)""",
+    _LS("diffs", "diff_id", "diff"),
     f"""heads AS (SELECT *, CASE WHEN starts_with(line, '+++ ') THEN CASE WHEN {_TRIM("split_part(line[5:], chr(9), 1)")} = '/dev/null' THEN '' ELSE regexp_replace({_TRIM("split_part(line[5:], chr(9), 1)")}, '^b/', '') END END AS header FROM ls)""",
     "under AS (SELECT diff_id, line_no, line, last_value(header IGNORE NULLS) OVER (PARTITION BY diff_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS path FROM heads)",
     f"""added AS (SELECT diff_id, line_no::INT AS line_no, path, {_TRIM("line[2:]")} AS line FROM under WHERE starts_with(line, '+') AND NOT starts_with(line, '+++') AND path <> '')""",
@@ -696,9 +865,18 @@ _ADDED = [
 ]
 
 
+def _diffs(spark, sf_dir):
+    """Small diffs, and one of each document that adds all of its lines or the first."""
+    n, p = F.col("doc_id"), F.col("path")
+    rule = F.when(n % 5 == 0, F.concat(F.lit("We must keep every record of "), n.cast("string"), F.lit("\n+"))).otherwise("")
+    said = F.replace("content", F.lit("\n"), F.when(n % 2 == 0, "\n+").otherwise("\n "))
+    own = I.sources(spark, sf_dir).select(F.concat(F.lit("doc"), n.cast("string")).alias("diff_id"), F.concat(F.lit("--- a/"), p, F.lit("\n+++ b/"), p, F.lit("\tnow\n+"), rule, said).alias("diff"))
+    return I.rows(spark, _DIFF, "diff_id string, diff string").unionByName(own)
+
+
 @query(with_(*_ADDED) + "SELECT diff_id, line_no, path, line FROM told")
 def diff_added_lines(spark, sf_dir):
-    return vcs.added_lines(I.rows(spark, _DIFF, "diff_id string, diff string"))
+    return vcs.added_lines(_diffs(spark, sf_dir))
 
 
 @query(
@@ -711,7 +889,7 @@ def diff_added_lines(spark, sf_dir):
     + f"SELECT path, {_infer('content')} AS type, 'r1:' || path AS source_ref, 0.55::DOUBLE AS confidence FROM joined WHERE content <> '' AND NOT {_SECRET}"
 )
 def vcs_candidates(spark, sf_dir):
-    return lifecycle.vcs_candidates(vcs.added_lines(I.rows(spark, _DIFF, "diff_id string, diff string")), "git", "r1").select("path", "type", "source_ref", "confidence")
+    return lifecycle.vcs_candidates(vcs.added_lines(_diffs(spark, sf_dir)), "git", "r1").select("path", "type", "source_ref", "confidence")
 
 
 _TEXTS = [

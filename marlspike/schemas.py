@@ -28,3 +28,4 @@ CANDIDATES = "id string, type string, title string, content string, confidence d
 CHECKPOINT = "struct<summary:string,completed:array<string>,next:array<string>,changedFiles:array<string>,verification:array<struct<command:string,status:string,summary:string>>,blockers:array<string>,risks:array<string>>"
 TASKS = f"id string, goal string, status string, checkpoint {CHECKPOINT}, created_at timestamp, updated_at timestamp"
 RUNS = "id string, started_at timestamp, status string, scanned long, indexed long, skipped long, removed long, errors array<struct<path:string,message:string>>"
+VCS_STATE = "key string, value string, captured_at timestamp"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import subprocess
 
 from pyspark.sql import DataFrame
@@ -71,3 +72,12 @@ def snapshot(root: str, run=_run) -> dict:
         branch = (branch.removeprefix("^/") or "/") if kind == "svn" and branch else branch
         return {"available": True, "kind": kind, "revision": revision or None, "branch": branch or None, "status": got["status"], "diff": got["diff"]}
     return {"available": False, "kind": None, "revision": None, "branch": None, "status": "", "diff": ""}
+
+
+def state(snapshot: dict) -> dict[str, str]:
+    """What is kept of a snapshot, by key; the diff as its digest."""
+    diff = snapshot.get("diff") or ""
+    return {
+        "available": str(bool(snapshot["available"])).lower(), "provider": snapshot["kind"] or "", "revision": snapshot["revision"] or "", "branch": snapshot["branch"] or "", "status": snapshot["status"] or "",
+        "diff_hash": hashlib.sha256(diff.encode()).hexdigest() if diff else "",
+    }

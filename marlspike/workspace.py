@@ -24,7 +24,7 @@ from .store import Store
 from .streaming import debounce
 
 PROJECTS = "id string, name string, root_path string, created_at timestamp, last_opened_at timestamp, archived_at timestamp"
-TABLES = {"sources": S.SOURCES, "chunks": S.CHUNKS, "symbols": S.SYMBOLS, "relations": S.RELATIONS, "memories": S.MEMORIES, "bindings": S.BINDINGS, "candidates": S.CANDIDATES, "tasks": S.TASKS, "runs": S.RUNS}
+TABLES = {"sources": S.SOURCES, "chunks": S.CHUNKS, "symbols": S.SYMBOLS, "relations": S.RELATIONS, "memories": S.MEMORIES, "bindings": S.BINDINGS, "candidates": S.CANDIDATES, "tasks": S.TASKS, "runs": S.RUNS, "vcs_state": S.VCS_STATE}
 #: The tables whose rows are items of the search index.
 KIND_TABLES = {"chunk": "chunks", "memory": "memories", "symbol": "symbols"}
 EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -157,6 +157,8 @@ class Workspace:
             have = self.table(project, name)
             store.write(name, ingest.replaced(have, touched, rows.select(*have.columns)))
         snapshot = snapshot or vcs.snapshot(root)
+        state = self.spark.createDataFrame([(k, v, started) for k, v in vcs.state(snapshot).items()], S.VCS_STATE)
+        store.write("vcs_state", ingest.upsert_latest(self.table(project, "vcs_state"), state, "key", [F.col("captured_at"), F.col("value")]).select("key", "value", "captured_at"))
         by_vcs = vcs.added_lines(self.spark.createDataFrame([("", snapshot["diff"])], "diff_id string, diff string"))
         file_changes = new.join(changed.select("path", F.col("old_hash").alias("previous_hash")), "path").join(by_vcs.select("path").distinct(), "path", "left_anti")
         made = lifecycle.file_candidates(file_changes).unionByName(lifecycle.vcs_candidates(by_vcs, snapshot["kind"] or "git", snapshot["revision"]))
@@ -197,12 +199,31 @@ class Workspace:
         last = health.latest_run(t["runs"]).collect()
         return counts | statuses | {"lastIndexRun": last[0].asDict(recursive=True) if last else None}
 
-    def project_doctor(self, project: str) -> list[str]:
-        s, c = self.table(project, "sources"), self.table(project, "chunks")
-        row = health.consistency({"chunks": (s, c)}, "path").first()
-        bad = [f"{row.missing} sources have no chunks"] if row.missing else []
-        bad += [f"{row.orphaned} chunked paths have no source"] if row.orphaned else []
-        return bad + [f"unsafe path: {r.path}" for r in health.unsafe_paths(s).limit(100).collect()]
+    def project_doctor(self, project: str, repair: bool = False) -> list[str]:
+        """What is wrong: indexes that differ from their tables, references that lead nowhere, indexed files that are gone,
+        unsafe paths. An index that knows itself to be behind its tables is not compared: the next search updates it.
+        repair: derives a search index that differs anew and says so."""
+        t, items = {n: self.table(project, n) for n in TABLES}, self._index(project)["items"]
+        self.spark.dataSource.register(tree.TreeSource)
+        files_now = self.spark.read.format("tree").option("root", self._project(project)["root_path"]).load().select("path")
+        of = lambda k: items.where(F.col("kind") == k).select("id")
+        store = self._store(project)
+        marker = store.read("index_marker", index.MARKER).first()
+        indexed = marker is not None and not marker.open and marker.versions == {n: v[-1] for n in KIND_TABLES.values() if (v := store.versions(n))}
+        pairs = {f"{n} in the search index": (t[n].select("id"), of(k)) for k, n in KIND_TABLES.items()} if indexed else {}
+        pairs |= {"chunks of sources": (t["sources"].select("path"), t["chunks"].select("path")), "files of sources": (t["sources"].select("path"), files_now.join(t["sources"], "path", "left_semi"))}
+        references = {
+            "memories of bindings": (t["memories"].select("id"), t["bindings"].select("memory_id")), "sources of bindings": (t["sources"].select("path"), t["bindings"].select("source_path")),
+            "symbols of relations": (t["symbols"].select("id"), t["relations"].select("from_id")), "memories of memories": (t["memories"].select("id"), t["memories"].select("supersedes_id")),
+            "sources of symbols": (t["sources"].select("path"), t["symbols"].select("path")),
+        }
+        bad = []
+        for r in health.doctor(pairs, references).orderBy("name").collect():  # a row a name
+            bad += [f"{r.name}: {n} {word}" for n, word in ((r.missing, "missing"), (r.orphaned, "orphaned"), (r.dangling, "dangling")) if n]
+        if repair and any("search index" in x for x in bad):
+            self.search_rebuild(project)
+            bad.append("repaired: the search index is derived anew")
+        return bad + [f"unsafe path: {r.path}" for r in health.unsafe_paths(t["sources"]).limit(100).collect()]
 
     def project_portrait(self, project: str) -> DataFrame:
         return health.portrait(*(self.table(project, t) for t in ("sources", "memories", "tasks", "candidates")))
@@ -404,13 +425,22 @@ class Workspace:
         imports = graph.import_paths(r.withColumnRenamed("id", "key"), self.table(project, "sources"))
         return found.join(imports, found.id == imports.key, "left").withColumn("target_path", F.coalesce("target_path", "import_path")).drop("key", "import_path")
 
-    def graph_overview(self, project: str, limit: int = 80) -> tuple[DataFrame, DataFrame]:
-        return graph.overview(self.table(project, "sources"), self.table(project, "symbols"), graph.file_edges(self._resolved(project)), limit)
+    def graph_overview(self, project: str, limit: int = 80, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        return graph.overview(self.table(project, "sources"), self.table(project, "symbols"), graph.file_edges(graph.of_types(self._resolved(project), types)), limit)
 
-    def graph_neighbours(self, project: str, node: str, depth: int = 1, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    def graph_totals(self, project: str, limit: int = 80, types: list[str] | None = None) -> dict:
+        """How much an overview stands for: nodes, edges, whether it leaves some out, relations by type."""
+        edges = graph.file_edges(graph.of_types(self._resolved(project), types))
+        row = graph.overview_report(self.table(project, "sources"), self.table(project, "relations"), edges, limit).first().asDict()
+        return row | {"types": {t: (row["types"] or {}).get(t, 0) for t in S.RELATION_TYPES}}
+
+    def graph_neighbours(self, project: str, node: str, depth: int = 1, limit: int = 100, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         found = self._resolved(project)
-        nodes = graph.neighbours(found, self.table(project, "symbols"), node, depth, limit)
-        return nodes, graph.induced_edges(found, nodes)
+        nodes = graph.neighbours(found, self.table(project, "symbols"), node, depth, limit, types)
+        return nodes, graph.induced_edges(found, nodes, types=types)
+
+    def graph_file(self, project: str, path: str) -> DataFrame:
+        return graph.file_details(self.table(project, "symbols"), self.table(project, "relations"), path)
 
     def graph_search(self, project: str, query: str, limit: int = 20) -> DataFrame:
         return graph.search(self.table(project, "symbols"), self.table(project, "sources"), query, limit)

@@ -112,3 +112,22 @@ def test_chunks_count_utf16_units(spark):
     df = spark.createDataFrame([(f"{line}\nab",), ("🙂" * 1000 + "\n" + "é" * 2000,), ("x" * 1999 + "\n" + "é" * 1999,)], "content string")
     got = [r[0] for r in df.select(T.chunk_starts(T.lines(F.col("content")))).collect()]
     assert got == [[0, 1], [0, 1], [0]]
+
+
+def test_folding_equals_full_text_search(spark):
+    """Czech, Polish, Turkish, Vietnamese, Greek and Russian rows, and every letter of the basic plane, as SQLite's tokeniser has them."""
+    rows = ["Příliš žluťoučký kůň úpěl ďábelské ódy", "Zażółć gęślą jaźń", "İstanbul'da ılık bir gün, ŞİŞLİ ğüşöç", "Tiếng Việt có dấu", "Ὀδυσσεύς ΟΔΟΣ οδός", "Ёлка и йод", "e\u0301lan a\u0328 o\u0305x ǅ ﬀ ſtraße ÅNGSTRÖM K", "日本語 が ガ 각"]
+    # letters of Unicode 3.2, which the tokeniser's tables surely have
+    every = [chr(c) for c in range(0x80, 0x3000) if unicodedata.ucd_3_2_0.category(chr(c)) in ("Lu", "Ll", "Lt")]
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(x, tokenize='unicode61')")
+    con.execute("create virtual table v using fts5vocab(t, 'instance')")
+    texts = rows + [f"q{c}w" for c in every]
+    con.executemany("insert into t(rowid, x) values(?, ?)", list(enumerate(texts)))
+    want = {k: [] for k in range(len(texts))}
+    for term, doc, _ in con.execute("select term, doc, offset from v order by doc, offset"):
+        want[doc].append(term)
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, x string")
+    got = {r.k: r.t for r in df.select("k", T.fts_tokens(F.col("x")).alias("t")).collect()}
+    bad = [(texts[k], want[k], got[k]) for k in want if want[k] != got[k]]
+    assert bad == [], bad[:20]

@@ -47,6 +47,20 @@ def test_life(project):
     (root / "src/store.ts").unlink()
     assert w.project_index(p, NO_VCS)["removed"] == 1 and w.table(p, "chunks").where("path = 'src/store.ts'").isEmpty()
     assert w.project_doctor(p) == []
+    (root / "lost.md").write_text("soon gone")
+    w.project_index(p, NO_VCS)
+    w.search_update(p)
+    (root / "lost.md").unlink()
+    assert w.project_doctor(p) == ["files of sources: 1 missing"]
+    w.project_index(p, NO_VCS | {"kind": "git", "revision": "abc"})
+    assert {r.key: r.value for r in w.table(p, "vcs_state").collect()} == {"available": "false", "provider": "git", "revision": "abc", "branch": "", "status": "", "diff_hash": ""}
+    assert w.project_doctor(p) == []  # the search index knows that it is behind
+    w.search_update(p)
+    store = w._store(p)
+    part = w._index(p)["items"].where("kind = 'symbol'").first().part
+    store.remove(f"index_items/part={part}")
+    assert any("symbols in the search index: 1 missing" == x for x in w.project_doctor(p))
+    assert w.project_doctor(p, repair=True)[-1].startswith("repaired") and w.project_doctor(p) == []
     with pytest.raises(NotAllowed):
         w.memory_remember(p, "lesson", "x", "password = abcdefghijklmnopqrst")
     assert w.project_health(p)["memories"]["stale"] >= 1
@@ -83,6 +97,11 @@ def test_tasks_context_and_export(project, tmp_path):
     nodes, edges = w.graph_overview(p)
     assert nodes.count() >= 2
     assert w.graph_search(p, "refresh").count() >= 1
+    totals = w.graph_totals(p, types=["CALLS"])
+    assert totals["nodes"] == w.table(p, "sources").count() and totals["edges"] == 0 and not totals["truncated"] and totals["types"]["IMPORTS"] == 1 and set(totals["types"]) == {"IMPORTS", "CALLS", "EXTENDS", "IMPLEMENTS"}
+    assert w.graph_file(p, "src/auth.ts").first().n_symbols == 1
+    a = w.table(p, "symbols").where("name = 'refreshToken'").first().id
+    assert [r.id for r in w.graph_neighbours(p, a, types=["EXTENDS"])[0].collect()] == [a]
     assert w.project_portrait(p).count() >= 3
     assert w.ignore_preview(p, "*.md")["matched"] == 1
 

@@ -56,8 +56,9 @@ def _id(prefix: str) -> str:
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, home: str):
-        self.spark, self.home = spark, home.rstrip("/")
+    def __init__(self, spark: SparkSession, home: str, index_parts: int = index.PARTS):
+        """index_parts: parts of the search index, a power of two (more for projects whose parts outgrow a task)."""
+        self.spark, self.home, self.parts = spark, home.rstrip("/"), index_parts
         self.registry = Store(spark, f"{self.home}/registry")
 
     # --- tables ---
@@ -354,41 +355,41 @@ class Workspace:
         store, kinds = self._store(project), self._kinds(project)
         now = {n: v[-1] for n in KIND_TABLES.values() if (v := store.versions(n))}
         held = store.read("index_marker", index.MARKER).first()
-        if held is None or held.parts != index.PARTS:
+        if held is None or held.parts != self.parts:
             return self.search_rebuild(project) if now else 0
         opened = list(held.open)
         if held.versions == now and not opened:
             return 0
         new = {k: kinds[k] for k, n in KIND_TABLES.items() if opened or held.versions.get(n) != now.get(n)}
         have = self._index(project)
-        fresh, gone = index.difference(have["items"], new)
+        fresh, gone = index.difference(have["items"], new, self.parts)
         if opened:
-            mine = index.digests(kinds).where(F.col("part").isin(opened)).select("kind", "id", "part")
+            mine = index.digests(kinds, self.parts).where(F.col("part").isin(opened)).select("kind", "id", "part")
             fresh = fresh.unionByName(mine).distinct()
             have = {t: df.where(~F.col("part").isin(opened)) for t, df in have.items()}
         fresh, gone = fresh.cache(), gone.cache()
-        touched = sorted({r.part for df in (fresh, gone) for r in df.select("part").distinct().collect()} | set(opened))  # at most PARTS
+        touched = sorted({r.part for df in (fresh, gone) for r in df.select("part").distinct().collect()} | set(opened))  # at most as many as there are parts
         n = fresh.count()
         if touched:
             self._mark_index(store, held.versions, held.fine, touched)
-            self._write_parts(store, index.updated(have, kinds, fresh, gone, touched), held.fine, touched)
+            self._write_parts(store, index.updated(have, kinds, fresh, gone, touched, self.parts), held.fine, touched)
         self._mark_index(store, now, held.fine, [])
         fresh.unpersist()
         gone.unpersist()
         items = store.read_parts("index_items", index.SCHEMAS["items"]).count()
-        if index.fineness(items) > 4 * held.fine:  # blocks have grown too coarse
+        if index.fineness(items, self.parts) > 4 * held.fine:  # blocks have grown too coarse
             return self.search_rebuild(project)
         return n
 
     def _mark_index(self, store: Store, versions: dict, fine: int, opened: list[int]) -> None:
-        store.write("index_marker", self.spark.createDataFrame([(versions, fine, index.PARTS, opened)], index.MARKER))
+        store.write("index_marker", self.spark.createDataFrame([(versions, fine, self.parts, opened)], index.MARKER))
 
     def _write_parts(self, store: Store, made: dict[str, DataFrame], fine: int, parts: list[int]) -> None:
         """The tables of some parts; items go last, as they say what the index holds."""
         for t in ("grams", "postings"):
             store.overwrite_parts(f"index_{t}", index.arranged(made[t]), "part", parts)
         post = store.read_parts("index_postings", index.SCHEMAS["postings"]).where(F.col("part").isin(parts))
-        store.overwrite_parts("index_blocks", index.arranged(index.blocked(post, fine)), "part", parts)
+        store.overwrite_parts("index_blocks", index.arranged(index.blocked(post, fine, self.parts)), "part", parts)
         store.overwrite_parts("index_items", index.arranged(made["items"]), "part", parts)
 
     def search_rebuild(self, project: str, cancelled: Callable[[], bool] = lambda: False, at_once: int = 16) -> int:
@@ -399,16 +400,16 @@ class Workspace:
         """
         store, kinds = self._store(project), self._kinds(project)
         now = {n: v[-1] for n in KIND_TABLES.values() if (v := store.versions(n))}
-        fine = index.fineness(sum(df.count() for df in kinds.values()))
+        fine = index.fineness(sum(df.count() for df in kinds.values()), self.parts)
         for t in index.SCHEMAS:
             store.remove(f"index_{t}")
-        for lo in range(0, index.PARTS, at_once):
-            left, here = list(range(lo, index.PARTS)), list(range(lo, min(lo + at_once, index.PARTS)))
+        for lo in range(0, self.parts, at_once):
+            left, here = list(range(lo, self.parts)), list(range(lo, min(lo + at_once, self.parts)))
             self._mark_index(store, now, fine, left)
             if cancelled():
                 raise Cancelled(f"{len(left)} parts of the index are left")
-            some = {k: df.where(index.part_of(F.col("id"), index.PARTS).isin(here)) for k, df in kinds.items()}
-            self._write_parts(store, index.entries(some), fine, here)
+            some = {k: df.where(index.part_of(F.col("id"), self.parts).isin(here)) for k, df in kinds.items()}
+            self._write_parts(store, index.entries(some, self.parts), fine, here)
         self._mark_index(store, now, fine, [])
         return store.read_parts("index_items", index.SCHEMAS["items"]).count()
 

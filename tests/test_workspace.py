@@ -16,7 +16,7 @@ def project(spark, tmp_path_factory):
     (root / "src/store.ts").write_text("export class Store {}\n")
     (root / ".env").write_text("A=1")
     (root / "key.txt").write_text('api_key = "abcdefghijklmnop123456"')
-    w = Workspace(spark, str(tmp_path_factory.mktemp("home")))
+    w = Workspace(spark, str(tmp_path_factory.mktemp("home")), index_parts=8)
     return w, w.project_open(str(root)), root
 
 
@@ -182,7 +182,7 @@ def test_rebuild_can_be_cancelled_and_taken_up(project):
     rows = lambda: {t: sorted(map(str, df.collect())) for t, df in w._index(p).items()}
     whole, asked = rows(), iter([False, True])
     with pytest.raises(Cancelled):
-        w.search_rebuild(p, lambda: next(asked), at_once=32)
+        w.search_rebuild(p, lambda: next(asked), at_once=4)
     assert rows() != whole
     assert w.search_update(p) > 0 and rows() == whole
 

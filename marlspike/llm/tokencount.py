@@ -6,7 +6,10 @@ neighbouring pair, takes the lowest rank of every sequence and merges that pair
 sequences at once; sequences without a pair leave the array. What survives is the count. Counts of pre-tokens seen
 before in a task are looked up; the memory of them is emptied when it grows beyond REMEMBER entries.
 
-Null and empty texts have no tokens. The vocabulary file is a parameter; it is read by path on every worker.
+Null and empty texts have no tokens; a text of over PART characters is counted piece by piece, to its end. Rows are counted
+one by one, so repeated rows and ids (null ones too) give a row each, and there are no ties to break: equal ranks within a
+sequence are one pair and merge from the left. An empty table gives no rows; columns beside doc_id and text, whatever their
+names, are left out. The vocabulary file is a parameter; it is read by path on every worker.
 """
 
 from __future__ import annotations

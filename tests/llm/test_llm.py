@@ -1125,3 +1125,17 @@ def test_repair_of_an_empty_table(spark):
 def test_query_equals_its_sql(spark, name):
     ours, theirs = both(spark, connect(SF), QUERIES[name], ORACLES[name], SF)
     assert ours == theirs
+
+
+def test_token_counts_of_odd_rows(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [None, "", "the same", "the same", "x" * 5000, "a b\n" * 3000, "<|endoftext|> inside"]
+    df = spark.createDataFrame([(k if k % 3 else None, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("n_tokens", "a.b", "n_bytes")})
+    got = tokencount.token_counts(df, path)
+    lib = Tokenizer.from_file(path)
+    want = [(k if k % 3 else None, len((t or "").encode()), len(lib.encode(t or "", add_special_tokens=False).ids)) for k, t in enumerate(texts)]
+    assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_tokens) for r in got.collect()))) == sorted(map(str, want))
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and tokencount.token_counts(df.limit(0), path).count() == 0

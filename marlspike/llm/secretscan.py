@@ -2,16 +2,18 @@
 
 The patterns (assign, access, hex) give base spans, leftmost and not overlapping within a kind; they always stay.
 The CRF tags tokens (runs of letters, digits and a few signs) as begin, inside or outside of a secret. Its features are
-the token's shape and how often its kinds of characters alternate, its word, the words on both sides, the bytes that
-touch it, and features of the file (language, source). Viterbi finds the best tags; a tagged run that meets no base span
-becomes a span of kind crf.
-
-Base spans are the only labels, and a field that has seen nothing else can only say what the patterns say. So each
-labelled piece of text is learnt in variants as well: the secret drawn anew from other alphabets and lengths, what
-announces it replaced by other words or by none, and in its place things that are no secrets (numbers, dates, addresses,
-names, words). The field learns from the pieces (WINDOW characters on either side) around the base spans of a sample of
-documents, of any length, and from one in COLD of their other pieces; both samples are taken by a hash of the text under
-a threshold, so no task and not the driver holds more than the sample. One task fits the field.
+the token's shape, how often its kinds of characters alternate and how many of its letters are vowels, its word, the
+word on either side and the one before that, the bytes that touch it, and features of the file (language, source).
+Viterbi finds the best tags; a tagged run that meets no base span becomes a span of kind crf.
+
+Base spans are the only labels, and a field that has seen nothing else can only say what the patterns say. So labelled
+pieces of text are learnt in variants as well (about MADE over all pieces, at least VARIANTS of each): the secret drawn
+anew in other forms (drawn_secret: other alphabets and lengths, with prefixes, of several parts, in addresses, in armour,
+in prose), what announces it replaced by other words or by none, and in its place things that are no secrets (no_secret:
+numbers, dates, addresses, names of classes and constants, short digests, images as base64, words). The field learns from
+the pieces (WINDOW characters on either side) around the base spans of a sample of documents, of any length, and from one
+in COLD of their other pieces; both samples are taken by a hash of the text under a threshold, so no task and not the
+driver holds more than the sample. One task fits the field.
 
 It is trained by gradient ascent on the log-likelihood with forward and backward sums over padded lines; decoding works
 on all tokens of all texts. Null and empty texts have no spans. Equal rows get equal spans. Very long texts are scanned
@@ -39,12 +41,13 @@ ACCESS, HEX, KINDS = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", ("assign", "access"
 #: The field learns from about so many documents, and from at most about so many of their pieces.
 SAMPLE, PIECES, COLD, WINDOW = 6000, 8000, 16, 200
 WORDS = 1 << 13
-#: Size of each feature table: shape, word, word before, word after, byte before, byte after, language, source, alternation.
-SIZES = (4096, WORDS, WORDS, WORDS, 256, 256, 256, 256, 256)
+#: Size of each feature table: shape, word, word before, word after, byte before, byte after, language, source, alternation, word two before, vowels.
+SIZES = (4096, WORDS, WORDS, WORDS, 256, 256, 256, 256, 256, WORDS, 256)
 LINE = 64
-#: Variants of a labelled piece, and what they are made of.
-VARIANTS = 12
+#: Variants of a labelled piece at least, of all of them together about, the characters around one at most; what they are made of.
+VARIANTS, MADE, AROUND = 4, 4000, 80
 CUES = ["credential", "bearer", "authorization", "private_key", "access_key", "client", "pwd", "passphrase", "key", "auth", "signature", "webhook", "connection", "session"]
+PROSE = ["is", "was", "for {} is", "of the {} is", "will be", "has changed to", "now reads", "to {}:"]
 SIGNS = [" = \"", "=\"", ": ", " ", "=", ": \"", " => '", " is "]
 ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789-_"]
 
@@ -95,7 +98,7 @@ def features(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, end: np.ndar
         np.cumsum(k == c, out=sums[c, 1:])
     n = sums[:, end] - sums[:, at]
     size = end - at
-    length = np.minimum(np.digitize(size, [2, 4, 6, 9, 12, 16, 20, 24, 32, 40, 64]), 11)
+    length = np.digitize(size, [2, 4, 6, 9, 12, 16, 20, 24, 32, 40, 65, 100, 200])
     digits = np.digitize(n[3] / size, [1e-9, 0.15, 0.4, 0.999])
     out[0] = (((length * 5 + digits) * 2 + (n[0] > 0)) * 2 + (n[1] > 0)) * 2 + (n[2] > 0)
     out[0] = (out[0] * 2 + (n[4] > 0)) * 2 + (n[5] > 0)
@@ -113,7 +116,15 @@ def features(data: np.ndarray, offsets: np.ndarray, at: np.ndarray, end: np.ndar
     out[6], out[7] = lang[own], source[own]
     turns = np.concatenate(([0], np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))))
     often = (turns[end] - turns[at + 1]) / size
-    out[8] = (np.digitize(often, [0.03, 0.08, 0.15, 0.25, 0.35, 0.5, 0.7]) * 12 + length) * 2 + (n[3] > 0)
+    out[8] = (np.digitize(often, [0.03, 0.08, 0.15, 0.25, 0.35, 0.5, 0.7]) * 14 + length) * 2 + (n[3] > 0)
+    two = own[2:] == own[:-2]
+    out[9, 2:][two] = word[:-2][two]
+    vowel = np.zeros(256, bool)
+    vowel[list(b"aeiouyAEIOUY")] = True
+    vowels = np.concatenate(([0], np.cumsum(vowel[data], dtype=np.int32)))
+    letters = n[0] + n[1] + n[2]
+    share = (vowels[end] - vowels[at]) / np.maximum(letters, 1)
+    out[10] = np.where(letters > 0, 1 + np.digitize(share, [0.08, 0.16, 0.24, 0.32, 0.45]), 0) * 14 + length
     return out % np.array(SIZES)[:, None]
 
 
@@ -142,7 +153,7 @@ class Field:
             e = e + self.tables[k][index[k]]
         return e
 
-    def fit(self, index: np.ndarray, first: np.ndarray, tag: np.ndarray, rounds: int = 40, rate: float = 0.3) -> None:
+    def fit(self, index: np.ndarray, first: np.ndarray, tag: np.ndarray, rounds: int = 80, rate: float = 0.3) -> None:
         """Adagrad on the penalised log-likelihood; first: where each sequence begins."""
         size = np.diff(np.append(first, len(tag)))
         order = np.argsort(-size, kind="stable")
@@ -282,16 +293,58 @@ def value_span(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     return (start + re.match(ASSIGN, text[start:end], re.I | re.A).start(2), end) if kind == 0 else (start, end)
 
 
-def no_secret(rng: random.Random, word: str) -> str:
-    """Something that is none: numbers, dates, addresses, versions, names, words."""
-    n = rng.randrange
+def drawn(rng: random.Random, least: int, most: int) -> str:
+    alphabet = rng.choice(ALPHABETS)
+    return "".join(rng.choice(alphabet) for _ in range(rng.randint(least, most)))
+
+
+def drawn_secret(rng: random.Random, words: list[str]) -> tuple[str, str, str]:
+    """What stands before a new secret, the secret, what stands after it."""
+    word = lambda: rng.choice(words).lower()
+    # mostly words that announce nothing: the shape has to tell
+    cue = rng.choice([rng.choice(CUES), word(), word(), ""])
+    cue = cue.upper() if rng.random() < 0.2 else cue
+    sign = rng.choice(SIGNS) if cue else ""
+    close = "\"" if "\"" in sign else ""
+    form = rng.randrange(8)
+    if form < 3:
+        return cue + sign, drawn(rng, 16, 56), close
+    if form == 3:  # a prefix of letters, perhaps two
+        heads = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 2))]
+        return cue + sign, rng.choice("-_").join([*heads, drawn(rng, 16, 48)]), close
+    if form == 4:  # several parts
+        mark = rng.choice(".-_")
+        return cue + sign, mark.join(drawn(rng, 10, 60) for _ in range(rng.randint(2, 4))), close
+    if form == 5:  # in an address
+        return f"{word()}://{word()}:", drawn(rng, 8, 24), f"@{word()}.{word()}:{rng.randrange(1000, 60000)}/{word()}"
+    if form == 6:  # armoured lines
+        label = " ".join(rng.choice(words).upper() for _ in range(rng.randint(1, 2)))
+        body = "".join(rng.choice(ALPHABETS[-2]) for _ in range(64 * rng.randint(2, 5) + rng.randint(4, 60)))
+        return f"-----BEGIN {label} KEY-----\n", "\n".join(body[k : k + 64] for k in range(0, len(body), 64)), f"\n-----END {label} KEY-----"
+    # in prose: a cue, some words, and a short mixed one
+    told = rng.choice([*CUES, "password", "passwd", "secret", "token", "passcode", "pin"])
+    short = rng.choice([rng.choice(words).title() + str(rng.randrange(10, 10000)), f"{word()}{rng.randrange(10, 1000)}{word()[:3].upper()}", drawn(rng, 7, 14)])
+    return f"{rng.choice(['the', 'my', 'your', 'our', 'new'])} {told} {rng.choice(PROSE).format(word())} ", short, ""
+
+
+def no_secret(rng: random.Random, words: list[str]) -> str:
+    """Something that is none: numbers, dates, addresses, versions, names, short digests, images, words."""
+    n, word = rng.randrange, rng.choice(words)
+    some = [rng.choice(words) for _ in range(n(2, 7))]
+    joined = lambda mark, of=str.lower: mark.join(map(of, some))
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    base64 = lambda k: "".join(rng.choice(ALPHABETS[-2]) for _ in range(k))
     return rng.choice([
         str(n(10**11)), f"20{n(100):02d}-{n(12) + 1:02d}-{n(28) + 1:02d}", f"{word.lower()}.{n(100)}@mail{n(10)}.example.com", f"v{n(20)}.{n(20)}.{n(99)}", word, word.upper(), f"{word}_{n(10)}",
         f"https://www.{word.lower()}.org/{word}/{n(1000)}", f"+{n(99)} {n(1000)} {n(10**6)}", f"{n(256)}.{n(256)}.{n(256)}.{n(256)}", word.title() + "Handler", f"{word}/{word}.py",
+        joined("", str.title), joined("", str.title), joined("", str.title) + str(n(100)), joined("_"), joined("_", str.upper), joined("."), joined("/") + f".{word.lower()[:3]}", joined("-") + f"-{n(1000)}",
+        f"https://{joined('.')}/{joined('-')}?{word.lower()}={n(10**6)}", f"{word.lower()}://{joined('.')}:{n(1000, 60000)}/{word.lower()}", f"{joined(' ')} commit {hexes(n(7, 13))}", f"fixed in {hexes(n(7, 13))}",
+        f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"data:image/{rng.choice(['png', 'gif', 'jpeg', 'webp'])};base64,{base64(n(60, 400))}=", f"data:font/woff2;base64,{base64(n(60, 400))}", f"#{hexes(6)}",
+        f"the {rng.choice([*CUES, 'password', 'token'])} is {word.lower()}", f"a {rng.choice(['password', 'token', 'secret'])} {joined(' ')}",
     ])
 
 
-def learnt_pieces(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+def learnt_pieces(text: str, variants: int = VARIANTS) -> list[tuple[str, list[tuple[int, int]]]]:
     """A piece with the places of its secrets, and its variants. The same piece gives the same variants."""
     found = base_spans(text)
     values = sorted({value_span(text, s, k, e) for s, k, e in found})
@@ -302,14 +355,11 @@ def learnt_pieces(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     words_here = re.findall(r"[A-Za-z]{3,}", text) or ["word"]
     first = min(s for s, _, _ in found)
     last = max(e for _, _, e in found)
-    for k in range(VARIANTS):
-        cue = rng.choice([rng.choice(CUES), rng.choice(words_here), rng.choice(words_here), ""])  # mostly words that announce nothing: the shape has to tell
-        sign = rng.choice(SIGNS) if cue else ""
+    for k in range(variants):
         secret = k % 3 < 2
-        alphabet = rng.choice(ALPHABETS)
-        new = "".join(rng.choice(alphabet) for _ in range(rng.randint(16, 56))) if secret else no_secret(rng, rng.choice(words_here))
-        head = text[:first] + (cue.upper() if rng.random() < 0.2 else cue) + sign
-        made = head + new + ("\"" if "\"" in sign else "") + text[last:]
+        lead, new, tail = drawn_secret(rng, words_here) if secret else ("", no_secret(rng, words_here), "")
+        head = text[max(0, first - rng.randint(0, AROUND)) : first] + lead
+        made = head + new + tail + text[last : last + rng.randint(0, AROUND)]
         if secret or not base_spans(made):
             out.append((made, [(len(head), len(head) + len(new))] if secret else []))
     return out
@@ -334,7 +384,9 @@ def _pieces(batches):
 
 def fitted(texts: list[str], langs: list, sources: list) -> Field | None:
     """The field that pieces of text teach."""
-    rows = [(t, v, lang, source) for text, lang, source in sorted(zip(texts, langs, sources), key=str) for t, v in learnt_pieces(text)]
+    labelled = sum(bool(base_spans(t)) for t in texts)
+    variants = max(VARIANTS, MADE // max(1, labelled))
+    rows = [(t, v, lang, source) for text, lang, source in sorted(zip(texts, langs, sources), key=str) for t, v in learnt_pieces(text, variants)]
     if not any(v for _, v, _, _ in rows):
         return None
     text = pa.array([t for t, _, _, _ in rows], pa.string())

@@ -216,3 +216,15 @@ def document_media(docs: DataFrame) -> DataFrame:
 def query(spark, sf_dir):
     out = document_media(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def page_sequences(spark, sf_dir):
+    """page_id, n_items, n_media, captions, sequence_sha256 of every page of `pages`.
+
+    The digest is of the items in order, one line each: kind, then the text or else the reference, then the caption.
+    """
+    items = sequences(table(spark, sf_dir, "pages"))
+    media = F.filter("items", lambda i: i["kind"] == "media")
+    line = lambda i: F.concat_ws("\t", i["kind"], F.coalesce(i["text"], i["ref"]), F.coalesce(i["caption"], F.lit("")))
+    digest = F.sha2(F.concat_ws("\n", F.transform("items", line)), 256)
+    return items.select(F.col("id").alias("page_id"), F.size("items").cast("long").alias("n_items"), F.size(media).cast("long").alias("n_media"), F.transform(media, lambda i: i["caption"]).alias("captions"), digest.alias("sequence_sha256"))

@@ -28,5 +28,6 @@ QUERIES = {
     "op11_fill_in_middle": infill.query,
     "op12_substring_dedup": spandedup.query,
     "op13_conversation_repair": repair.query,
+    "page_sequences": media.page_sequences,
 }
 ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE, "op11_fill_in_middle": infill.ORACLE, "op12_substring_dedup": spandedup.ORACLE, "op13_conversation_repair": repair.ORACLE}

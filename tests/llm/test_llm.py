@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import html
 import itertools
 import os
 import random
@@ -414,6 +415,36 @@ def test_sharding_is_even_and_keeps_links(spark):
     assert {(r.doc_id, r.shard, r.slot) for r in full.select("doc_id", "shard", "slot").collect()} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def test_sharding_links_against_all_pairs(spark):
+    """Of all pairs of different texts with five-word similarity of 0.8 or more, 0.9 share a feature, and few are cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng, copies = random.Random(11), []
+    for r in docs.where("doc_id < 400 and text is not null").collect():
+        w = r.text.split()
+        if len(w) >= 60:
+            for at in rng.sample(range(len(w)), max(1, int(len(w) * rng.uniform(0, 0.025)))):
+                w[at] = f"other{rng.randrange(10**6)}"
+            copies.append((1_000_000 + r.doc_id, " ".join(w)))
+    docs = docs.unionByName(spark.createDataFrame(copies, "doc_id long, text string")).cache()
+    found = {r.doc_id: r for r in sharding.sketches(docs).collect()}
+    shard = {r.doc_id: r.shard for r in sharding.assign(docs).collect()}
+    shingles = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        if len(w) >= 5 and found[r.doc_id].unit not in shingles:
+            shingles[found[r.doc_id].unit] = (r.doc_id, {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)})
+    held = linked = cut = 0
+    for (a, x), (b, y) in itertools.combinations(shingles.values(), 2):
+        if 0.8 * len(x) <= len(y) <= len(x) / 0.8:
+            both = len(x & y)
+            if both >= 0.8 * (len(x) + len(y) - both):
+                held += 1
+                linked += bool(set(found[a].features) & set(found[b].features))
+                cut += shard[a] != shard[b]
+    print(f"pairs {held}, linked {linked}, cut {cut}")
+    assert held > 100 and linked >= 0.9 * held and cut <= 0.3 * held, (held, linked, cut)
+
+
 def test_sharding_hot_unit_and_odd_rows(spark):
     df = frame(spark, ODD + ["hot text for everyone to share here"] * 3000, False)
     df = df.unionByName(df.where("doc_id < 3")).unionByName(df.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
@@ -472,6 +503,22 @@ def test_interleaved_sequences(spark):
     assert media.sequences(pages).count() == pages.count()
 
 
+def test_page_sequences_equal_a_plain_reading(spark):
+    """Each page's texts, read by stripping tags with patterns alone, stand in the sequence in their order."""
+    got = {r.page_id: r for r in media.page_sequences(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    blocks = r"</?(?:%s)\b[^>]*>" % "|".join(sorted(media._Parser.BLOCK, key=len, reverse=True))
+    for p in pages:
+        bare = re.sub(r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|template|noscript)\b.*?</\1>", "", p.html or "")
+        assert not re.search(r"<(img|video|audio|source|figure|figcaption)\b", bare)
+        texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", t)).split()) for t in re.split(blocks, bare)]
+        lines = [f"text\t{t}\t" for t in texts if t]
+        r = got[p.page_id]
+        assert (r.n_items, r.n_media, r.captions) == (len(lines), 0, [])
+        assert r.sequence_sha256 == hashlib.sha256("\n".join(lines).encode()).hexdigest()
+
+
 def test_captions_and_what_is_silent():
     told = lambda html: [(i["text"], i["ref"], i["caption"]) for i in media.parse(html)]
     assert told("<figure><figcaption>before</figcaption><img src=a alt=x></figure>end") == [(None, "a", "before"), ("end", None, None)]
@@ -930,7 +977,7 @@ def test_chat_query_equals_sql(spark):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_runs(spark, name):
     n = QUERIES[name](spark, SF).count()
-    assert n > 0 and (n == 200 or name in ("op3_decontamination", "op9_chat", "op13_conversation_repair"))
+    assert n > 0 and (n == 200 or name in ("op3_decontamination", "op9_chat", "op13_conversation_repair", "page_sequences"))  # not a row a document
 
 
 def test_pipeline(spark):

@@ -15,7 +15,8 @@ max_rate * length edits; at_byte is where such a best part begins.
 
 How many collisions are enough follows from the target recall: random strings of the item's length, given max_rate *
 length random edits, are walked; the count that all but a share MARGIN of what the target lets miss reach is asked for,
-with the longest walk that leaves ENOUGH. An exact copy keeps all its walks and is always found.
+with the longest walk that leaves ENOUGH. An exact copy keeps all its walks and is always found. Two sieves that
+lose nothing save work: bins that share a counter, before collisions are sorted, and an item's triples, before edits are counted.
 
 Items of fewer than SHORTEST normalised bytes say little once edited: they match as exact copies alone, and not inside a
 longer ASCII word or number. Empty items and null texts match nothing; repeated items and rows each give their own hits,
@@ -30,6 +31,7 @@ more passes, never fewer items. Within a pass the items are indexed in blocks of
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -49,7 +51,7 @@ MARGIN, TRIAL_BYTES = 0.2, 40_000
 #: Lengths of items are treated alike in classes that grow by this factor.
 CLASS = 1.06
 #: Collisions that one step expands at a time; bytes that walks advance over together.
-SLAB, STRIP = 2_000_000, 1 << 14
+SLAB, STRIP = 2_000_000, 1 << 15
 
 
 class Walks:
@@ -64,7 +66,9 @@ class Walks:
         most = max(LENGTHS)
         moves = rng.random((256, most)) < MOVE
         moves[0] = False
-        self.moves = (moves.astype(np.uint32) << np.arange(most, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+        bit = np.arange(most, dtype=np.uint32)
+        self.moves = (moves.astype(np.uint32) << bit).sum(axis=1, dtype=np.uint32)
+        self.turned = (moves.astype(np.uint32) << (np.uint32(31) - bit)).sum(axis=1, dtype=np.uint32)
         self.sampled = rng.random(most) < SAMPLED
         self.sampled[:3] = True
 
@@ -74,14 +78,13 @@ class Walks:
         padded = np.concatenate([put, np.zeros(most + 1, np.uint8)])
         for lo in range(0, len(put), STRIP):
             here = padded[lo : lo + STRIP + most]
-            moves, byte = self.moves[here], here.astype(np.uint32) + np.uint32(1)
+            moves, byte = self.turned.take(here), here.astype(np.uint32) + np.uint32(1)
             n, size = min(STRIP, len(put) - lo), len(here)
             key, new, goes = np.zeros(size + 1, np.uint32), np.zeros(size + 1, np.uint32), np.empty(size, np.uint32)
             for t in range(most):
-                # all ones where the walk goes on: the key there is the next place's
-                np.right_shift(moves, np.uint32(t), out=goes)
-                np.bitwise_and(goes, np.uint32(1), out=goes)
-                np.negative(goes, out=goes)
+                # all ones where the walk goes on (the step's bit is the sign): the key there is the next place's
+                np.right_shift(moves.view(np.int32), np.int32(31), out=goes.view(np.int32))
+                np.left_shift(moves, np.uint32(1), out=moves)
                 here = new[:-1]
                 np.bitwise_xor(key[:-1], key[1:], out=here)
                 np.bitwise_and(here, goes, out=here)
@@ -166,27 +169,44 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Keys:
-    """Where items hold some keys: sorted keys with a table of what their leading bits can be."""
+    """Where items hold some keys: sorted keys with tables of what their leading bits can be and where those begin."""
 
     def __init__(self, key: np.ndarray, item: np.ndarray, place: np.ndarray):
         order = np.argsort(key, kind="stable")
-        self.item, self.place = item[order], place[order]
+        self.item, self.place = item[order].astype(np.int32), place[order].astype(np.int32)
         self.keys, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
-        self.shift = np.uint32(32 - min(22, len(self.keys).bit_length() + 6))
+        bits = len(self.keys).bit_length()
+        self.shift, self.far = np.uint32(32 - min(22, bits + 5)), np.uint32(32 - min(24, bits))
         self.seen = np.zeros(1 << (32 - int(self.shift)), bool)
         self.seen[self.keys >> self.shift] = True
-
-    def hits(self, key: np.ndarray):
-        """Yields arrays: place in the texts, item, place in the item."""
-        at = np.flatnonzero(self.seen.take((key >> self.shift).astype(np.intp), mode="wrap"))
-        k = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
-        ok = self.keys[k] == key[at]
+        self.begin = np.searchsorted(self.keys >> self.far, np.arange((1 << (32 - int(self.far))) + 1))
+        self.most = int(np.diff(self.begin).max())
+
+    def maybe(self, key: np.ndarray) -> np.ndarray:
+        """The places of all held keys in an array, and some more."""
+        near = np.empty(len(key), bool)
+        for lo in range(0, len(key), STRIP):
+            self.seen.take((key[lo : lo + STRIP] >> self.shift).astype(np.intp), out=near[lo : lo + STRIP], mode="clip")
+        return np.flatnonzero(near)
+
+    def hits(self, at: np.ndarray, key: np.ndarray):
+        """For keys and their places in the texts; yields arrays: place in the texts, item, place in the item."""
+        slot = (key >> self.far).astype(np.intp)
+        k, end = self.begin[slot], self.begin[slot + 1]
+        for _ in range(self.most):
+            less = (k < end) & (self.keys.take(k, mode="clip") < key)
+            if not less.any():
+                break
+            k += less
+        ok = np.flatnonzero((k < end) & (self.keys.take(k, mode="clip") == key))
         at, k = at[ok], k[ok]
-        total, lo = np.cumsum(self.count[k]), 0
+        count, first = self.count[k], self.first[k]
+        total, lo = np.cumsum(count), 0
         while lo < len(at):
             hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + SLAB, "right")))
-            n = self.count[k[lo:hi]]
-            run = np.repeat(self.first[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            n = count[lo:hi]
+            run = np.repeat(first[lo:hi] - np.cumsum(n) + n, n)
+            run += np.arange(len(run))
             yield np.repeat(at[lo:hi], n), self.item[run], self.place[run]
             lo = hi
 
@@ -204,6 +224,26 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[first], np.add.reduceat(count, first)
 
 
+def _crowded(key: np.ndarray, least: int) -> np.ndarray:
+    """The keys without most of those that meet fewer than `least` others in their bin and a neighbouring one.
+
+    Counted in a small table that bins may share, neighbours side by side, so that no key with enough is lost."""
+    bits = max(10, len(key).bit_length() - 1)
+    slot = (key >> 32) * 0x9E3779B1 >> 7
+    slot += key
+    slot &= (1 << bits) - 1
+    count = np.bincount(slot, minlength=1 << bits)
+    both = count + np.roll(count, -1) >= least
+    return key[(both | np.roll(both, 1))[slot]]
+
+
+def may_hold(item: bytes, piece: bytes, room: int) -> bool:
+    """False only if no part of the piece is within that many edits: an edit changes at most three of the item's triples."""
+    here = Counter(zip(piece, piece[1:], piece[2:]))
+    own = Counter(zip(item, item[1:], item[2:]))
+    return sum(min(n, here[t]) for t, n in own.items() if t in here) >= len(item) - 2 - 3 * room
+
+
 def item_texts(items: list[tuple[int, str]]) -> list[bytes]:
     put, off = normalised(*flat(pa.array([t for _, t in items], pa.string())))
     return [put[off[k] : off[k + 1] - 1].tobytes().rstrip() for k in range(len(items))]
@@ -228,6 +268,7 @@ class ItemIndex:
         self.text = item_texts(items)
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.room = np.array([int(max_rate * len(t)) for t in self.text], np.int64)
+        self.part = 1.0 / (self.room + 1)
         self.least = np.ones(len(items), np.int64)
         by_length: dict[int, list[int]] = {}
         short: dict[int, list[int]] = {}
@@ -255,10 +296,9 @@ class ItemIndex:
         """(row, item's place, edits, byte offset in the normalised text): the best of each row and item."""
         return [hit for _, hit in best_hits([self], col)]
 
-    def found(self, put, off, rows, keys):
-        """(row, item, edits, byte offset), some pairs more than once; rows: that of each byte; keys: those of each embedding
-        by length."""
-        return [*self._copies(put, off), *self._edited(put, off, rows, keys)]
+    def found(self, put, off, rows, met):
+        """(row, item, edits, byte offset), some pairs more than once; rows: that of each byte; met: what best_hits() gathers."""
+        return [*self._copies(put, off), *self._edited(put, off, rows, met)]
 
     def _copies(self, put, off):
         """Exact copies of short items that no ASCII letter or digit prolongs."""
@@ -268,7 +308,9 @@ class ItemIndex:
         inside[[*range(48, 58), *range(97, 123)]] = True
         held = np.concatenate([[0], put, np.zeros(SHORTEST + 1, np.uint8)]).astype(np.uint8)
         for first, keys in self.short.items():
-            for at, item, _ in keys.hits(starts(put, first)):
+            key = starts(put, first)
+            at = keys.maybe(key)
+            for at, item, _ in keys.hits(at, key[at]):
                 n = self.size[item]
                 ok = ~(inside[held[at]] & inside[held[at + 1]]) & ~(inside[held[at + n]] & inside[held[at + n + 1]])
                 at, item, n = at[ok], item[ok], n[ok]
@@ -281,41 +323,58 @@ class ItemIndex:
                 for k, f in zip(key.tolist(), first.tolist()):
                     yield k // len(self.ids), k % len(self.ids), 0, int(at[f] - off[row[f]])
 
-    def _edited(self, put, off, rows, keys):
+    def _bins(self, off, rows, met):
+        """(bin, 1) of every collision: row, item and diagonal; beyond SLAB of them, some already as (bin, sum)."""
+        items, shift, size = len(self.ids), int(self.size.max(initial=0)), 0
+        keys, counts = [], []
+        for held, near, key in met:
+            for at, item, place in held.hits(near, key):
+                row = rows[at]
+                # half a step from the bin's edges, so that the product is floored as the quotient is
+                bins = ((at - off[row] + shift - place + 0.5) * self.part[item]).astype(np.int64)
+                bins += (row * items + item) << 32
+                keys.append(bins)
+                size += len(bins)
+                if size > SLAB:
+                    old = [*counts, *(np.ones(len(k), np.int64) for k in keys[len(counts) :])]
+                    key, count = _summed(np.concatenate(keys), np.concatenate(old))
+                    keys, counts, size = [key], [count], 0
+        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        return key, np.concatenate([*counts, np.ones(len(key) - sum(map(len, counts)), np.int64)]) if counts else None
+
+    def _edited(self, put, off, rows, met):
         """Parts of the texts that are within the items' edits."""
         items, shift = len(self.ids), int(self.size.max(initial=0))
-        for length, tables in self.walks.items():
-            bins = [(np.zeros(0, np.int64),) * 2]
-            for held, have in zip(tables, keys):
-                for at, item, place in held.hits(have[length]):
-                    row = rows[at]
-                    key = ((row * items + item) << 32) + (at - off[row] - place + shift) // (self.room[item] + 1)
-                    bins.append(_summed(key, np.ones(len(key), np.int64)))
-            key, count = map(np.concatenate, zip(*bins))
-            if not len(key):
+        key, count = self._bins(off, rows, met)
+        if count is None:
+            key = _crowded(key, int(self.least[self.size >= SHORTEST].min(initial=1 << 40)))
+            count = np.ones(len(key), np.int64)
+        if not len(key):
+            return
+        key, count = _summed(key, count)
+        both = count.copy()
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        key = key[both >= self.least[(key >> 32) % items]]
+        if not len(key):
+            return
+        cut = np.flatnonzero(np.diff(key) > 1)  # neighbouring bins are verified in one go
+        for a, b in zip(key[np.append(0, cut + 1)].tolist(), key[np.append(cut, len(key) - 1)].tolist()):
+            row, it = divmod(a >> 32, items)
+            text, room = self.text[it], int(self.room[it])
+            begin = (a & 0xFFFFFFFF) * (room + 1) - shift - room
+            end = ((b & 0xFFFFFFFF) + 2) * (room + 1) - shift + len(text) + room
+            begin, end = max(0, begin), min(max(0, end), int(off[row + 1] - off[row] - 1))
+            piece = put[off[row] + begin : off[row] + end].tobytes()
+            at = piece.find(text)
+            if at >= 0:
+                yield row, it, 0, begin + at
                 continue
-            key, count = _summed(key, count)
-            both = count.copy()
-            both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-            key = key[both >= self.least[(key >> 32) % items]]
-            if not len(key):
+            if not may_hold(text, piece, room):
                 continue
-            cut = np.flatnonzero(np.diff(key) > 1)  # neighbouring bins are verified in one go
-            for a, b in zip(key[np.append(0, cut + 1)].tolist(), key[np.append(cut, len(key) - 1)].tolist()):
-                row, it = divmod(a >> 32, items)
-                text, room = self.text[it], int(self.room[it])
-                begin = (a & 0xFFFFFFFF) * (room + 1) - shift - room
-                end = ((b & 0xFFFFFFFF) + 2) * (room + 1) - shift + len(text) + room
-                begin, end = max(0, begin), min(max(0, end), int(off[row + 1] - off[row] - 1))
-                piece = put[off[row] + begin : off[row] + end].tobytes()
-                at = piece.find(text)
-                if at >= 0:
-                    yield row, it, 0, begin + at
-                    continue
-                edits, stop = best_part(text, piece, room)
-                if edits <= room:
-                    back = piece[max(0, stop - len(text) - room) : stop]
-                    yield row, it, edits, begin + stop - best_part(text[::-1], back[::-1])[1]
+            edits, stop = best_part(text, piece, room)
+            if edits <= room:
+                back = piece[max(0, stop - len(text) - room) : stop]
+                yield row, it, edits, begin + stop - best_part(text[::-1], back[::-1])[1]
 
 
 def best_hits(indexes: list[ItemIndex], col: pa.Array) -> list[tuple[int, tuple[int, int, int, int]]]:
@@ -326,10 +385,16 @@ def best_hits(indexes: list[ItemIndex], col: pa.Array) -> list[tuple[int, tuple[
     for lo, hi in steps(offsets):
         part = offsets[lo : hi + 1]
         put, off = normalised(data[part[0] : part[-1]], part - part[0])
-        keys = [w.keys(put, lengths) for w in embeddings()] if lengths else []
+        met = [[] for _ in indexes]  # of each index, by embedding and length: its keys, places in the texts that may hold some, and the keys there
+        for e, walks in enumerate(embeddings() if lengths else ()):
+            for n, key in walks.keys(put, lengths).items():
+                for index, some in zip(indexes, met):
+                    if n in index.walks:
+                        near = index.walks[n][e].maybe(key)
+                        some.append((index.walks[n][e], near, key[near]))
         rows = np.repeat(np.arange(hi - lo), np.diff(off))
         for nth, index in enumerate(indexes):
-            for row, it, edits, begin in index.found(put, off, rows, keys):
+            for row, it, edits, begin in index.found(put, off, rows, met[nth]):
                 if (edits, begin) < best.get((nth, lo + row, it), (1 << 60, 0)):
                     best[nth, lo + row, it] = (edits, begin)
     return [(nth, (r, i, e, p)) for (nth, r, i), (e, p) in sorted(best.items())]

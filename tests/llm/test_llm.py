@@ -9,7 +9,7 @@ import re
 import subprocess
 import sys
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -266,6 +266,50 @@ def test_recall_up_to_a_fifth_of_edits():
     assert held > 450 and found >= 0.95 * held, (found, held)
 
 
+def test_windows_without_the_triples_need_no_exact_count(monkeypatch):
+    """A window that holds a third of an item has collisions enough, but its triples rule it out before edits are counted."""
+    rng = random.Random(13)
+    items = [(k, "".join(rng.choice("abcdefgh ijklm") for _ in range(100))) for k in range(40)]
+    texts = ["0123456789" * 6 + t[10:45] + "9876543210" * 6 for _, t in items]
+    index = decontam.ItemIndex(items, decontam.walk_rules(items, 0.2, 0.95), 0.2)
+    best_part, counted = decontam.best_part, []
+    monkeypatch.setattr(decontam, "best_part", lambda *a: counted.append(a) or best_part(*a))
+    assert index.hits(pa.array(texts)) == [] and not counted
+    monkeypatch.setattr(decontam, "may_hold", lambda *a: True)
+    assert index.hits(pa.array(texts)) == [] and len(counted) >= 40
+
+
+def test_triples_and_crowds_lose_nothing():
+    rng = random.Random(12)
+    for _ in range(500):
+        item = bytes(rng.choice(b"abcd ") for _ in range(rng.randint(20, 60)))
+        copy = bytearray(item)
+        for _ in range(rng.randint(0, len(item) // 5 + 4)):
+            p = rng.randrange(len(copy))
+            copy[p : p + 1] = rng.choice([b"", b"e", bytes([copy[p], 101])])
+        piece = bytes(rng.choice(b"abcd ") for _ in range(rng.randint(0, 9))) + bytes(copy)
+        for room in range(len(item) // 5 + 1):
+            assert decontam.may_hold(item, piece, room) or decontam.part_edits(item, piece) > room
+    assert not decontam.may_hold(b"abcdefghijklmnopqrst", b"tsrqponmlkjihgfedcba", 4)
+    for size in (1, 50, 5000):
+        key = (np.array([rng.randrange(40) for _ in range(size)], np.int64) << 32) + np.array([rng.randrange(60) for _ in range(size)])
+        n = Counter(key.tolist())
+        enough = sorted(k for k in key.tolist() if max(n[k] + n[k + 1], n[k - 1] + n[k]) >= 5)
+        left = sorted(decontam._crowded(key, 5).tolist())
+        assert not Counter(enough) - Counter(left) and len(left) <= size
+
+
+def test_collisions_summed_in_pieces_give_the_same_hits(monkeypatch):
+    source = " ".join(f"w{k * k % 97}x{k % 13}" for k in range(400))
+    items = [(k, source[40 * k :][: 30 + 9 * k]) for k in range(20)]
+    texts = [source[35 * k :][:300] + " the " * 50 for k in range(30)] + [source * 3, "a" * 3000, "", None]
+    index = decontam.ItemIndex(items, decontam.walk_rules(items, 0.2, 0.95), 0.2)
+    want = index.hits(pa.array(texts))
+    assert len(want) > 30
+    monkeypatch.setattr(decontam, "SLAB", 500)
+    assert index.hits(pa.array(texts)) == want
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([(1, None), (2, "short"), (3, "")], "item_id long, text string")
     df = frame(spark, ODD)

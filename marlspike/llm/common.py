@@ -146,6 +146,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the 0 to n, modulo 2 ** 64, as products of a few."""
+
+    def some(of: int, most: int) -> np.ndarray:
+        x = np.full(most, of, np.uint64)
+        x[0] = 1
+        return np.cumprod(x, dtype=np.uint64)
+
+    return np.multiply.outer(some(pow(base, 1024, 1 << 64), n // 1024 + 1), some(base, 1024)).ravel()[: n + 1]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, from one cumulative polynomial over all bytes."""
     if not len(starts):
@@ -153,15 +164,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     base = 0x9E3779B97F4A7C15 | 1
     back = pow(base, -1, 1 << 64)
     n = len(data)
-    up = np.full(n + 1, base, np.uint64)
-    up[0] = 1
-    up = np.cumprod(up, dtype=np.uint64)
+    up = powers(base, n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    down = np.full(n + 1, back, np.uint64)
-    down[0] = 1
-    down = np.cumprod(down, dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    return mix((sums[ends] - sums[starts]) * powers(back, n)[starts])
 
 
 def lower_ascii() -> np.ndarray:

@@ -38,6 +38,8 @@ OWN, INPUTS = 3072, 4096
 OFFSETS = (-2, -1, 1, 2)
 ROUNDS, BATCH, RATE, BLOCK, SHARD_BYTES = 2, 8192, 0.1, 4096, 16 << 20
 SHAPE = (len(OFFSETS) * (INPUTS + 1) * HIDDEN, HIDDEN * CLASSES, CLASSES)
+#: Positions whose classes fit a core's cache together; values beyond this are brought down before they are raised to powers.
+CHUNK, HIGH = 1024, 60
 #: What every word has beside its occurrences in other documents.
 UNSEEN = 0.5
 
@@ -50,6 +52,11 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.order = np.argsort(hashes)
         self.hashes, n = hashes[self.order], len(hashes)
+        # where the hashes with each value of their leading bits begin
+        bits = max(1, n.bit_length())
+        self.far = np.uint64(64 - bits)
+        self.begin = np.searchsorted(self.hashes >> self.far, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.begin).max())
         self.cls = np.full(n + 1, CLASSES - 1, np.int64)
         self.cls[: min(n, SINGLE)] = np.arange(min(n, SINGLE))
         rest, bands = counts[SINGLE:].astype(float), CLASSES - 1 - SINGLE
@@ -65,7 +72,14 @@ class Vocabulary:
         n = len(self.hashes)
         if not n:
             return np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), n - 1)
+        slot = (h >> self.far).astype(np.intp)
+        at, end = self.begin[slot], self.begin[slot + 1]
+        for _ in range(self.most):
+            less = (at < end) & (self.hashes.take(at, mode="clip") < h)
+            if not less.any():
+                break
+            at += less
+        at = np.minimum(at, n - 1)
         return np.where(self.hashes[at] == h, self.order[at], n)
 
 
@@ -106,37 +120,57 @@ def contexts(h: np.ndarray, rank: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
+def hidden(tables: np.ndarray, context: np.ndarray) -> np.ndarray:
+    h = tables[0].take(context[0], axis=0)
+    for k in range(1, len(OFFSETS)):
+        h += tables[k].take(context[k], axis=0)
+    return np.tanh(h, out=h)
+
+
+def lowered(z: np.ndarray, out: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """z, less its rows' largest values if the weights let any value pass HIGH (hidden values are 1 at most)."""
+    if np.abs(out).sum(axis=0).max() + np.abs(bias).max() > HIGH:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def forward(weights, context: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hidden state and log-probabilities of the classes for each position.
 
     exact: products are summed in double precision, so that a position's result does not hang on its place in the batch.
     """
     tables, out, bias = parts(weights)
-    h = tables[0][context[0]]
-    for k in range(1, len(OFFSETS)):
-        h = h + tables[k][context[k]]
-    np.tanh(h, out=h)
-    z = (h.astype(np.float64) @ out.astype(np.float64) + bias).astype(h.dtype) if exact else h @ out + bias
-    z -= z.max(axis=1, keepdims=True)
+    h = hidden(tables, context)
+    z = h.astype(np.float64) @ out.astype(np.float64) if exact else h @ out
+    z += bias
+    z = lowered(z.astype(h.dtype, copy=False), out, bias)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return h, z
 
 
 def gradient(weights, context: np.ndarray, target: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
     """Of the mean negative log-likelihood: (inputs, rows of the gradient) for each offset, output matrix, bias."""
-    n, out = len(target), parts(weights)[1]
-    h, logp = forward(weights, context)
-    d = np.exp(logp)
-    d[np.arange(n), target] -= 1
-    d /= n
-    dh = (d @ out.T) * (1 - h * h)
+    n, (tables, out, bias) = len(target), parts(weights)
+    dh, d_out, d_bias = np.empty((n, HIDDEN), out.dtype), np.zeros_like(out), np.zeros_like(bias)
+    for lo in range(0, n, CHUNK):
+        y = target[lo : lo + CHUNK]
+        h = hidden(tables, context[:, lo : lo + CHUNK])
+        d = h @ out
+        d += bias
+        np.exp(lowered(d, out, bias), out=d)
+        d *= 1 / d.sum(axis=1, keepdims=True)
+        d[np.arange(len(y)), y] -= 1
+        d_out += h.T @ d
+        d_bias += d.sum(axis=0)
+        dh[lo : lo + CHUNK] = (d @ out.T) * (1 - h * h)
+    dh /= n
     rows = []
     for k in range(len(OFFSETS)):
         order = np.argsort(context[k].astype(np.int16), kind="stable")  # few values: a radix sort
-        ids = context[k][order]
+        ids = context[k].take(order)
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        rows.append((ids[first], np.add.reduceat(dh[order], first, axis=0)))
-    return rows, h.T @ d, d.sum(axis=0)
+        rows.append((ids[first], np.add.reduceat(dh.take(order, axis=0), first, axis=0)))
+    return rows, d_out / n, d_bias / n
 
 
 class Trainer:
@@ -159,14 +193,18 @@ class Trainer:
             past += (scale * grad) ** 2
             value -= RATE * scale * grad / np.sqrt(past)
         for k, (at, grad) in enumerate(rows):
-            past_tables[k, at] += (scale * grad) ** 2
-            tables[k, at] -= RATE * scale * grad / np.sqrt(past_tables[k, at])
+            grad *= scale
+            past = past_tables[k].take(at, axis=0) + grad * grad
+            past_tables[k][at] = past
+            tables[k][at] = tables[k].take(at, axis=0) - np.float32(RATE) * grad / np.sqrt(past)
 
 
 def masked(h: np.ndarray, own: np.ndarray, turn: int) -> np.ndarray:
     """The positions that this round hides: chosen by a hash of the word and its place in the text, so that the rounds
     share all positions out, and a rerun or other batches hide the same."""
-    nth = np.arange(len(own)) - np.searchsorted(own, own)
+    if not len(own):
+        return np.zeros(0, np.int64)
+    nth = np.arange(len(own)) - np.searchsorted(own, np.arange(own[-1] + 1))[own]
     seed = nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + h
     return np.flatnonzero((mix(seed) >> np.uint64(44)) % np.uint64(ROUNDS) == turn % ROUNDS)
 
@@ -282,8 +320,8 @@ def _score(weights: np.ndarray, vocab: Vocabulary):
                 rank = vocab.rank(h)
                 context, y = contexts(h, rank, own), vocab.cls[rank]
                 gain = np.empty(len(h))
-                for k in range(0, len(h), BATCH):
-                    s = slice(k, k + BATCH)
+                for k in range(0, len(h), CHUNK):
+                    s = slice(k, k + CHUNK)
                     logp = forward(weights, context[:, s], True)[1]
                     gain[s] = logp[np.arange(len(y[s])), y[s]]
                 gain += vocab.within[rank]

@@ -18,7 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marlspike.llm import chat, decontam, infill, lmscore, media, mixing, quality, repair, secretscan, sharding, simhash, spandedup, tokencount
+from marlspike.llm import chat, common, decontam, infill, lmscore, media, mixing, quality, repair, secretscan, sharding, simhash, spandedup, tokencount
 from marlspike.llm.graph import components
 from marlspike.llm.queries import ORACLES, QUERIES
 from tests.oracle import both, connect
@@ -648,6 +648,52 @@ def test_gradient_is_right():
     assert -lmscore.forward(t.w, context)[1][np.arange(300), y].mean() < before - 0.5
 
 
+def test_chunks_of_a_batch_give_the_whole_batch(monkeypatch):
+    """Gradients and scores in small chunks against a plain reading, with weights that need their largest value taken off and without."""
+    rng = np.random.default_rng(4)
+    context, y = rng.integers(0, 50, (4, 3000)), rng.integers(0, lmscore.CLASSES, 3000)
+    for scale in (1, 500):
+        w = lmscore.initial().astype(float)
+        w[lmscore.SHAPE[0] :] *= scale
+        tables, out, bias = lmscore.parts(w)
+        h = np.tanh(sum(tables[k][context[k]] for k in range(4)))
+        z = h @ out + bias
+        want = z - z.max(axis=1, keepdims=True)
+        want -= np.log(np.exp(want).sum(axis=1, keepdims=True))
+        assert np.allclose(lmscore.forward(w, context)[1], want)
+        assert np.allclose(lmscore.forward(w.astype(np.float32), context, True)[1], want, atol=1e-4 * scale)
+        d = (np.exp(want) - np.eye(lmscore.CLASSES)[y]) / 3000
+        for chunk in (7, 1024, 5000):
+            monkeypatch.setattr(lmscore, "CHUNK", chunk)
+            rows, d_out, d_bias = lmscore.gradient(w, context, y)
+            assert np.allclose(d_out, h.T @ d) and np.allclose(d_bias, d.sum(axis=0))
+            for k, (at, g) in enumerate(rows):
+                full = np.zeros((50, lmscore.HIDDEN))
+                np.add.at(full, context[k], (d @ out.T) * (1 - h * h))
+                assert np.array_equal(at, np.unique(context[k])) and np.allclose(g, full[at])
+
+
+def test_ranks_and_places_equal_a_plain_reading():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 2, 300):
+        known = rng.permutation(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+        known[n // 2 :] >>= np.uint64(40)  # a crowd that shares its leading bits
+        known = rng.permutation(np.unique(known))
+        vocab = lmscore.Vocabulary(known, np.arange(len(known), 0, -1))
+        asked = np.concatenate([known, rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        place = {x: k for k, x in enumerate(known.tolist())}
+        assert vocab.rank(asked).tolist() == [place.get(x, len(known)) for x in asked.tolist()]
+        assert vocab.rank(asked[:0]).tolist() == []
+    h, own = rng.integers(0, 1 << 63, 60, dtype=np.uint64), np.repeat([0, 3, 4], [20, 1, 39])
+    shown = [lmscore.masked(h, own, turn).tolist() for turn in range(lmscore.ROUNDS)]
+    assert sorted(sum(shown, [])) == list(range(60)) and lmscore.masked(h[:0], own[:0], 0).tolist() == []
+    again = lmscore.masked(np.concatenate([h[:5], h]), np.concatenate([np.zeros(5, int), own + 1]), 0)  # places are counted within a row
+    assert (again[again >= 5] - 5).tolist() == shown[0]
+    for base in (3, 0x9E3779B97F4A7C15):
+        for n in (0, 1, 1023, 1024, 5000):
+            assert common.powers(base, n).tolist() == [pow(base, k, 1 << 64) for k in range(n + 1)]
+
+
 def test_scores_do_not_depend_on_partitions_or_order(spark, monkeypatch):
     monkeypatch.setattr(lmscore, "SHARD_BYTES", 100_000)
     monkeypatch.setattr(lmscore, "KNOWN", 200)
